@@ -86,6 +86,20 @@ def best_pattern(size: np.ndarray, value: np.ndarray, capacity: int) -> tuple[fl
     return float(best[capacity]), pattern
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with pivoting; no BLAS threads, which can hang in a forked driver."""
+    m = len(a)
+    both = np.hstack((a, np.eye(m)))
+    for k in range(m):
+        p = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k][None, :]
+    return both[:, m:]
+
+
 def solve(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4) -> list[tuple[np.ndarray, int]]:
     """Patterns over the classes and how often to use each; all demand is met exactly."""
     m = len(size)
@@ -105,7 +119,7 @@ def solve(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4
             out = int(ratio.argmin())
             columns[out] = pattern
             if step % 100 == 99:
-                inverse = np.linalg.inv(np.array(columns, float).T)
+                inverse = inverted(np.array(columns, float).T)
             else:
                 row = inverse[out] / turn[out]
                 inverse -= np.outer(turn, row)
