@@ -59,8 +59,10 @@ def label(s: Column, digits: bool = False, prefixes: bool = True, ascii_colon: b
 def bigrams(s: Column) -> Column:
     """The set of character bigrams after white space is removed."""
     t = F.regexp_replace(s, r"(?U)\s", "")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))
-    return F.when(F.char_length(t) >= 2, grams).otherwise(F.array().cast("array<string>"))
+    # characters once as an array: places in a string cost a scan each
+    chars = F.regexp_extract_all(t, F.lit("(?s)(.)"), F.lit(1))
+    grams = F.transform(F.array(chars), lambda c: F.array_distinct(F.transform(F.slice(c, 1, F.size(c) - 1), lambda x, i: F.concat(x, F.get(c, i + 1)))))
+    return F.when(F.char_length(t) >= 2, F.get(grams, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def numbers(s: Column, without_years: bool = False) -> Column:

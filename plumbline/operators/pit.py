@@ -29,7 +29,7 @@ def windows(facts: DataFrame, days: DataFrame, period: str, announced: str) -> D
     def rank(c: str):
         d, lo = F.col("_days"), F.lit(0)
         # binary search by halving: 2**24 days are far beyond any calendar
-        step = F.transform(F.sequence(F.lit(23), F.lit(0), F.lit(-1)), lambda k: F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), k).cast("int"))
+        step = F.array(*[F.lit(1 << k) for k in range(23, -1, -1)])
         return F.aggregate(step, lo, lambda at, s: F.when((at + s <= F.size(d)) & (F.get(d, at + s - 1) <= F.col(c).cast("date")), at + s).otherwise(at))
 
     out = facts.crossJoin(F.broadcast(ranks)).withColumn("cal_days", F.date_diff(F.col(announced).cast("date"), F.col(period).cast("date")))
