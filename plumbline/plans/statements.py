@@ -9,7 +9,7 @@ from plumbline.plans.market import table
 
 LABELS = "CASE l_linenumber % 4 WHEN 0 THEN 'assets' WHEN 1 THEN 'cash and assets' WHEN 2 THEN 'equity' ELSE 'debt' END"
 
-ROW = F.expr("l_linenumber * 10000000000 + l_partkey")  # line numbers alone aren't unique within an order
+ROW = F.expr("l_linenumber * 100000000000000 + l_partkey * 1000000 + l_suppkey")  # line numbers alone aren't unique within an order
 
 
 def _lines(spark, sf_dir):
@@ -22,7 +22,7 @@ def _lines(spark, sf_dir):
 
 
 LINES = f"""
-base AS (SELECT l_orderkey AS table_id, l_linenumber * 10000000000 + l_partkey AS row_idx, l_linenumber, {LABELS} AS label_norm, round(l_extendedprice * 100)::BIGINT AS c, l_quantity, l_returnflag FROM lineitem),
+base AS (SELECT l_orderkey AS table_id, l_linenumber * 100000000000000 + l_partkey * 1000000 + l_suppkey AS row_idx, l_linenumber, {LABELS} AS label_norm, round(l_extendedprice * 100)::BIGINT AS c, l_quantity, l_returnflag FROM lineitem),
 lines AS (SELECT table_id, row_idx, label_norm, CASE WHEN l_linenumber % 6 = 5 THEN '其中：' || label_norm ELSE label_norm END AS label_raw, 0 AS col_idx, c AS value FROM base
   UNION ALL SELECT table_id, row_idx, label_norm, CASE WHEN l_linenumber % 6 = 5 THEN '其中：' || label_norm ELSE label_norm END, 1, CASE WHEN l_quantity > 10 THEN c + CASE WHEN l_returnflag = 'R' THEN 5 ELSE 0 END END FROM base)"""
 
@@ -248,7 +248,7 @@ SELECT table_id, col_idx, filled, rows, is_note, NOT is_note AND CASE WHEN any_k
     "duplicate_claims": f"WITH {MAPPED}, f AS (SELECT p_brand, concept, min(row_idx) AS lo, arg_min(label, row_idx) AS l FROM m WHERE concept IS NOT NULL GROUP BY 1, 2) SELECT p_brand, count(*) AS claims FROM m JOIN f USING (p_brand, concept) WHERE row_idx > lo AND label <> l GROUP BY 1",
     "concept_coverage": f"WITH {MAPPED}, w AS (SELECT unnest(['plain', 'sale', 'size', 'unknown']) AS concept), g AS (SELECT DISTINCT p_brand FROM m WHERE concept IS NOT NULL), h AS (SELECT DISTINCT p_brand, concept, true AS hit FROM m WHERE concept IS NOT NULL) SELECT p_brand, count(hit) AS hits, count(*) AS total, coalesce(list(concept ORDER BY concept) FILTER (hit IS NULL), []) AS missing FROM g CROSS JOIN w LEFT JOIN h USING (p_brand, concept) GROUP BY 1",
     "label_divergence": f"WITH {MAPPED} SELECT concept, count(DISTINCT label) AS labels, count(DISTINCT p_brand) AS members FROM m WHERE concept IS NOT NULL GROUP BY 1 HAVING count(DISTINCT label) > 1",
-    "leading_runners": "WITH x AS (SELECT *, sum((l_returnflag <> 'N')::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS b FROM lineitem) SELECT l_orderkey, count(*) AS rows, min(l_linenumber) AS first FROM x WHERE b > 0 GROUP BY 1",
+    "leading_runners": "WITH x AS (SELECT *, sum((l_returnflag <> 'N')::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS b FROM lineitem) SELECT l_orderkey, count(*) AS rows, min(l_linenumber) AS first FROM x WHERE b > 0 GROUP BY 1",
     "chosen_candidates": "WITH l AS (SELECT l_suppkey, l_linenumber % 4 AS strategy, floor(l_quantity / 10)::INT AS score, l_orderkey * 10 + l_linenumber AS top FROM lineitem), s AS (SELECT *, min(strategy) FILTER (score >= 3) OVER (PARTITION BY l_suppkey) AS stop FROM l) SELECT l_suppkey, strategy, score, top FROM s WHERE stop IS NULL OR strategy <= stop QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, top, strategy) = 1",
     "rebuilt_lines": "SELECT conv_id, turn AS line, md5(string_agg(replace(text, ' ', ''), '' ORDER BY turn)) AS digest FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2",
     "trusted_cells": f"WITH {CELLS} SELECT * FROM cells",
