@@ -41,9 +41,19 @@ def encode(ids: np.ndarray) -> np.ndarray:
         if s == 1:
             continue
         count, bits = SELECTORS[s]
-        wide = np.concatenate(([0], np.cumsum(v >= np.uint64(1 << bits)))) if bits else np.concatenate(([0], np.cumsum(v > 0)))
-        to = np.minimum(np.arange(n) + count, n)
-        best[wide[to] == wide[:-1]] = s
+        small = v < np.uint64(1 << bits) if bits else v == 0
+        # every run of count places holds a multiple of count, so few places can start one
+        seen = np.flatnonzero(small[::count]) * count
+        if len(seen) * 16 > n:
+            wide = np.concatenate(([0], np.cumsum(~small)))
+            to = np.minimum(np.arange(n) + count, n)
+            best[wide[to] == wide[:-1]] = s
+            continue
+        for p in seen.tolist():
+            lo, hi = max(0, p - count + 1), min(n, p + count)
+            wide = np.concatenate(([0], np.cumsum(~small[lo:hi])))
+            to = np.minimum(np.arange(lo, p + 1) + count, hi) - lo
+            best[lo : p + 1][wide[to] == wide[: p + 1 - lo]] = s
     step = np.array([c for c, _ in SELECTORS])[best].tolist()
     starts, p = [], 0
     while p < n:
