@@ -37,23 +37,18 @@ def encode(ids: np.ndarray) -> np.ndarray:
     """Words for the ids, each word taking as many of the next ids as fit."""
     v, n = ids.astype(np.uint64), len(ids)
     best = np.ones(n, np.uint8)  # the selector at each position: 1 where nothing else fits
+    need = np.zeros(n + 240, np.uint8)  # bits of each id; nothing behind the last one needs any
+    need[:n] = np.frexp(v.astype(np.float64))[1] if n and v.max() < 1 << 53 else np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), v, "right")
+    most, count = need, 1  # bits of the widest of each run of count ids
     for s in range(len(SELECTORS) - 1, -1, -1):
         if s == 1:
             continue
-        count, bits = SELECTORS[s]
-        small = v < np.uint64(1 << bits) if bits else v == 0
-        # every run of count places holds a multiple of count, so few places can start one
-        seen = np.flatnonzero(small[::count]) * count
-        if len(seen) * 16 > n:
-            wide = np.concatenate(([0], np.cumsum(~small)))
-            to = np.minimum(np.arange(n) + count, n)
-            best[wide[to] == wide[:-1]] = s
-            continue
-        for p in seen.tolist():
-            lo, hi = max(0, p - count + 1), min(n, p + count)
-            wide = np.concatenate(([0], np.cumsum(~small[lo:hi])))
-            to = np.minimum(np.arange(lo, p + 1) + count, hi) - lo
-            best[lo : p + 1][wide[to] == wide[: p + 1 - lo]] = s
+        want, bits = SELECTORS[s]
+        while count < want:
+            more = min(want - count, count)
+            most = np.maximum(most[: len(most) - more], most[more:])
+            count += more
+        np.putmask(best, most[:n] <= bits, s)
     step = np.array([c for c, _ in SELECTORS])[best].tolist()
     starts, p = [], 0
     while p < n:
