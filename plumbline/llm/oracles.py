@@ -24,6 +24,7 @@ def quality_sql() -> str:
     punctuation = quality.PUNCTUATION.replace("'", "''")
     lists = " ".join(f"WHEN '{k}' THEN {quoted(v)}" for k, v in quality.LISTS.items())
     classes = ["length(t) - letters", removed("[0-9]"), removed("[A-Z]"), f"(length(t) - length(regexp_replace(t, '{punctuation}+', '', 'g')))", removed(quality.SYMBOLS), "octet_length(encode(t)) - length(t)"]
+    spelled = " ".join(f"WHEN '{k}' THEN {quoted(quality.spellings(v))}" for k, v in quality.LISTS.items())
     known = ", ".join(f"'{k}'" for k in quality.COMMON)
     return rf"""
 WITH base AS (
@@ -32,13 +33,13 @@ WITH base AS (
   FROM documents
 ), counted AS (
   SELECT *, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS letters,
-    CASE l {lists} END AS own
+    CASE l {lists} END AS own, CASE l {spelled} END AS spelled
   FROM base
 ), more AS (
-  SELECT *, list_transform([{", ".join(classes)}], lambda x: greatest(x, 0)::BIGINT) AS c6, list_transform(w, lambda x: lower(x)) AS lw FROM counted
+  SELECT *, list_transform([{", ".join(classes)}], lambda x: greatest(x, 0)::BIGINT) AS c6 FROM counted
 ), hist AS (
   SELECT *, list_append(c6, greatest(length(t) - list_sum(c6), 0)::BIGINT) AS chars,
-    list_filter(lw, lambda x: list_contains(own, x)) AS hits
+    list_transform(list_filter(w, lambda x: list_contains(spelled, x)), lambda x: lower(x)) AS hits
   FROM more
 ), full_hist AS (
   SELECT *, list_append(list_transform(own, lambda o: len(list_filter(hits, lambda x: x = o))), len(w) - len(hits)) AS commons FROM hist

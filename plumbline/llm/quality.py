@@ -51,16 +51,20 @@ def classes(text: Column, letters: Column) -> Column:
     return let(F.array(*[F.greatest(p.cast("long"), F.lit(0).cast("long")) for p in parts]), lambda c: F.concat(c, F.array(F.greatest(n - total(c, F.lit(0).cast("long")), F.lit(0).cast("long")))))
 
 
+def spellings(own: list[str]) -> list[str]:
+    """Words in small letters, with a capital, and in capitals."""
+    return list(dict.fromkeys(x for w in own for x in (w, w.capitalize(), w.upper())))
+
+
 def common_counts(found: Column, lang: Column) -> Column:
     """Counts of each common word of the language, then of all other words."""
 
     def count(own: list[str]) -> Column:
         def of(hits: Column) -> Column:
-            each = F.transform(F.array(*map(F.lit, own)), lambda w: F.size(F.filter(hits, lambda x: x == w)).cast("long"))
-            return F.concat(each, F.array((F.size(found) - F.size(hits)).cast("long")))
+            each = [(F.size(hits) - F.size(F.array_remove(hits, w))).cast("long") for w in own]
+            return F.array(*each, (F.size(found) - F.size(hits)).cast("long"))
 
-        lowered = F.transform(found, F.lower)
-        return let(F.filter(lowered, lambda x: x.isin(own)), of)
+        return let(F.transform(F.filter(found, lambda x: x.isin(spellings(own))), F.lower), of)
 
     out = count(LISTS[OTHER])
     for name, own in COMMON.items():
@@ -130,10 +134,13 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", verdi
         )
 
     def measured(v: Column) -> Column:
-        by_chars = F.when(F.char_length(text) >= CHARS_FROM, distance(classes(text, v["word_chars"]), r["chars"]))
+        return let(classes(text, v["word_chars"]), lambda c: compared(v, c))
+
+    def compared(v: Column, c: Column) -> Column:
+        by_chars = F.when(F.char_length(text) >= CHARS_FROM, distance(c, r["chars"]))
         by_words = F.when(v["n_words"] >= WORDS_FROM, distance(v["words"], r["words"]))
         base = (v["n_words"] < MIN_WORDS) | (100 * v["n_repeat_words"] > MAX_REPEATED * v["n_words"])
-        return F.struct(v["n_words"].alias("n_words"), v["word_chars"].alias("word_chars"), removed(text, SYMBOLS).cast("long").alias("n_symbols"), lines.cast("long").alias("n_dup_lines"), v["n_repeat_words"].alias("n_repeat_words"), by_chars.alias("char_distance"), by_words.alias("word_distance"), base.alias("base_failed"))
+        return F.struct(v["n_words"].alias("n_words"), v["word_chars"].alias("word_chars"), F.get(c, F.lit(4)).alias("n_symbols"), lines.cast("long").alias("n_dup_lines"), v["n_repeat_words"].alias("n_repeat_words"), by_chars.alias("char_distance"), by_words.alias("word_distance"), base.alias("base_failed"))
 
     def decided(v: Column) -> Column:
         kept = ~v["base_failed"] & (F.coalesce(v["char_distance"], F.lit(0.0)) <= CHARS_MOST) & (F.coalesce(v["word_distance"], F.lit(0.0)) <= WORDS_MOST)
