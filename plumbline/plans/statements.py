@@ -9,7 +9,7 @@ from plumbline.plans.market import table
 
 LABELS = "CASE l_linenumber % 4 WHEN 0 THEN 'assets' WHEN 1 THEN 'cash and assets' WHEN 2 THEN 'equity' ELSE 'debt' END"
 
-ROW = F.expr("l_linenumber * 100000000000000 + l_partkey * 1000000 + l_suppkey")  # line numbers alone aren't unique within an order
+ROW = "l_linenumber * 100000000000000 + l_partkey * 1000000 + l_suppkey"  # line numbers alone aren't unique within an order
 
 
 def _lines(spark, sf_dir):
@@ -17,7 +17,7 @@ def _lines(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     second = F.when(F.col("l_quantity") > 10, cents + F.when(F.col("l_returnflag") == "R", 5).otherwise(0))
-    rows = l.select(F.col("l_orderkey").alias("table_id"), ROW.alias("row_idx"), "l_linenumber", F.expr(LABELS).alias("label_norm"), F.posexplode(F.array(cents, second)).alias("col_idx", "value"))
+    rows = l.select(F.col("l_orderkey").alias("table_id"), F.expr(ROW).alias("row_idx"), "l_linenumber", F.expr(LABELS).alias("label_norm"), F.posexplode(F.array(cents, second)).alias("col_idx", "value"))
     return rows.withColumn("label_raw", F.when(F.col("l_linenumber") % 6 == 5, F.concat(F.lit("其中："), "label_norm")).otherwise(F.col("label_norm"))).drop("l_linenumber")
 
 
@@ -160,7 +160,7 @@ def stitched_segments(spark, sf_dir):
 
 def leading_runners(spark, sf_dir):
     """Lines of an order without its leading rows of one kind."""
-    l = table(spark, sf_dir, "lineitem").withColumn("row_idx", ROW)
+    l = table(spark, sf_dir, "lineitem").withColumn("row_idx", F.expr(ROW))
     return S.without_runners(l, ["l_orderkey"], "row_idx", F.col("l_returnflag") == "N").groupBy("l_orderkey").agg(F.count("*").alias("rows"), F.min("l_linenumber").alias("first"))
 
 
