@@ -88,7 +88,7 @@ def fuzzy_rows(spark, sf_dir):
     """Per order the row for 'assets': equal label first, else the shortest that contains it."""
     slots = spark.createDataFrame([("a", "assets"), ("e", "equity")], "slot string, name string")
     rows = _lines(spark, sf_dir).where("col_idx = 0")
-    return joins.fuzzy(rows, slots, ["table_id"]).select("table_id", "slot", "row_idx", "value")
+    return joins.fuzzy(rows, slots, ["table_id"], order=F.struct("row_idx", "value")).select("table_id", "slot", "row_idx", "value")
 
 
 def cross_document(spark, sf_dir):
@@ -240,7 +240,7 @@ SELECT table_id, col_idx, filled, rows, is_note, NOT is_note AND CASE WHEN any_k
     "range_sums": range_sql("label_norm = 'cash and assets'", "equity"),
     "range_sums_loose": range_sql("contains(label_norm, 'assets')", "debt"),
     "missing_rows": f"WITH {LINES}, x AS (SELECT table_id, name, bool_or(contains(label_norm, name)) AS f FROM lines, (SELECT unnest(['assets', 'debt', 'equity']) AS name) GROUP BY 1, 2) SELECT table_id, coalesce(list(name ORDER BY name) FILTER (NOT f), []) AS missing FROM x GROUP BY 1",
-    "fuzzy_rows": f"WITH {LINES}, s AS (SELECT * FROM (VALUES ('a', 'assets'), ('e', 'equity')) t(slot, name)) SELECT table_id, slot, row_idx, value FROM lines JOIN s ON contains(label_norm, name) WHERE col_idx = 0 QUALIFY row_number() OVER (PARTITION BY table_id, slot ORDER BY label_norm = name DESC, length(label_norm), row_idx) = 1",
+    "fuzzy_rows": f"WITH {LINES}, s AS (SELECT * FROM (VALUES ('a', 'assets'), ('e', 'equity')) t(slot, name)) SELECT table_id, slot, row_idx, value FROM lines JOIN s ON contains(label_norm, name) WHERE col_idx = 0 QUALIFY row_number() OVER (PARTITION BY table_id, slot ORDER BY label_norm = name DESC, length(label_norm), row_idx, value) = 1",
     "cross_document": f"WITH {CROSS} SELECT * FROM h",
     "agreement_histogram": f"WITH {CROSS} SELECT bucket, count(*) AS tables FROM h GROUP BY 1",
     "concept_map": f"WITH {MAPPED} SELECT concept, count(*) AS rows FROM m GROUP BY 1",
