@@ -11,7 +11,8 @@ loses nothing.
 Groups of candidates may hold any share of all rows, so their pairs are never
 listed. Each group has a hub, its smallest text; members are verified against
 it, first against one hub each, then against those that aren't yet in the same
-class. What stays apart from its hub goes on: small rests are compared in one
+class. What stays apart from its hub is compared with all others of its group
+that are of another class, those of the hub's class too: small groups in one
 task each; large ones are sampled again with longer, more selective samples,
 and what still stays together after that is compared in blocks of ROOM texts.
 Classes are the connected components, found by contraction, one table a round.
@@ -37,6 +38,7 @@ from plumbline.llm.spans import U64
 SHINGLE, SIMILARITY = 5, 0.8
 LEVELS = ((5, 32), (10, 96))  # (shingles of a sample, bands): first for all texts, then for large rests
 ROOM = 256  # texts that are compared in one task
+BAG = 256  # columns of the word counts that bound a pair's common subsequence
 CHUNK = 1 << 16  # shingles that are hashed for all bands at once
 ODD = U64(0x9E3779B97F4A7C15)
 
@@ -223,14 +225,23 @@ def components(edges: DataFrame) -> DataFrame:
         round_ += 1
 
 
-def in_groups(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) found among the members (group, node, label) of each group;
-    those of one label are linked already. A group has 2 * ROOM texts at most."""
+def in_groups(members: DataFrame, texts: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) found among the members (group, cell, band, node, label) of
+    each group; those of one label are linked already. Where a group has two
+    cells, only pairs of both count. A pair is compared in the first band that
+    it shares. A group has 2 * ROOM texts at most."""
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, labels = table["node"].to_pylist(), table["label"].to_pylist()
-        words = word_hashes(table["text"])
-        order = sorted(range(len(nodes)), key=lambda i: len(words[i]))
+        nodes, labels, cells = (table[c].to_pylist() for c in ("node", "label", "cell"))
+        words, band = word_hashes(table["text"]), table["band"][0].as_py()
+        n = np.array([len(x) for x in words], np.int64)
+        before = np.stack([np.asarray(x[:band], np.int64) for x in table["keys"].to_pylist()])
+        cell = np.unique(cells, return_inverse=True)[1]
+        across = cell.max() > 0
+        # by columns of word hashes: what two texts have in common there is no less than their common subsequence
+        bags = np.stack([np.bincount((x % U64(BAG)).astype(np.int64), minlength=BAG) for x in words]).astype(np.int32)
+        order = np.argsort(n, kind="stable")
+        ends = np.searchsorted(similarity * n[order] - 1e-9, n[order], "right")
         home = {x: x for x in labels}
 
         def root(x):
@@ -240,25 +251,29 @@ def in_groups(members: DataFrame, texts: DataFrame, similarity: float) -> DataFr
             return x
 
         links = []
-        for k, i in enumerate(order):
-            for j in order[k + 1 :]:
-                if len(words[i]) < similarity * len(words[j]):
-                    break
-                if root(labels[i]) != root(labels[j]) and alike(words[i], words[j], similarity):
-                    home[root(labels[i])] = root(labels[j])
-                    links.append((nodes[i], nodes[j]))
+        for k, i in enumerate(order.tolist()):
+            j = order[k + 1 : ends[k]]
+            j = j[~(before[j] == before[i]).any(axis=1)]
+            if across:
+                j = j[cell[j] != cell[i]]
+            j = j[np.minimum(bags[j], bags[i]).sum(axis=1) >= similarity * n[j] - 1e-9]
+            for o in j.tolist():
+                if root(labels[i]) != root(labels[o]) and alike(words[i], words[o], similarity):
+                    home[root(labels[i])] = root(labels[o])
+                    links.append((nodes[i], nodes[o]))
         return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
 
-    return members.join(texts, "node").select("group", "node", "label", "text").groupBy("group").applyInArrow(run, "a binary, b binary")
+    whole = members.join(keys, "node").join(texts, "node").select("group", "cell", "band", "node", "label", "keys", "text")
+    return whole.groupBy("group").applyInArrow(run, "a binary, b binary")
 
 
 def links_of(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], level: int, similarity: float, done: DataFrame | None) -> DataFrame:
     """All links that classes need among nodes (node, n, keys); texts_of gives
     (node, text) of a table of nodes at least; done: links known before."""
-    exploded = nodes.select("node", "n", F.explode("keys").alias("key"))
+    exploded = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     hubs = exploded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     spokes = exploded.join(hubs, "key").where(F.col("node") != F.col("hub"))
-    spokes = scratch.staged(spokes.select("key", "node", "n", "hub", "hub_n"), f"spokes-{level}")
+    spokes = scratch.staged(spokes.select("key", "band", "node", "n", "hub", "hub_n"), f"spokes-{level}")
     involved = spokes.select("node").unionByName(spokes.select(F.col("hub").alias("node"))).distinct()
     texts = texts_of(involved)
     near = spokes.where(F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n") - 1e-9)
@@ -278,10 +293,17 @@ def links_of(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], level
     more = scratch.staged(verified(second.select(F.col("node").alias("a"), F.col("hub").alias("b")), texts, similarity), f"more-{level}")
     links = links.unionByName(more)
     labels = components(links)
-    rest = scratch.staged(apart(spokes.select("key", "node", "hub")).select("key", "node", F.col("node_label").alias("label")), f"rest-{level}")
-    sizes = rest.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "size")
-    small = rest.join(sizes.where(F.col("size") <= ROOM), "key").select(F.concat_ws("-", "key").alias("group"), "node", "label")
-    found = in_groups(small, texts, similarity)
+    # groups with strangers to their hub: these meet each other and the hub's class, as far as lengths allow
+    strange = apart(spokes.select("key", "node", "n", "hub")).groupBy("key").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("hub_label").alias("hub_label"))
+    rest = spokes.select("key", "band", "node", "n").join(strange, "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = rest.withColumn("stranger", F.col("label") != F.col("hub_label")).where(F.col("stranger") | F.col("n").between(similarity * F.col("least") - 1e-9, F.col("most") / similarity + 1e-9))
+    rest = scratch.staged(rest.select("key", "band", "node", "n", "label", "stranger"), f"rest-{level}")
+    sizes = rest.groupBy("key", "band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("set"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("set_2"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    # of groups with the same members one is enough
+    sizes = sizes.groupBy("size", "set", "set_2").agg(F.min(F.struct("band", "key")).alias("first")).select("first.key", "size")
+    keys = nodes.select("node", "keys")
+    small = rest.join(sizes.where(F.col("size") <= ROOM), "key").select(F.concat_ws("-", "key").alias("group"), F.lit(0).alias("cell"), "band", "node", "label")
+    found = in_groups(small, texts, keys, similarity)
     large = rest.join(sizes.where(F.col("size") > ROOM), "key")
     if large.isEmpty():
         return scratch.staged(links.unionByName(found), f"all-{level}")
@@ -293,9 +315,8 @@ def links_of(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], level
     blocks = F.ceil(F.col("size") / ROOM).cast("int")
     dealt = large.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", F.lit(level)), blocks).cast("int")})
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = dealt.select(F.concat_ws("-", "key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "node", "label")
-    return scratch.staged(links.unionByName(found).unionByName(in_groups(met, texts, similarity)), f"all-{level}")
-
+    met = dealt.select(F.concat_ws("-", "key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), F.col("block").alias("cell"), "band", "node", "label")
+    return scratch.staged(links.unionByName(found).unionByName(in_groups(met, texts, keys, similarity)), f"all-{level}")
 
 def numbered(sketched: DataFrame) -> DataFrame:
     """Staged sketches, each row with a number of its own."""

@@ -188,3 +188,27 @@ def test_warc(spark):
     assert [got[k].record_type for k in range(1, 6)] == ["revisit", "response", "response", "response", "response"]
     assert got[1].refers_to == 2 and got[1].payload_bytes == 1600 and got[1].digest == hashlib.sha1(big.encode()).hexdigest()
     assert bytes(got[2].payload).decode() == big and got[5].payload_bytes == 0
+
+
+def edited(words, at, mark):
+    """words with those at the given places replaced."""
+    out = list(words)
+    for k in at:
+        out[k] = f"{mark}{k}"
+    return out
+
+
+def class_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()}
+
+
+def test_near_dedup_meets_the_hubs_class(spark):
+    # chains: each text is alike the next one, the ends are not, and any of the three may be a group's hub
+    chains = []
+    for c in range(12):
+        base = text(1000 + c, 100).split()
+        first = edited(base, range(40, 55), f"a{c}x")
+        chains += [" ".join(base), " ".join(first), " ".join(edited(first, range(58, 73), f"b{c}x"))]
+    got = class_of(spark, chains)
+    assert got == {i: i // 3 * 3 for i in range(36)}
