@@ -13,8 +13,8 @@ listed. Each group has a hub, its smallest text; members are verified against
 it, first against one hub each, then against those that aren't yet in the same
 class. What stays apart from its hub is compared with all others of its group
 that are of another class, those of the hub's class too: small groups in one
-task each; large ones are sampled again with longer, more selective samples,
-and what still stays together after that is compared in blocks of ROOM texts.
+task each, large ones in cells of about ROOM texts of like length. So each pair
+of candidates is decided.
 Classes are the connected components, found by contraction, one table a round.
 
 Rows without words (null and empty texts too) are copies of each other.
@@ -24,6 +24,7 @@ Repeated rows are copies. Other columns are not carried by ``classes``;
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Callable
 
@@ -36,15 +37,15 @@ from plumbline.llm import scratch, spans
 from plumbline.llm.spans import U64
 
 SHINGLE, SIMILARITY = 5, 0.8
-LEVELS = ((5, 32), (10, 96))  # (shingles of a sample, bands): first for all texts, then for large rests
+TAKE, BANDS = 5, 32  # shingles of a sample, and samples
 ROOM = 256  # texts that are compared in one task
 BAG = 256  # columns of the word counts that bound a pair's common subsequence
 CHUNK = 1 << 16  # shingles that are hashed for all bands at once
 ODD = U64(0x9E3779B97F4A7C15)
 
 
-def seeds(bands: int, level: int) -> np.ndarray:
-    return spans.mix(np.arange(bands, dtype=U64), 200 + level) | U64(1)
+def seeds(bands: int) -> np.ndarray:
+    return spans.mix(np.arange(bands, dtype=U64), 200) | U64(1)
 
 
 def labelled(h: np.ndarray) -> np.ndarray:
@@ -99,11 +100,10 @@ def sample(h: np.ndarray, take: int, seed: np.ndarray) -> np.ndarray:
     return key
 
 
-def sketches(rows: DataFrame, level: int, columns: str) -> DataFrame:
+def sketches(rows: DataFrame, columns: str) -> DataFrame:
     """rows (ending with text) with node, n (words) and keys: one key a band,
     none for texts without words."""
-    take, bands = LEVELS[level]
-    seed = seeds(bands, level)
+    seed = seeds(BANDS)
 
     def run(batches):
         for batch in batches:
@@ -121,7 +121,7 @@ def sketches(rows: DataFrame, level: int, columns: str) -> DataFrame:
                         keys.append(np.zeros(0, np.int64))
                         continue
                     own = shingles[first[i] : first[i + 1]] if b - a >= SHINGLE else spans.mix(spans.range_hash(h[a:b], np.array([0]), np.array([b - a])))
-                    keys.append(sample(labelled(own), take, seed).view(np.int64))
+                    keys.append(sample(labelled(own), TAKE, seed).view(np.int64))
                 off = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
                 names = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(np.arange(m + 1, dtype=np.int32) * 16), pa.py_buffer(np.ascontiguousarray(node))])
@@ -267,19 +267,18 @@ def in_groups(members: DataFrame, texts: DataFrame, keys: DataFrame, similarity:
     return whole.groupBy("group").applyInArrow(run, "a binary, b binary")
 
 
-def links_of(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], level: int, similarity: float, done: DataFrame | None) -> DataFrame:
+def links_of(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """All links that classes need among nodes (node, n, keys); texts_of gives
-    (node, text) of a table of nodes at least; done: links known before."""
+    (node, text) of a table of nodes at least."""
     exploded = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     hubs = exploded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     spokes = exploded.join(hubs, "key").where(F.col("node") != F.col("hub"))
-    spokes = scratch.staged(spokes.select("key", "band", "node", "n", "hub", "hub_n"), f"spokes-{level}")
+    spokes = scratch.staged(spokes.select("key", "band", "node", "n", "hub", "hub_n"), "spokes")
     involved = spokes.select("node").unionByName(spokes.select(F.col("hub").alias("node"))).distinct()
     texts = texts_of(involved)
     near = spokes.where(F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n") - 1e-9)
     one = near.groupBy(F.col("node").alias("a")).agg(F.min("hub").alias("b"))
-    links = scratch.staged(verified(one, texts, similarity), f"links-{level}")
-    links = links if done is None else links.unionByName(done)
+    links = scratch.staged(verified(one, texts, similarity), "links")
     labels = components(links)
 
     def apart(rows: DataFrame) -> DataFrame:
@@ -290,14 +289,14 @@ def links_of(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], level
         return both.where("node_label <> hub_label")
 
     second = apart(near.select("node", "hub").distinct()).join(one.select(F.col("a").alias("node"), F.col("b").alias("hub")), ["node", "hub"], "left_anti")
-    more = scratch.staged(verified(second.select(F.col("node").alias("a"), F.col("hub").alias("b")), texts, similarity), f"more-{level}")
+    more = scratch.staged(verified(second.select(F.col("node").alias("a"), F.col("hub").alias("b")), texts, similarity), "more")
     links = links.unionByName(more)
     labels = components(links)
     # groups with strangers to their hub: these meet each other and the hub's class, as far as lengths allow
     strange = apart(spokes.select("key", "node", "n", "hub")).groupBy("key").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("hub_label").alias("hub_label"))
     rest = spokes.select("key", "band", "node", "n").join(strange, "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = rest.withColumn("stranger", F.col("label") != F.col("hub_label")).where(F.col("stranger") | F.col("n").between(similarity * F.col("least") - 1e-9, F.col("most") / similarity + 1e-9))
-    rest = scratch.staged(rest.select("key", "band", "node", "n", "label", "stranger"), f"rest-{level}")
+    rest = scratch.staged(rest.select("key", "band", "node", "n", "label", "stranger"), "rest")
     sizes = rest.groupBy("key", "band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("set"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("set_2"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     # of groups with the same members one is enough
     sizes = sizes.groupBy("size", "set", "set_2").agg(F.min(F.struct("band", "key")).alias("first")).select("first.key", "size")
@@ -306,17 +305,19 @@ def links_of(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], level
     found = in_groups(small, texts, keys, similarity)
     large = rest.join(sizes.where(F.col("size") > ROOM), "key")
     if large.isEmpty():
-        return scratch.staged(links.unionByName(found), f"all-{level}")
-    if level + 1 < len(LEVELS):
-        again = texts.join(large.select("node").distinct(), "node", "left_semi").select("node", "text")
-        again = scratch.staged(sketches(again.select(F.col("node").alias("old"), "text"), level + 1, "old binary, text string").select("node", "n", "keys"), f"again-{level}")
-        return links_of(again, lambda _: texts, level + 1, similarity, scratch.staged(links.unionByName(found), f"all-{level}"))
-    # blocks of ROOM texts: each block meets itself and each other one
-    blocks = F.ceil(F.col("size") / ROOM).cast("int")
-    dealt = large.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", F.lit(level)), blocks).cast("int")})
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = dealt.select(F.concat_ws("-", "key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), F.col("block").alias("cell"), "band", "node", "label")
-    return scratch.staged(links.unionByName(found).unionByName(in_groups(met, texts, keys, similarity)), f"all-{level}")
+        return scratch.staged(links.unionByName(found), "all")
+    # cells of about ROOM texts of like length: those whose lengths allow it meet, but the hub's class not itself
+    step = -math.log(min(max(similarity, 0.01), 0.999)) * 1.0001  # texts more than one step apart are not alike
+    large = large.withColumn("step", F.floor(F.log("n") / step).cast("int"))
+    blocks = large.groupBy("key", "step", "stranger").agg(F.ceil(F.count("*") / ROOM).cast("int").alias("blocks"))
+    name = F.concat_ws("-", "step", F.col("stranger").cast("int"), "block").alias("cell")
+    dealt = large.join(blocks, ["key", "step", "stranger"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).select("key", "band", "node", "label", name)
+    cells = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "step", "stranger", name)
+    a, b = (cells.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("step", "stranger", "cell")]) for x in "ab")
+    pairs = a.join(b, "key").where("cell_a <= cell_b and abs(step_a - step_b) <= 1 and (stranger_a or stranger_b)")
+    pairs = pairs.select("key", F.concat_ws("/", "key", "cell_a", "cell_b").alias("group"), F.explode(F.array_distinct(F.array("cell_a", "cell_b"))).alias("cell"))
+    met = dealt.join(pairs, ["key", "cell"]).select("group", "cell", "band", "node", "label")
+    return scratch.staged(links.unionByName(found).unionByName(in_groups(met, texts, keys, similarity)), "all")
 
 def numbered(sketched: DataFrame) -> DataFrame:
     """Staged sketches, each row with a number of its own."""
@@ -334,7 +335,7 @@ def labelled_nodes(rows: DataFrame, similarity: float) -> DataFrame:
         first = nodes.select("node", "row_number").join(involved, "node")
         return scratch.staged(rows.select("row_number", "text").join(first, "row_number").select("node", "text"), "texts")
 
-    labels = components(links_of(nodes.select("node", "n", "keys"), texts_of, 0, similarity, None))
+    labels = components(links_of(nodes.select("node", "n", "keys"), texts_of, similarity))
     return scratch.staged(nodes.join(labels, "node", "left").select("node", "low_id", "copies", F.coalesce("label", "node").alias("label")), "nodes")
 
 
@@ -344,7 +345,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     class, copies those with the same words."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = numbered(sketches(rows, 0, f"id {kind}, text string"))
+    rows = numbered(sketches(rows, f"id {kind}, text string"))
     nodes = labelled_nodes(rows, similarity)
     whole = nodes.groupBy("label").agg(F.min("low_id").alias("class_id"), F.sum("copies").alias("class_size"))
     by_node = nodes.join(whole, "label").select("node", "class_id", "class_size", "copies")
@@ -359,7 +360,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     hashes = [F.xxhash64(F.to_json(row)).alias("hash"), F.xxhash64(F.lit(1), F.to_json(row)).alias("hash_2")]
     rows = docs.select(F.col(id_col).alias("id"), *hashes, F.col(text_col).alias("text"))
-    rows = numbered(sketches(rows, 0, f"id {kind}, hash long, hash_2 long, text string"))
+    rows = numbered(sketches(rows, f"id {kind}, hash long, hash_2 long, text string"))
     labels = labelled_nodes(rows, similarity).select("node", "label")
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("hash"), F.col("hash_2"))
     first = rows.groupBy("node").agg(F.min(rank).alias("first")).join(labels, "node").groupBy("label").agg(F.min("first").alias("first"))

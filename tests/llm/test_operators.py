@@ -212,3 +212,13 @@ def test_near_dedup_meets_the_hubs_class(spark):
         chains += [" ".join(base), " ".join(first), " ".join(edited(first, range(58, 73), f"b{c}x"))]
     got = class_of(spark, chains)
     assert got == {i: i // 3 * 3 for i in range(36)}
+
+
+def test_near_dedup_decides_large_groups(spark, monkeypatch):
+    # strangers have 0.79 in common, copies 0.823: nearly all samples they share are shared by all
+    monkeypatch.setattr(near_dedup, "ROOM", 8)
+    template, texts = text(2000, 237).split(), []
+    for c in range(24):
+        own = template + [f"t{c}x{k}" for k in range(63)]
+        texts += [" ".join(own), " ".join(edited(own, range(237, 290), f"c{c}x"))]
+    assert class_of(spark, texts) == {i: i // 2 * 2 for i in range(48)}
