@@ -5,8 +5,8 @@ Lines inside menus, forms, scripts and other parts that are never the article
 are left out at once. Every other line has a text-to-tag ratio. The ratios are
 smoothed by a Gaussian, and lines above a share of their standard deviation
 form clusters. The clusters select the content regions: the article or main
-elements that hold them, or else the innermost element that holds most of
-their text. A region's lines are given whole, also the short ones between.
+elements that hold them. A region's lines are given whole, also the short ones
+between. A page without such an element is given whole but for what was left out.
 
 Null pages are empty. Repeated rows are treated each; other columns are kept;
 an empty table gives an empty table.
@@ -36,7 +36,6 @@ NAMES = re.compile(
 )
 ARTICLE = frozenset(("article", "main"))
 SIGMA, WIDTH, SHARE = 1.0, 2, 0.5  # of the smoothing, its half width, and the threshold in standard deviations
-MOST = 0.8  # of the clustered text that a region without article element must hold
 KERNEL = [math.exp(-((k / SIGMA) ** 2) / 2) for k in range(-WIDTH, WIDTH + 1)]
 
 
@@ -149,14 +148,7 @@ def main_text(html: str | None) -> str:
         chosen = {n for n, yes in zip(own, content) if yes and n} or set(own) - {0}
         if chosen:
             return " ".join(text for (text, _, _), n in zip(lines, own) if n in chosen)
-    held: dict[int, int] = {}
-    for (text, _, path), yes in zip(lines, content):
-        if yes:
-            for n in path:
-                held[n] = held.get(n, 0) + len(text)
-    all_held = sum(len(text) for (text, _, _), yes in zip(lines, content) if yes)
-    region = max((n for n, size in held.items() if size >= MOST * all_held), default=0)
-    return " ".join(text for text, _, path in lines if not region or region in path)
+    return " ".join(text for text, _, _ in lines)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -222,3 +222,10 @@ def test_near_dedup_decides_large_groups(spark, monkeypatch):
         own = template + [f"t{c}x{k}" for k in range(63)]
         texts += [" ".join(own), " ".join(edited(own, range(237, 290), f"c{c}x"))]
     assert class_of(spark, texts) == {i: i // 2 * 2 for i in range(48)}
+
+
+def test_html_without_article_element(spark):
+    long, more = "long " * 1000, [f"{k} " + "short " * 50 for k in range(10)]
+    page = "<html><body><h1>Head</h1><p>Lead</p><div><p>" + long + "</p>" + "".join(f"<p>{x}</p>" for x in more) + "</div><section><p>Last</p></section></body></html>"
+    want = " ".join(" ".join(["Head", "Lead", long, *more, "Last"]).split())
+    assert html_text.main_text(page) == want
