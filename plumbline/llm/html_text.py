@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,20 +30,33 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER = frozenset("nav footer aside form script style noscript template iframe svg math button select textarea option head title object canvas audio video dialog menu datalist fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-# Names in class or id that mark such parts; each must be a word of the name.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|banners|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disqus|footer|gdpr|masthead|menu|menus|modal|nav|navbar|navigation|newsletter|notice|notices|pager|pagination|popup|promo|promos|promoted|promotion|related|respond|share|sharing|sidebar|sidebars|signup|social|sponsor|sponsored|sponsors|subscribe|subscription|toolbar|topbar|widget|widgets)(?:$|[\s_-])",
-    re.I,
-)
+# Names in class or id that mark such parts: a whole name, its last part, or its first part before a kind of box.
+NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promoted promotion related respond share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split())
+MODIFIERS = frozenset("has with without no is not show shows hide hides hidden enable can".split())  # "has-banner" tells of something else
+BOXES = frozenset("area bar block body bottom box button buttons container content footer form group header heading holder icons inner item items left link links list module outer panel primary right row secondary section slot thread title top unit widget widgets wrap wrapper".split())
 ARTICLE = frozenset(("article", "main"))
+UNNAMED = ARTICLE | {"body", "html"}  # names leave none of these out
 SIGMA, WIDTH, SHARE = 1.0, 2, 0.5  # of the smoothing, its half width, and the threshold in standard deviations
 KERNEL = [math.exp(-((k / SIGMA) ** 2) / 2) for k in range(-WIDTH, WIDTH + 1)]
 
 
+@lru_cache(4096)
+def marked(names: str) -> bool:
+    """Whether one of the names of a class or id marks a part that is no article."""
+    for name in names.lower().split():
+        parts = re.split("[_-]+", name.strip("_-"))
+        if parts[-1] in NAMES and (len(parts) == 1 or parts[0] not in MODIFIERS):
+            return True
+        if parts[0] in NAMES and (parts[-1] in BOXES or parts[-1].isdigit()):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
     """Lines of a page that may be content: (text, tags, path of open elements)."""
 
-    def __init__(self):
+    def __init__(self, by_name: bool = True):
+        self.by_name = by_name  # whether names leave parts out
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # tag, element number, left out
         self.out = False
@@ -63,7 +77,7 @@ class Lines(HTMLParser):
         if tag in NEVER or tag == "header" and not self.articles:
             return True
         for k, v in attrs:
-            if k == "hidden" or v and (k in ("class", "id") and tag not in ("body", "html") and NAMES.search(v) or k == "role" and v.lower() in ROLES or k == "aria-hidden" and v == "true"):
+            if k == "hidden" or v and (k in ("class", "id") and self.by_name and tag not in UNNAMED and marked(v) or k == "role" and v.lower() in ROLES or k == "aria-hidden" and v == "true"):
                 return True
         return False
 
@@ -134,12 +148,15 @@ def clustered(lines: list[tuple[str, int, tuple[int, ...]]]) -> list[bool]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.line()
-    lines = parser.lines
-    if not lines:
+    for by_name in (True, False):  # if names leave nothing, they name the whole page's layout
+        parser = Lines(by_name)
+        parser.feed(html)
+        parser.close()
+        parser.line()
+        lines = parser.lines
+        if lines:
+            break
+    else:
         return ""
     content = clustered(lines)
     outer = {n for n, inside in parser.regions.items() if not inside}

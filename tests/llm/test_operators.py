@@ -229,3 +229,10 @@ def test_html_without_article_element(spark):
     page = "<html><body><h1>Head</h1><p>Lead</p><div><p>" + long + "</p>" + "".join(f"<p>{x}</p>" for x in more) + "</div><section><p>Last</p></section></body></html>"
     want = " ".join(" ".join(["Head", "Lead", long, *more, "Last"]).split())
     assert html_text.main_text(page) == want
+
+
+def test_html_modifiers_are_no_sidebars():
+    for tag, name in (("div", "content with-sidebar"), ("article", "post comments-open"), ("main", "has-banner"), ("div", "entry share-enabled"), ("article", "sponsored"), ("div", "sidebar")):
+        assert html_text.main_text(f'<body><{tag} class="{name}"><p>Some text</p></{tag}></body>') == "Some text"
+    for name in ("sidebar", "widget sidebar-right", "post-comments", "site_footer", "ad-slot", "share-buttons"):
+        assert html_text.main_text(f'<body><p>Some text</p><div class="{name}">gone</div></body>') == "Some text"
