@@ -7,7 +7,8 @@ length an item has, the SimHash of their words is taken from running sums of bit
 fingerprints finds every item within ``radius`` bits: the 64 bits are cut into
 radius + 1 blocks, one of which must then be equal. Candidates are verified by
 the exact similarity of weighted shingles: of both multisets, which are of one
-size, the share that they have in common.
+size, the share that they have in common. A document shorter than an item is
+one window as a whole; its share is that of the item's shingles.
 
 Items are taken in blocks of bounded size, each block's index is broadcast,
 and each block sees all documents. Items of fewer than five words are compared
@@ -145,12 +146,14 @@ class Index:
         """(item, first word, similarity) of the best window of each document and item."""
         windows = {n: self.candidates(w, n, hits[min(SHINGLE, n)]) for n in np.unique(self.length).tolist()} if hits else {}
         windows = {n: s for n, s in windows.items() if len(s)}
+        found: dict[tuple[int, int], tuple[float, int]] = {}
+        for n in np.unique(self.length).tolist() if hits else ():
+            self.shorter(w, h, n, hits[min(SHINGLE, n)], found)
         if not windows:
-            return []
+            return [(i, at, share) for (_, i), (share, at) in sorted(found.items())]
         lo = np.concatenate(list(windows.values()))
         hi = np.concatenate([s + n for n, s in windows.items()])
         order = np.argsort(lo, kind="stable")
-        found: dict[tuple[int, int], tuple[float, int]] = {}
         prints: dict[int, list[np.ndarray]] = {}
         for a, b in islands(lo[order], hi[order]):
             sums = bit_sums(h[a:b])
@@ -169,6 +172,23 @@ class Index:
                     found[key] = (share, at)
         return [(i, at, share) for (_, i), (share, at) in sorted(found.items())]
 
+    def shorter(self, w: spans.Words, h: np.ndarray, n: int, hits: np.ndarray, found: dict[tuple[int, int], tuple[float, int]]) -> None:
+        """Adds documents of less than n words that are similar to items of n words."""
+        k = min(SHINGLE, n)
+        need = int(np.ceil(self.similarity * (n - k + 1) - 1e-9))
+        size = np.diff(w.first)
+        docs = np.flatnonzero((size < n) & (size - k + 1 >= need))
+        docs = docs[np.searchsorted(hits, w.first[docs + 1]) - np.searchsorted(hits, w.first[docs]) >= need]
+        if not len(docs):
+            return
+        prints = [fingerprints(bit_sums(h[w.first[d] : w.first[d + 1]]), np.array([0]), int(size[d]))[0] for d in docs]
+        for at, i in zip(*(x.tolist() for x in self.near(np.array(prints, U64), n))):
+            d = int(docs[at])
+            a, b = int(w.first[d]), int(w.first[d + 1])
+            share = common(shingle_hashes(h, np.arange(a, b - k + 1), k), self.shingles[i]) / (n - k + 1)
+            if share >= self.similarity:
+                found[d, i] = (share, a)
+
     def candidates(self, w: spans.Words, n: int, hits: np.ndarray) -> np.ndarray:
         """Starts of windows of n words with enough shared shingles (hits: where those start, sorted)."""
         if not len(hits):

@@ -236,3 +236,13 @@ def test_html_modifiers_are_no_sidebars():
         assert html_text.main_text(f'<body><{tag} class="{name}"><p>Some text</p></{tag}></body>') == "Some text"
     for name in ("sidebar", "widget sidebar-right", "post-comments", "site_footer", "ad-slot", "share-buttons"):
         assert html_text.main_text(f'<body><p>Some text</p><div class="{name}">gone</div></body>') == "Some text"
+
+
+def test_decontamination_of_shortened_items(spark):
+    words = text(70, 59).split()
+    short = " ".join(words[:30] + words[31:])
+    docs = spark.createDataFrame([(1, short), (2, " ".join(words[:40])), (3, " ".join(words))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (r.start, round(r.similarity, 6)) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {1: (0, round(50 / 55, 6)), 3: (0, 1.0)}
+    assert [r.doc_id for r in decontaminate.without(docs, items).collect()] == [2]
