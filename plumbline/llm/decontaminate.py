@@ -35,7 +35,7 @@ BITS = np.arange(64, dtype=U64)
 
 
 def shingle_hashes(h: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
-    return spans.mix(spans.range_hash(h, start, start + k), k)
+    return spans.window_hash(h, k)[start]
 
 
 def bit_sums(h: np.ndarray) -> np.ndarray:

@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Callable
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -110,9 +111,9 @@ def sketches(rows: DataFrame, columns: str) -> DataFrame:
             for w in spans.words(batch.column("text"), lower=True):
                 h, m = w.hashes(), w.hi - w.lo
                 n = np.diff(w.first)
-                node = np.stack([spans.mix(spans.range_hash(h, w.first[:-1], w.first[1:], k) + n.astype(U64), 50 + k) for k in (0, 1)], 1)
+                node = b"".join(blake2b(spans.normal(w, i), digest_size=16).digest() for i in range(m))
                 starts = w.window_starts(SHINGLE)
-                shingles = spans.mix(spans.range_hash(h, starts, starts + SHINGLE))
+                shingles = spans.window_hash(h, SHINGLE)[starts]
                 first = np.searchsorted(starts, w.first)
                 keys = []
                 for i in range(m):
@@ -120,11 +121,11 @@ def sketches(rows: DataFrame, columns: str) -> DataFrame:
                     if a == b:
                         keys.append(np.zeros(0, np.int64))
                         continue
-                    own = shingles[first[i] : first[i + 1]] if b - a >= SHINGLE else spans.mix(spans.range_hash(h[a:b], np.array([0]), np.array([b - a])))
+                    own = shingles[first[i] : first[i + 1]] if b - a >= SHINGLE else spans.window_hash(h[a:b], b - a)
                     keys.append(sample(labelled(own), TAKE, seed).view(np.int64))
                 off = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                names = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(np.arange(m + 1, dtype=np.int32) * 16), pa.py_buffer(np.ascontiguousarray(node))])
+                names = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(np.arange(m + 1, dtype=np.int32) * 16), pa.py_buffer(node)])
                 part = batch.slice(w.lo, m)
                 yield pa.RecordBatch.from_arrays([*part.columns, names, pa.array(n), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], [*part.schema.names, "node", "n", "keys"])
 

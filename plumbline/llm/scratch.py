@@ -2,7 +2,8 @@
 
 Everything goes below ``spark.checkpoint.dir``, the folder that driver and
 executors share. The setting is read from the session; only where it is unset
-(tests, notebooks) a temporary folder is made and set.
+and Spark runs in one local process (tests, notebooks) a temporary folder is
+made and set.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -44,6 +47,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a staged DataFrame whose last reader is done."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/plumbline/"
+    files = df.inputFiles()
+    if files:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if root.split(":", 1)[-1].lstrip("/") in str(at.toString()):
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def buckets_for(spark: SparkSession, payload_bytes: int, each: int = 32 << 20) -> int:
     """How many buckets keep one bucket's payload near ``each`` bytes, and no
     fewer than the session's shuffle partitions so that all cores have work."""

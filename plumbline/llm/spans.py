@@ -1,21 +1,24 @@
 """Words of whole Arrow text batches as numpy arrays, without a Python loop per word.
 
-A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Its hash is the
-polynomial of its bytes modulo 2**64, taken from one running sum over the
-batch, then mixed. Windows of words are hashed the same way from word hashes.
+A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Its hash takes its
+bytes eight at a time, each time through a mixing step that isn't linear, so
+that no pattern of words collides as it would in a polynomial modulo 2**64.
+Windows of words are hashed from word hashes by doubling, with the same steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+ODD = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)  # the lowest k bytes
+LONG = 256  # bytes from which a range is hashed on its own
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -29,27 +32,41 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h
 
 
-def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    if which not in _tables or len(_tables[which][0]) < n:
-        base = BASES[which]
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            t = np.full(max(n, 1 << 16), b, U64)
-            t[0] = 1
-            both.append(np.multiply.accumulate(t))
-        if n > 1 << 23:  # one very long text: don't keep its tables
-            return both[0], both[1]
-        _tables[which] = (both[0], both[1])
-    return _tables[which]
-
-
-def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """Polynomial hash of values[start:end] for many ranges at once."""
-    up, down = powers(len(values) + 1, which)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return (total[end] - total[start]) * down[start]
+def eight(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the end."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def byte_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of raw[start:end] for many ranges at once."""
+    view, n = eight(raw), end - start
+    out = mix(n.astype(U64), 100 + which)
+    todo, at = np.flatnonzero((n > 0) & (n <= LONG)), 0
+    while len(todo):
+        left = n[todo] - at
+        out[todo] = mix(out[todo] * ODD[which] + (view[start[todo] + at] & MASK[np.minimum(left, 8)]), which)
+        todo, at = todo[left > 8], at + 8
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] = int.from_bytes(blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([which])).digest(), "little")
+    return out
+
+
+def window_hash(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+    """Hashes of h[i:i + n] for all i at which as many follow, from those of
+    windows of 1, 2, 4, ... values."""
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.zeros(0, U64)
+    out, got, power, size = None, 0, h, 1
+    while True:
+        if n & size:
+            out = power[:m] if out is None else mix(out * ODD[which] + power[got : got + m], 60 + which)
+            got += size
+        if got == n:
+            return mix(out, 80 + which)
+        power = mix(power[:-size] * ODD[which] + power[size:], 20 + which)
+        size *= 2
 
 
 @dataclass
@@ -66,7 +83,7 @@ class Words:
     first: np.ndarray  # index of each document's first word, one more than documents
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return mix(range_hash(self.raw.astype(U64) + U64(1), self.start, self.end, which))
+        return byte_hash(self.raw, self.start, self.end, which)
 
     def window_starts(self, n: int) -> np.ndarray:
         """Indices of the words at which a window of n words of one document starts."""
@@ -114,6 +131,11 @@ def words(texts: pa.Array, lower: bool = False, target: int = 1 << 21) -> Iterat
         lo = hi
 
 
+def normal(w: Words, i: int) -> bytes:
+    """Document i of the piece with one space between words."""
+    return b" ".join(w.raw[w.doc_start[i] : w.doc_start[i + 1]].tobytes().split())
+
+
 def pack(keys: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of each key."""
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()

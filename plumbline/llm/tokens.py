@@ -18,6 +18,7 @@ import pyarrow as pa
 from plumbline.llm import spans
 from plumbline.llm.spans import U64
 
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -31,7 +32,10 @@ NEWLINE = 198  # the id of a line feed that stands alone in this vocabulary fami
 
 class Encoder:
     """Encodes texts; remembers the ids of units in an open-addressing table
-    from a unit's 64-bit hash to its place in one long array of ids."""
+    from a unit's 64-bit hash to its place in one long array of ids, and the
+    units' bytes, which are compared at each use. Units of more than
+    ``spans.LONG`` bytes, and those whose hash belongs to another unit, are
+    encoded each time."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,7 +48,8 @@ class Encoder:
     def forget(self) -> None:
         self.clear(SLOTS)
         self.at, self.size, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
-        self.units, self.used = 0, 0
+        self.raw_at, self.raw_size, self.raw = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint8)
+        self.units, self.used, self.raw_used = 0, 0, 0
 
     def clear(self, slots: int) -> None:
         self.mask, self.key, self.place = slots - 1, np.zeros(slots, U64), np.full(slots, -1, np.int32)
@@ -99,20 +104,37 @@ class Encoder:
 
     def learn(self, key: np.ndarray, units: list[bytes]) -> None:
         ids, size = self.ids_of(units)
+        raw, raw_size = np.frombuffer(b"".join(units), np.uint8), np.array([len(u) for u in units], np.int64)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while self.raw_used + len(raw) + 8 > len(self.raw):
+            self.raw = np.concatenate((self.raw, np.zeros_like(self.raw)))
         while self.units + len(key) > len(self.at):
-            self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
+            self.at, self.size, self.raw_at, self.raw_size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size, self.raw_at, self.raw_size))
         self.ids[self.used : self.used + len(ids)] = ids
+        self.raw[self.raw_used : self.raw_used + len(raw)] = raw
         to = slice(self.units, self.units + len(key))
         self.at[to], self.size[to] = self.used + np.cumsum(size) - size, size
+        self.raw_at[to], self.raw_size[to] = self.raw_used + np.cumsum(raw_size) - raw_size, raw_size
         if self.units + len(key) > (self.mask + 1) // 2:  # one very long text
             held = self.place >= 0
             old, place = self.key[held], self.place[held]
             self.clear(4 * (self.mask + 1))
             self.put(old, place)
         self.put(key, np.arange(self.units, self.units + len(key), dtype=np.int32))
-        self.units, self.used = self.units + len(key), self.used + len(ids)
+        self.units, self.used, self.raw_used = self.units + len(key), self.used + len(ids), self.raw_used + len(raw)
+
+    def same(self, part: np.ndarray, start: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the units of a text have the bytes of those at their places."""
+        ok = (place >= 0) & (self.raw_size[place] == n)
+        mine, known = spans.eight(part), np.ndarray(len(self.raw) - 7, "<u8", self.raw, strides=(1,))
+        todo, at = np.flatnonzero(ok), 0
+        while len(todo):
+            left = n[todo] - at
+            equal = (mine[start[todo] + at] ^ known[self.raw_at[place[todo]] + at]) & spans.MASK[np.minimum(left, 8)] == 0
+            ok[todo[~equal]] = False
+            todo, at = todo[equal & (left > 8)], at + 8
+        return ok
 
     def encode(self, texts: pa.Array, target: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(lo, hi, ids, off): texts lo..hi-1 have ids[off[i]:off[i + 1]]."""
@@ -122,21 +144,27 @@ class Encoder:
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + target, "right")) - 1)
             part, docs = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
             start = unit_starts(part, docs)
-            end = np.concatenate((start[1:], [len(part)])) if len(start) else start
-            key = spans.mix(spans.range_hash(part.astype(U64) + U64(1), start, end) + (end - start).astype(U64))
-            place = self.find(key)
-            if (place < 0).any():
-                new, first = np.unique(key[place < 0], return_index=True)
-                first = np.flatnonzero(place < 0)[first]
-                if self.units + len(new) > KEEP:
+            n = np.diff(np.concatenate((start, [len(part)])))
+            key = spans.byte_hash(part, start, start + n)
+            short = n <= spans.LONG
+            place = np.where(short, self.find(key), -1)
+            if (short & (place < 0)).any():
+                if self.units + len(np.unique(key[place < 0])) > KEEP:
                     self.forget()
-                    new, first = np.unique(key, return_index=True)
+                    place[:] = -1
+                new = np.flatnonzero(short & (place < 0))
+                new = new[np.unique(key[new], return_index=True)[1]]
                 text = part.tobytes()
-                self.learn(new, [text[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])
-                place = self.find(key)
-            size = self.size[place]
+                self.learn(key[new], [text[a : a + k] for a, k in zip(start[new].tolist(), n[new].tolist())])
+                place = np.where(short, self.find(key), -1)
+            alone = np.flatnonzero(~self.same(part, start, n, place))
+            ids, first, size = self.ids, self.at[place], self.size[place]
+            if len(alone):
+                more, size[alone] = self.ids_of([part[a : a + k].tobytes() for a, k in zip(start[alone].tolist(), n[alone].tolist())])
+                first[alone] = self.used + np.cumsum(size[alone]) - size[alone]
+                ids = np.concatenate((self.ids[: self.used], more))
             total = np.concatenate(([0], np.cumsum(size)))
-            yield lo, hi, gather(self.ids, self.at[place], size), total[np.searchsorted(start, docs, "left")]
+            yield lo, hi, gather(ids, first, size), total[np.searchsorted(start, docs, "left")]
             lo = hi
 
 
