@@ -1,29 +1,39 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 N-grams of up to ``order`` tokens are counted over the training documents
-(words with A-Z in lower case, then one end token a document). Those with a
-relative frequency of 2**-20 or more are kept, so at most 2**20 of each order,
-however large the corpus. Their counts are quantised by logarithms: an n-gram
-of level q enters a Bloom filter as the q keys (n-gram, 1) to (n-gram, q), and
-repeated membership probes, level by level up to the first miss, give it back.
-The filter, at most 2**27 bits by the bound above, is broadcast. Probabilities
-are smoothed by absolute discounting: what a context's kept continuations leave
-goes to the shorter context, down to the unigrams, where the mass of all
-words below the bound is shared evenly.
+(words with A-Z in lower case, then one end token a document). All words are
+kept, and all longer n-grams from ``min_count`` occurrences on, however large
+the corpus. Counts are quantised by logarithms: an n-gram of level q enters a
+Bloom filter as the q keys (n-gram, 1) to (n-gram, q), and repeated membership
+probes, level by level up to the first miss, give it back. Trigrams are counted
+where the filter has both their bigrams, which loses none.
+
+The filter is built in parts by n-gram hash, where the counts are. Parts are
+gathered into shards of about ``SHARD`` bytes, each passes through the driver
+alone and is broadcast. Tasks probe shard after shard for a stretch of texts
+and hold one at a time, if they don't all fit into ``ROOM``.
+
+Probabilities are smoothed by absolute discounting: what a context's kept
+continuations leave goes to the shorter context, down to the unigrams, of which
+a small share goes to words not seen. The sums of the decoded counts and the
+numbers of continuations, which normalise them, go with the shards as sorted
+arrays. So the probabilities of all words behind a context sum to one, but for
+false positives of the filter, 2**-PROBES of the probes.
 
 The add-0.1 unigram base needs the exact count of every token: frequent ones
-(the kept unigrams) are broadcast, all others meet their counts in a shuffle of
-one row per batch and bucket of hashes.
+(a relative frequency of 2**-KEPT, so at most 2**KEPT words) are broadcast, all
+others meet their counts in a shuffle of one row per task and bucket of hashes.
 
 Null texts are empty: they have the end token alone. Null ids count as "".
-Repeated rows count and are scored each. Other columns are not carried; an
-empty table gives an empty table.
+Very long texts count like others; one must fit into a task's memory. Repeated
+rows count and are scored each; ties don't arise. Other columns are not carried
+and may have any name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +43,22 @@ from pyspark.sql import functions as F
 from plumbline.llm import scratch, spans
 from plumbline.llm.spans import U64
 
-KEPT = 20  # bits: an n-gram of one order is kept from a relative frequency of 2**-KEPT
+KEPT = 20  # bits: a word's count is broadcast for the base from a relative frequency of 2**-KEPT
 BASE = 2.0**0.5  # of the levels
-PROBES, BITS_EACH = 6, 9  # of the filter: hash functions, bits for each key at least
+MIN_COUNT = 2  # of n-grams of two tokens and more
+PROBES, BITS_EACH = 20, 29  # of the filter: hash functions, and bits for each key
+SHARD, ROOM = 128 << 20, 256 << 20  # bytes of a shard, and of all shards that a worker keeps
+LOW, LOW_BITS = U64((1 << 48) - 1), U64(48)  # what tells keys of one bucket apart
 DISCOUNT = 0.75
 ADD = 0.1  # of the unigram base
-HELD = 1 << 20  # distinct keys that a counting task holds before it passes them on
+HELD = 1 << 21  # distinct keys that a counting task holds before it passes them on
 END = spans.mix(np.zeros(1, U64), 99)[0]
 ODD = tuple(U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-COUNTS = "bucket long, keys binary, counts binary"
 
 
-def tokens(texts: pa.Array):
+def tokens(texts: pa.Array, target: int = 1 << 21):
     """(words, hashes, first): hashes of all tokens of each piece, ends included."""
-    for w in spans.words(texts, lower=True):
+    for w in spans.words(texts, lower=True, target=target):
         n = np.diff(w.first)
         first = w.first + np.arange(len(w.first))
         out = np.full(int(first[-1]), END, U64)
@@ -58,116 +70,147 @@ def level(count: np.ndarray, floor: float) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(count, floor) / floor) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-def gram_hash(hashes: list[np.ndarray], salt: int = 0) -> np.ndarray:
-    total = np.zeros(len(hashes[0]), U64)
-    for h in hashes:
-        total = spans.mix(total * ODD[0] + h, len(hashes))
-    return spans.mix(total, 31 + salt) if salt else total
+def decoded(q: np.ndarray, floor: float) -> np.ndarray:
+    return np.where(q > 0, floor * BASE ** (q - 0.5), 0.0)
 
 
-@dataclass
-class Filter:
-    """A Bloom filter over (key, level); see the module's text."""
+def gram_hash(hashes: list[np.ndarray]) -> np.ndarray:
+    """Of one token its own hash."""
+    total = hashes[0]
+    for k, h in enumerate(hashes[1:]):
+        total = spans.mix(total * ODD[0] + h, k + 1)
+    return total
 
-    bits: np.ndarray  # packed
-    size: int  # in bits, a power of two
 
-    @classmethod
-    def build(cls, entries: list[tuple[np.ndarray, np.ndarray]]) -> Filter:
-        """entries: (hashes, levels)."""
-        n = sum(int(q.sum()) for _, q in entries)
-        size = 1 << max(16, int(np.ceil(np.log2(max(1, n) * BITS_EACH))))
-        on = np.zeros(size, bool)
-        for h, q in entries:
-            for j in range(1, int(q.max(initial=0)) + 1):
-                for at in cls.places(h[q >= j], j, size):
-                    on[at] = True
-        return cls(np.packbits(on, bitorder="little"), size)
+def bucket(h: np.ndarray, n: int) -> np.ndarray:
+    return spans.bucket_of(spans.mix(h, 5), n)
+
+
+@dataclass
+class Shard:
+    """Bloom filters of the buckets lo to hi - 1 over (key, level), one behind
+    another, and the contexts of these buckets."""
+
+    lo: int
+    hi: int
+    start: np.ndarray  # of each bucket, in bits
+    size: np.ndarray
+    bits: np.ndarray  # packed
+    context: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))  # bucket - lo, then the key's lower bits; sorted
+    total: np.ndarray = field(default_factory=lambda: np.zeros(0))  # decoded counts of its kept continuations
+    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))  # share of the shorter context
 
     @staticmethod
-    def places(h: np.ndarray, j: int, size: int):
-        a = spans.mix(h, 1000 + j)
-        b = (a >> U64(32)) | U64(1)
+    def places(key: np.ndarray, j: int, size):
+        a = spans.mix(key, 1000 + j)
+        step = ((a >> U64(32)) | U64(1)) * ODD[1]
         for _ in range(PROBES):
-            yield (a & U64(size - 1)).astype(np.int64)
-            a = a + b * ODD[1]
+            yield ((a & U64(0xFFFFFFFF)) * size) >> U64(32)
+            a = a + step
 
-    def has(self, h: np.ndarray, j: int) -> np.ndarray:
-        left, todo = np.arange(len(h)), h
-        a = spans.mix(todo, 1000 + j)
-        b = (a >> U64(32)) | U64(1)
+    @classmethod
+    def filter_of(cls, key: np.ndarray, q: np.ndarray) -> tuple[int, bytes]:
+        """Size and bits of one bucket's filter."""
+        size = 64 * max(1, -(-int(q.sum()) * BITS_EACH // 64))
+        on = np.zeros(size, bool)
+        for j in range(1, int(q.max(initial=0)) + 1):
+            for at in cls.places(key[q >= j], j, U64(size)):
+                on[at.astype(np.int64)] = True
+        return size, np.packbits(on, bitorder="little").tobytes()
+
+    def has(self, key: np.ndarray, start: np.ndarray, size: np.ndarray, j: int) -> np.ndarray:
+        left = np.flatnonzero(size > 0)
+        a = spans.mix(key[left], 1000 + j)
+        step = ((a >> U64(32)) | U64(1)) * ODD[1]
+        start, size = start[left], size[left]
         for _ in range(PROBES):
-            at = (a & U64(self.size - 1)).astype(np.int64)
-            ok = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            left, a, b = left[ok], a[ok], b[ok]
+            at = start + (((a & U64(0xFFFFFFFF)) * size) >> U64(32))
+            ok = (self.bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+            left, a, step, start, size = left[ok], a[ok], step[ok], start[ok], size[ok]
             if not len(left):
                 break
-            a = a + b * ODD[1]
-        out = np.zeros(len(h), bool)
+            a = a + step
+        out = np.zeros(len(key), bool)
         out[left] = True
         return out
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """Repeated probes, up to the first miss."""
+    def levels(self, h: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Repeated probes, up to the first miss; b: the buckets of h."""
+        key, start, size = named(h, b), self.start[b - self.lo], self.size[b - self.lo]
         out, left, j = np.zeros(len(h), np.int64), np.arange(len(h)), 1
         while len(left):
-            left = left[self.has(h[left], j)]
+            left = left[self.has(key[left], start[left], size[left], j)]
             out[left] = j
             j += 1
         return out
 
+    def context_of(self, h: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places of contexts, -1 where unknown."""
+        return place_of(self.context, ((b - self.lo).astype(U64) << LOW_BITS) | (h & LOW))
+
+
+def named(h: np.ndarray, b) -> np.ndarray:
+    """What stands for a key in the filter: its bucket and its lower bits."""
+    return spans.mix((h & LOW) * ODD[2] + np.asarray(b).astype(U64), 8)
+
 
 @dataclass
 class Model:
-    """What scoring needs; counts come from the filter's levels."""
-
-    filter: Filter
-    order: int
-    floor: float  # the smallest kept count
-    unigrams: float  # sum of the decoded counts of kept unigrams
-    kept_mass: float  # their share of all tokens
-    rest_each: float  # probability of each other word
-
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        q = self.filter.levels(h)
-        return np.where(q > 0, self.floor * BASE ** (q - 0.5), 0.0)
-
-    def score(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each token given those before it in its document."""
-        n = len(h)
+    """What scoring needs; shards come as broadcasts, by order of n-grams."""
+
+    shards: list[list]  # of each order
+    bounds: list[list[int]]  # first buckets of these shards
+    n: int  # buckets
+    min_count: int
+    words: float  # sum of the decoded counts of all words
+    distinct: int
+    unseen: float  # share of words not seen
+    keep: bool  # whether workers keep all shards
+
+    def each(self, k: int, h: np.ndarray):
+        """(shard, those of h that are its own, their buckets)."""
+        b = bucket(h, self.n)
+        part = np.searchsorted(self.bounds[k], b, "right") - 1
+        for i, shared in enumerate(self.shards[k]):
+            own = np.flatnonzero(part == i) if len(self.shards[k]) > 1 else np.arange(len(h))
+            if len(own):
+                shard = shared.value
+                if not self.keep:
+                    del shared._value  # only this name holds it
+                yield shard, own, b[own]
+
+    def counts(self, k: int, h: np.ndarray) -> np.ndarray:
+        """Decoded counts of n-grams of k + 1 tokens."""
+        q = np.zeros(len(h), np.int64)
+        for shard, own, b in self.each(k, h):
+            q[own] = shard.levels(h[own], b)
+        return decoded(q, self.min_count if k else 1)
+
+    def contexts(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals and rests of contexts of k tokens; 0 and 1 where unknown."""
+        total, rest = np.zeros(len(h)), np.ones(len(h))
+        for shard, own, b in self.each(k, h):
+            at = shard.context_of(h[own], b)
+            found = own[at >= 0]
+            total[found], rest[found] = shard.total[at[at >= 0]], shard.rest[at[at >= 0]]
+        return total, rest
+
+    def probabilities(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of each token, given those before it in its document."""
         u, back = np.unique(h, return_inverse=True)
-        c = self.counts(u)
-        p = np.where(c > 0, c / max(self.unigrams, 1e-300) * self.kept_mass, self.rest_each)[back]
-        place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
-        # contexts of one more token each time, where the shorter one is kept
-        held = gathered(u, c, self, back)
-        at = np.flatnonzero(place >= 1)
-        size, left = held[0][at - 1], held[1][at - 1]
-        for k in range(2, self.order + 1):
-            known = size > 0
-            at, size, left = at[known], size[known], left[known]
+        p = ((1 - self.unseen) * self.counts(0, u) / max(self.words, 1e-300) + self.unseen / (self.distinct + 1))[back]
+        place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+        for k in range(1, len(self.shards)):
+            at = np.flatnonzero(place >= k)
+            c, c_back = np.unique(gram_hash([h[at - i] for i in range(k, 0, -1)]), return_inverse=True)
+            total, rest = (x[c_back] for x in self.contexts(k, c))
+            at, total, rest = at[total > 0], total[total > 0], rest[total > 0]
             if not len(at):
                 break
-            g = gram_hash([h[at - i] for i in range(k - 1, -1, -1)])
-            v, vb = np.unique(g, return_inverse=True)
-            cv = self.counts(v)
-            seen = np.maximum(cv[vb] - DISCOUNT, 0.0)
-            whole = np.maximum(size, left + DISCOUNT)
-            p[at] = seen / whole + np.maximum((whole - left) / whole, 1e-3) * p[at]
-            if k < self.order:
-                # this n-gram is the context of the next token of its document
-                lv = np.where(cv > 0, self.counts(spans.mix(v, 77)), 0.0)
-                size_next, left_next = np.zeros(n + 1), np.zeros(n + 1)
-                size_next[at + 1], left_next[at + 1] = cv[vb], lv[vb]
-                at = np.flatnonzero((size_next[:n] > 0) & (place >= k))
-                size, left = size_next[at], left_next[at]
-        return np.log10(np.minimum(p, 1.0))
-
-
-def gathered(u: np.ndarray, c: np.ndarray, model: Model, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each token as a context, and what its kept continuations take of them."""
-    left = np.where(c > 0, model.counts(spans.mix(u, 77)), 0.0)
-    return c[back], left[back]
+            g, g_back = np.unique(gram_hash([h[at - i] for i in range(k, -1, -1)]), return_inverse=True)
+            seen = np.maximum(self.counts(k, g)[g_back] - DISCOUNT, 0.0)
+            p[at] = np.minimum(seen / total, 1 - rest) + rest * p[at]  # no n-gram has more than all behind its context
+        return p
 
 
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,44 +220,140 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[run], np.add.reduceat(counts[order], run) if len(run) else counts[:0]
 
 
-def counted(train: DataFrame, keys_of, width: int, n: int, least=None) -> DataFrame:
-    """Exact counts of the keys that keys_of finds in texts: one row a bucket,
-    of sorted keys and their counts, without those below ``least``."""
-
-    def emit(batches):
-        keys, counts, held = [], [], 0
-        for batch in batches:
-            for found in keys_of(batch.column("text")):
-                k, c = np.unique(found, return_counts=True)
-                keys.append(k)
-                counts.append(c.astype(np.int64))
-                held += len(k)
-                if held > HELD:
-                    k, c = merged(np.concatenate(keys), np.concatenate(counts))
-                    if len(k) > HELD // 2:
-                        yield packed(k, c)
-                        keys, counts, held = [], [], 0
-                    else:
-                        keys, counts, held = [k], [c], len(k)
-        if held:
-            yield packed(*merged(np.concatenate(keys), np.concatenate(counts)))
-
-    def packed(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        b = spans.bucket_of(spans.mix(k, 5), n)
-        order = np.argsort(b, kind="stable")
-        k, c, b = k[order], c[order], b[order]
-        rows = [(x, spans.pack(k[at], width), c[at].astype("<u4").tobytes()) for x, at in spans.by_bucket(b)]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "keys", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        k = np.concatenate([spans.unpack(x.as_buffer().to_pybytes(), width) for x in table["keys"]])
-        c = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table["counts"]]).astype(np.int64)
-        k, c = merged(k, c)
-        if least is not None:
-            k, c = k[c >= least], c[c >= least]
-        return pa.table({"bucket": table["bucket"][:1], "keys": pa.array([k.astype("<u8").tobytes()]), "counts": pa.array([c.astype("<i8").tobytes()]), "distinct": pa.array([len(k)]), "total": pa.array([int(c.sum())])})
-
-    return train.mapInArrow(emit, COUNTS).groupBy("bucket").applyInArrow(add, f"{COUNTS}, distinct long, total long")
+def flushed(batches, keys_of, add, rows_of):
+    """Rows of what keys_of finds, added up until HELD distinct keys are held."""
+    parts, held = [], 0
+    for batch in batches:
+        for part in keys_of(batch.column("text")):
+            parts.append(part)
+            held += len(part[0])
+            if held > HELD:
+                parts = [add(parts)]
+                held = len(parts[0][0])
+                if held > HELD // 2:
+                    yield rows_of(*parts[0])
+                    parts, held = [], 0
+    if held:
+        yield rows_of(*add(parts))
+
+
+def by_rows(b: np.ndarray, *columns: tuple[np.ndarray, int | str]) -> pa.RecordBatch:
+    """One row a bucket; columns are packed to a number of bytes or a type."""
+    order = np.argsort(b, kind="stable")
+    b = b[order]
+    rows = [(x, *(spans.pack(c[order[at]], t) if isinstance(t, int) else c[order[at]].astype(t).tobytes() for c, t in columns)) for x, at in spans.by_bucket(b)]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] + [pa.binary()] * len(columns))], ["bucket", *"abc"[: len(columns)]])
+
+
+def numbers(table: pa.Table, name: str, kind: int | str) -> np.ndarray:
+    values = [x.as_buffer().to_pybytes() for x in table[name] if x.is_valid]
+    return np.concatenate([np.zeros(0, U64 if isinstance(kind, int) else kind)] + [spans.unpack(x, kind) if isinstance(kind, int) else np.frombuffer(x, kind) for x in values])
+
+
+def counted(train: DataFrame, n: int) -> DataFrame:
+    """Exact counts of all tokens: one row a bucket, of sorted keys and counts."""
+
+    def found(texts):
+        for _, h, _ in tokens(texts):
+            yield np.unique(h, return_counts=True)
+
+    def add(parts):
+        return merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+    def total(table: pa.Table) -> pa.Table:
+        k, c = merged(numbers(table, "a", "<u8"), numbers(table, "b", "<u4").astype(np.int64))
+        size, bits = Shard.filter_of(named(k, np.full(len(k), table["bucket"][0].as_py())), level(c, 1))
+        return pa.table({"bucket": table["bucket"][:1], "keys": pa.array([k.tobytes()]), "counts": pa.array([c.tobytes()]), "distinct": pa.array([len(k)]), "total": pa.array([int(c.sum())]), "size": pa.array([size]), "bits": pa.array([bits]), "decoded": pa.array([float(decoded(level(c, 1), 1).sum())])})
+
+    rows = train.mapInArrow(lambda batches: flushed(batches, found, add, lambda k, c: by_rows(bucket(k, n), (k, "<u8"), (c, "<u4"))), "bucket long, a binary, b binary")
+    return rows.repartition(n, "bucket").groupBy("bucket").applyInArrow(total, "bucket long, keys binary, counts binary, distinct long, total long, size long, bits binary, decoded double")
+
+
+def grams(train: DataFrame, k: int, model: Model) -> DataFrame:
+    """Filters of n-grams of k + 1 tokens, one row a bucket, and rows with what
+    each bucket's n-grams add to their contexts (ctx_bucket, ctx, z, m)."""
+    n, least = model.n, model.min_count
+
+    def found(texts):
+        for _, h, first in tokens(texts):
+            at = np.flatnonzero(np.arange(len(h)) - np.repeat(first[:-1], np.diff(first)) >= k)
+            if k > 1 and least > 1:
+                u, back = np.unique(gram_hash([h[:-1], h[1:]]) if k == 2 else gram_hash([h[i : len(h) - k + 1 + i] for i in range(k)]), return_inverse=True)
+                kept = (model.counts(k - 1, u) > 0)[back]  # the n-grams of k tokens, by their first
+                at = at[kept[at - k] & kept[at - k + 1]]
+            g, first_at, c = np.unique(gram_hash([h[at - i] for i in range(k, -1, -1)]), return_index=True, return_counts=True)
+            yield g, c, gram_hash([h[at[first_at] - i] for i in range(k, 0, -1)])
+
+    def add(parts):
+        g, c, ctx = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.argsort(g, kind="stable")
+        run = np.flatnonzero(np.r_[True, np.diff(g[order]) != 0]) if len(g) else order
+        return g[order][run], np.add.reduceat(c[order], run) if len(g) else c, ctx[order][run]
+
+    def rows_of(g, c, ctx):
+        return by_rows(bucket(g, n), (g & LOW, 6), (c, "<u4"), (ctx, "<u8"))
+
+    def total(table: pa.Table) -> pa.Table:
+        b = table["bucket"][0].as_py()
+        g, c, ctx = add([(numbers(table, "a", 6), numbers(table, "b", "<u4").astype(np.int64), numbers(table, "c", "<u8"))])
+        g, c, ctx = g[c >= least], c[c >= least], ctx[c >= least]
+        q = level(c, least)
+        size, bits = Shard.filter_of(named(g, np.full(len(g), b)), q)
+        u, back = np.unique(ctx, return_inverse=True)
+        z, m = np.bincount(back, decoded(q, least), len(u)), np.bincount(back, minlength=len(u))
+        own = by_rows(bucket(u, n), (u & LOW, 6), (z, "<f8"), (m, "<u4")) if len(u) else None
+        some = own.num_rows if own is not None else 0
+        null = lambda t: pa.nulls(some, t)
+        columns = [(pa.int64(), b, null(pa.int64())), (pa.int64(), size, null(pa.int64())), (pa.binary(), bits, null(pa.binary()))]
+        out = [pa.concat_arrays([pa.array([x], t), rest]) for t, x, rest in columns]
+        out += [pa.concat_arrays([pa.array([None], t), own.column(i) if own is not None else pa.nulls(0, t)]) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+        return pa.table(out, names=["bucket", "size", "bits", "ctx_bucket", "ctx", "z", "m"])
+
+    rows = train.mapInArrow(lambda batches: flushed(batches, found, add, rows_of), "bucket long, a binary, b binary, c binary")
+    return rows.repartition(n, "bucket").groupBy("bucket").applyInArrow(total, "bucket long, size long, bits binary, ctx_bucket long, ctx binary, z binary, m binary")
+
+
+def contexts(made: DataFrame, n: int) -> DataFrame:
+    """One row a bucket of contexts: sorted lower bits of keys, sums, numbers of continuations."""
+
+    def total(table: pa.Table) -> pa.Table:
+        key, z, m = numbers(table, "ctx", 6), numbers(table, "z", "<f8"), numbers(table, "m", "<u4")
+        u, back = np.unique(key, return_inverse=True)
+        return pa.table({"bucket": table["bucket"][:1], "ctx": pa.array([u.tobytes()]), "z": pa.array([np.bincount(back, z, len(u)).tobytes()]), "m": pa.array([np.bincount(back, m, len(u)).tobytes()])})
+
+    rows = made.where("ctx_bucket is not null").select(F.col("ctx_bucket").alias("bucket"), "ctx", "z", "m")
+    return rows.repartition(n, "bucket").groupBy("bucket").applyInArrow(total, "bucket long, ctx binary, z binary, m binary")
+
+
+def shards_of(filters: DataFrame, own_contexts: DataFrame | None, n: int) -> tuple[list, list[int], int]:
+    """Broadcast shards, their first buckets, and their bytes; one at a time
+    passes through the driver."""
+    spark = filters.sparkSession
+    size = np.zeros(n, np.int64)
+    for r in filters.select("bucket", F.octet_length("bits").alias("n")).collect():
+        size[r["bucket"]] += r["n"]
+    if own_contexts is not None:
+        for r in own_contexts.select("bucket", F.octet_length("ctx").alias("n")).collect():
+            size[r["bucket"]] += 3 * r["n"]
+    out, bounds, lo = [], [], 0
+    while lo < n:
+        hi = max(lo + 1, min(lo + 65536, int(np.searchsorted(np.cumsum(size[lo:]), SHARD, "right")) + lo))
+        within = F.col("bucket").between(lo, hi - 1)
+        rows = sorted(filters.where(within).select("bucket", "size", "bits").collect())
+        bits, start = np.zeros(hi - lo, U64), np.zeros(hi - lo, U64)
+        at = 0
+        for r in rows:
+            start[r["bucket"] - lo], bits[r["bucket"] - lo], at = at, r["size"], at + r["size"]
+        shard = Shard(lo, hi, start, bits, np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8))
+        if own_contexts is not None:
+            rows = sorted(own_contexts.where(within).collect())
+            shard.context = np.concatenate([np.zeros(0, U64)] + [(U64(r["bucket"] - lo) << LOW_BITS) | np.frombuffer(r["ctx"], "<u8") for r in rows])
+            z, m = (np.concatenate([np.zeros(0)] + [np.frombuffer(r[c], "<f8") for r in rows]) for c in "zm")
+            shard.total, shard.rest = z, DISCOUNT * m / np.maximum(z, 1e-300)
+        bounds.append(lo)
+        out.append(spark.sparkContext.broadcast(shard))
+        lo = hi
+    return out, bounds, int(size.sum())
 
 
 def collected(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,63 +380,23 @@ def place_of(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, at, -1)
 
 
-def kept_places(hashes: np.ndarray, tables: list[np.ndarray], first: np.ndarray) -> np.ndarray:
-    """For each token, the index of the n-gram that ends there in the last table."""
-    u, back = np.unique(hashes, return_inverse=True)
-    word = place_of(tables[0], u)[back]
-    gram = word
-    for table in tables[1:]:
-        gram = place_of(table, joined(gram, word, first))
-    return gram
-
+def train(docs: DataFrame, counts: DataFrame, n: int, order: int, min_count: int) -> Model:
+    """The model; docs: (text) of the training documents, counts: those of their tokens."""
+    total, distinct, words = (x or 0 for x in counts.agg(F.sum("total"), F.sum("distinct"), F.sum("decoded")).first())
+    shards, bounds, size = shards_of(counts, None, n)
+    model = Model([shards], [bounds], n, min_count, float(words), distinct, ADD * (distinct + 1) / max(total + ADD * (distinct + 1), 1e-300), True)
+    for k in range(1, order):
+        made = scratch.staged(grams(docs, k, model), f"grams-{k + 1}")
+        own = scratch.staged(contexts(made, n), f"contexts-{k}")
+        shards, bounds, more = shards_of(made.where("bits is not null"), own, n)
+        scratch.discard(made)
+        scratch.discard(own)
+        size += more
+        model = replace(model, shards=[*model.shards, shards], bounds=[*model.bounds, bounds], keep=size <= ROOM)
+    return model
 
-def joined(gram: np.ndarray, word: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Key of the n-gram before each token and the token, if both are kept, else 2**64 - 1."""
-    before = np.r_[-1, gram[:-1]]
-    before[first[:-1]] = -1
-    return np.where((before >= 0) & (word >= 0), (before << 20) | word, -1).astype(np.int64).view(U64)
 
-
-def train(docs: DataFrame, counts: DataFrame, n: int, order: int):
-    """The model, and the frequent tokens with their counts; docs: (text) of the training documents."""
-    spark = docs.sparkSession
-    total, distinct = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    floor = max(1, -(-total >> KEPT))
-    words, word_counts = collected(counts, floor)
-    tables, all_counts, grams = [words], [word_counts], [words]
-    entries = [(words, level(word_counts, floor))]
-    for k in range(2, order + 1):
-        known = spark.sparkContext.broadcast(list(tables))
-
-        def keys_of(texts, known=known):
-            for _, h, first in tokens(texts):
-                gram = kept_places(h, known.value, first)
-                u, back = np.unique(h, return_inverse=True)
-                key = joined(gram, place_of(known.value[0], u)[back] if len(known.value) > 1 else gram, first)
-                yield key[key != U64(0xFFFFFFFFFFFFFFFF)]
-
-        keys, c = collected(scratch.staged(counted(docs, keys_of, 5, n, floor), f"grams-{k}"), floor)
-        before, last = (keys >> U64(20)).astype(np.int64), (keys & U64((1 << 20) - 1)).astype(np.int64)
-        # the n-gram's hash from those of its words, and what it takes of its context
-        parts = [p[before] for p in (grams if k > 2 else [words])]
-        parts.append(words[last])
-        taken = np.bincount(before, c - DISCOUNT, len(tables[-1]))
-        context = gram_hash(grams) if k > 2 else words
-        left = taken > 0
-        entries.append((gram_hash(parts), level(c, floor)))
-        entries.append((spans.mix(context[left], 77), level(taken[left], floor)))
-        tables.append(keys)
-        all_counts.append(c)
-        grams = parts
-    decoded = float((floor * BASE ** (entries[0][1] - 0.5)).sum())
-    mass = total + ADD * (distinct + 1)
-    kept_mass = (float(word_counts.sum()) + ADD * len(words)) / mass
-    rest = max(distinct - len(words) + 1, 1)
-    model = Model(Filter.build(entries), order, float(floor), decoded, kept_mass, max(1 - kept_mass, ADD / mass) / rest)
-    return model, words, word_counts, total, distinct
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 3) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 3, min_count: int = MIN_COUNT) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of
     every row; rows with crc32(id as text) mod folds = 0 are held out."""
     spark = docs.sparkSession
@@ -305,36 +404,48 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     training = rows.where("not held_out").select("text")
     n = scratch.buckets_for(spark, scratch.text_bytes(rows))
-    counts = scratch.staged(counted(training, lambda texts: (h for _, h, _ in tokens(texts)), 8, n), "tokens")
-    model, words, word_counts, total, distinct = train(training, counts, n, order)
+    counts = scratch.staged(counted(training, n), "tokens")
+    model = train(training, counts, n, order, min_count)
+    total, distinct = (x or 0 for x in counts.agg(F.sum("total"), F.sum("distinct")).first())
+    words, word_counts = collected(counts, max(1, -(-total >> KEPT)))
     bottom = np.log10(total + ADD * (distinct + 1)) if total else 0.0
-    shared = spark.sparkContext.broadcast((model, words, np.log10(word_counts + ADD) - bottom))
+    shared = spark.sparkContext.broadcast((words, np.log10(word_counts + ADD) - bottom))
+    stretch = (2 if model.keep else 16) << 20  # bytes of text for which all shards are looked through
 
     def passed(batches):
-        model, words, logs = shared.value
+        words, logs = shared.value
         chunk, no = uuid.uuid4().int >> 65, 0
+        rare, rare_docs, held = [], [], 0
+
+        def sent(kind):
+            """Tokens that aren't frequent meet their counts elsewhere."""
+            rest, doc = np.concatenate(rare), np.concatenate(rare_docs)
+            out = by_rows(bucket(rest, n), (rest, "<u8"), (doc, "<i8"))
+            some = out.num_rows
+            null = lambda t: pa.nulls(some, t)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(some, chunk)), null(pa.int64()), null(kind), null(pa.bool_()), null(pa.int64()), null(pa.int64()), null(pa.float64()), null(pa.float64()), *out.columns], NAMES)
+
         for batch in batches:
-            for w, h, first in tokens(batch.column("text")):
+            for w, h, first in tokens(batch.column("text"), stretch):
                 m = w.hi - w.lo
                 doc = np.repeat(np.arange(m), np.diff(first))
                 u, back = np.unique(h, return_inverse=True)
                 at = place_of(words, u)[back]
                 known = at >= 0
                 base = np.bincount(doc[known], logs[at[known]], m) if len(words) else np.zeros(m)
-                own = np.bincount(doc, model.score(h, first), m)
+                own = np.bincount(doc, np.log10(model.probabilities(h, first)), m)
                 n_known = np.bincount(doc[known], minlength=m)
-                ids, held = (batch.column(c).slice(w.lo, m) for c in ("id", "held_out"))
-                none, numbers = pa.nulls(m, pa.binary()), np.arange(no, no + m)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array(numbers), ids, held, pa.array(np.diff(first)), pa.array(n_known), pa.array(base), pa.array(own), pa.nulls(m, pa.int64()), none, none], NAMES)
-                # tokens that aren't frequent meet their counts elsewhere
-                rest, in_doc = h[~known], doc[~known] + no
-                b = spans.bucket_of(spans.mix(rest, 5), n)
-                order = np.argsort(b, kind="stable")
-                out = [(x, rest[order[s]].astype("<u8").tobytes(), in_doc[order[s]].astype("<i8").tobytes()) for x, s in spans.by_bucket(b[order])]
-                if out:
-                    some, null = len(out), (lambda t, k=len(out): pa.nulls(k, t))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(some, chunk)), null(pa.int64()), null(ids.type), null(pa.bool_()), null(pa.int64()), null(pa.int64()), null(pa.float64()), null(pa.float64()), *[pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))]], NAMES)
-                no += m
+                ids, held_out = (batch.column(c).slice(w.lo, m) for c in ("id", "held_out"))
+                none = pa.nulls(m, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array(np.arange(no, no + m)), ids, held_out, pa.array(np.diff(first)), pa.array(n_known), pa.array(base), pa.array(own), pa.nulls(m, pa.int64()), none, none], NAMES)
+                rare.append(h[~known])
+                rare_docs.append(doc[~known] + no)
+                held, no = held + len(rare[-1]), no + m
+                if held > HELD:
+                    yield sent(ids.type)
+                    rare, rare_docs, held = [], [], 0
+        if held:
+            yield sent(ids.type)
 
     kind = docs.schema[id_col].dataType.simpleString()
     both = scratch.staged(rows.mapInArrow(passed, f"chunk long, no long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, bucket long, keys binary, docs binary"), "scores")
