@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.exprs import let, total, words
+from plumbline.llm.exprs import let, total, unused, words
 
 # Common words of each language.
 COMMON = {
@@ -120,7 +120,7 @@ def references(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", verdict: str = "quality") -> DataFrame:
     """docs with a struct column: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, char_distance, word_distance, base_failed, kept."""
-    ref, own = f"{verdict}_reference", f"{verdict}_language"
+    ref, own = unused(docs, f"{verdict}_reference"), unused(docs, f"{verdict}_language")
     refs = references(docs, text_col, lang_col).select(F.col("lang").alias(own), F.struct("chars", "words").alias(ref))
     text, lang, r = F.coalesce(F.col(text_col), F.lit("")), language(F.col(lang_col)), F.col(ref)
     lines = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))

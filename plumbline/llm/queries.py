@@ -3,6 +3,8 @@ production parameters, to its whole table and derives the digest columns."""
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def run_key(spark: SparkSession) -> str:
+    """The configured key of pseudonyms; where none is set, as in tests and
+    checks, one of this process alone, so that nobody can undo its pseudonyms."""
+    if not spark.conf.get(pseudonyms.KEY_SETTING, None):
+        spark.conf.set(pseudonyms.KEY_SETTING, secrets.token_hex(32))
+    return pseudonyms.configured_key(spark)
+
+
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(_table(spark, sf_dir, "documents"))
 
 
 def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), found="n_found").select("doc_id", "text", "n_found")
+    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), run_key(spark), found="n_found").select("doc_id", "text", "n_found")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
