@@ -1,21 +1,34 @@
 """Main text of web pages from streaming parser events.
 
 The standard library's parser reports tags and text; block tags end a line.
-Lines inside menus, forms, scripts and other parts that are never the article
+Elements that are never the article by HTML's own rules (menus, forms, scripts)
 are left out at once. Every other line has a text-to-tag ratio. The ratios are
 smoothed by a Gaussian, and lines above a share of their standard deviation
-form clusters. The clusters select the content regions: the article or main
-elements that hold them. A region's lines are given whole, also the short ones
-between. A page without such an element is given whole but for what was left out.
-
-Null pages are empty. Repeated rows are treated each; other columns are kept;
-an empty table gives an empty table.
+form clusters, which select the regions:
+
+- Article and main elements that hold clustered text are the regions, if they
+  hold half of all clustered text at least; of several, those with a tenth of
+  the largest one's at least.
+- Otherwise the page is the region, but for blocks without any clustered line
+  whose text is links for the most part.
+
+Parts that a role or a name in class or id marks as something else are left
+out of the clusters and the regions, unless they hold a region. If names leave
+nothing, they name the layout of the whole page and don't count. A region's
+lines are given whole, also the short ones between.
+
+Null and empty pages are empty. Time and memory are linear in a page's length,
+however long or deep it is and whatever isn't closed. Repeated rows are treated
+each; ties don't arise. Other columns are kept but for one named like
+``text_col``, which is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -35,69 +48,93 @@ NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banne
 MODIFIERS = frozenset("has with without no is not show shows hide hides hidden enable can".split())  # "has-banner" tells of something else
 BOXES = frozenset("area bar block body bottom box button buttons container content footer form group header heading holder icons inner item items left link links list module outer panel primary right row secondary section slot thread title top unit widget widgets wrap wrapper".split())
 ARTICLE = frozenset(("article", "main"))
-UNNAMED = ARTICLE | {"body", "html"}  # names leave none of these out
+UNNAMED = ARTICLE | {"body", "html"}  # only whole names mark these
+BLOCKS = frozenset("div section ul ol dl table tbody tr td center figure details".split())  # what is left out of a page as a block
 SIGMA, WIDTH, SHARE = 1.0, 2, 0.5  # of the smoothing, its half width, and the threshold in standard deviations
 KERNEL = [math.exp(-((k / SIGMA) ** 2) / 2) for k in range(-WIDTH, WIDTH + 1)]
+LEAST_ARTICLES, LEAST_ONE, LINKS = 0.5, 0.1, 0.5  # shares of clustered text in all articles, in one of the largest one's, and of links
 
 
 @lru_cache(4096)
-def marked(names: str) -> bool:
-    """Whether one of the names of a class or id marks a part that is no article."""
+def marked(names: str, whole: bool) -> bool:
+    """Whether one of the names of a class or id marks a part that is no article; whole: only whole names."""
     for name in names.lower().split():
         parts = re.split("[_-]+", name.strip("_-"))
-        if parts[-1] in NAMES and (len(parts) == 1 or parts[0] not in MODIFIERS):
+        if parts[-1] in NAMES and (len(parts) == 1 or not whole and parts[0] not in MODIFIERS):
             return True
-        if parts[0] in NAMES and (parts[-1] in BOXES or parts[-1].isdigit()):
+        if not whole and parts[0] in NAMES and (parts[-1] in BOXES or parts[-1].isdigit()):
             return True
     return False
 
 
+@dataclass
+class Line:
+    text: str
+    tags: int
+    links: int  # characters in links
+    element: int
+
+
+@dataclass
+class Element:
+    tag: str
+    parent: int
+    marked: bool  # itself, by role, attribute or name
+
+
 class Lines(HTMLParser):
-    """Lines of a page that may be content: (text, tags, path of open elements)."""
+    """Lines of a page that may be content, and its elements in page order."""
 
-    def __init__(self, by_name: bool = True):
-        self.by_name = by_name  # whether names leave parts out
+    def __init__(self, by_name: bool):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, element number, left out
-        self.out = False
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.regions: dict[int, bool] = {}  # article and main elements, whether inside another
+        self.by_name = by_name  # whether marks count
+        self.elements = [Element("", -1, False)]
+        self.open: list[tuple[str, int]] = []  # tag and element; none is -2 where text is left out, -1 inside
+        self.count: Counter[str] = Counter()  # open tags
+        self.never = 0  # open elements whose content is never text
+        self.lines: list[Line] = []
         self.text: list[str] = []
-        self.tags, self.number, self.articles = 0, 0, 0
+        self.tags, self.links = 0, 0
 
     def line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, tuple(e[1] for e in self.open if e[0] not in INLINE)))
+                self.lines.append(Line(text, self.tags, self.links, self.inside()))
                 self.tags = 0
             self.text.clear()
+            self.links = 0
 
-    def left_out(self, tag: str, attrs) -> bool:
-        if tag in NEVER or tag == "header" and not self.articles:
-            return True
-        for k, v in attrs:
-            if k == "hidden" or v and (k in ("class", "id") and self.by_name and tag not in UNNAMED and marked(v) or k == "role" and v.lower() in ROLES or k == "aria-hidden" and v == "true"):
+    def inside(self) -> int:
+        return self.open[-1][1] if self.open else 0
+
+    def marks(self, tag: str, attrs) -> bool:
+        for k, v in attrs if self.by_name else ():
+            if k == "hidden" or v and (k in ("class", "id") and marked(v, tag in UNNAMED) or k == "role" and v.lower() in ROLES or k == "aria-hidden" and v == "true"):
                 return True
         return False
 
     def handle_starttag(self, tag, attrs):
-        if not self.out:
+        if not self.never:
             self.tags += 1
         if tag not in INLINE:
             self.line()
-            if self.open and self.open[-1][0] in INLINE or self.open and self.open[-1][0] == "p":
+            if self.open and (self.open[-1][0] in INLINE or self.open[-1][0] == "p"):
                 self.end_paragraph()
         if tag in VOID:
             return
-        self.number += 1
-        out = self.out or bool(attrs or tag in NEVER or tag == "header") and self.left_out(tag, attrs)
-        self.open.append((tag, self.number, out))
-        self.out = out
-        if tag in ARTICLE:
-            if not out:
-                self.regions[self.number] = self.articles > 0
-            self.articles += 1
+        if tag == "body" and self.count["head"]:
+            self.cut(next(k for k, x in enumerate(self.open) if x[0] == "head"))
+        at = max(self.inside(), -1)
+        inline = tag in INLINE
+        if tag in NEVER or tag == "header" and not self.count["article"] + self.count["main"] or inline and attrs and self.marks(tag, attrs):
+            self.never += 1
+            at = -2
+        elif not self.never and not inline:
+            self.elements.append(Element(tag, at, bool(attrs) and self.marks(tag, attrs)))
+            at = len(self.elements) - 1
+        self.open.append((tag, at))
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -106,66 +143,102 @@ class Lines(HTMLParser):
 
     def end_paragraph(self) -> None:
         """A block ends an open paragraph, and inline elements left open in it."""
-        for k in range(len(self.open) - 1, -1, -1):
-            tag = self.open[k][0]
-            if tag == "p":
-                self.cut(k)
-                return
-            if tag not in INLINE:
-                return
+        if self.count["p"]:
+            for k in range(len(self.open) - 1, -1, -1):
+                tag = self.open[k][0]
+                if tag == "p":
+                    return self.cut(k)
+                if tag not in INLINE:
+                    return None
 
     def cut(self, k: int) -> None:
-        self.articles -= sum(e[0] in ARTICLE for e in self.open[k:])
+        for tag, at in self.open[k:]:
+            self.count[tag] -= 1
+            self.never -= at == -2
         del self.open[k:]
-        self.out = self.open[-1][2] if self.open else False
 
     def handle_endtag(self, tag):
-        if not self.out:
+        if not self.never:
             self.tags += 1
         if tag not in INLINE:
             self.line()
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name == tag:
-                self.cut(k)
-                return
+                return self.cut(k)
             if tag in INLINE and name not in INLINE:
                 return  # nothing of this name is open in this block
 
     def handle_data(self, data):
-        if not self.out:
+        if not self.never:
             self.text.append(data)
+            if self.count["a"]:
+                self.links += len(data.strip())
 
 
-def clustered(lines: list[tuple[str, int, tuple[int, ...]]]) -> list[bool]:
+def clustered(lines: list[Line]) -> list[bool]:
     """Which lines' smoothed text-to-tag ratios reach the threshold."""
-    ratio = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
+    ratio = np.array([len(x.text) / max(1, x.tags) for x in lines])
     near = np.convolve(ratio, KERNEL)[WIDTH : WIDTH + len(ratio)]
     weight = np.convolve(np.ones(len(ratio)), KERNEL)[WIDTH : WIDTH + len(ratio)]
     return list(near / weight >= SHARE * ratio.std())
 
 
+def inherited(elements: list[Element], own: list) -> list:
+    """Of each element: its own value, or else its parent's, from the root down."""
+    out = list(own)
+    for i in range(1, len(elements)):
+        if not out[i]:
+            out[i] = out[elements[i].parent]
+    return out
+
+
+def summed(elements: list[Element], lines: list[Line], of) -> list[int]:
+    """Of each element, the sum of a number over its lines and those below it."""
+    out = [0] * len(elements)
+    for k, x in enumerate(lines):
+        out[x.element] += of(k, x)
+    for i in range(len(elements) - 1, 0, -1):
+        out[elements[i].parent] += out[i]
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    for by_name in (True, False):  # if names leave nothing, they name the whole page's layout
+    for by_name in (True, False):
         parser = Lines(by_name)
         parser.feed(html)
         parser.close()
         parser.line()
-        lines = parser.lines
+        elements, lines = parser.elements, parser.lines
         if lines:
             break
     else:
         return ""
+    # what holds an article or main element that isn't marked itself is no furniture
+    holds = [e.tag in ARTICLE and not e.marked for e in elements]
+    for i in range(len(elements) - 1, 0, -1):
+        holds[elements[i].parent] |= holds[i]
+    out = inherited(elements, [e.marked and not h for e, h in zip(elements, holds)])
+    if all(out[x.element] for x in lines):
+        out = [False] * len(elements)
+    lines = [x for x in lines if not out[x.element]]
     content = clustered(lines)
-    outer = {n for n, inside in parser.regions.items() if not inside}
-    if outer:
-        own = [next((n for n in path if n in outer), 0) for _, _, path in lines]
-        chosen = {n for n, yes in zip(own, content) if yes and n} or set(own) - {0}
-        if chosen:
-            return " ".join(text for (text, _, _), n in zip(lines, own) if n in chosen)
-    return " ".join(text for text, _, _ in lines)
+    loud = summed(elements, lines, lambda k, x: len(x.text) if content[k] else 0)
+    region = inherited(elements, [i if e.tag in ARTICLE and not out[i] else 0 for i, e in enumerate(elements)])
+    for i in range(1, len(elements)):  # the outermost of nested ones
+        region[i] = region[elements[i].parent] or region[i]
+    outer = {r for r in region if r}
+    if outer and sum(loud[r] for r in outer) >= LEAST_ARTICLES * max(1, loud[0]):
+        chosen = {r for r in outer if loud[r] >= max(1, LEAST_ONE * max(loud[x] for x in outer))}
+        return " ".join(x.text for x in lines if region[x.element] in chosen)
+    size = summed(elements, lines, lambda k, x: len(x.text))
+    links = summed(elements, lines, lambda k, x: x.links)
+    quiet = inherited(elements, [i > 0 and e.tag in BLOCKS and not loud[i] and links[i] > LINKS * size[i] for i, e in enumerate(elements)])
+    return " ".join(x.text for x in lines if not quiet[x.element])
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
