@@ -1,12 +1,19 @@
 """The corpus pipeline: quality rules, near-duplicates, benchmark passages,
-personal data, packing. Each stage takes what the one before it kept."""
+personal data, packing. Each stage takes what the one before it kept.
+
+Null and empty texts fail the quality rules. Repeated rows are copies, of which
+the near-duplicate stage keeps one; ties are the operators' own. Very long texts
+take the same way as others. Columns besides doc_id, text and lang are carried
+up to packing, whatever their names. An empty table gives no pieces. Each stage
+but the last is a table in the shared folder, so a lost executor costs a stage
+at most; a table goes when the stage after it is written."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, near_dedup, packing, pseudonyms, quality, scratch
+from plumbline.llm import decontaminate, near_dedup, packing, pseudonyms, quality, queries, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +34,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms in their texts; n_chars follows."""
-    out = pseudonyms.pseudonymise(docs)
+    out = pseudonyms.pseudonymise(docs, queries.run_key(spark))
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -49,6 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = scratch.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            scratch.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
