@@ -26,6 +26,11 @@ RUNNER = r"(年度报告|第[一二三四五六七八九十\d]{1,3}[章节]|股
 PERIODS = (("半年度", "H1"), ("年度报告", "FY"), ("第一季度", "Q1"), ("第三季度", "Q3"))
 REPORT_KEEP = "(年度报告|半年度报告|第一季度报告|第三季度报告)$"
 REPORT_DROP = "(摘要|英文|更正|述职|评估|意见|公告|说明)"
+LEAD = r"^(?:[（(【\[]?[一二三四五六七八九十百\d]{1,3}[）)】\]]?[、.．,，:：]?)*"
+NO_HEADING = "(分析|变动|项目|主要|说明|附注|科目|情况|结构|表外|日|年度)"
+STATEMENTS = {"BS": "资产负债表", "IS": "利润表", "CF": "现金流量表"}
+# (heading, statement, scope): compound names first, as the bare ones end them
+HEADINGS = tuple((f"{scope}{name}", kind, {"合并": "合并"}.get(scope, "母公司")) for scope in ("合并", "母公司", "本公司", "") for kind, name in STATEMENTS.items())
 COMPANY_KEEP = r"\d{4}年(?:年)?(?:度)?报告$"
 COMPANY_DROP = "(摘要|英文|更正|述职|评估|意见|公告|说明|补充|问询|督导|持续督导|关于)"
 
@@ -35,20 +40,19 @@ def compact(s: Column) -> Column:
     return F.regexp_replace(s, r"(?U)[,\s，]", "")
 
 
-def squeezed(s: Column) -> Column:
-    """Runs of blanks and tabs as one blank."""
-    return F.regexp_replace(s, "[ \t]+", " ")
+def squeezed(s: Column, into: str = " ") -> Column:
+    """Runs of blanks and tabs as one blank, or deleted together with commas."""
+    return F.regexp_replace(s, "[ \t]+" if into else "[ \t,]+", into)
 
 
-def label(s: Column, digits: bool = False, prefixes: bool = True, ascii_colon: bool = False, bracket_ordinal: bool = False) -> Column:
-    """A row label without white space, bracketed text, ordinals, prefixes and
-    trailing colons. digits: also without '12、'; prefixes: without one leading
-    'of which', 'plus' or 'minus'; the other two allow what their names say."""
+def label(s: Column, digits: bool = False, prefixes: bool = True, ascii_colon: bool = False) -> Column:
+    """A row label without white space, bracketed text (so without ordinals in
+    brackets), ordinals, prefixes and trailing colons. digits: also without
+    '12、'; prefixes: without one leading 'of which', 'plus' or 'minus';
+    ascii_colon: these also before ':'."""
     out = F.regexp_replace(F.coalesce(s, F.lit("")), BLANK, "")
     out = F.regexp_replace(out, "[（(][^）)]*[）)]", "")
     out = F.regexp_replace(out, "^[一二三四五六七八九十]+、", "")
-    if bracket_ordinal:
-        out = F.regexp_replace(out, r"^[（(][一二三四五六七八九十\d]+[)）]", "")
     if digits:
         out = F.regexp_replace(out, r"^\d+[、.]", "")
     if prefixes:
@@ -89,7 +93,7 @@ def sentences(s: Column) -> Column:
     return F.filter(F.split(s, "(?<=[。；])"), lambda x: F.trim(x) != "")
 
 
-def is_heading(line: Column, name: str, lead: str = r"^[（(]?[0-9一二三四五六七八九十.、）)]*", banned: str = "分析|说明|附注|变动|科目", most: int = 3) -> Column:
+def is_heading(line: Column, name: str, lead: str = LEAD, banned: str = NO_HEADING, most: int = 3) -> Column:
     """Whether a line is a statement heading: after leading numbering it starts
     with the name and nearly nothing follows."""
     s = F.regexp_replace(F.regexp_replace(F.coalesce(line, F.lit("")), BLANK, ""), lead, "")
@@ -97,6 +101,19 @@ def is_heading(line: Column, name: str, lead: str = r"^[（(]?[0-9一二三四
     return s.startswith(name) & (F.char_length(rest) <= most) & ~rest.rlike(banned)
 
 
+def heading(line: Column) -> Column:
+    """Struct of statement and scope of the first heading of HEADINGS that the
+    line is, NULL if it is none."""
+    cases = [(is_heading(line, name), F.struct(F.lit(kind).alias("label"), F.lit(scope).alias("scope"))) for name, kind, scope in HEADINGS]
+    return reduce(lambda acc, c: acc.when(*c), cases[1:], F.when(*cases[0]))
+
+
+def most_specific(s: Column, names: tuple[str, ...]) -> Column:
+    """The longest of the names that s contains; of equal lengths the first."""
+    ordered = sorted(names, key=len, reverse=True)
+    return first_match(s, [(n, n) for n in ordered])
+
+
 def to_number(cell: Column) -> Column:
     """A cell's number; blanks, dashes and anything else are NULL, brackets mean minus."""
     s = F.regexp_replace(F.trim(cell), "[, ]", "")
@@ -135,6 +152,21 @@ def found_in(text: Column, token: Column) -> Column:
     return F.exists(report_variants(token), lambda v: F.contains(compact(text), compact(v)))
 
 
+def amount(x: Column, decimals: int = 2) -> Column:
+    """'1,234.50' or '1,235'; NULL stays NULL."""
+    return F.format_number(x, decimals)
+
+
+def percentage(share: Column, decimals: int = 2) -> Column:
+    """0.1234 as '12.34%'."""
+    return F.concat(F.format_number(100 * share, decimals), F.lit("%"))
+
+
+def nested(s: Column, path: str, default: Column) -> Column:
+    """The value at a path of a JSON text, as text; the default where it's missing or not JSON."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(s), "$." + path, "string"), default)
+
+
 def unit(s: Column) -> Column:
     return F.nullif(F.regexp_extract(s, UNIT, 1), F.lit(""))
 
@@ -211,6 +243,13 @@ def first_match(s: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda acc, p: acc.when(s.contains(p[0]), p[1]), pairs[1:], F.when(s.contains(pairs[0][0]), pairs[0][1]))
 
 
+def unresolved(body: Column, fragments: Column) -> Column:
+    """Sentences with numbers, without a citation, none of whose numbers is in any fragment."""
+    own = lambda s: numbers(s, without_years=True)
+    found = lambda s: F.exists(own(s), lambda n: F.exists(fragments, lambda f: found_in(f, n)))
+    return F.filter(sentences(body), lambda s: (F.size(own(s)) > 0) & ~s.rlike(CITATION) & ~found(s))
+
+
 def repaired(body: Column, fragments: Column) -> Column:
     """A report's text in which each sentence with numbers and no citation gets
     up to three marks of fragments (array of texts) that hold one of its numbers."""

@@ -7,6 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SMALL = 1 << 20  # rows up to which a side is broadcast
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df with a broadcast hint if it has ``most`` rows at most; that is counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Full outer join: keys, value_a, value_b, diff (both sides only), _merge."""
@@ -59,6 +66,29 @@ def lookback(df: DataFrame, value: str, order: str, by: list[str], steps: int, i
     return df.withColumn(into, F.coalesce(F.col(value), *[F.lag(value, k).over(w) for k in range(1, steps + 1)]))
 
 
+def enriched(facts: DataFrame, facts_about: DataFrame, keys: list[str]) -> DataFrame:
+    """facts with what a manifest (one row a key) says of each key; NULL where it says nothing."""
+    return facts.join(small(facts_about), keys, "left")
+
+
+def pairwise(rows: DataFrame, by: list[str], prefer: Column, score: Column) -> DataFrame:
+    """Of competing versions of a thing the one with the best score; the preferred one wins ties."""
+    w = Window.partitionBy(*by).orderBy(score.desc(), prefer.desc())
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def largest(rows: DataFrame, by: list[str], size: Column, least: int, *tie) -> DataFrame:
+    """The largest row of each group with ``least`` at least; the first wins ties."""
+    w = Window.partitionBy(*by).orderBy(size.desc(), *tie)
+    return rows.where(size >= least).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def smallest(rows: DataFrame, size: str, tie: str) -> DataFrame:
+    """The row with the smallest size, as one row."""
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.agg(F.min_by(row, F.struct(F.col(size), F.col(tie))).alias("_r")).where("_r is not null").select("_r.*")
+
+
 def by_dictionary(rows: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
     """rows with their concept: equi-join on keys; of an alias that is claimed
     twice the later definition (ord) counts."""
@@ -69,7 +99,7 @@ def by_dictionary(rows: DataFrame, aliases: DataFrame, keys: list[str]) -> DataF
 def fuzzy(rows: DataFrame, slots: DataFrame, group: list[str], label: str = "label_norm", order: str = "row_idx") -> DataFrame:
     """For each group and slot (slot, name) the row whose label equals the
     name, else the one with the shortest label containing it, first row first."""
-    pairs = rows.join(F.broadcast(slots), F.contains(F.col(label), F.col("name")))
+    pairs = rows.join(small(slots), F.contains(F.col(label), F.col("name")))
     w = Window.partitionBy(*group, "slot").orderBy((F.col(label) == F.col("name")).desc(), F.char_length(label), order)
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
@@ -94,7 +124,9 @@ def equidistant(df: DataFrame, n: int, by: str) -> DataFrame:
 def ranked_globally(df: DataFrame, by: str) -> DataFrame:
     """rank from 0 over the whole table without one task that sorts it: range
     partitions, their sizes, and ranks within."""
-    dealt = df.repartitionByRange(by).withColumn("_p", F.spark_partition_id())
+    # a number of its own keeps the partitions as they are: both readers see one exchange
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, by).withColumn("_p", F.spark_partition_id())
     sizes = dealt.groupBy("_p").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_p", before.alias("_before"))
@@ -104,7 +136,7 @@ def ranked_globally(df: DataFrame, by: str) -> DataFrame:
 
 def product(dimensions: list[DataFrame], facts: DataFrame, keys: list[str]) -> DataFrame:
     """Every combination of small dimensions, with facts where there are any."""
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), dimensions).join(facts, keys, "left")
+    return reduce(lambda a, b: a.crossJoin(small(b)), dimensions).join(facts, keys, "left")
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

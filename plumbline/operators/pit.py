@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import joins
+from plumbline.operators.joins import small
 
 
 def calendar(df: DataFrame, date: str) -> DataFrame:
@@ -40,10 +40,11 @@ def covered_days(facts: DataFrame, days: DataFrame, period: str, announced: str)
     """Distinct days in the union of all windows. Windows are first merged into
     islands, so each day joins one island at most."""
     w = Window.orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    ends = facts.select(F.col(period).cast("date").alias("lo"), F.col(announced).cast("date").alias("hi")).where("lo < hi").distinct()
+    # of windows that start on one day the longest holds all others, so the rows below are as few as days
+    ends = facts.select(F.col(period).cast("date").alias("lo"), F.col(announced).cast("date").alias("hi")).where("lo < hi").groupBy("lo").agg(F.max("hi").alias("hi"))
     marked = ends.withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(w), F.lit("0001-01-01").cast("date"))).cast("int"))
     island = marked.withColumn("island", F.sum("new").over(Window.orderBy("lo", "hi"))).groupBy("island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return days.join(F.broadcast(island), (F.col("day") > F.col("lo")) & (F.col("day") <= F.col("hi")), "left_semi")
+    return days.join(small(island), (F.col("day") > F.col("lo")) & (F.col("day") <= F.col("hi")), "left_semi")
 
 
 def window_statistics(found: DataFrame, covered: DataFrame, days: DataFrame) -> DataFrame:
@@ -54,9 +55,18 @@ def window_statistics(found: DataFrame, covered: DataFrame, days: DataFrame) ->
 
 
 def visible(facts: DataFrame, as_of: DataFrame, announced: str) -> DataFrame:
-    """Each as-of date with the facts announced by then (inclusive). The dates
-    are few; they are broadcast. Do this before anything is counted."""
-    return facts.join(F.broadcast(as_of), F.col(announced) <= F.col("as_of"))
+    """Each as-of date with the facts announced by then (inclusive): a row for
+    each fact and date that sees it. Do this before anything is counted; where
+    counts are all that's wanted, take ``visible_counts``."""
+    return facts.join(small(as_of), F.col(announced) <= F.col("as_of"))
+
+
+def visible_counts(facts: DataFrame, as_of: DataFrame, announced: str) -> DataFrame:
+    """(as_of, n, latest): facts are counted by day first, so that what meets
+    the dates is no longer than a calendar."""
+    daily = facts.groupBy(F.col(announced).alias("_day")).agg(F.count("*").alias("_n"))
+    seen = daily.join(small(as_of), F.col("_day") <= F.col("as_of"))
+    return seen.groupBy("as_of").agg(F.sum("_n").alias("n"), F.max("_day").alias("latest"))
 
 
 def leaks(claims: DataFrame, facts: DataFrame, key: str, announced: str) -> DataFrame:
@@ -64,5 +74,3 @@ def leaks(claims: DataFrame, facts: DataFrame, key: str, announced: str) -> Data
     first = facts.groupBy(key).agg(F.min(announced).alias("first_seen"))
     return claims.join(first, key).where(F.col("first_seen") > F.col("as_of"))
 
-
-__all__ = ["calendar", "covered_days", "joins", "leaks", "ranked_calendar", "visible", "window_statistics", "windows"]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators.joins import small, status_ladder
 
 TOLERANCE = 0.02
 SMALL, SHARE, LEAST = 1000, 0.5, 2  # note columns: small whole numbers in enough rows
@@ -61,20 +62,61 @@ def segments(pages: DataFrame, by: list[str], most: int = 8) -> DataFrame:
 
 
 def identity_residuals(lines: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
-    """Per group, identity and column: lhs - sum(coef * value), and how many
-    required terms are missing. lines: (by, concept, col_idx, value), one row a
-    concept; terms: (ident, concept, coef, optional), the left side with -1."""
-    need = terms.groupBy("ident").agg(F.count_if(~F.col("optional")).alias("required"))
-    cells = lines.join(F.broadcast(terms), "concept").groupBy(*by, "ident", "col_idx").agg(F.sum(F.col("coef") * F.col("value")).alias("_sum"), F.count_if(F.col("value").isNotNull() & ~F.col("optional")).alias("_have"))
-    return cells.join(F.broadcast(need), "ident").select(*by, "ident", "col_idx", (-F.col("_sum")).alias("residual"), (F.col("required") - F.col("_have")).alias("missing"))
+    """Per group, identity and column: lhs - sum(coef * value), how many
+    required terms are missing, and which. lines: (by, concept, col_idx, value),
+    one row a concept; terms: (ident, concept, coef, optional), the left side
+    with -1. A group without any term of an identity has a row too."""
+    need = terms.groupBy("ident").agg(F.collect_list(F.when(~F.col("optional"), F.col("concept"))).alias("_need"))
+    columns = lines.select(*by, "col_idx").distinct().crossJoin(small(need))
+    cells = lines.join(small(terms), "concept").groupBy(*by, "ident", "col_idx").agg(F.sum(F.col("coef") * F.col("value")).alias("_sum"), F.collect_list(F.when(F.col("value").isNotNull(), F.col("concept"))).alias("_have"))
+    absent = F.array_sort(F.array_except("_need", F.coalesce("_have", F.array().cast("array<string>"))))
+    return columns.join(cells, [*by, "ident", "col_idx"], "left").select(*by, "ident", "col_idx", (-F.col("_sum")).alias("residual"), F.size(absent).cast("long").alias("missing"), absent.alias("absent"))
 
 
 def verdicts(residuals: DataFrame, by: list[str], tolerance: float = TOLERANCE) -> DataFrame:
     """Over columns: any failure fails, else one success passes, else skip."""
+    return explained(residuals, by, tolerance).drop("detail")
+
+
+def explained(residuals: DataFrame, by: list[str], tolerance: float = TOLERANCE) -> DataFrame:
+    """(by, ident, verdict, detail): the verdict over columns, with the largest
+    residual or the terms that are missing."""
     judged = F.when(F.col("missing") > 0, None).otherwise(F.abs("residual") <= tolerance)
-    return residuals.withColumn("_ok", judged).groupBy(*by, "ident").agg(
-        F.when(F.coalesce(F.bool_or(~F.col("_ok")), F.lit(False)), "fail").when(F.coalesce(F.bool_or("_ok"), F.lit(False)), "pass").otherwise("skip").alias("verdict")
-    )
+    worst = F.max(F.when(F.col("missing") == 0, F.abs("residual")))
+    per = residuals.withColumn("_ok", judged).groupBy(*by, "ident").agg(F.bool_and("_ok").alias("_all"), worst.alias("_worst"), F.min_by("absent", "missing").alias("_absent"))
+    verdict = F.when(F.col("_all").isNull(), "skip").when(F.col("_all"), "pass").otherwise("fail")
+    detail = F.when(F.col("_all").isNull(), F.concat(F.lit("missing "), F.array_join("_absent", ", "))).otherwise(F.concat(F.lit("residual "), F.format_string("%.2f", F.col("_worst").cast("double"))))
+    return per.select(*by, "ident", verdict.alias("verdict"), detail.alias("detail"))
+
+
+def whole_check(lines: DataFrame, facts: DataFrame, required: DataFrame, terms: DataFrame, ranges: list[tuple[str, str]], by: list[str]) -> DataFrame:
+    """(by, ident, verdict, detail) of all checks of a table: required rows,
+    identities, range sums. lines: as for range_sums, facts: as for identities."""
+    rows = missing_rows(lines, required, by)
+    present = rows.select(*by, F.lit("required rows").alias("ident"), F.when(F.size("missing") > 0, "fail").otherwise("pass").alias("verdict"), F.when(F.size("missing") > 0, F.concat(F.lit("missing "), F.array_join("missing", ", "))).otherwise("complete").alias("detail"))
+    out = present.unionByName(explained(identity_residuals(facts, terms, by), by))
+    for start, end in ranges:
+        cells = range_sums(lines, by, start, end)
+        gap = F.max(F.abs(F.col("inner_sum") - F.col("stated")))
+        per = cells.groupBy(*by).agg(F.count_if(F.col("verdict") == "fail").alias("_bad"), F.count_if(F.col("verdict") == "pass").alias("_ok"), gap.alias("_gap"))
+        verdict = F.when(F.col("_bad") > 0, "fail").when(F.col("_ok") > 0, "pass").otherwise("skip")
+        detail = F.when(verdict == "skip", "no range").otherwise(F.concat(F.lit("residual "), F.format_string("%.2f", F.col("_gap").cast("double"))))
+        out = out.unionByName(per.select(*by, F.lit(f"{start} to {end}").alias("ident"), verdict.alias("verdict"), detail.alias("detail")))
+    return out
+
+
+def check_totals(verdicts_: DataFrame, by: list[str], rollup: bool = True) -> DataFrame:
+    """Passes, failures and skips of each group and, with rollup, of all (NULL
+    keys), and the share of passes among those that could be judged."""
+    groups = verdicts_.rollup(*by) if rollup else verdicts_.groupBy(*by)
+    counts = [F.count_if(F.col("verdict") == v).alias(n) for v, n in (("pass", "passed"), ("fail", "failed"), ("skip", "skipped"))]
+    return groups.agg(*counts).withColumn("pass_rate", F.try_divide("passed", F.col("passed") + F.col("failed")))
+
+
+def judged_rate(verdicts_: DataFrame, ident: str) -> DataFrame:
+    """How many groups an identity could be judged in, of how many."""
+    own = verdicts_.where(F.col("ident") == ident)
+    return own.agg(F.count_if(F.col("verdict") != "skip").alias("judged"), F.count("*").alias("tables")).withColumn("rate", F.try_divide("judged", "tables"))
 
 
 def range_sums(lines: DataFrame, by: list[str], start: str, end: str, anchor: str = "exact", tolerance: float = TOLERANCE) -> DataFrame:
@@ -91,7 +133,7 @@ def range_sums(lines: DataFrame, by: list[str], start: str, end: str, anchor: st
 
 def missing_rows(lines: DataFrame, required: DataFrame, by: list[str]) -> DataFrame:
     """Per group the required names that no label equals or contains."""
-    pairs = lines.select(*by, "label_norm").distinct().crossJoin(F.broadcast(required)).groupBy(*by, "name").agg(F.bool_or(F.contains(F.col("label_norm"), F.col("name"))).alias("found"))
+    pairs = lines.select(*by, "label_norm").distinct().crossJoin(small(required)).groupBy(*by, "name").agg(F.bool_or(F.contains(F.col("label_norm"), F.col("name"))).alias("found"))
     return pairs.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(~F.col("found"), F.col("name")))).alias("missing"))
 
 
@@ -100,6 +142,7 @@ def verdict_counts(rows: DataFrame) -> DataFrame:
 
 
 def skip_reasons(rows: DataFrame, detail: str, member: str) -> DataFrame:
+    """Skips by the first characters of their detail, with the members they concern."""
     return rows.where("verdict = 'skip'").groupBy(F.substring(detail, 1, 24).alias("reason")).agg(F.array_sort(F.collect_set(member)).alias("members"))
 
 
@@ -127,6 +170,21 @@ def conflicts(pages: DataFrame, by: list[str]) -> DataFrame:
     return pages.groupBy(*by).agg(F.count("*").alias("pages"), bad.alias("bad")).withColumn("conflict", F.col("bad") >= F.greatest(F.lit(1), F.floor(F.col("pages") / 2)))
 
 
+def different(compared: DataFrame, by: list[str], most: int = 8) -> DataFrame:
+    """The largest differences of each pair of documents, as one array a pair."""
+    gap = F.struct((-F.abs(F.col("value_a") - F.col("value_b"))).alias("gap"), *[F.col(c) for c in compared.columns if c not in (*by, "same")])
+    # aggregated as a sorted array that is cut in each partial result would need a custom aggregate; a rank keeps it bounded
+    w = Window.partitionBy(*by).orderBy(gap)
+    few = compared.where(~F.col("same")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return few.groupBy(*by).agg(F.array_sort(F.collect_list(gap)).alias("differences"))
+
+
+def first_values(lines: DataFrame, by: list[str]) -> DataFrame:
+    """(by, label_norm, value): of each label's first row with any value, the first column's that isn't NULL."""
+    known = lines.where("value is not null and label_norm <> ''")
+    return known.groupBy(*by, "label_norm").agg(F.min_by("value", F.struct("row_idx", "col_idx", "value")).alias("value"))
+
+
 def mapped(rows: DataFrame, by: list[str]) -> DataFrame:
     """First row of each concept; (by, concept, row_idx, label_norm)."""
     return rows.where("concept is not null").groupBy(*by, "concept").agg(F.min("row_idx").alias("row_idx"), F.min_by("label_norm", "row_idx").alias("label_norm"))
@@ -141,7 +199,7 @@ def duplicate_claims(rows: DataFrame, by: list[str]) -> DataFrame:
 def coverage(wanted: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
     """Hits of all wanted concepts per group, with those that are missing."""
     groups = found.select(*by).distinct()
-    every = groups.crossJoin(F.broadcast(wanted)).join(found.select(*by, "concept", F.lit(True).alias("_hit")).distinct(), [*by, "concept"], "left")
+    every = groups.crossJoin(small(wanted)).join(found.select(*by, "concept", F.lit(True).alias("_hit")).distinct(), [*by, "concept"], "left")
     return every.groupBy(*by).agg(F.count_if("_hit").alias("hits"), F.count("*").alias("total"), F.array_sort(F.collect_list(F.when(F.col("_hit").isNull(), F.col("concept")))).alias("missing"))
 
 
@@ -150,15 +208,27 @@ def divergence(rows: DataFrame, member: str) -> DataFrame:
     return rows.groupBy("concept").agg(F.count_distinct("label_raw").alias("labels"), F.count_distinct(member).alias("members")).where("labels > 1")
 
 
+def label_of_member(rows: DataFrame, member: str) -> DataFrame:
+    """Of each concept with more than one label, the label that each member first gives it, as a map."""
+    first = rows.groupBy("concept", member).agg(F.min_by("label_raw", "row_idx").alias("label"))
+    out = first.groupBy("concept").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(member, "label")))).alias("by_member"))
+    return out.where(F.size(F.array_distinct(F.map_values("by_member"))) > 1)
+
+
 def candidate_score(flat: Column, signatures: dict[str, list[str]], noise: list[str], header: Column) -> Column:
     """The most signature words of any statement, less two for each noise word, plus two for a header with a year."""
     best = F.greatest(*[T.hits(flat, w) for w in signatures.values()]) if len(signatures) > 1 else T.hits(flat, next(iter(signatures.values())))
     return best - 2 * T.hits(flat, noise) + F.when(header, 2).otherwise(0)
 
 
-def short_circuit(candidates: DataFrame, by: list[str], rank: str, score: str, enough: int = 3) -> DataFrame:
-    """Candidates up to the first strategy with a score that is enough; then the best, highest on the page first."""
+MIN_SCORE = 2  # of a candidate that counts at all
+
+
+def short_circuit(candidates: DataFrame, by: list[str], rank: str, score: str, enough: int = 3, least: int | None = None) -> DataFrame:
+    """Candidates up to the first strategy with a score that is enough; then
+    the best, highest on the page first. Those below ``least`` don't count."""
     w = Window.partitionBy(*by)
+    candidates = candidates if least is None else candidates.where(F.col(score) >= least)
     stop = F.min(F.when(F.col(score) >= enough, F.col(rank))).over(w)
     left = candidates.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col(rank) <= F.col("_stop"))).drop("_stop")
     best = Window.partitionBy(*by).orderBy(F.col(score).desc(), "top", rank)
@@ -174,8 +244,6 @@ def rebuilt_lines(words: DataFrame, by: list[str]) -> DataFrame:
 
 def cell_status(found: Column, value: Column, strong: Column, ident_fail: Column, unit: Column) -> tuple[Column, Column]:
     """The trust ladder of a comparison cell."""
-    from plumbline.operators.joins import status_ladder
-
     return status_ladder((~found, "?", "concept missing"), (value.isNull(), "⚠", "extraction gap"), (~strong, "⚠", "no strong label"), (ident_fail, "⚠", "identity fails"), (unit.isNull(), "⚠", "unit unknown"))
 
 
@@ -207,6 +275,18 @@ def overwrite_value(lines: DataFrame, label: str, value: float) -> DataFrame:
     return lines.withColumn("value", F.when(F.col("label_norm") == label, F.lit(value)).otherwise(F.col("value")))
 
 
+def bump_value(lines: DataFrame, label: str, by: float) -> DataFrame:
+    """Only the first column's value of a row."""
+    hit = (F.col("label_norm") == label) & (F.col("col_idx") == 0)
+    return lines.withColumn("value", F.when(hit, F.col("value") + by).otherwise(F.col("value")))
+
+
+def caught(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, was, now) of verdicts that a mutation changed; what can't be judged any more counts."""
+    a, b = (df.select(*keys, F.col("verdict").alias(n)) for df, n in ((before, "was"), (after, "now")))
+    return a.join(b, keys, "full_outer").where(~F.col("was").eqNullSafe(F.col("now")))
+
+
 def merge_concept(aliases: DataFrame, source: str, target: str) -> DataFrame:
     return aliases.withColumn("concept", F.when(F.col("concept") == source, target).otherwise(F.col("concept")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import joins, pit, series
+from plumbline.operators import diagnosis, joins, pit, series
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,19 +85,43 @@ def basket_top_gaps(spark, sf_dir):
 
 
 def return_invariance(spark, sf_dir):
-    return series.invariance(_frame(spark, sf_dir).where("date <> date'2024-01-15'"), "r_raw", "r_adj").select((F.col("max_difference") < 1e-9).alias("invariant"))
+    """Prices adjusted forwards and backwards from the split have the same returns on every day."""
+    raw, backward = _bars(spark, sf_dir)
+    forward = raw.withColumn("close", F.col("close") * F.when(F.day("date") >= 15, 1 / 0.97).otherwise(1.0))
+    frame = series.adjusted_frame(forward, backward)
+    return series.invariance(frame, "r_raw", "r_adj").select((F.col("max_difference") < 1e-9).alias("invariant"))
+
+
+def largest_gaps(spark, sf_dir):
+    """The five days with the largest gap of returns, unknown gaps last."""
+    return diagnosis.largest_gaps(_frame(spark, sf_dir), "fake", 5, "symbol", "date").select("symbol", "date", F.round("fake", 9).alias("fake"))
+
+
+def constituents(spark, sf_dir):
+    """Members of an index from the first source with any: the first one is empty here."""
+    from plumbline.sources.readers import constituents as members
+
+    c = table(spark, sf_dir, "customer").select(F.lpad((F.col("c_custkey") % 500).cast("string"), 6, "0").alias("code"), F.col("c_name").alias("name"))
+    fallback = spark.createDataFrame([("000001", "only if all else is empty")], "code string, name string")
+    return members([c.where("code is null"), c], fallback).select("code", "name", "source")
+
+
+def smallest_part(spark, sf_dir):
+    """The cheapest part, as the one to look at first."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("long").alias("size"))
+    return joins.smallest(p, "size", "p_partkey")
 
 
 def _windows(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     days = pit.calendar(o, "o_orderdate")
-    facts = o.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("key"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("period"), F.col("o_orderdate").cast("date").alias("announced"))
+    facts = o.select(F.col("o_orderkey").alias("key"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("period"), F.col("o_orderdate").cast("date").alias("announced"))
     return facts, days
 
 
 PIT = """
 days AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders),
-facts AS (SELECT o_orderkey AS key, date_trunc('month', o_orderdate)::DATE AS period, o_orderdate::DATE AS announced FROM orders WHERE o_orderkey % 7 = 0),
+facts AS (SELECT o_orderkey AS key, date_trunc('month', o_orderdate)::DATE AS period, o_orderdate::DATE AS announced FROM orders),
 spans AS (SELECT period, announced, (SELECT count(*) FROM days WHERE day > period AND day <= announced) AS trade_days FROM (SELECT DISTINCT period, announced FROM facts)),
 found AS (SELECT key, period, announced, announced - period AS cal_days, trade_days FROM facts JOIN spans USING (period, announced))"""
 
@@ -120,7 +144,7 @@ def as_of_visible(spark, sf_dir):
     """How many orders, and of what total, each as-of date can see."""
     dates = spark.createDataFrame([(f"{y}-06-30",) for y in range(1992, 2026)], "d string").select(F.to_date("d").alias("as_of"))
     o = table(spark, sf_dir, "orders").withColumn("announced", F.col("o_orderdate").cast("date"))
-    return pit.visible(o, dates, "announced").groupBy("as_of").agg(F.count("*").alias("n"), F.max("announced").alias("latest"))
+    return pit.visible_counts(o, dates, "announced")
 
 
 def as_of_leaks(spark, sf_dir):
@@ -188,7 +212,7 @@ def first_qualifying(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    recon_outer, recon_summary, recon_top_diffs, recon_only_a, adjusted_returns, basket_metrics, basket_summary, basket_top_gaps, return_invariance, pit_windows, pit_statistics, trading_calendar,
+    recon_outer, recon_summary, recon_top_diffs, recon_only_a, adjusted_returns, basket_metrics, basket_summary, basket_top_gaps, return_invariance, largest_gaps, constituents, smallest_part, pit_windows, pit_statistics, trading_calendar,
     as_of_visible, as_of_leaks, as_of_join, carried_forward, attributed_forward, looked_back, upserted, best_source, not_yet_fetched, equidistant_sample, first_qualifying,
 )}
 
@@ -201,7 +225,10 @@ ORACLES = {
     "basket_metrics": f"WITH {BARS} SELECT * FROM m",
     "basket_summary": f"WITH {BARS} SELECT count(*) AS symbols, count(*) FILTER (q2_flip_days > 0) AS with_flips, sum(q2_flip_days)::BIGINT AS flip_days, max(q2_flip_days) AS most_flips, count(*) FILTER (q1_ret_gap_pt > 1) AS gap_over_1, count(*) FILTER (q1_ret_gap_pt > 3) AS gap_over_3, round(median(q3_max_fake_gap_pt), 6) AS fake_median, max(q3_max_fake_gap_pt) AS fake_max FROM m WHERE q1_ret_gap_pt IS NOT NULL",
     "basket_top_gaps": f"WITH {BARS} SELECT symbol, q1_ret_gap_pt FROM m ORDER BY q1_ret_gap_pt DESC, symbol LIMIT 3",
-    "return_invariance": f"WITH {BARS} SELECT max(abs(r_raw - r_adj)) < 1e-9 AS invariant FROM frame WHERE date <> '2024-01-15'",
+    "return_invariance": f"WITH {BARS}, v AS (SELECT *, raw * CASE WHEN day(date) >= 15 THEN 1 / 0.97::DOUBLE ELSE 1 END AS fwd FROM f), d AS (SELECT fwd / lag(fwd) OVER o - adj / lag(adj) OVER o AS gap FROM v WINDOW o AS (PARTITION BY symbol ORDER BY date)) SELECT max(abs(gap)) < 1e-9 AS invariant FROM d",
+    "largest_gaps": f"WITH {BARS} SELECT symbol, date, round(fake, 9) AS fake FROM frame ORDER BY abs(fake) DESC NULLS LAST, symbol, date LIMIT 5",
+    "constituents": "SELECT lpad((c_custkey % 500)::VARCHAR, 6, '0') AS code, min(c_name) AS name, 1 AS source FROM customer GROUP BY 1",
+    "smallest_part": "SELECT p_partkey, round(p_retailprice * 100)::BIGINT AS size FROM part ORDER BY size, p_partkey LIMIT 1",
     "pit_windows": f"WITH {PIT} SELECT * FROM found",
     "pit_statistics": f"WITH {PIT}, u AS (SELECT count(*) AS union_days FROM days WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT period, announced FROM facts) s WHERE day > period AND day <= announced)) SELECT count(*) AS windows, avg(trade_days) AS mean_days, sum(trade_days)::BIGINT AS sum_days, any_value(union_days) AS union_days, (SELECT count(*) FROM days) AS calendar_days, sum(trade_days)::BIGINT - any_value(union_days) AS overlap_days, any_value(union_days) / (SELECT count(*) FROM days) AS share FROM found, u",
     "trading_calendar": "SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders)",

@@ -19,7 +19,7 @@ def daily_bars(spark: SparkSession, path: str, vendor: str = "a") -> DataFrame:
 
 def announcements(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.option("header", True).schema(ANNOUNCEMENTS).csv(path)
-    return df.select(F.col("代码").alias("code"), F.col("简称").alias("name"), F.col("公告标题").alias("title"), F.coalesce(F.to_date(F.substring("公告时间", 1, 10))).alias("announced"), F.col("公告链接").alias("url"))
+    return df.select(F.col("代码").alias("code"), F.col("简称").alias("name"), F.col("公告标题").alias("title"), F.to_date(F.try_to_timestamp(F.substring("公告时间", 1, 10), F.lit("yyyy-MM-dd"))).alias("announced"), F.col("公告链接").alias("url"))
 
 
 def resolve(df: DataFrame, *parts: str) -> str:
@@ -66,15 +66,36 @@ def concepts(spark: SparkSession, path: str) -> DataFrame:
     return named.select("stmt", F.col("e.key").alias("concept"), "n", F.posexplode(F.concat(F.array("e.key"), "e.value")).alias("k", "alias")).withColumn("ord", F.col("n") * 1000 + F.col("k")).drop("n", "k")
 
 
-def attributed_log(lines: DataFrame, order: str, text: str, summary: str, warning: str) -> DataFrame:
-    """Warnings (regex with one group or more) of a log with the next summary
-    line's first group; warnings after the last summary are dropped."""
+def attributed_log(lines: DataFrame, order: str, text: str, summary: str, warning: str, file: str) -> DataFrame:
+    """Warnings (regex with one group or more) of logs with the next summary
+    line's first group in the same file; warnings after the last summary are dropped."""
     key = F.nullif(F.regexp_extract(text, summary, 1), F.lit(""))
     marked = lines.withColumn("key", key)
-    following = Window.orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    following = Window.partitionBy(file).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
     return marked.withColumn("owner", F.first("key", ignorenulls=True).over(following)).where(F.col(text).rlike(warning) & F.col("owner").isNotNull() & F.col("key").isNull())
 
 
+def constituents(sources: list[DataFrame], fallback: DataFrame) -> DataFrame:
+    """Members of an index (code, name, source): the first source with any row,
+    else a table that ships; of a code named twice the first name in order."""
+    ranked = [df.select(F.col("code").cast("string"), "name", F.lit(k).alias("source")) for k, df in enumerate([*sources, fallback])]
+    every = ranked[0]
+    for df in ranked[1:]:
+        every = every.unionByName(df)
+    best = every.agg(F.min("source").alias("source"))
+    return every.join(F.broadcast(best), "source").groupBy("code", "source").agg(F.min("name").alias("name"))
+
+
+def cached(spark: SparkSession, path: str, wanted: DataFrame, keys: list[str]) -> tuple[DataFrame | None, DataFrame]:
+    """(what a cache partitioned by keys holds of the wanted keys, what is still to be fetched)."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None, wanted
+    held = spark.read.parquet(path)
+    held = held.withColumns({k: F.col(k).cast(wanted.schema[k].dataType) for k in keys})
+    return held.join(wanted.select(*keys), keys, "left_semi"), missing(wanted, held.select(*keys), keys)
+
+
 def valid_files(files: DataFrame, magic: str = "%PDF", least: int = 1_500_000) -> DataFrame:
     """Rows of a binaryFile source with the right first bytes and size."""
     return files.where((F.substring("content", 1, len(magic)).cast("string") == magic) & (F.length("content") >= least))

@@ -16,12 +16,29 @@ def non_empty(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+BOM = "\ufeff"
+
+
 def csv(df: DataFrame, path: str) -> None:
-    non_empty(df, path).write.mode("overwrite").option("header", True).csv(path)
+    """CSV whose files start with a byte order mark, as spreadsheets want it."""
+    first, *rest = df.columns
+    named = non_empty(df, path).withColumnRenamed(first, BOM + first)
+    named.write.mode("overwrite").option("header", True).csv(path)
 
 
 def json(df: DataFrame, path: str) -> None:
-    non_empty(df, path).write.mode("overwrite").json(path)
+    non_empty(df, path).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def document(df: DataFrame, path: str) -> None:
+    """One indented JSON document of all rows, for results that a person reads."""
+    rows = F.to_json(F.array_agg(F.struct(*[F.col(c) for c in df.columns])), {"pretty": "true", "ignoreNullFields": "false"})
+    non_empty(df, path).coalesce(1).agg(rows.alias("value")).write.mode("overwrite").text(path)
+
+
+def partitions(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Adds to a cache partitioned by keys, or replaces the partitions it has."""
+    non_empty(df, path).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def append_runs(df: DataFrame, path: str) -> None:
@@ -39,7 +56,9 @@ def fingerprint(content: Column, digits: int = 12) -> Column:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A report table; meant for results that a person reads."""
-    rows = df.limit(most).collect()
+    """A report table for a person to read; longer results are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for one table")
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
