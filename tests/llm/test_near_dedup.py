@@ -23,7 +23,7 @@ def common(a, b):
 
 def alike(a, b):
     longer = max(len(a), len(b))
-    return min(len(a), len(b)) >= 0.8 * longer and len(set(a) & set(b)) >= 0.3 * longer and common(a, b) >= 0.8 * longer - 1e-9
+    return min(len(a), len(b)) >= nd.SIMILARITY * longer and len(set(a) & set(b)) >= 0.3 * longer and common(a, b) >= nd.SIMILARITY * longer - 1e-9
 
 
 def pairs_at(share, seed, n, words):
@@ -44,7 +44,7 @@ def class_of(spark, texts):
 
 
 def test_recall_of_edits(spark):
-    shares, each = (0.02, 0.05, 0.08, 0.12, 0.15, 0.18, 0.195), 60
+    shares, each = (0.02, 0.05, 0.08, 0.11, 0.145), 80
     texts = [t for k, share in enumerate(shares) for t in pairs_at(share, k, each, 400)]
     got = class_of(spark, texts)
     found = [sum(got[2 * (each * k + i)] == got[2 * (each * k + i) + 1] for i in range(each)) / each for k in range(len(shares))]
