@@ -17,8 +17,9 @@ Probabilities are smoothed by absolute discounting: what a context's kept
 continuations leave goes to the shorter context, down to the unigrams, of which
 a small share goes to words not seen. The sums of the decoded counts and the
 numbers of continuations, which normalise them, go with the shards as sorted
-arrays. So the probabilities of all words behind a context sum to one, but for
-false positives of the filter, 2**-PROBES of the probes.
+arrays; they are summed from what the finished filter gives back. So the
+probabilities of all words behind a context sum to one, but for false positives
+of level 1, one in a million probes.
 
 The add-0.1 unigram base needs the exact count of every token: frequent ones
 (a relative frequency of 2**-KEPT, so at most 2**KEPT words) are broadcast, all
@@ -44,10 +45,12 @@ from plumbline.llm import scratch, spans
 from plumbline.llm.spans import U64
 
 KEPT = 20  # bits: a word's count is broadcast for the base from a relative frequency of 2**-KEPT
-BASE = 2.0**0.5  # of the levels
+BASE = 2.0  # of the levels
 MIN_COUNT = 2  # of n-grams of two tokens and more
-PROBES, BITS_EACH = 20, 29  # of the filter: hash functions, and bits for each key
-SHARD, ROOM = 128 << 20, 256 << 20  # bytes of a shard, and of all shards that a worker keeps
+PROBES = (20, 7)  # hash functions of a key of level 1, which tells whether an n-gram is there, and of higher levels
+BITS = 1.45  # of the filter for each hash function of each key
+GATE = 4  # hash functions that tell whether an n-gram may be there
+SHARD, ROOM = 32 << 20, 128 << 20  # bytes of a shard, and of all shards that a worker keeps
 LOW, LOW_BITS = U64((1 << 48) - 1), U64(48)  # what tells keys of one bucket apart
 DISCOUNT = 0.75
 ADD = 0.1  # of the unigram base
@@ -100,33 +103,36 @@ class Shard:
     total: np.ndarray = field(default_factory=lambda: np.zeros(0))  # decoded counts of its kept continuations
     rest: np.ndarray = field(default_factory=lambda: np.zeros(0))  # share of the shorter context
 
+    probes: tuple[int, int] = PROBES
+
     @staticmethod
-    def places(key: np.ndarray, j: int, size):
+    def places(key: np.ndarray, j: int, size, probes: int):
         a = spans.mix(key, 1000 + j)
         step = ((a >> U64(32)) | U64(1)) * ODD[1]
-        for _ in range(PROBES):
+        for _ in range(probes):
             yield ((a & U64(0xFFFFFFFF)) * size) >> U64(32)
             a = a + step
 
     @classmethod
-    def filter_of(cls, key: np.ndarray, q: np.ndarray) -> tuple[int, bytes]:
-        """Size and bits of one bucket's filter."""
-        size = 64 * max(1, -(-int(q.sum()) * BITS_EACH // 64))
+    def of_bucket(cls, b: int, key: np.ndarray, q: np.ndarray, probes: tuple[int, int]) -> Shard:
+        """The filter of one bucket; key: named."""
+        size = 64 * max(1, int(np.ceil((len(q) * probes[0] + int((q - 1).sum()) * probes[1]) * BITS / 64)))
         on = np.zeros(size, bool)
         for j in range(1, int(q.max(initial=0)) + 1):
-            for at in cls.places(key[q >= j], j, U64(size)):
+            for at in cls.places(key[q >= j], j, U64(size), probes[j > 1]):
                 on[at.astype(np.int64)] = True
-        return size, np.packbits(on, bitorder="little").tobytes()
+        return cls(b, b + 1, np.zeros(1, U64), np.array([size], U64), np.packbits(on, bitorder="little"), probes=probes)
 
-    def has(self, key: np.ndarray, start: np.ndarray, size: np.ndarray, j: int) -> np.ndarray:
+    def has(self, key: np.ndarray, start: np.ndarray, size: np.ndarray, j: int, probes: int) -> np.ndarray:
         left = np.flatnonzero(size > 0)
         a = spans.mix(key[left], 1000 + j)
         step = ((a >> U64(32)) | U64(1)) * ODD[1]
         start, size = start[left], size[left]
-        for _ in range(PROBES):
+        for _ in range(probes):
             at = start + (((a & U64(0xFFFFFFFF)) * size) >> U64(32))
             ok = (self.bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
-            left, a, step, start, size = left[ok], a[ok], step[ok], start[ok], size[ok]
+            if not ok.all():
+                left, a, step, start, size = left[ok], a[ok], step[ok], start[ok], size[ok]
             if not len(left):
                 break
             a = a + step
@@ -134,12 +140,16 @@ class Shard:
         out[left] = True
         return out
 
+    def maybe(self, h: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which are in the filter or, for a few, seem so."""
+        return self.has(named(h, b), self.start[b - self.lo], self.size[b - self.lo], 1, min(GATE, self.probes[0]))
+
     def levels(self, h: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Repeated probes, up to the first miss; b: the buckets of h."""
         key, start, size = named(h, b), self.start[b - self.lo], self.size[b - self.lo]
         out, left, j = np.zeros(len(h), np.int64), np.arange(len(h)), 1
         while len(left):
-            left = left[self.has(key[left], start[left], size[left], j)]
+            left = left[self.has(key[left], start[left], size[left], j, self.probes[j > 1])]
             out[left] = j
             j += 1
         return out
@@ -166,6 +176,7 @@ class Model:
     distinct: int
     unseen: float  # share of words not seen
     keep: bool  # whether workers keep all shards
+    probes: tuple[int, int]
 
     def each(self, k: int, h: np.ndarray):
         """(shard, those of h that are its own, their buckets)."""
@@ -186,6 +197,13 @@ class Model:
             q[own] = shard.levels(h[own], b)
         return decoded(q, self.min_count if k else 1)
 
+    def maybe(self, k: int, h: np.ndarray) -> np.ndarray:
+        """Which n-grams of k + 1 tokens may be kept ones."""
+        out = np.zeros(len(h), bool)
+        for shard, own, b in self.each(k, h):
+            out[own] = shard.maybe(h[own], b)
+        return out
+
     def contexts(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Totals and rests of contexts of k tokens; 0 and 1 where unknown."""
         total, rest = np.zeros(len(h)), np.ones(len(h))
@@ -200,16 +218,24 @@ class Model:
         u, back = np.unique(h, return_inverse=True)
         p = ((1 - self.unseen) * self.counts(0, u) / max(self.words, 1e-300) + self.unseen / (self.distinct + 1))[back]
         place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+        before = np.arange(len(h))  # of each token, where the n-gram that ends there is among those of the order before
         for k in range(1, len(self.shards)):
+            # an n-gram of one order is the context of the next token's n-gram
+            total, rest = self.contexts(k, u)
             at = np.flatnonzero(place >= k)
-            c, c_back = np.unique(gram_hash([h[at - i] for i in range(k, 0, -1)]), return_inverse=True)
-            total, rest = (x[c_back] for x in self.contexts(k, c))
-            at, total, rest = at[total > 0], total[total > 0], rest[total > 0]
+            of = back[before[at - 1]]
+            at, of = at[total[of] > 0], of[total[of] > 0]
             if not len(at):
                 break
-            g, g_back = np.unique(gram_hash([h[at - i] for i in range(k, -1, -1)]), return_inverse=True)
-            seen = np.maximum(self.counts(k, g)[g_back] - DISCOUNT, 0.0)
+            total, rest = total[of], rest[of]
+            u, back = np.unique(gram_hash([h[at - i] for i in range(k, -1, -1)]), return_inverse=True)
+            seen = np.maximum(self.counts(k, u)[back] - DISCOUNT, 0.0)
             p[at] = np.minimum(seen / total, 1 - rest) + rest * p[at]  # no n-gram has more than all behind its context
+            if k + 1 < len(self.shards):
+                before = np.full(len(h), len(at))
+                before[at] = np.arange(len(at))
+                back, u = np.append(back, len(u)), np.append(u, U64(0))
+                place = np.where(np.r_[len(at), before[:-1]] < len(at), place, 0)  # contexts that were not looked for are unknown
         return p
 
 
@@ -250,8 +276,8 @@ def numbers(table: pa.Table, name: str, kind: int | str) -> np.ndarray:
     return np.concatenate([np.zeros(0, U64 if isinstance(kind, int) else kind)] + [spans.unpack(x, kind) if isinstance(kind, int) else np.frombuffer(x, kind) for x in values])
 
 
-def counted(train: DataFrame, n: int) -> DataFrame:
-    """Exact counts of all tokens: one row a bucket, of sorted keys and counts."""
+def counted(train: DataFrame, n: int, probes: tuple[int, int] = PROBES) -> DataFrame:
+    """Exact counts of all tokens: one row a bucket, of sorted keys and counts, and their filter."""
 
     def found(texts):
         for _, h, _ in tokens(texts):
@@ -262,8 +288,9 @@ def counted(train: DataFrame, n: int) -> DataFrame:
 
     def total(table: pa.Table) -> pa.Table:
         k, c = merged(numbers(table, "a", "<u8"), numbers(table, "b", "<u4").astype(np.int64))
-        size, bits = Shard.filter_of(named(k, np.full(len(k), table["bucket"][0].as_py())), level(c, 1))
-        return pa.table({"bucket": table["bucket"][:1], "keys": pa.array([k.tobytes()]), "counts": pa.array([c.tobytes()]), "distinct": pa.array([len(k)]), "total": pa.array([int(c.sum())]), "size": pa.array([size]), "bits": pa.array([bits]), "decoded": pa.array([float(decoded(level(c, 1), 1).sum())])})
+        b = np.full(len(k), table["bucket"][0].as_py())
+        made = Shard.of_bucket(int(b[0]), named(k, b), level(c, 1), probes)
+        return pa.table({"bucket": table["bucket"][:1], "keys": pa.array([k.tobytes()]), "counts": pa.array([c.tobytes()]), "distinct": pa.array([len(k)]), "total": pa.array([int(c.sum())]), "size": pa.array([int(made.size[0])]), "bits": pa.array([made.bits.tobytes()]), "decoded": pa.array([float(decoded(made.levels(k, b), 1).sum())])})
 
     rows = train.mapInArrow(lambda batches: flushed(batches, found, add, lambda k, c: by_rows(bucket(k, n), (k, "<u8"), (c, "<u4"))), "bucket long, a binary, b binary")
     return rows.repartition(n, "bucket").groupBy("bucket").applyInArrow(total, "bucket long, keys binary, counts binary, distinct long, total long, size long, bits binary, decoded double")
@@ -272,14 +299,14 @@ def counted(train: DataFrame, n: int) -> DataFrame:
 def grams(train: DataFrame, k: int, model: Model) -> DataFrame:
     """Filters of n-grams of k + 1 tokens, one row a bucket, and rows with what
     each bucket's n-grams add to their contexts (ctx_bucket, ctx, z, m)."""
-    n, least = model.n, model.min_count
+    n, least, probes = model.n, model.min_count, model.probes
 
     def found(texts):
         for _, h, first in tokens(texts):
             at = np.flatnonzero(np.arange(len(h)) - np.repeat(first[:-1], np.diff(first)) >= k)
             if k > 1 and least > 1:
                 u, back = np.unique(gram_hash([h[:-1], h[1:]]) if k == 2 else gram_hash([h[i : len(h) - k + 1 + i] for i in range(k)]), return_inverse=True)
-                kept = (model.counts(k - 1, u) > 0)[back]  # the n-grams of k tokens, by their first
+                kept = model.maybe(k - 1, u)[back]  # the n-grams of k tokens, by their first
                 at = at[kept[at - k] & kept[at - k + 1]]
             g, first_at, c = np.unique(gram_hash([h[at - i] for i in range(k, -1, -1)]), return_index=True, return_counts=True)
             yield g, c, gram_hash([h[at[first_at] - i] for i in range(k, 0, -1)])
@@ -297,14 +324,14 @@ def grams(train: DataFrame, k: int, model: Model) -> DataFrame:
         b = table["bucket"][0].as_py()
         g, c, ctx = add([(numbers(table, "a", 6), numbers(table, "b", "<u4").astype(np.int64), numbers(table, "c", "<u8"))])
         g, c, ctx = g[c >= least], c[c >= least], ctx[c >= least]
-        q = level(c, least)
-        size, bits = Shard.filter_of(named(g, np.full(len(g), b)), q)
+        in_b = np.full(len(g), b)
+        made = Shard.of_bucket(b, named(g, in_b), level(c, least), probes)
         u, back = np.unique(ctx, return_inverse=True)
-        z, m = np.bincount(back, decoded(q, least), len(u)), np.bincount(back, minlength=len(u))
+        z, m = np.bincount(back, decoded(made.levels(g, in_b), least), len(u)), np.bincount(back, minlength=len(u))
         own = by_rows(bucket(u, n), (u & LOW, 6), (z, "<f8"), (m, "<u4")) if len(u) else None
         some = own.num_rows if own is not None else 0
         null = lambda t: pa.nulls(some, t)
-        columns = [(pa.int64(), b, null(pa.int64())), (pa.int64(), size, null(pa.int64())), (pa.binary(), bits, null(pa.binary()))]
+        columns = [(pa.int64(), b, null(pa.int64())), (pa.int64(), int(made.size[0]), null(pa.int64())), (pa.binary(), made.bits.tobytes(), null(pa.binary()))]
         out = [pa.concat_arrays([pa.array([x], t), rest]) for t, x, rest in columns]
         out += [pa.concat_arrays([pa.array([None], t), own.column(i) if own is not None else pa.nulls(0, t)]) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
         return pa.table(out, names=["bucket", "size", "bits", "ctx_bucket", "ctx", "z", "m"])
@@ -325,7 +352,7 @@ def contexts(made: DataFrame, n: int) -> DataFrame:
     return rows.repartition(n, "bucket").groupBy("bucket").applyInArrow(total, "bucket long, ctx binary, z binary, m binary")
 
 
-def shards_of(filters: DataFrame, own_contexts: DataFrame | None, n: int) -> tuple[list, list[int], int]:
+def shards_of(filters: DataFrame, own_contexts: DataFrame | None, n: int, probes: tuple[int, int]) -> tuple[list, list[int], int]:
     """Broadcast shards, their first buckets, and their bytes; one at a time
     passes through the driver."""
     spark = filters.sparkSession
@@ -334,7 +361,7 @@ def shards_of(filters: DataFrame, own_contexts: DataFrame | None, n: int) -> tup
         size[r["bucket"]] += r["n"]
     if own_contexts is not None:
         for r in own_contexts.select("bucket", F.octet_length("ctx").alias("n")).collect():
-            size[r["bucket"]] += 3 * r["n"]
+            size[r["bucket"]] += 4 * r["n"]
     out, bounds, lo = [], [], 0
     while lo < n:
         hi = max(lo + 1, min(lo + 65536, int(np.searchsorted(np.cumsum(size[lo:]), SHARD, "right")) + lo))
@@ -344,7 +371,8 @@ def shards_of(filters: DataFrame, own_contexts: DataFrame | None, n: int) -> tup
         at = 0
         for r in rows:
             start[r["bucket"] - lo], bits[r["bucket"] - lo], at = at, r["size"], at + r["size"]
-        shard = Shard(lo, hi, start, bits, np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8))
+        shard = Shard(lo, hi, start, bits, np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8), probes=probes)
+        del rows
         if own_contexts is not None:
             rows = sorted(own_contexts.where(within).collect())
             shard.context = np.concatenate([np.zeros(0, U64)] + [(U64(r["bucket"] - lo) << LOW_BITS) | np.frombuffer(r["ctx"], "<u8") for r in rows])
@@ -352,6 +380,7 @@ def shards_of(filters: DataFrame, own_contexts: DataFrame | None, n: int) -> tup
             shard.total, shard.rest = z, DISCOUNT * m / np.maximum(z, 1e-300)
         bounds.append(lo)
         out.append(spark.sparkContext.broadcast(shard))
+        del shard
         lo = hi
     return out, bounds, int(size.sum())
 
@@ -380,15 +409,15 @@ def place_of(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, at, -1)
 
 
-def train(docs: DataFrame, counts: DataFrame, n: int, order: int, min_count: int) -> Model:
+def train(docs: DataFrame, counts: DataFrame, n: int, order: int, min_count: int, probes: tuple[int, int] = PROBES) -> Model:
     """The model; docs: (text) of the training documents, counts: those of their tokens."""
     total, distinct, words = (x or 0 for x in counts.agg(F.sum("total"), F.sum("distinct"), F.sum("decoded")).first())
-    shards, bounds, size = shards_of(counts, None, n)
-    model = Model([shards], [bounds], n, min_count, float(words), distinct, ADD * (distinct + 1) / max(total + ADD * (distinct + 1), 1e-300), True)
+    shards, bounds, size = shards_of(counts, None, n, probes)
+    model = Model([shards], [bounds], n, min_count, float(words), distinct, ADD * (distinct + 1) / max(total + ADD * (distinct + 1), 1e-300), size <= ROOM, probes)
     for k in range(1, order):
         made = scratch.staged(grams(docs, k, model), f"grams-{k + 1}")
         own = scratch.staged(contexts(made, n), f"contexts-{k}")
-        shards, bounds, more = shards_of(made.where("bits is not null"), own, n)
+        shards, bounds, more = shards_of(made.where("bits is not null"), own, n, probes)
         scratch.discard(made)
         scratch.discard(own)
         size += more
@@ -396,7 +425,7 @@ def train(docs: DataFrame, counts: DataFrame, n: int, order: int, min_count: int
     return model
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 3, min_count: int = MIN_COUNT) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 3, min_count: int = MIN_COUNT, probes: tuple[int, int] = PROBES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of
     every row; rows with crc32(id as text) mod folds = 0 are held out."""
     spark = docs.sparkSession
@@ -404,13 +433,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     training = rows.where("not held_out").select("text")
     n = scratch.buckets_for(spark, scratch.text_bytes(rows))
-    counts = scratch.staged(counted(training, n), "tokens")
-    model = train(training, counts, n, order, min_count)
+    counts = scratch.staged(counted(training, n, probes), "tokens")
+    model = train(training, counts, n, order, min_count, probes)
     total, distinct = (x or 0 for x in counts.agg(F.sum("total"), F.sum("distinct")).first())
     words, word_counts = collected(counts, max(1, -(-total >> KEPT)))
     bottom = np.log10(total + ADD * (distinct + 1)) if total else 0.0
     shared = spark.sparkContext.broadcast((words, np.log10(word_counts + ADD) - bottom))
-    stretch = (2 if model.keep else 16) << 20  # bytes of text for which all shards are looked through
+    stretch = (2 if model.keep else 8) << 20  # bytes of text for which all shards are looked through
 
     def passed(batches):
         words, logs = shared.value
