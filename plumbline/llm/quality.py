@@ -6,10 +6,12 @@ Jensen-Shannon distance (base 2, from 0 to 1). A distance counts only from a
 minimum length on, as short texts stray from any reference by chance. A few
 base rules on length and repetition come first.
 
-Null texts are empty, and so rejected as too short. Null or unknown languages
-share one reference. Repeated rows count each. Every column of the input is
-kept as it is; the verdicts come in one struct column whose name the caller
-chooses. An empty table gives an empty table.
+Null and empty texts have no words, and so are rejected as too short. Very long
+texts are split once; one must fit into a task's memory. Null or unknown
+languages share one reference. Repeated rows count each; ties don't arise.
+Every column of the input is kept as it is; the verdicts come in one struct
+column whose name the caller chooses and no column has. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import scratch
 from plumbline.llm.exprs import let, total, unused, words
 
 # Common words of each language.
@@ -104,48 +107,53 @@ def distance(p: Column, q: Column) -> Column:
     return let(F.struct(total(p, zero).cast("double").alias("p"), total(q, zero).cast("double").alias("q")), of)
 
 
-def references(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+LONGEST = max(map(len, LISTS.values())) + 1
+
+
+def facts(text: Column, lang: Column) -> Column:
+    """Everything that is measured in a text: words, lines, repeats, and the two
+    histograms (common words of the language, then all other words)."""
+
+    def of(w: Column) -> Column:
+        letters = F.char_length(F.array_join(w, ""))
+        lines = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+        return let(
+            classes(text, letters),
+            lambda c: F.struct(
+                F.size(w).cast("long").alias("n_words"), letters.cast("long").alias("word_chars"), F.get(c, F.lit(4)).alias("n_symbols"), lines.cast("long").alias("n_dup_lines"),
+                repeated_words(w).alias("n_repeat_words"), F.char_length(text).alias("n_chars"), c.alias("chars"), common_counts(w, lang).alias("words"),
+            ),
+        )
+
+    return let(words(text), of)
+
+
+def references(measured: DataFrame, own: str, fact: str) -> DataFrame:
     """Pooled histograms of each language over the whole table: five rows at most."""
-    text, lang = F.coalesce(F.col(text_col), F.lit("")), language(F.col(lang_col))
-    counts = docs.select(
-        lang.alias("lang"),
-        let(words(text), lambda w: F.struct(classes(text, F.char_length(F.array_join(w, ""))).alias("chars"), common_counts(w, lang).alias("words"))).alias("n"),
-    )
-    longest = max(map(len, LISTS.values())) + 1
-    sums = [F.sum(F.coalesce(F.get("n.chars", F.lit(i)), F.lit(0))).alias(f"c{i}") for i in range(7)] + [F.sum(F.get("n.words", F.lit(i))).alias(f"w{i}") for i in range(longest)]
-    out = counts.groupBy("lang").agg(*sums)
-    return out.select("lang", F.array(*[f"c{i}" for i in range(7)]).alias("chars"), F.filter(F.array(*[f"w{i}" for i in range(longest)]), lambda x: x.isNotNull()).alias("words"))
+    sums = [F.sum(F.coalesce(F.get(f"{fact}.chars", F.lit(i)), F.lit(0))).alias(f"c{i}") for i in range(7)] + [F.sum(F.get(f"{fact}.words", F.lit(i))).alias(f"w{i}") for i in range(LONGEST)]
+    out = measured.groupBy(own).agg(*sums)
+    return out.select(own, F.array(*[f"c{i}" for i in range(7)]).alias("chars"), F.filter(F.array(*[f"w{i}" for i in range(LONGEST)]), lambda x: x.isNotNull()).alias("words"))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", verdict: str = "quality") -> DataFrame:
     """docs with a struct column: n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, char_distance, word_distance, base_failed, kept."""
-    ref, own = unused(docs, f"{verdict}_reference"), unused(docs, f"{verdict}_language")
-    refs = references(docs, text_col, lang_col).select(F.col("lang").alias(own), F.struct("chars", "words").alias(ref))
-    text, lang, r = F.coalesce(F.col(text_col), F.lit("")), language(F.col(lang_col)), F.col(ref)
-    lines = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-
-    def facts(w: Column) -> Column:
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            repeated_words(w).alias("n_repeat_words"),
-            F.when(F.size(w) >= WORDS_FROM, common_counts(w, lang)).alias("words"),
-        )
-
-    def measured(v: Column) -> Column:
-        return let(classes(text, v["word_chars"]), lambda c: compared(v, c))
-
-    def compared(v: Column, c: Column) -> Column:
-        by_chars = F.when(F.char_length(text) >= CHARS_FROM, distance(c, r["chars"]))
-        by_words = F.when(v["n_words"] >= WORDS_FROM, distance(v["words"], r["words"]))
-        base = (v["n_words"] < MIN_WORDS) | (100 * v["n_repeat_words"] > MAX_REPEATED * v["n_words"])
-        return F.struct(v["n_words"].alias("n_words"), v["word_chars"].alias("word_chars"), F.get(c, F.lit(4)).alias("n_symbols"), lines.cast("long").alias("n_dup_lines"), v["n_repeat_words"].alias("n_repeat_words"), by_chars.alias("char_distance"), by_words.alias("word_distance"), base.alias("base_failed"))
-
-    def decided(v: Column) -> Column:
-        kept = ~v["base_failed"] & (F.coalesce(v["char_distance"], F.lit(0.0)) <= CHARS_MOST) & (F.coalesce(v["word_distance"], F.lit(0.0)) <= WORDS_MOST)
-        return v.withField("kept", kept)
-
-    # one expression, so that no part of it is worked out again for each of its fields
-    out = let(words(text), lambda w: let(facts(w), lambda v: let(measured(v), decided)))
-    return docs.withColumn(own, lang).join(F.broadcast(refs), own, "left").withColumn(verdict, out).drop(own, ref)
+    n_repeat_words, char_distance, word_distance, base_failed, kept. Texts are
+    measured once; rows with their measures are written and read back, first
+    for the references, then for the verdicts."""
+    if verdict in docs.columns:
+        raise ValueError(f"there is a column {verdict} already")
+    ref, own, fact = (unused(docs, f"{verdict}_{n}") for n in ("reference", "language", "facts"))
+    lang = language(F.col(lang_col))
+    measured = scratch.staged(docs.withColumns({own: lang, fact: facts(F.coalesce(F.col(text_col), F.lit("")), lang)}), "measured")
+    refs = references(measured, own, fact).select(own, F.struct("chars", "words").alias(ref))
+    v, r = F.col(fact), F.col(ref)
+    by_chars = F.when(v["n_chars"] >= CHARS_FROM, distance(v["chars"], r["chars"]))
+    by_words = F.when(v["n_words"] >= WORDS_FROM, distance(v["words"], r["words"]))
+    base = (v["n_words"] < MIN_WORDS) | (100 * v["n_repeat_words"] > MAX_REPEATED * v["n_words"])
+    found = F.struct(*[v[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], by_chars.alias("char_distance"), by_words.alias("word_distance"), base.alias("base_failed"))
+
+    def decided(x: Column) -> Column:
+        kept = ~x["base_failed"] & (F.coalesce(x["char_distance"], F.lit(0.0)) <= CHARS_MOST) & (F.coalesce(x["word_distance"], F.lit(0.0)) <= WORDS_MOST)
+        return x.withField("kept", kept)
+
+    return measured.join(F.broadcast(refs), own, "left").withColumn(verdict, let(found, decided)).drop(own, ref, fact)
