@@ -2,16 +2,19 @@
 many ids of how many bits the other sixty hold.
 
 File: magic, blocks, footer, trailer. A block is two little-endian 32-bit
-counts (ids, words) and its words. The footer holds the blocks' offsets and,
-for each document, its id and number of ids, so that any document is found
-without reading what lies before it. The trailer gives the footer's length.
-
-Documents are dealt by ranges of their id and written in ascending order
-(nulls first, rows of one id in any order). A file's name is unique to the
-attempt that wrote it and counts only once it is in the manifest, so lost
-executors and repeated tasks leave no wrong files. Null texts are empty: they
-have the end id alone. Other columns are not carried; an empty table gives an
-empty manifest.
+counts (ids, words) and its words. The footer holds the blocks' offsets and, as
+an Arrow stream, for each document its id, of any type, and number of ids, so
+that any document is found without reading what lies before it. The trailer
+gives the footer's length.
+
+Documents are dealt by ranges of their id and of a hash, so that equal or null
+ids can fill several files, and written in ascending order of id (nulls first,
+ties by the hash). A file's name is unique to the attempt that wrote it and
+counts only once it is in the manifest, so lost executors and repeated tasks
+leave no wrong files. Null texts are empty: they have the end id alone. Very
+long texts span blocks; one must fit into a task's memory. Repeated rows are
+written each. Other columns are not carried and may have any name; an empty
+table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.llm import scratch, tokens
 
@@ -105,8 +109,8 @@ class Writer:
         self.out.write(data)
         self.size += len(data)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id is not None, doc_id or 0, len(ids)))
+    def add(self, doc_id: pa.Scalar, ids: np.ndarray) -> None:
+        self.docs.append((doc_id, len(ids)))
         self.rest.append(ids)
         if sum(map(len, self.rest)) >= BLOCK:
             ids = np.concatenate(self.rest)
@@ -124,11 +128,15 @@ class Writer:
         ids = np.concatenate(self.rest) if self.rest else np.zeros(0, np.uint32)
         if len(ids):
             self._block(ids)
-        known, doc, n = (np.array(x, t) for x, t in zip(zip(*self.docs) if self.docs else ((), (), ()), ("<u1", "<i8", "<i8")))
-        foot = np.array([len(self.blocks), len(self.docs)], "<i8").tobytes() + np.array(self.blocks, "<i8").tobytes() + known.tobytes() + doc.tobytes() + n.tobytes()
+        names = pa.array([d for d, _ in self.docs], self.docs[0][0].type)
+        table = pa.table({"id": names, "n": pa.array([n for _, n in self.docs], pa.int64())})
+        listed = pa.BufferOutputStream()
+        with pa.ipc.new_stream(listed, table.schema) as stream:
+            stream.write_table(table)
+        foot = np.array([len(self.blocks)], "<i8").tobytes() + np.array(self.blocks, "<i8").tobytes() + listed.getvalue().to_pybytes()
         self._put(foot + np.array([len(foot)], "<i8").tobytes() + MAGIC)
         self.out.close()
-        return len(self.docs), int(n.sum()), self.size
+        return len(self.docs), sum(n for _, n in self.docs), self.size
 
 
 class Reader:
@@ -142,12 +150,9 @@ class Reader:
             raise ValueError("not a token file")
         n = int(np.frombuffer(tail[:8], "<i8")[0])
         foot = file.read_at(n, size - 16 - n)
-        blocks, docs = np.frombuffer(foot[:16], "<i8")
-        self.blocks = np.frombuffer(foot, "<i8", blocks, 16)
-        at = 16 + 8 * blocks
-        self.known = np.frombuffer(foot, "<u1", docs, at)
-        self.doc = np.frombuffer(foot, "<i8", docs, at + docs)
-        self.n = np.frombuffer(foot, "<i8", docs, at + 9 * docs)
+        blocks = int(np.frombuffer(foot[:8], "<i8")[0])
+        self.blocks = np.frombuffer(foot, "<i8", blocks, 8)
+        self.docs = pa.ipc.open_stream(foot[8 + 8 * blocks :]).read_all().combine_chunks()
 
     def _block(self, k: int) -> np.ndarray:
         n, words = np.frombuffer(self.file.read_at(8, int(self.blocks[k])), "<u4")
@@ -155,7 +160,7 @@ class Reader:
 
     def __iter__(self):
         k, have = 0, np.zeros(0, np.uint64)
-        for known, doc, n in zip(self.known.tolist(), self.doc.tolist(), self.n.tolist()):
+        for doc, n in zip(self.docs["id"], self.docs["n"].to_pylist()):
             parts, left = [], n
             while left:
                 if not len(have):
@@ -163,7 +168,7 @@ class Reader:
                 parts.append(have[:left])
                 have = have[left:]
                 left -= len(parts[-1])
-            yield doc if known else None, np.concatenate(parts) if parts else have[:0]
+            yield doc, np.concatenate(parts) if parts else have[:0]
 
 
 def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
@@ -172,14 +177,14 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_i
     spark = docs.sparkSession
     path = tokenizer or tokens.default_path()
     folder = scratch.new_path(spark, "tokens")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     parts = scratch.buckets_for(spark, scratch.text_bytes(rows), 64 << 20)
 
     def save(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
         writer, name = None, f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.s8b"
         for batch in batches:
-            ids = batch.column("id").to_pylist()
+            ids = batch.column("id")
             for lo, hi, flat, off in tokens.encoder(path).encode(batch.column("text")):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
@@ -190,15 +195,18 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_i
             n_docs, n_ids, n_bytes = writer.close()
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "file": name, "n_docs": n_docs, "n_ids": n_ids, "n_bytes": n_bytes}])
 
-    made = rows.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(save, "part long, file string, n_docs long, n_ids long, n_bytes long")
+    made = rows.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie").mapInArrow(save, "part long, file string, n_docs long, n_ids long, n_bytes long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return scratch.staged(made, "manifest").withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    manifest = scratch.staged(made, "manifest").withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # the ids' type goes with the manifest as a column that has no values
+    return manifest.withColumn("id", F.lit(None).cast(docs.schema[id_col].dataType))
 
 
 def read(manifest: DataFrame, folder_of: str | None = None) -> DataFrame:
     """(id, start, n_tokens, ids) of every document in the manifest's files;
     ids as little-endian unsigned 32-bit integers."""
     root = scratch.shared_dir(manifest.sparkSession)
+    kind = manifest.schema["id"].dataType
 
     def load(batches):
         fs, _ = pafs.FileSystem.from_uri(root)
@@ -216,8 +224,8 @@ def read(manifest: DataFrame, folder_of: str | None = None) -> DataFrame:
                     yield as_batch(rows)
 
     def as_batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["id", "start", "n_tokens", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (to_arrow_type(kind), pa.int64(), pa.int64(), pa.binary()))], ["id", "start", "n_tokens", "ids"])
 
     # one task a file: the manifest is as short as the list of files
     files = manifest.select("file", "start").repartition(scratch.buckets_for(manifest.sparkSession, 0))
-    return files.mapInArrow(load, "id long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(load, f"id {kind.simpleString()}, start long, n_tokens long, ids binary")
