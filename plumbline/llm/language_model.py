@@ -50,11 +50,11 @@ MIN_COUNT = 2  # of n-grams of two tokens and more
 PROBES = (20, 7)  # hash functions of a key of level 1, which tells whether an n-gram is there, and of higher levels
 BITS = 1.45  # of the filter for each hash function of each key
 GATE = 4  # hash functions that tell whether an n-gram may be there
-SHARD, ROOM = 32 << 20, 128 << 20  # bytes of a shard, and of all shards that a worker keeps
+SHARD, ROOM = 32 << 20, 64 << 20  # bytes of a shard, and of all shards that a worker keeps
 LOW, LOW_BITS = U64((1 << 48) - 1), U64(48)  # what tells keys of one bucket apart
 DISCOUNT = 0.75
 ADD = 0.1  # of the unigram base
-HELD = 1 << 21  # distinct keys that a counting task holds before it passes them on
+HELD = 1 << 19  # distinct keys that a counting task holds before it passes them on
 END = spans.mix(np.zeros(1, U64), 99)[0]
 ODD = tuple(U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -299,10 +299,10 @@ def counted(train: DataFrame, n: int, probes: tuple[int, int] = PROBES) -> DataF
 def grams(train: DataFrame, k: int, model: Model) -> DataFrame:
     """Filters of n-grams of k + 1 tokens, one row a bucket, and rows with what
     each bucket's n-grams add to their contexts (ctx_bucket, ctx, z, m)."""
-    n, least, probes = model.n, model.min_count, model.probes
+    n, least, probes, stretch = model.n, model.min_count, model.probes, (2 if model.keep else 4) << 20
 
     def found(texts):
-        for _, h, first in tokens(texts):
+        for _, h, first in tokens(texts, stretch):
             at = np.flatnonzero(np.arange(len(h)) - np.repeat(first[:-1], np.diff(first)) >= k)
             if k > 1 and least > 1:
                 u, back = np.unique(gram_hash([h[:-1], h[1:]]) if k == 2 else gram_hash([h[i : len(h) - k + 1 + i] for i in range(k)]), return_inverse=True)
@@ -314,8 +314,9 @@ def grams(train: DataFrame, k: int, model: Model) -> DataFrame:
     def add(parts):
         g, c, ctx = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.argsort(g, kind="stable")
-        run = np.flatnonzero(np.r_[True, np.diff(g[order]) != 0]) if len(g) else order
-        return g[order][run], np.add.reduceat(c[order], run) if len(g) else c, ctx[order][run]
+        g = g[order]
+        run = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else order
+        return g[run], np.add.reduceat(c[order], run) if len(g) else c, ctx[order[run]]
 
     def rows_of(g, c, ctx):
         return by_rows(bucket(g, n), (g & LOW, 6), (c, "<u4"), (ctx, "<u8"))
@@ -439,7 +440,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     words, word_counts = collected(counts, max(1, -(-total >> KEPT)))
     bottom = np.log10(total + ADD * (distinct + 1)) if total else 0.0
     shared = spark.sparkContext.broadcast((words, np.log10(word_counts + ADD) - bottom))
-    stretch = (2 if model.keep else 8) << 20  # bytes of text for which all shards are looked through
+    stretch = (2 if model.keep else 4) << 20  # bytes of text for which all shards are looked through
 
     def passed(batches):
         words, logs = shared.value
