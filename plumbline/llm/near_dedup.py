@@ -15,7 +15,8 @@ listed. Each group has a hub, its first text; members are verified against
 it, first against one hub each, then against those that aren't yet in the same
 class. What stays apart from its hub is compared with all others of its group
 that are of another class, those of the hub's class too: small groups in one
-task each, large ones in cells of about ROOM texts of like length. So each pair
+task each, large ones in cells of about ROOM texts of like length, or fewer
+long ones. So each pair
 of candidates is decided, in groups of any size. The work of a group of texts
 that share a sample, but aren't alike, grows with the square of those of like
 length; it is cut short by lengths, word counts and links found before.
@@ -46,7 +47,7 @@ from plumbline.llm.spans import U64
 SHINGLE, SIMILARITY = 5, 0.85
 TAKE, BANDS = 2, 28  # shingles of a sample, and samples
 LOUD = 10_000  # rows of one text or class from which a join broadcasts it
-ROOM = 256  # texts that are compared in one task
+ROOM, ROOM_WORDS = 512, 1 << 20  # texts of a cell, and words of all of them
 BAG = 256  # columns of the word counts that bound a pair's common subsequence
 CHUNK = 1 << 16  # shingles that are hashed for all bands at once
 ODD = U64(0x9E3779B97F4A7C15)
@@ -233,11 +234,11 @@ def components(edges: DataFrame) -> DataFrame:
         round_ += 1
 
 
-def in_groups(members: DataFrame, texts: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+def in_groups(members: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) found among the members (group, cell, band, node, label) of
     each group; those of one label are linked already. Where a group has two
     cells, only pairs of both count. A pair is compared in the first band that
-    it shares. A group has 2 * ROOM texts at most."""
+    it shares. A group has two cells at most; known: (node, keys, text)."""
 
     def run(table: pa.Table) -> pa.Table:
         nodes, labels, cells = (table[c].to_pylist() for c in ("node", "label", "cell"))
@@ -271,7 +272,7 @@ def in_groups(members: DataFrame, texts: DataFrame, keys: DataFrame, similarity:
                     links.append((nodes[i], nodes[o]))
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    whole = members.join(keys, "node").join(texts, "node").select("group", "cell", "band", "node", "label", "keys", "text")
+    whole = members.join(known, "node").select("group", "cell", "band", "node", "label", "keys", "text")
     return whole.groupBy("group").applyInArrow(run, "a long, b long")
 
 
@@ -307,19 +308,20 @@ def links_of(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], simil
     near_one = F.col("n").between(similarity * F.col("least") - 1e-9, F.col("most") / similarity + 1e-9)
     rest = named.join(strange.alias("t"), (F.col("s.key") == F.col("t.key")) & (stranger | near_one))
     rest = scratch.staged(rest.select("s.key", "band", "node", "n", "label", stranger.alias("stranger")), "rest")
-    sizes = rest.groupBy("key", "band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("set"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("set_2"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    sizes = rest.groupBy("key", "band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("set"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("set_2"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("words")).where("low <> high")
     # of groups with the same members one is enough
-    sizes = sizes.groupBy("size", "set", "set_2").agg(F.min(F.struct("band", "key")).alias("first")).select("first.key", "size")
-    keys = nodes.select("node", "keys")
-    small = rest.join(sizes.where(F.col("size") <= ROOM), "key").select(F.concat_ws("-", "key").alias("group"), F.lit(0).alias("cell"), "band", "node", "label")
-    found = in_groups(small, texts, keys, similarity)
-    large = rest.join(sizes.where(F.col("size") > ROOM), "key")
+    sizes = sizes.groupBy("size", "set", "set_2").agg(F.min(F.struct("band", "key")).alias("first"), F.max("words").alias("words")).select("first.key", ((F.col("size") > ROOM) | (F.col("words") > ROOM_WORDS)).alias("cut"))
+    # what tasks need to know of a text, put together once for all its groups
+    known = scratch.staged(nodes.select("node", "keys").join(texts, "node"), "known")
+    small = rest.join(sizes.where("not cut"), "key").select(F.concat_ws("-", "key").alias("group"), F.lit(0).alias("cell"), "band", "node", "label")
+    found = in_groups(small, known, similarity)
+    large = rest.join(sizes.where("cut"), "key")
     if large.isEmpty():
         return scratch.staged(links.unionByName(found), "all")
     # cells of about ROOM texts of like length: those whose lengths allow it meet, but the hub's class not itself
     step = -math.log(min(max(similarity, 0.01), 0.999)) * 1.0001  # texts more than one step apart are not alike
     large = large.withColumn("step", F.floor(F.log("n") / step).cast("int"))
-    blocks = large.groupBy("key", "step", "stranger").agg(F.ceil(F.count("*") / ROOM).cast("int").alias("blocks"))
+    blocks = large.groupBy("key", "step", "stranger").agg(F.ceil(F.greatest(F.count("*") / ROOM, F.sum("n") / ROOM_WORDS)).cast("int").alias("blocks"))
     name = F.concat_ws("-", "step", F.col("stranger").cast("int"), "block").alias("cell")
     dealt = large.join(blocks, ["key", "step", "stranger"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).select("key", "band", "node", "label", name)
     cells = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "step", "stranger", name)
@@ -327,7 +329,7 @@ def links_of(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], simil
     pairs = a.join(b, "key").where("cell_a <= cell_b and abs(step_a - step_b) <= 1 and (stranger_a or stranger_b)")
     pairs = pairs.select("key", F.concat_ws("/", "key", "cell_a", "cell_b").alias("group"), F.explode(F.array_distinct(F.array("cell_a", "cell_b"))).alias("cell"))
     met = dealt.join(pairs, ["key", "cell"]).select("group", "cell", "band", "node", "label")
-    return scratch.staged(links.unionByName(found).unionByName(in_groups(met, texts, keys, similarity)), "all")
+    return scratch.staged(links.unionByName(found).unionByName(in_groups(met, known, similarity)), "all")
 
 
 def numbered(sketched: DataFrame) -> DataFrame:
