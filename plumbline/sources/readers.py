@@ -33,7 +33,7 @@ def resolve(df: DataFrame, *parts: str) -> str:
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """(doc, text): whole text files by name."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("doc"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.col("value").alias("text"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -60,3 +60,51 @@ def test_headers(spark):
 def test_bigrams(spark):
     assert sorted(one(spark, T.bigrams(F.lit("ab ab")))) == ["ab", "ba"]
     assert one(spark, T.bigrams(F.lit("a"))) == []
+
+
+@pytest.mark.parametrize("line,name,want", [("资产负债表项目", "资产负债表", False), ("（一）合并利润表", "合并利润表", True), ("合并利润表（续）", "合并利润表", True), ("12、利润表", "利润表", True), ("利润表日", "利润表", False), ("二、现金流量表主要", "现金流量表", False), ("包括合并利润表", "合并利润表", False), (None, "利润表", False)])
+def test_heading_rule(spark, line, name, want):
+    assert one(spark, T.is_heading(F.lit(line).cast("string"), name)) == want
+
+
+def test_headings_by_rank(spark):
+    for line, want in (("母公司现金流量表", ("CF", "母公司")), ("合并资产负债表", ("BS", "合并")), ("利润表", ("IS", "母公司")), ("本公司利润表（续）", ("IS", "母公司"))):
+        assert tuple(one(spark, T.heading(F.lit(line)))) == want
+    assert one(spark, T.heading(F.lit("目录"))) is None
+    assert one(spark, T.most_specific(F.lit("合并资产负债表"), ("资产负债表", "合并资产负债表"))) == "合并资产负债表"
+
+
+def test_words_and_titles(spark):
+    lit = F.lit
+    assert one(spark, T.compact(lit("1, 2，3　x"))) == "123x" and one(spark, T.squeezed(lit("a \t b,c"))) == "a b,c" and one(spark, T.squeezed(lit("a \t b,c"), "")) == "abc"
+    assert one(spark, T.abstains(lit("资料中未包含该信息"))) and not one(spark, T.abstains(lit("尚未披露"))) and one(spark, T.abstains(lit("尚未披露"), as_of=True))
+    assert one(spark, T.sentences(lit("一。二；\n三 "))) == ["一。", "二；", "\n三 "]
+    assert one(spark, T.forced_numbers(lit("a 12 b 1,234.5 c 999"))) == ["1,234.5", "999"]
+    assert one(spark, T.hits(lit("净利润与营业收入"), ["净利润", "营业收入", "现金"])) == 2
+    assert one(spark, T.contains_any(lit("abc"), ["x", "b"])) and one(spark, T.contains_none(lit("abc"), ["x", "y"])) and not one(spark, T.contains_none(lit("abc"), ["a"]))
+    assert one(spark, T.is_report(lit("甲公司2023年年度报告"))) and not one(spark, T.is_report(lit("甲公司2023年年度报告摘要")))
+    assert one(spark, T.is_report(lit("2023年度报告"), company=True)) and not one(spark, T.is_report(lit("关于2023年年度报告"), company=True))
+    assert one(spark, T.stripped_title(lit("甲公司：2023年 年度报告"), lit("甲公司"))) == "2023年年度报告"
+    assert one(spark, T.announcement_id(lit("http://x/y?announcementId=123&z=1"))) == "123" and one(spark, T.six_digits(lit("sh600519.csv"))) == "600519"
+    assert one(spark, T.exchange_symbol(lit("600519"))) == "sh600519" and one(spark, T.exchange_symbol(lit("000002"))) == "sz000002"
+    assert one(spark, T.company_period(lit("2023年年度报告"))) == "2023FY" and one(spark, T.first_match(lit("x半年y"), [("半年", "06-30"), ("年", "12-31")])) == "06-30"
+
+
+def test_amounts_and_nested(spark):
+    assert one(spark, T.amount(F.lit(1234.5))) == "1,234.50" and one(spark, T.amount(F.lit(1234.5), 0)) in ("1,234", "1,235") and one(spark, T.percentage(F.lit(0.1234))) == "12.34%"
+    assert one(spark, T.amount(F.lit(None).cast("double"))) is None
+    assert one(spark, T.nested(F.lit('{"a": {"b": 3}}'), "a.b", F.lit("0"))) == "3" and one(spark, T.nested(F.lit("no"), "a.b", F.lit("0"))) == "0"
+    assert one(spark, T.found_in(F.lit("共 1,207.76 亿"), F.lit("1207.76"))) and not one(spark, T.found_in(F.lit("共 1,207.7"), F.lit("1207.76")))
+    assert one(spark, T.unresolved(F.lit("收入 77。其他。数 88[片段1]。"), F.array(F.lit("无")))) == ["收入 77。"]
+    block = one(spark, T.fragment_block(F.array(F.lit("ab")), F.array(F.lit("x.txt")), F.array(F.lit(5))))
+    assert block == "[片段1]（来源 x.txt 字符 5–7）\nab"
+    assert one(spark, T.is_header(F.array(F.lit("项目"), F.lit("x")))) and one(spark, T.is_header(F.array(F.lit("a"), F.lit("2023年")))) and not one(spark, T.is_header(F.array(F.lit("a"), F.lit("b"))))
+
+
+def test_arrays(spark):
+    v = F.array(F.lit(None).cast("double"), F.lit(2.0), F.lit(3.0))
+    assert one(spark, A.first_value(v)) == 2.0 and one(spark, A.chosen(v, F.array(F.lit(2), F.lit(0), F.lit(9)))) == [3.0, None, None]
+    assert one(spark, A.scaled(v, 10)) == [None, 20.0, 30.0] and one(spark, F.reverse(v)) == [3.0, 2.0, None]
+    header = F.array(*map(F.lit, ("项目", "2023年 12月31日", "2022年12月31日")))
+    assert one(spark, A.column_of(header, F.lit("2022年12月31日"))) == 1 and one(spark, A.column_of(header, F.lit("2023年12月31日"))) == 0 and one(spark, A.column_of(header, F.lit("2021"))) is None
+    assert one(spark, A.close(F.lit(1e9), F.lit(1e9 + 500))) and not one(spark, A.close(F.lit(5.0), F.lit(7.0)))
