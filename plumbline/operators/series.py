@@ -42,7 +42,7 @@ def basket(rows: DataFrame) -> DataFrame:
     own = rows.dropna(subset=["q1_ret_gap_pt"])
     return own.agg(
         F.count("*").alias("symbols"), F.count_if(F.col("q2_flip_days") > 0).alias("with_flips"), F.sum("q2_flip_days").alias("flip_days"), F.max("q2_flip_days").alias("most_flips"),
-        F.count_if(F.col("q1_ret_gap_pt") > 1).alias("gap_over_1"), F.count_if(F.col("q1_ret_gap_pt") > 3).alias("gap_over_3"), F.round(F.median("q3_max_fake_gap_pt"), 6).alias("fake_median"), F.max("q3_max_fake_gap_pt").alias("fake_max"),
+        F.count_if(F.col("q1_ret_gap_pt") > 1).alias("gap_over_1"), F.count_if(F.col("q1_ret_gap_pt") > 3).alias("gap_over_3"), F.round(F.median("q1_ret_gap_pt"), 6).alias("gap_median"), F.round(F.avg("q1_ret_gap_pt"), 6).alias("gap_mean"), F.round(F.median("q3_max_fake_gap_pt"), 6).alias("fake_median"), F.max("q3_max_fake_gap_pt").alias("fake_max"),
     )
 
 

@@ -223,7 +223,7 @@ ORACLES = {
     "recon_only_a": f"WITH {ACCOUNTS} SELECT key, cents_a AS cents FROM r WHERE _merge = 'left_only'",
     "adjusted_returns": f"WITH {BARS} SELECT symbol, date, round(r_raw, 9) + 0.0 AS r_raw, round(mom_raw, 9) + 0.0 AS mom_raw, round(r_adj, 9) + 0.0 AS r_adj, round(mom_adj, 9) + 0.0 AS mom_adj, round(fake, 9) + 0.0 AS fake, flip FROM frame",
     "basket_metrics": f"WITH {BARS} SELECT * FROM m",
-    "basket_summary": f"WITH {BARS} SELECT count(*) AS symbols, count(*) FILTER (q2_flip_days > 0) AS with_flips, sum(q2_flip_days)::BIGINT AS flip_days, max(q2_flip_days) AS most_flips, count(*) FILTER (q1_ret_gap_pt > 1) AS gap_over_1, count(*) FILTER (q1_ret_gap_pt > 3) AS gap_over_3, round(median(q3_max_fake_gap_pt), 6) AS fake_median, max(q3_max_fake_gap_pt) AS fake_max FROM m WHERE q1_ret_gap_pt IS NOT NULL",
+    "basket_summary": f"WITH {BARS} SELECT count(*) AS symbols, count(*) FILTER (q2_flip_days > 0) AS with_flips, sum(q2_flip_days)::BIGINT AS flip_days, max(q2_flip_days) AS most_flips, count(*) FILTER (q1_ret_gap_pt > 1) AS gap_over_1, count(*) FILTER (q1_ret_gap_pt > 3) AS gap_over_3, round(median(q1_ret_gap_pt), 6) AS gap_median, round(avg(q1_ret_gap_pt), 6) AS gap_mean, round(median(q3_max_fake_gap_pt), 6) AS fake_median, max(q3_max_fake_gap_pt) AS fake_max FROM m WHERE q1_ret_gap_pt IS NOT NULL",
     "basket_top_gaps": f"WITH {BARS} SELECT symbol, q1_ret_gap_pt FROM m ORDER BY q1_ret_gap_pt DESC, symbol LIMIT 3",
     "return_invariance": f"WITH {BARS}, v AS (SELECT *, raw * CASE WHEN day(date) >= 15 THEN 1 / 0.97::DOUBLE ELSE 1 END AS fwd FROM f), d AS (SELECT fwd / lag(fwd) OVER o - adj / lag(adj) OVER o AS gap FROM v WINDOW o AS (PARTITION BY symbol ORDER BY date)) SELECT max(abs(gap)) < 1e-9 AS invariant FROM d",
     "largest_gaps": f"WITH {BARS} SELECT symbol, date, round(fake, 9) AS fake FROM frame ORDER BY abs(fake) DESC NULLS LAST, symbol, date LIMIT 5",

@@ -474,6 +474,12 @@ SELECT table_id, col_idx, filled, rows, is_note, NOT is_note AND CASE WHEN any_k
     "duplicate_claims": f"WITH {MAPPED}, f AS (SELECT p_brand, concept, min(row_idx) AS lo, arg_min(label, row_idx) AS l FROM m WHERE concept IS NOT NULL GROUP BY 1, 2) SELECT p_brand, count(*) AS claims FROM m JOIN f USING (p_brand, concept) WHERE row_idx > lo AND label <> l GROUP BY 1",
     "concept_coverage": f"WITH {MAPPED}, w AS (SELECT unnest(['plain', 'sale', 'size', 'unknown']) AS concept), g AS (SELECT DISTINCT p_brand FROM m WHERE concept IS NOT NULL), h AS (SELECT DISTINCT p_brand, concept, true AS hit FROM m WHERE concept IS NOT NULL) SELECT p_brand, count(hit) AS hits, count(*) AS total, coalesce(list(concept ORDER BY concept) FILTER (hit IS NULL), []) AS missing FROM g CROSS JOIN w LEFT JOIN h USING (p_brand, concept) GROUP BY 1",
     "label_divergence": f"WITH {MAPPED} SELECT concept, count(DISTINCT label) AS labels, count(DISTINCT p_brand) AS members FROM m WHERE concept IS NOT NULL GROUP BY 1 HAVING count(DISTINCT label) > 1",
+    "stitched_segments": """WITH RECURSIVE o AS (SELECT o_custkey AS k, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + (o_orderkey % 11 = 0)::INT)::INT AS page, (o_orderkey % 3)::INT AS width, CASE WHEN o_orderkey % 4 = 0 THEN [o_orderpriority] ELSE []::VARCHAR[] END AS strong, o_orderkey % 40 AS rows, CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus END AS unit FROM orders),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY page, width, strong, rows, unit NULLS FIRST) AS i FROM o),
+r AS (SELECT k, i, 0 AS segment, page AS first_page, page AS last_page, 1 AS pages, width, strong AS seen, rows, unit FROM p WHERE i = 1
+  UNION ALL SELECT k, i, segment + fresh::INT, CASE WHEN fresh THEN page ELSE first_page END, page, CASE WHEN fresh THEN 1 ELSE pages + 1 END, CASE WHEN fresh OR old = 0 THEN width ELSE old END, CASE WHEN fresh THEN strong ELSE list_distinct(list_concat(seen, strong)) END, CASE WHEN fresh THEN rows ELSE total + rows END, CASE WHEN fresh THEN unit ELSE coalesce(held, unit) END
+  FROM (SELECT p.*, r.segment, r.first_page, r.pages, r.width AS old, r.seen, r.rows AS total, r.unit AS held, p.page <> r.last_page + 1 OR r.pages >= 8 OR (p.width > 0 AND r.width > 0 AND p.width <> r.width) OR list_has_any(p.strong, r.seen) AS fresh FROM r JOIN p ON p.k = r.k AND p.i = r.i + 1))
+SELECT k AS o_custkey, segment, first_page, last_page, pages, rows, unit FROM r QUALIFY row_number() OVER (PARTITION BY k, segment ORDER BY i DESC) = 1""",
     "leading_runners": "WITH x AS (SELECT *, sum((l_returnflag <> 'N')::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS b FROM lineitem) SELECT l_orderkey, count(*) AS rows, min(l_linenumber) AS first FROM x WHERE b > 0 GROUP BY 1",
     "chosen_candidates": "WITH l AS (SELECT l_suppkey, l_linenumber % 4 AS strategy, floor(l_quantity / 10)::INT AS score, l_orderkey * 10 + l_linenumber AS top FROM lineitem), s AS (SELECT *, min(strategy) FILTER (score >= 3) OVER (PARTITION BY l_suppkey) AS stop FROM l) SELECT l_suppkey, strategy, score, top FROM s WHERE stop IS NULL OR strategy <= stop QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, top, strategy) = 1",
     "rebuilt_lines": "SELECT conv_id, turn AS line, md5(string_agg(replace(text, ' ', ''), '' ORDER BY turn)) AS digest FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2",
