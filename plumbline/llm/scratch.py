@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,12 +42,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path, schema = new_path(spark, name), df.schema
     df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files of finished steps go only after the driver's garbage is collected.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    collect_garbage(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+PAUSE = 5  # seconds between two collections at least
+_last = 0.0
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go only after the driver's garbage is
+    collected; steps that follow closely wait for one collection."""
+    global _last
+    if time.monotonic() - _last >= PAUSE:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _last = time.monotonic()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the table of a staged DataFrame whose last reader is done."""
     spark = df.sparkSession

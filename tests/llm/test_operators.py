@@ -1,15 +1,13 @@
 """Training-data operators against brute force, on small tables with awkward rows."""
 
-import hashlib
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, html_text, language_model, near_dedup, packing, quality, substring_dedup, token_files, warc
+from plumbline.llm import decontaminate, html_text, language_model, near_dedup, token_files
 
 WORDS = [f"w{i}" for i in range(400)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, id string"
@@ -52,39 +50,6 @@ def test_language_model(docs, rows):
     assert language_model.score(empty(docs)).count() == 0
 
 
-def test_quality(docs):
-    got = {r.doc_id: r.quality for r in quality.judge(docs).where("doc_id is not null").collect()}
-    assert got[5]["base_failed"] and got[5]["n_words"] == 0 and not got[8]["kept"]
-    assert got[0]["n_words"] == 120 and got[0]["n_repeat_words"] == 0
-    assert quality.judge(empty(docs)).count() == 0
-
-
-def brute_repeats(texts, window):
-    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
-    seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
-    out = []
-    for w in words:
-        gone = {i + k for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for k in range(window)}
-        out.append((len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    return sorted(out)
-
-
-def test_substring_dedup(docs, rows):
-    got = substring_dedup.remove_repeats(docs).collect()
-    assert sorted((r.n_words, r.n_removed, r.text) for r in got) == brute_repeats([r[1] for r in rows], 35)
-    assert substring_dedup.remove_repeats(empty(docs)).count() == 0
-
-
-def test_near_dedup(docs):
-    got = near_dedup.classes(docs).collect()
-    of = {r.doc_id: r.class_id for r in got}
-    assert len(got) == 14 and of[0] == of[1] == of[2] == 0 and of[10] == of[11] == 10 and of[3] == 3 and of[4] == 4
-    assert of[5] == of[6] == of[7] == 5
-    kept = near_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 4, 5, 8, 9, 10] and kept.count() == 8
-    assert near_dedup.classes(empty(docs)).count() == 0
-
-
 def test_alignment_is_exact():
     rng = np.random.default_rng(3)
     for _ in range(300):
@@ -98,30 +63,6 @@ def test_alignment_is_exact():
         assert near_dedup.alike(a, b, 0.8) == (d[-1, -1] >= 0.8 * max(len(a), len(b)) - 1e-9)
 
 
-def test_decontamination(spark, docs):
-    items = spark.createDataFrame([(1, text(2, 40)), (2, text(99, 30)), (3, None), (4, ""), (5, text(6, 3))], "item_id long, text string")
-    got = sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect())
-    assert (3, 1) in got and (4, 1) in got and (8, 5) in got and all(i not in (2, 3, 4) for _, i in got)
-    clean = decontaminate.without(docs, items)
-    assert clean.columns == docs.columns and {3, 4, 8}.isdisjoint(r.doc_id for r in clean.collect())
-
-
-def test_packing(docs, rows):
-    got = packing.pack(docs).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for pieces in by.values():
-        at = 0
-        for offset, length in sorted(pieces):
-            assert offset == at
-            at += length
-        assert at <= 2048
-    assert sum(r.doc_tokens for r in got if r.start == 0) == sum(r.length for r in got)
-    assert sum(r.start == 0 for r in got) == len(rows)
-    assert packing.pack(empty(docs)).count() == 0
-
-
 def test_simple8b_round_trip():
     rng = np.random.default_rng(4)
     for k in range(60):
@@ -130,21 +71,6 @@ def test_simple8b_round_trip():
         assert (token_files.decode(token_files.encode(v), n) == v).all()
 
 
-def test_token_files(docs, rows):
-    from tokenizers import Tokenizer
-
-    from plumbline.llm import tokens
-
-    t = Tokenizer.from_file(tokens.default_path())
-    got = token_files.read(token_files.write(docs)).collect()
-    want = sorted((str(r[0]), np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for r in rows)
-    assert want == sorted((str(r.id), bytes(r.ids)) for r in got)
-    at = 0
-    for r in sorted(got, key=lambda r: r.start):
-        assert r.start == at
-        at += r.n_tokens
-
-
 PAGE = """<html><head><title>t</title><script>var x = "</p>";</script></head><body><header>Site</header><nav><a>m</a></nav><div class="ad">buy</div>
 <article><h1>Head</h1><p><b>Bold &amp; more<br>line<p>Second  paragraph with   text.</p><ul><li>item</li></ul><form>f</form><section class="comments">bad</section></article>
 <aside>side</aside><footer>&copy; foot</footer></body></html>"""
@@ -156,15 +82,6 @@ def test_html(spark):
     assert got == {1: "Head Bold & more line Second paragraph with text. item", 2: "", 3: ""}
 
 
-def test_warc(spark):
-    big = "é" * 800
-    df = spark.createDataFrame([(1, "http://a", big), (2, "http://b", big), (3, None, "small"), (4, "u", "small"), (5, "u", None)], "page_id long, url string, html string")
-    got = {r.id: r for r in warc.read(warc.write(df)).collect()}
-    assert [got[k].record_type for k in range(1, 6)] == ["revisit", "response", "response", "response", "response"]
-    assert got[1].refers_to == 2 and got[1].payload_bytes == 1600 and got[1].digest == hashlib.sha1(big.encode()).hexdigest()
-    assert bytes(got[2].payload).decode() == big and got[5].payload_bytes == 0
-
-
 def edited(words, at, mark):
     """words with those at the given places replaced."""
     out = list(words)

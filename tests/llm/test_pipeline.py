@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from plumbline.llm import pseudonyms, quality, tokens
+from plumbline.llm import pseudonyms, quality, scratch, tokens
 
 PROSE = "the of and to in a that is was for it with on are this by ".split()
 KEY = "a key for the pipeline"
@@ -47,9 +47,9 @@ def test_documents_take_their_way(spark, folder):
     from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    kept = cp.STAGES[0][1](spark, docs, folder)
+    kept = scratch.staged(cp.STAGES[0][1](spark, docs, folder), "kept")
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 5, 6, 9]
-    once = cp.STAGES[1][1](spark, kept, folder)
+    once = scratch.staged(cp.STAGES[1][1](spark, kept, folder), "once")
     assert once.columns == docs.columns and sorted(r.doc_id for r in once.collect()) == [1, 4, 5, 6, 9]
     clean = cp.STAGES[2][1](spark, once, folder)
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [1, 4, 5, 9]
