@@ -37,6 +37,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return o.join(n, keys, "full_outer").select(*keys, F.coalesce("_new", "_old").alias("_r")).select(*keys, "_r.*")
 
 
+def manifest(old: DataFrame, found: DataFrame, on_disk: DataFrame, failed: DataFrame, key: str, file: str) -> DataFrame:
+    """The next manifest, one row a key: what was found now; an old entry that
+    wasn't found again as long as its file is still there; and nothing for keys
+    whose listing or download failed, which are left for the next run."""
+    kept = old.join(found.select(key), key, "left_anti").join(on_disk.select(file), file, "left_semi")
+    return union([found, kept.select(*found.columns)]).join(failed.select(key), key, "left_anti")
+
+
 def last_known(df: DataFrame, value: str, order: str, by: list[str], into: str) -> DataFrame:
     """The last value that isn't NULL, at or before each row."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -24,6 +24,17 @@ def adjusted_frame(raw: DataFrame, adjusted: DataFrame, lag: int = 20, symbol: s
     return out.withColumns({"fake": F.col("r_raw") - F.col("r_adj"), "flip": flip(F.col("mom_raw"), F.col("mom_adj"))})
 
 
+def three_way(raw: DataFrame, forward: DataFrame, backward: DataFrame, symbol: str = "symbol", date: str = "date") -> DataFrame:
+    """Days that a raw and two adjusted series have in common, with each one's
+    daily return and the gap of the adjusted ones', which should be none. The
+    three series are one table that is grouped once, instead of two joins."""
+    named = [df.select(symbol, date, F.lit(k).alias("_k"), "close") for k, df in (("raw", raw), ("fwd", forward), ("bwd", backward))]
+    long = named[0].unionByName(named[1]).unionByName(named[2])
+    wide = long.groupBy(symbol, date).agg(*[F.max(F.when(F.col("_k") == k, F.col("close"))).alias(k) for k in ("raw", "fwd", "bwd")]).dropna()
+    out = wide.select("*", *[change(k, 1, symbol, date).alias(f"r_{k}") for k in ("raw", "fwd", "bwd")])
+    return out.withColumn("gap", F.abs(F.col("r_fwd") - F.col("r_bwd")))
+
+
 def metrics(frame: DataFrame, symbol: str = "symbol", date: str = "date") -> DataFrame:
     """Per symbol: days, total returns in per cent, their gap in points, flip days, largest gap of daily returns."""
 

@@ -86,10 +86,26 @@ def basket_top_gaps(spark, sf_dir):
 
 def return_invariance(spark, sf_dir):
     """Prices adjusted forwards and backwards from the split have the same returns on every day."""
+    return series.invariance(_three(spark, sf_dir), "r_fwd", "r_bwd").select((F.col("max_difference") < 1e-9).alias("invariant"))
+
+
+def _three(spark, sf_dir):
     raw, backward = _bars(spark, sf_dir)
     forward = raw.withColumn("close", F.col("close") * F.when(F.day("date") >= 15, 1 / 0.97).otherwise(1.0))
-    frame = series.adjusted_frame(forward, backward)
-    return series.invariance(frame, "r_raw", "r_adj").select((F.col("max_difference") < 1e-9).alias("invariant"))
+    return series.three_way(raw, forward, backward)
+
+
+def three_series(spark, sf_dir):
+    """Days of each symbol in all three series, and how far the raw return strays from the adjusted one."""
+    out = _three(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("days"), F.round(F.max(F.abs(F.col("r_raw") - F.col("r_fwd"))), 9).alias("largest"))
+    return out
+
+
+def next_manifest(spark, sf_dir):
+    """A manifest of suppliers after a run that found some, failed for some, and has lost some files."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("file"))
+    old, found = s.where("key % 2 = 0").withColumn("run", F.lit(1)), s.where("key % 3 = 0").withColumn("run", F.lit(2))
+    return joins.manifest(old, found, s.where("key % 5 <> 0"), s.where("key % 7 = 0"), "key", "file").select("key", "file", "run")
 
 
 def largest_gaps(spark, sf_dir):
@@ -212,7 +228,7 @@ def first_qualifying(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    recon_outer, recon_summary, recon_top_diffs, recon_only_a, adjusted_returns, basket_metrics, basket_summary, basket_top_gaps, return_invariance, largest_gaps, constituents, smallest_part, pit_windows, pit_statistics, trading_calendar,
+    recon_outer, recon_summary, recon_top_diffs, recon_only_a, adjusted_returns, basket_metrics, basket_summary, basket_top_gaps, return_invariance, three_series, next_manifest, largest_gaps, constituents, smallest_part, pit_windows, pit_statistics, trading_calendar,
     as_of_visible, as_of_leaks, as_of_join, carried_forward, attributed_forward, looked_back, upserted, best_source, not_yet_fetched, equidistant_sample, first_qualifying,
 )}
 
@@ -226,6 +242,8 @@ ORACLES = {
     "basket_summary": f"WITH {BARS} SELECT count(*) AS symbols, count(*) FILTER (q2_flip_days > 0) AS with_flips, sum(q2_flip_days)::BIGINT AS flip_days, max(q2_flip_days) AS most_flips, count(*) FILTER (q1_ret_gap_pt > 1) AS gap_over_1, count(*) FILTER (q1_ret_gap_pt > 3) AS gap_over_3, round(median(q1_ret_gap_pt), 6) AS gap_median, round(avg(q1_ret_gap_pt), 6) AS gap_mean, round(median(q3_max_fake_gap_pt), 6) AS fake_median, max(q3_max_fake_gap_pt) AS fake_max FROM m WHERE q1_ret_gap_pt IS NOT NULL",
     "basket_top_gaps": f"WITH {BARS} SELECT symbol, q1_ret_gap_pt FROM m ORDER BY q1_ret_gap_pt DESC, symbol LIMIT 3",
     "return_invariance": f"WITH {BARS}, v AS (SELECT *, raw * CASE WHEN day(date) >= 15 THEN 1 / 0.97::DOUBLE ELSE 1 END AS fwd FROM f), d AS (SELECT fwd / lag(fwd) OVER o - adj / lag(adj) OVER o AS gap FROM v WINDOW o AS (PARTITION BY symbol ORDER BY date)) SELECT max(abs(gap)) < 1e-9 AS invariant FROM d",
+    "three_series": f"WITH {BARS}, v AS (SELECT *, raw * CASE WHEN day(date) >= 15 THEN 1 / 0.97::DOUBLE ELSE 1 END AS fwd FROM f), d AS (SELECT symbol, abs((raw / lag(raw) OVER o - 1) - (fwd / lag(fwd) OVER o - 1)) AS gap FROM v WINDOW o AS (PARTITION BY symbol ORDER BY date)) SELECT symbol, count(*) AS days, round(max(gap), 9) AS largest FROM d GROUP BY 1",
+    "next_manifest": "WITH s AS (SELECT s_suppkey AS key, s_name AS file FROM supplier) SELECT key, file, CASE WHEN key % 3 = 0 THEN 2 ELSE 1 END AS run FROM s WHERE key % 7 <> 0 AND (key % 3 = 0 OR (key % 2 = 0 AND key % 5 <> 0))",
     "largest_gaps": f"WITH {BARS} SELECT symbol, date, round(fake, 9) AS fake FROM frame ORDER BY abs(fake) DESC NULLS LAST, symbol, date LIMIT 5",
     "constituents": "SELECT lpad((c_custkey % 500)::VARCHAR, 6, '0') AS code, min(c_name) AS name, 1 AS source FROM customer GROUP BY 1",
     "smallest_part": "SELECT p_partkey, round(p_retailprice * 100)::BIGINT AS size FROM part ORDER BY size, p_partkey LIMIT 1",
