@@ -50,7 +50,7 @@ MIN_COUNT = 2  # of n-grams of two tokens and more
 PROBES = (20, 7)  # hash functions of a key of level 1, which tells whether an n-gram is there, and of higher levels
 BITS = 1.45  # of the filter for each hash function of each key
 GATE = 4  # hash functions that tell whether an n-gram may be there
-SHARD, ROOM = 32 << 20, 64 << 20  # bytes of a shard, and of all shards that a worker keeps
+SHARD, ROOM = 16 << 20, 64 << 20  # bytes of a shard, and of all shards that a worker keeps
 LOW, LOW_BITS = U64((1 << 48) - 1), U64(48)  # what tells keys of one bucket apart
 DISCOUNT = 0.75
 ADD = 0.1  # of the unigram base
