@@ -46,7 +46,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-PAUSE = 5  # seconds between two collections at least
+PAUSE = 2  # seconds between two collections at least
 _last = 0.0
 
 
