@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from plumbline.llm import quality
+from plumbline.llm import fill_in_middle, quality, resampling
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -86,4 +86,47 @@ kept AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTI
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM kept"""
 
-ORACLES = {"op3_quality": quality_sql(), "op4_substring_dedup": OP4, "op9_warc": OP9}
+UNSIGNED = "('0x' || substr(hex, {}, 8))::BIGINT"
+
+
+def resampling_sql() -> str:
+    """The crc32 has no function in DuckDB, so it is folded over the bytes by its table of 256 remainders."""
+    table = "list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(3988292384, (c >> 1)) ELSE (c >> 1) END, n))"
+    one_byte = "lambda c, b: xor((c >> 8), t[(xor(c, b) & 255) + 1])"
+    gain = f"floor(1000 * ln((t + 1)::DOUBLE * (ss + {resampling.BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (tt + {resampling.BUCKETS})::DOUBLE)))::BIGINT"
+    return rf"""
+WITH crc AS (SELECT {table} AS t),
+texts AS (SELECT row_number() OVER () AS r, doc_id, true AS own, coalesce(text, '') AS x FROM documents UNION ALL SELECT NULL, NULL, false, coalesce(text, '') FROM benchmark),
+split AS (SELECT r, own, list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM texts),
+placed AS (SELECT r, own, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+features AS (SELECT r, own, unnest(list_filter([w[i], w[i] || ' ' || w[i + 1], w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]], lambda f: f IS NOT NULL)) AS f FROM placed),
+counted AS (SELECT r, own, f, count(*) AS n FROM features GROUP BY ALL),
+coded AS (SELECT f, xor(list_reduce(list_transform(range(octet_length(encode(f))), lambda k: ('0x' || substr(hex(encode(f)), 2 * k + 1, 2))::BIGINT), {one_byte}, 4294967295), 4294967295) % {resampling.BUCKETS} AS b
+  FROM (SELECT DISTINCT f FROM counted), crc),
+bucketed AS (SELECT r, own, b, n FROM counted JOIN coded USING (f)),
+sums AS (SELECT b, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM bucketed GROUP BY b),
+gains AS (SELECT b, {gain} AS gain FROM (SELECT *, (SELECT sum(s) FROM sums) AS ss, (SELECT sum(t) FROM sums) AS tt FROM sums)),
+weights AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM bucketed JOIN gains USING (b) WHERE own GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) >= {resampling.MIN_WORDS} AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln(({UNSIGNED.format(1)} + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM (SELECT r, doc_id, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM texts WHERE own) JOIN split USING (r) LEFT JOIN weights USING (r)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) FILTER (fit) OVER () AS total FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND k <= {resampling.PER_CENT} * total // 100 THEN k END AS rank FROM ordered"""
+
+
+def fill_in_middle_sql() -> str:
+    p, s, m = (f"'{x}'" for x in (fill_in_middle.PREFIX, fill_in_middle.SUFFIX, fill_in_middle.MIDDLE))
+    part = lambda a, b: f"array_to_string(u[{a}:{b}], '')"
+    return rf"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents),
+cut AS (SELECT doc_id, x, {", ".join(f"{UNSIGNED.format(8 * k + 1)} AS h{k + 1}" for k in range(4))}, regexp_extract_all(x, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM hashed),
+placed AS (SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN x = '' OR contains(x, {p}) OR contains(x, {s}) OR contains(x, {m}) OR h3 % 100 >= {fill_in_middle.RATE} THEN 'plain' WHEN h4 % 100 < {fill_in_middle.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (SELECT *, {part("1", "a")} AS prefix, {part("a + 1", "b")} AS middle, {part("b + 1", "len(u)")} AS suffix FROM placed)
+SELECT doc_id, len(u) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN {p} || prefix || {s} || suffix || {m} || middle ELSE {s} || suffix || {p} || prefix || {m} || middle END) AS output_sha256,
+  sha256(x) AS restored_sha256 FROM parts"""
+
+
+ORACLES = {"op3_quality": quality_sql(), "op4_substring_dedup": OP4, "op9_warc": OP9, "op11_resampling": resampling_sql(), "op13_fill_in_middle": fill_in_middle_sql()}

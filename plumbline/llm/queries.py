@@ -8,7 +8,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, html_text, language_model, near_dedup, packing, pseudonyms, quality, substring_dedup, token_files, warc
+from plumbline.llm import decontaminate, fill_in_middle, html_text, language_id, language_model, near_dedup, packing, pseudonyms, quality, resampling, substring_dedup, token_files, warc
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -70,7 +70,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.sampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    out = language_id.identify(docs, ~held_out, into="found")
+    return out.select("doc_id", held_out.alias("held_out"), "found.lang_pred", "found.score")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.transform(_table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("fim.output"), F.col("fim.form"))
+    return out.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_model, op2_pseudonyms, op3_quality, op4_substring_dedup, op5_near_dedup, op6_decontaminate, op7_packing, op8_html_text, op9_warc, op10_token_files)
+    for f in (op1_language_model, op2_pseudonyms, op3_quality, op4_substring_dedup, op5_near_dedup, op6_decontaminate, op7_packing, op8_html_text, op9_warc, op10_token_files, op11_resampling, op12_language_id, op13_fill_in_middle)
 }
