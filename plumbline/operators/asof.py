@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators import patterns, postings
 from plumbline.operators.joins import small
 
 ARMS = ("A", "B", "C", "D")  # no constraint, by instruction, by filter, by filter and inventory
@@ -21,6 +22,17 @@ def arms(questions: DataFrame, chunks: DataFrame, announced: str = "announced")
     return chunks.join(small(every), free | (F.col(announced) <= F.col("as_of")))
 
 
+def arm_picks(index: postings.Index, questions: DataFrame, keys: list[str], question: str = "question", k: int = 6) -> DataFrame:
+    """(keys, as_of, arm, rank, the index's ids, announced, score): the k best
+    chunks that each arm retrieves. A and B search all chunks with the weights of
+    all; C and D those announced by the question's date with the weights of that
+    date. One index and two searches a question serve the four arms."""
+    pools = F.array(F.struct(F.lit("AB").alias("pool"), F.lit(None).cast("date").alias("until")), F.struct(F.lit("CD").alias("pool"), F.col("as_of").cast("date").alias("until")))
+    asked = questions.where("as_of is not null").select(*keys, "as_of", question, F.explode(pools).alias("_p")).select(*keys, "as_of", question, "_p.*")
+    found = postings.search(index, asked, [*keys, "as_of", "pool"], question, k, as_of="until")
+    return found.withColumn("arm", F.explode(F.split("pool", ""))).drop("pool")
+
+
 def inventory(manifest: DataFrame, dates: DataFrame) -> DataFrame:
     """(as_of, inventory): what is disclosed by each date, as lines in order of announcement."""
     seen = manifest.join(small(dates.select("as_of").distinct()), F.col("announced") <= F.col("as_of"))
@@ -31,7 +43,7 @@ def inventory(manifest: DataFrame, dates: DataFrame) -> DataFrame:
 def bad_citations(answers: DataFrame, picked: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, bad_cites): citations of fragments that were announced after the
     answer's date. picked: (ids, rank, announced)."""
-    cited = answers.select(*ids, "as_of", F.explode(T.citations(F.col("answer"))).alias("rank"))
+    cited = answers.select(*ids, "as_of", F.explode(T.citations(F.col("answer"), tight=True)).alias("rank"))
     late = cited.join(picked, [*ids, "rank"]).where(F.col("announced") > F.col("as_of"))
     return late.groupBy(*ids).agg(F.count("*").alias("bad_cites"))
 
@@ -42,20 +54,27 @@ def stated_numbers(answers: DataFrame, ids: list[str]) -> DataFrame:
     return answers.select(*ids, "as_of", F.explode(own).alias("number"))
 
 
+def ways_of_writing(numbers: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, number, way): every way in which a number may be written."""
+    return numbers.select(*ids, "number", F.explode(T.variants(F.col("number"))).alias("way"))
+
+
 def documents_with(numbers: DataFrame, documents: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, number, doc, announced): documents in which a number is written in
-    any of its ways. Ways of writing join the documents' number tokens on
-    equality, so no text is searched twice and nothing is compared with all."""
-    ways = numbers.withColumn("_bare", F.replace("number", F.lit(","), F.lit("")))
-    ways = ways.select(*ids, "number", F.explode(F.array_distinct(F.transform(T.variants(F.col("number")), lambda v: F.replace(v, F.lit(","), F.lit(""))))).alias("_token"))
-    held = documents.select("doc", "announced", F.explode(F.array_distinct(F.transform(T.numbers(F.col("text")), lambda n: F.replace(n, F.lit(","), F.lit(""))))).alias("_token"))
-    return ways.join(held, "_token").select(*ids, "number", "doc", "announced").distinct()
+    """(ids, number, doc, announced): documents whose text without blanks and
+    commas contains a number in any of its ways. All ways are looked for at
+    once, so each text is read once."""
+    ways = ways_of_writing(numbers, ids)
+    bare = documents.select("doc", "announced", T.squeezed(F.col("text"), "").alias("_bare"))
+    held = patterns.containing(bare, ["doc", "announced"], "_bare", ways, "way")
+    return ways.join(held, "way").select(*ids, "number", "doc", "announced").distinct()
 
 
 def leaked_numbers(answers: DataFrame, documents: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, leaks): numbers of an answer that documents hold, but none that was announced by its date."""
     own = stated_numbers(answers, ids)
-    found = documents_with(own, documents, ids).groupBy(*ids, "number").agg(F.min("announced").alias("first"))
+    ways = ways_of_writing(own, ids)
+    first = patterns.earliest(documents.select("announced", T.squeezed(F.col("text"), "").alias("_bare")), "_bare", "announced", ways, "way")
+    found = ways.join(first, "way").groupBy(*ids, "number").agg(F.min("first").alias("first"))
     late = own.join(found, [*ids, "number"]).where(F.col("first") > F.col("as_of"))
     return late.groupBy(*ids).agg(F.count("*").alias("leaks"))
 

@@ -104,14 +104,6 @@ def by_dictionary(rows: DataFrame, aliases: DataFrame, keys: list[str]) -> DataF
     return rows.join(own, keys, "left")
 
 
-def fuzzy(rows: DataFrame, slots: DataFrame, group: list[str], label: str = "label_norm", order: str = "row_idx") -> DataFrame:
-    """For each group and slot (slot, name) the row whose label equals the
-    name, else the one with the shortest label containing it, first row first."""
-    pairs = rows.join(small(slots), F.contains(F.col(label), F.col("name")))
-    w = Window.partitionBy(*group, "slot").orderBy((F.col(label) == F.col("name")).desc(), F.char_length(label), order)
-    return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
 def first_rows(df: DataFrame, by: list[str], *order) -> DataFrame:
     """The first row of each group."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")

@@ -1,19 +1,12 @@
-"""Retrieval with traceable answers: chunks, a bigram index, top k, citation audits."""
+"""Retrieval with traceable answers: chunks, bigram weights, citation audits. The index is in ``postings``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import islice
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.functions import text as T
-from plumbline.operators.joins import small, union
+from plumbline.operators.joins import small
 
 SIZE, OVERLAP = 700, 120
 BONUS = 0.6  # for each forced number of the question that a chunk holds
@@ -44,198 +37,6 @@ def idf(postings: DataFrame, n: DataFrame, by: list[str] | None = None) -> DataF
     return joined.select(*by, "gram", "df", F.log(1 + F.col("n") / (1 + F.col("df"))).cast("decimal(18,6)").alias("idf"))
 
 
-QUESTIONS = 2048  # of one pass over the chunks
-ROWS, COLUMNS = 64, 256  # chunks and questions that are scored at once
-
-
-@dataclass
-class Asked:
-    """A block of questions: their bigrams as one vocabulary."""
-
-    ids: list
-    root: np.ndarray  # of each question's number of bigrams, 1 at least
-    gram: np.ndarray  # sorted codes
-    question: np.ndarray  # sparse: question and place in gram of each of its bigrams
-    place: np.ndarray
-    forced: list[list[str]]  # each question's numbers without commas
-    weight: np.ndarray | None = None  # of each gram, in millionths
-
-
-def asked(rows: list) -> Asked:
-    """rows: (id, grams, forced)."""
-    codes = [np.array([(ord(g[0]) << 32) | ord(g[1]) for g in r[1]], np.uint64) for r in rows]
-    gram, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]), return_inverse=True)
-    size = np.array([len(c) for c in codes], np.int64)
-    return Asked([r[0] for r in rows], np.maximum(np.sqrt(size), 1.0), gram, np.repeat(np.arange(len(rows)), size), place, [list(r[2]) for r in rows])
-
-
-def incidence(texts: list[str], gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, place in gram) of each bigram of the vocabulary that each text holds."""
-    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) for t in texts]
-    code = [np.unique((c[:-1] << np.uint64(32)) | c[1:]) for c in codes]
-    row, flat = np.repeat(np.arange(len(texts)), [len(c) for c in code]), np.concatenate([np.zeros(0, np.uint64), *code])
-    if not len(gram):
-        return row[:0], row[:0]
-    at = np.minimum(np.searchsorted(gram, flat), len(gram) - 1)
-    known = gram[at] == flat
-    return row[known], at[known]
-
-
-def millionths(texts: list[str], q: Asked, lo: int, hi: int) -> np.ndarray:
-    """Sums of weights of shared bigrams, one row a text, one column a question lo..hi-1."""
-    table = np.zeros((len(q.gram), hi - lo), np.int64)
-    own = (q.question >= lo) & (q.question < hi)
-    table[q.place[own], q.question[own] - lo] = q.weight[q.place[own]]
-    row, at = incidence(texts, q.gram)
-    out = np.zeros((len(texts), hi - lo), np.int64)
-    if len(row):
-        first = np.flatnonzero(np.r_[True, np.diff(row) != 0])
-        out[row[first]] = np.add.reduceat(table[at], first, axis=0)
-    return out
-
-
-def blocks(questions: DataFrame, qid: str, question: str) -> Iterator[Asked]:
-    """Questions in blocks of bounded number, one after another."""
-    forced = F.transform(T.forced_numbers(F.col(question)), lambda n: F.replace(n, F.lit(","), F.lit("")))
-    rows = questions.select(F.col(qid), T.bigrams(F.coalesce(F.col(question), F.lit(""))), F.coalesce(forced, F.array().cast("array<string>"))).toLocalIterator()
-    while some := list(islice(rows, QUESTIONS)):
-        yield asked(some)
-
-
-def scored(questions: DataFrame, pieces: DataFrame, qid: str, question: str, ids: list[str], text: str, k: int | None = None, bonus: bool = True) -> DataFrame:
-    """(qid, ids, score) of the k best chunks of each question (all without k):
-    the sum of idf of shared bigrams over the root of the question's bigrams,
-    and BONUS for each number of the question that the chunk holds. Of equal
-    scores the later chunk, by ids, is better.
-
-    Questions come in blocks, each block passes over all chunks: once to count
-    in how many chunks each of its bigrams occurs, once to score. A task keeps
-    the k best of its own chunks, so what is shuffled doesn't grow with the
-    pairs of questions and chunks."""
-    spark = questions.sparkSession
-    bare = pieces.select(*ids, F.regexp_replace(text, r"(?U)\s", "").alias("_bare"), F.replace(F.col(text), F.lit(","), F.lit("")).alias("_text"))
-    n = pieces.count()
-    out = []
-    for q in blocks(questions, qid, question):
-        q.weight = weights_of(bare.select("_bare"), q.gram, n)
-        out.append(passed(bare, spark.sparkContext.broadcast(q), questions.schema[qid].dataType, qid, ids, k, bonus))
-    if not out:
-        schema = ", ".join(f"`{c}` {(questions if c == qid else pieces).schema[c].dataType.simpleString()}" for c in (qid, *ids))
-        return spark.createDataFrame([], f"{schema}, score double")
-    return union(out)
-
-
-def weights_of(bare: DataFrame, gram: np.ndarray, n: int) -> np.ndarray:
-    """idf of each bigram in millionths; a bigram that no chunk has weighs as if it had none."""
-    shared = bare.sparkSession.sparkContext.broadcast(gram)
-
-    def count(batches):
-        total = np.zeros(len(shared.value), np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo in range(0, len(texts), 1024):
-                total += np.bincount(incidence(texts[lo : lo + 1024], shared.value)[1], minlength=len(total))
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["place", "n"])
-
-    df = bare.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("df"))
-    rows = df.select("place", (F.log(1 + F.lit(n) / (1 + F.col("df"))).cast("decimal(18,6)") * 1000000).cast("long").alias("weight")).collect()
-    weight = np.zeros(len(gram), np.int64)
-    weight[[r["place"] for r in rows]] = [r["weight"] for r in rows]
-    return weight
-
-
-def evaluated(batch: pa.RecordBatch, q: Asked, ids: list[str], bonus: bool):
-    """(lo, hi, sums, extra, score) of a batch's chunks for questions lo..hi-1, one column each."""
-    texts, whole = batch.column("_bare").to_pylist(), batch.column("_text").to_pylist()
-    for lo in range(0, len(q.ids), COLUMNS):
-        hi = min(lo + COLUMNS, len(q.ids))
-        sums = np.concatenate([millionths(texts[i : i + ROWS], q, lo, hi) for i in range(0, len(texts), ROWS)] or [np.zeros((0, hi - lo), np.int64)])
-        extra = np.zeros(sums.shape, np.int64)
-        for j in range(lo, hi) if bonus else ():
-            for number in q.forced[j]:
-                extra[:, j - lo] += np.fromiter((number in t for t in whole), np.int64, len(whole))
-        yield lo, hi, sums, extra, np.round(sums / 1e6 / q.root[None, lo:hi], 9) + BONUS * extra
-
-
-def passed(bare: DataFrame, shared, kind, qid: str, ids: list[str], k: int | None, bonus: bool, facts=None) -> DataFrame:
-    """One block of questions over all chunks: the k best of each task, or with
-    facts (one a question) the chunks that hold the question's fact."""
-
-    def run(batches):
-        q = shared.value
-        for batch in batches:
-            keys = [np.unique(batch.column(c).to_numpy(zero_copy_only=False), return_inverse=True)[1] for c in ids]
-            late = np.empty(batch.num_rows, np.int64)  # the place of each chunk in order of ids
-            late[np.lexsort(keys[::-1])] = np.arange(batch.num_rows)
-            whole = batch.column("_text").to_pylist() if facts is not None else []
-            for lo, hi, sums, extra, value in evaluated(batch, q, ids, bonus):
-                if facts is None:
-                    rows = [np.lexsort((-late, -value[:, j]))[:k] for j in range(hi - lo)]
-                else:
-                    rows = [np.flatnonzero(np.fromiter((f in t for t in whole), bool, len(whole))) for f in facts.value[lo:hi]]
-                at, of = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(lo, hi), [len(r) for r in rows])
-                names = pa.array([q.ids[i] for i in of.tolist()], to_arrow_type(kind))
-                yield pa.RecordBatch.from_arrays([names, *[batch.column(c).take(pa.array(at)) for c in ids], pa.array(sums[at, of - lo]), pa.array(q.root[of]), pa.array(extra[at, of - lo])], [qid, *ids, "_sum", "_root", "_extra"])
-
-    schema = f"`{qid}` {kind.simpleString()}, " + ", ".join(f"`{c}` {bare.schema[c].dataType.simpleString()}" for c in ids)
-    rows = bare.mapInArrow(run, f"{schema}, _sum long, _root double, _extra long")
-    return rows.select(qid, *ids, (F.round(F.col("_sum") / 1e6 / F.col("_root"), 9) + BONUS * F.col("_extra")).alias("score"))
-
-
-def fact_ranks(questions: DataFrame, pieces: DataFrame, qid: str, question: str, fact: str, ids: list[str], text: str, top: int = 6, bonus: bool = True) -> DataFrame:
-    """(qid, owners, best_rank, in_top): how many chunks hold a question's fact,
-    the best rank of one among all chunks, and how many are in the top. A fact
-    that no chunk holds, commas aside, has no rank. Ranks are counts of better
-    chunks, so no question's chunks are gathered anywhere."""
-    spark = questions.sparkSession
-    bare = pieces.select(*ids, F.regexp_replace(text, r"(?U)\s", "").alias("_bare"), F.replace(F.col(text), F.lit(","), F.lit("")).alias("_text"))
-    n, kind, out = pieces.count(), questions.schema[qid].dataType, []
-    wanted = {r[0]: r[1] for r in questions.select(qid, F.replace(F.col(fact), F.lit(","), F.lit(""))).collect()}
-    for q in blocks(questions, qid, question):
-        q.weight = weights_of(bare.select("_bare"), q.gram, n)
-        shared, facts = spark.sparkContext.broadcast(q), spark.sparkContext.broadcast([wanted[i] or "\0" for i in q.ids])
-        order = F.struct("score", *ids)
-        owned = passed(bare, shared, kind, qid, ids, None, bonus, facts)
-        best = owned.groupBy(qid).agg(F.count("*").alias("owners"), F.max(order).alias("best"))
-        held = {r[qid]: (r["owners"], r["best"]) for r in best.collect()}
-        bars = spark.sparkContext.broadcast([tuple(held[i][1]) if i in held else None for i in q.ids])
-        better = above(bare, shared, bars, kind, qid, ids, bonus).groupBy(qid).agg(F.sum("n").alias("best_rank"))
-        tops = top_k(passed(bare, shared, kind, qid, ids, top, bonus), top, [qid], *ids).join(owned.select(qid, *ids), [qid, *ids]).groupBy(qid).agg(F.count("*").alias("in_top"))
-        owners = spark.createDataFrame([(i, held[i][0] if i in held else 0) for i in q.ids], f"`{qid}` {kind.simpleString()}, owners long")
-        out.append(owners.join(better, qid, "left").join(tops, qid, "left").na.fill(0, ["in_top"]))
-    return union(out)
-
-
-def above(bare: DataFrame, shared, bars, kind, qid: str, ids: list[str], bonus: bool) -> DataFrame:
-    """(qid, n) of each batch: chunks that are no worse than the question's bar, a (score, *ids)."""
-
-    def run(batches):
-        q = shared.value
-        for batch in batches:
-            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ids]
-            for lo, hi, _, _, value in evaluated(batch, q, ids, bonus):
-                own = [j for j in range(lo, hi) if bars.value[j] is not None]
-                n = []
-                for j in own:
-                    score, *bar = bars.value[j]
-                    v = np.round(value[:, j - lo], 9)
-                    equal, ok = v == round(score, 9), v > round(score, 9)
-                    for k, b in zip(keys, bar):
-                        ok |= equal & (k > b)
-                        equal &= k == b
-                    n.append(int((ok | equal).sum()))
-                yield pa.RecordBatch.from_arrays([pa.array([q.ids[j] for j in own], to_arrow_type(kind)), pa.array(n, pa.int64())], [qid, "n"])
-
-    return bare.mapInArrow(run, f"`{qid}` {kind.simpleString()}, n long")
-
-
-def top_k(scored: DataFrame, k: int, by: list[str], *tie: str) -> DataFrame:
-    """The k best of each question; of equal scores the later chunk first."""
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc(), *[F.col(t).desc() for t in tie])
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def audited(answers: DataFrame, picked: DataFrame, qid: str, answer: str, accept: str) -> DataFrame:
     """One row a citation (qid, citation, in_range, supported): whether the cited
     fragment exists and holds an accepted fact (array of alternatives)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators import asof, diagnosis, joins, pit, retrieval
+from plumbline.operators import asof, diagnosis, joins, pit, postings, retrieval
 from plumbline.plans.market import table
 
 
@@ -45,14 +45,15 @@ def _questions(spark, sf_dir):
 
 def retrieved(spark, sf_dir):
     """The six best chunks for each question, with the bonus for its numbers."""
-    s = retrieval.scored(_questions(spark, sf_dir), _chunks(spark, sf_dir), "item_id", "question", CHUNK, "chunk", 6)
-    return retrieval.top_k(s, 6, ["item_id"], *CHUNK).select("item_id", *CHUNK, "rank", F.round("score", 6).alias("score"))
+    index = postings.built(_chunks(spark, sf_dir), CHUNK, "chunk")
+    return postings.search(index, _questions(spark, sf_dir), ["item_id"], "question", 6).select("item_id", *CHUNK, "rank", F.round("score", 6).alias("score"))
 
 
 def fact_ranks(spark, sf_dir):
     """Where the chunks that hold an item's last word rank for it, and who is to blame."""
     b = table(spark, sf_dir, "benchmark").select("item_id", "text", F.element_at(F.split("text", r"\s+"), -1).alias("fact"))
-    ranks = retrieval.fact_ranks(b, _chunks(spark, sf_dir), "item_id", "text", "fact", CHUNK, "chunk", bonus=False)
+    index = postings.built(_chunks(spark, sf_dir), CHUNK, "chunk")
+    ranks = postings.fact_ranks(index, b, ["item_id"], "text", "fact", bonus=False)
     return diagnosis.fault(ranks.withColumn("hit", F.col("item_id") % 3 == 0), "hit")
 
 
@@ -162,10 +163,13 @@ def answer_verdicts(spark, sf_dir):
     return _runs(spark, sf_dir).select("conv_id", "turn", "bad_cites", "leaks", "abstained", "hit", "empty", "ok")
 
 
+# whether a number is written in any of its ways in the only document of ``_runs``
+PLAIN = "replace(n, ',', '')::DOUBLE"
+WRITTEN = "list_bool_or(list_transform([replace(n, ',', '')] || CASE WHEN " + PLAIN + " < 1e7 THEN [" + ", ".join(f"format('{{:.2f}}', {PLAIN} * {k}), floor({PLAIN} * {k})::BIGINT::VARCHAR" for k in (10000, 100000000)) + "] ELSE [] END || CASE WHEN " + PLAIN + " >= 1e8 THEN [" + ", ".join(f"format('{{:.2f}}', {PLAIN} / {k})" for k in (10000, 100000000)) + "] ELSE [] END, lambda v: contains('收入1234.50与12345000', v)))"
 RUNS = rf"""{REPLIES},
 base AS (SELECT conv_id, turn, ['A', 'B', 'C', 'D'][conv_id % 4 + 1] AS arm, turn % 3 AS rep, CASE WHEN key % 4 = 0 THEN 'NOT-YET' WHEN key % 7 = 0 THEN 'TRAP' ELSE 'AVAILABLE' END AS kind,
   DATE '2024-01-01' + (key % 50)::INT AS as_of, CASE WHEN key % 17 = 0 THEN ' ' ELSE answer END AS answer, key % 17 = 0 AS empty FROM replies),
-facts AS (SELECT *, len(regexp_extract_all(answer, '\[片段\s*2\]')) * (turn % 5 > 2)::INT AS bad_cites, (contains(answer, '1,234.5') AND as_of < DATE '2024-01-20')::INT AS leaks,
+facts AS (SELECT *, len(regexp_extract_all(answer, '\[片段2\]')) * (turn % 5 > 2)::INT AS bad_cites, CASE WHEN as_of < DATE '2024-01-20' THEN len(list_filter(list_distinct(regexp_extract_all(answer, '[0-9][0-9,]*(?:\.[0-9]+)?')), lambda n: NOT regexp_full_match(replace(n, ',', ''), '(19|20)[0-9]{{2}}') AND {WRITTEN})) ELSE 0 END AS leaks,
   contains(answer, '未包含') AS abstained, contains(answer, '1,234.5') AS hit FROM base),
 judged AS (SELECT *, CASE WHEN empty THEN false WHEN kind = 'NOT-YET' THEN abstained AND bad_cites = 0 AND leaks = 0 ELSE hit AND bad_cites = 0 AND leaks = 0 END AS ok FROM facts),
 s AS (SELECT arm, rep, avg((bad_cites > 0 AND NOT empty)::INT) AS cite_violation, avg((leaks > 0 AND NOT empty)::INT) AS num_violation, avg(ok::INT) AS correct,
@@ -278,7 +282,7 @@ ORACLES = {
     "gram_weights": f"WITH {CHUNKS}, {SCORED} SELECT * FROM w",
     "retrieved": f"WITH {CHUNKS}, {SCORED}, " + ranked_sql("SELECT item_id, text || CASE WHEN item_id % 2 = 0 THEN ' 5,55' ELSE '' END AS question FROM benchmark", BONUS) + " SELECT item_id, doc_id, chunk_no, rank, round(score, 6) AS score FROM ranked WHERE rank <= 6",
     "fact_ranks": f"WITH {CHUNKS}, {SCORED}, " + ranked_sql("SELECT item_id, text AS question FROM benchmark", "0") + """,
-p AS (SELECT item_id, count(*) FILTER (h) AS owners, min(rank) FILTER (h) AS best_rank, count(*) FILTER (h AND rank <= 6) AS in_top FROM (SELECT r.*, contains(replace(chunk, ',', ''), replace(regexp_split_to_array(text, '\\s+')[-1], ',', '')) AS h FROM ranked r JOIN benchmark USING (item_id)) GROUP BY 1)
+p AS (SELECT item_id, count(*) FILTER (h) AS owners, min(rank) FILTER (h) AS best_rank, count(*) FILTER (h AND rank <= 6) AS in_top FROM (SELECT r.*, contains(regexp_replace(chunk, '[,\\s，]', '', 'g'), regexp_replace(regexp_split_to_array(text, '\\s+')[-1], '[,，]', '', 'g')) AS h FROM ranked r JOIN benchmark USING (item_id)) GROUP BY 1)
 SELECT *, item_id % 3 = 0 AS hit, CASE WHEN item_id % 3 = 0 THEN 'none' WHEN best_rank IS NULL THEN 'corpus' WHEN best_rank > 6 THEN 'retrieval' ELSE 'generation' END AS fault FROM p""",
     "as_of_weights": rf"""WITH seen AS (SELECT as_of, item_id, {BARE.format(t="text")} AS b FROM benchmark, (SELECT unnest([DATE '2024-01-10', DATE '2024-01-25']) AS as_of) WHERE DATE '2024-01-01' + (item_id % 40)::INT <= as_of),
 g AS (SELECT as_of, item_id, unnest({GRAMS.format(t="b")}) AS gram FROM seen), n AS (SELECT as_of, count(*) AS n FROM seen GROUP BY 1)

@@ -1,6 +1,7 @@
-"""All queries on the reference's operators, with their SQL."""
+"""All queries of the library by name, and their SQL."""
 
-from plumbline.plans import answers, market, statements
+from plumbline.plans import answers, arms, market, statements
 
-QUERIES = {**market.QUERIES, **answers.QUERIES, **statements.QUERIES}
-ORACLES = {**market.ORACLES, **answers.ORACLES, **statements.ORACLES}
+_PLANS = (market, answers, arms, statements)
+QUERIES = {name: q for plan in _PLANS for name, q in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import arrays as A
 from plumbline.functions import text as T
-from plumbline.operators import diagnosis, joins, segmenting, trust
+from plumbline.operators import diagnosis, joins, patterns, segmenting, trust
 from plumbline.operators import statements as S
 from plumbline.plans.market import table
 
@@ -91,7 +91,7 @@ def fuzzy_rows(spark, sf_dir):
     """Per order the row for 'assets': equal label first, else the shortest that contains it."""
     slots = spark.createDataFrame([("a", "assets"), ("e", "equity")], "slot string, name string")
     rows = _lines(spark, sf_dir).where("col_idx = 0")
-    return joins.fuzzy(rows, slots, ["table_id"], order=F.struct("row_idx", "value")).select("table_id", "slot", "row_idx", "value")
+    return patterns.fuzzy(rows, slots, ["table_id"], order=F.struct("row_idx", "value")).select("table_id", "slot", "row_idx", "value")
 
 
 def cross_document(spark, sf_dir):
