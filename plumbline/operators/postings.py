@@ -20,6 +20,7 @@ comes in blocks of bounded number; each block passes over the index."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
@@ -42,13 +43,14 @@ SEEDS = 2  # blocks a question whose chunks are scored first, to find a bar
 CLOSE = 2e-9  # scores have nine decimals
 EVER = 2932896  # days up to 9999-12-31
 SYMBOLS = "0123456789."
+RUNS = re.compile("[0-9.]{2,}").findall
+ALL = -1  # stands in the counts for a bigram that every chunk has
 
 
 @dataclass
 class Index:
     blocks: DataFrame  # block, day, grams, counts, digits_lo, digits_hi, ids as arrays, bares, texts
-    counts: DataFrame  # gram, day, df: chunks with the gram announced by that day
-    pieces: DataFrame  # day, n: chunks of each day
+    counts: DataFrame  # gram, day, df: chunks with the gram (all chunks for ALL) announced by that day
     ids: list[str]
     kinds: dict = field(default_factory=dict)
     dated: bool = False
@@ -57,17 +59,17 @@ class Index:
 def codes(text: str) -> np.ndarray:
     """The set of bigrams of a text, as sorted numbers."""
     c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    return np.unique((c[:-1] << 32) | c[1:])
+    out = np.sort((c[:-1] << 32) | c[1:])
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
 
 
 def digit_pairs(text: str) -> int:
     """Which pairs of digits and points follow each other in a text, as bits."""
-    out, last = 0, -1
-    for c in text:
-        at = SYMBOLS.find(c)
-        if at >= 0 and last >= 0:
-            out |= 1 << (last * len(SYMBOLS) + at)
-        last = at
+    out = 0
+    for run in RUNS(text):
+        at = [SYMBOLS.index(c) for c in run]
+        for a, b in zip(at, at[1:]):
+            out |= 1 << (a * len(SYMBOLS) + b)
     return out
 
 
@@ -78,10 +80,13 @@ def built(chunks: DataFrame, ids: list[str], text: str, announced: str | None =
     """The index of chunks, staged. Chunks without a day of a dated index are
     never announced, so no search finds them."""
     spark, kinds = chunks.sparkSession, {c: chunks.schema[c].dataType for c in ids}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     day = F.datediff(F.col(announced).cast("date"), F.lit("1970-01-01").cast("date")) if announced else F.lit(0)
     bare = chunks.select(*ids, day.cast("int").alias("day"), F.regexp_replace(text, r"(?U)\s", "").alias("bare"), F.replace(F.col(text), F.lit(","), F.lit("")).alias("text")).where("day is not null and text is not null")
     if announced:
-        bare = bare.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "day", *ids).sortWithinPartitions("day", *ids)
+        bare = bare.repartitionByRange(parts, "day", *ids).sortWithinPartitions("day", *ids)
+    elif bare.rdd.getNumPartitions() <= 2 * parts:  # a scan of few pieces, which may be uneven
+        bare = bare.repartition(parts)
     arrow = {c: to_arrow_type(k) for c, k in kinds.items()}
     names = ["block", "day", "grams", "counts", "digits_lo", "digits_hi", *ids, "bares", "texts"]
 
@@ -118,11 +123,11 @@ def built(chunks: DataFrame, ids: list[str], text: str, announced: str | None =
 
     schema = ", ".join(["block long, day int, grams array<long>, counts array<int>, digits_lo long, digits_hi long", *[f"`{c}` array<{k.simpleString()}>" for c, k in kinds.items()], "bares array<string>, texts array<string>"])
     blocks = staged(bare.mapInArrow(blocked, schema), "index-blocks")
-    pairs = blocks.select("day", F.explode(F.arrays_zip("grams", "counts")).alias("g")).groupBy(F.col("g.grams").alias("gram"), "day").agg(F.sum("g.counts").alias("n"))
+    each = F.concat(F.arrays_zip(F.col("grams").alias("gram"), F.col("counts").alias("n")), F.array(F.struct(F.lit(ALL).cast("long").alias("gram"), F.size("texts").alias("n"))))
+    pairs = blocks.select("day", F.inline(each)).groupBy("gram", "day").agg(F.sum("n").alias("n"))
     running = F.sum("n").over(Window.partitionBy("gram").orderBy("day"))
     counts = staged(pairs.select("gram", "day", running.alias("df")), "index-counts")
-    pieces = staged(blocks.groupBy("day").agg(F.sum(F.size("texts")).alias("n")), "index-pieces")
-    return Index(blocks, counts, pieces, ids, kinds, announced is not None)
+    return Index(blocks, counts, ids, kinds, announced is not None)
 
 
 @dataclass
@@ -169,12 +174,18 @@ def weighted(index: Index, questions: DataFrame, keys: list[str], question: str,
     rows = questions.select(F.struct(*keys).alias("_key"), until.cast("int").alias("until"), T.bigrams(text).alias("_g"), F.transform(T.forced_numbers(text), lambda n: F.replace(n, F.lit(","), F.lit(""))).alias("numbers"), (T.compact(F.col(fact)) if fact else F.lit(None).cast("string")).alias("fact"))
     code = F.shiftleft(F.ascii(F.col("_c")).cast("long"), 32).bitwiseOR(F.ascii(F.substring("_c", 2, 1)).cast("long"))
     asked = rows.select("_key", "until", F.explode("_g").alias("_c")).select("_key", "until", code.alias("gram"))
-    # the last count at or before the date, by one union and a window over a gram's days
-    seen = joins.as_of(asked.select("gram", "until").distinct(), index.counts, ["gram"], "until", "day", "df", "df")
-    n = index.pieces.join(joins.small(asked.select("until").distinct()), F.col("day") <= F.col("until")).groupBy("until").agg(F.sum("n").alias("n"))
-    weight = (F.log(1 + F.col("n") / (1 + F.col("df"))).cast("decimal(18,6)") * 1000000).cast("long")
-    known = seen.where("df is not null").join(joins.small(n), "until").select("gram", "until", weight.alias("weight"))
-    own = asked.join(known, ["gram", "until"]).groupBy(F.col("_key").alias("_own")).agg(F.collect_list(F.struct("gram", "weight")).alias("grams"))
+    idf = lambda n: (F.log(1 + n / (1 + F.col("df"))).cast("decimal(18,6)") * 1000000).cast("long").alias("weight")
+    if index.dated:
+        # the last count at or before each date, by one union and a window over a gram's days
+        wanted = asked.select("gram", "until").union(rows.select(F.lit(ALL).cast("long"), "until")).distinct()
+        counts = index.counts.join(wanted.select("gram").distinct(), "gram", "left_semi")
+        seen = joins.as_of(wanted, counts, ["gram"], "until", "day", "df", "df").where("df is not null")
+        n = seen.where(F.col("gram") == ALL).select("until", F.col("df").alias("n"))
+        known, on = seen.join(n, "until").select("gram", "until", idf(F.col("n"))), ["gram", "until"]
+    else:
+        all_ = index.counts.where(F.col("gram") == ALL).first()
+        known, on = index.counts.select("gram", idf(F.lit(all_["df"] if all_ else 0))), ["gram"]
+    own = asked.join(known, on).groupBy(F.col("_key").alias("_own")).agg(F.collect_list(F.struct("gram", "weight")).alias("grams"))
     return rows.join(own, F.col("_key").eqNullSafe(F.col("_own")), "left").select("_key", "until", F.size("_g").alias("size"), "grams", "numbers", "fact")
 
 
