@@ -30,7 +30,20 @@ LEAD = r"^(?:[（(【\[]?[一二三四五六七八九十百\d]{1,3}[）)】\]]?[
 NO_HEADING = "(分析|变动|项目|主要|说明|附注|科目|情况|结构|表外|日|年度)"
 STATEMENTS = {"BS": "资产负债表", "IS": "利润表", "CF": "现金流量表"}
 # (heading, statement, scope): compound names first, as the bare ones end them
-HEADINGS = tuple((f"{scope}{name}", kind, {"合并": "合并"}.get(scope, "母公司")) for scope in ("合并", "母公司", "本公司", "") for kind, name in STATEMENTS.items())
+HEADINGS = (
+    ("合并资产负债表", "BS", "合并"),
+    ("合并利润表", "IS", "合并"),
+    ("合并现金流量表", "CF", "合并"),
+    ("母公司资产负债表", "BS", "母公司"),
+    ("母公司利润表", "IS", "母公司"),
+    ("母公司现金流量表", "CF", "母公司"),
+    ("本公司资产负债表", "BS", "母公司"),
+    ("本公司利润表", "IS", "母公司"),
+    ("本公司现金流量表", "CF", "母公司"),
+    ("资产负债表", "BS", "母公司"),
+    ("利润表", "IS", "母公司"),
+    ("现金流量表", "CF", "母公司"),
+)
 COMPANY_KEEP = r"\d{4}年(?:年)?(?:度)?报告$"
 COMPANY_DROP = "(摘要|英文|更正|述职|评估|意见|公告|说明|补充|问询|督导|持续督导|关于)"
 

@@ -44,12 +44,14 @@ CLOSE = 2e-9  # scores have nine decimals
 EVER = 2932896  # days up to 9999-12-31
 SYMBOLS = "0123456789."
 RUNS = re.compile("[0-9.]{2,}").findall
+# The characters of Unicode's property White_Space.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ALL = -1  # stands in the counts for a bigram that every chunk has
 
 
 @dataclass
 class Index:
-    blocks: DataFrame  # block, day, grams, counts, digits_lo, digits_hi, ids as arrays, bares, texts
+    blocks: DataFrame  # block, day, grams, counts, digits_lo, digits_hi, ids as arrays, texts
     counts: DataFrame  # gram, day, df: chunks with the gram (all chunks for ALL) announced by that day
     ids: list[str]
     kinds: dict = field(default_factory=dict)
@@ -57,8 +59,8 @@ class Index:
 
 
 def codes(text: str) -> np.ndarray:
-    """The set of bigrams of a text, as sorted numbers."""
-    c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    """The set of bigrams of a text without white space, as sorted numbers."""
+    c = np.frombuffer(BLANKS.sub("", text).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     out = np.sort((c[:-1] << 32) | c[1:])
     return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
 
@@ -82,13 +84,13 @@ def built(chunks: DataFrame, ids: list[str], text: str, announced: str | None =
     spark, kinds = chunks.sparkSession, {c: chunks.schema[c].dataType for c in ids}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     day = F.datediff(F.col(announced).cast("date"), F.lit("1970-01-01").cast("date")) if announced else F.lit(0)
-    bare = chunks.select(*ids, day.cast("int").alias("day"), F.regexp_replace(text, r"(?U)\s", "").alias("bare"), F.replace(F.col(text), F.lit(","), F.lit("")).alias("text")).where("day is not null and text is not null")
+    rows = chunks.select(*ids, day.cast("int").alias("day"), F.col(text).alias("text")).where("day is not null and text is not null")
     if announced:
-        bare = bare.repartitionByRange(parts, "day", *ids).sortWithinPartitions("day", *ids)
-    elif bare.rdd.getNumPartitions() <= 2 * parts:  # a scan of few pieces, which may be uneven
-        bare = bare.repartition(parts)
+        rows = rows.repartitionByRange(parts, "day", *ids).sortWithinPartitions("day", *ids)
+    elif rows.rdd.getNumPartitions() <= parts:  # a scan of few pieces, which may be uneven
+        rows = rows.repartition(parts)
     arrow = {c: to_arrow_type(k) for c, k in kinds.items()}
-    names = ["block", "day", "grams", "counts", "digits_lo", "digits_hi", *ids, "bares", "texts"]
+    names = ["block", "day", "grams", "counts", "digits_lo", "digits_hi", *ids, "texts"]
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -97,14 +99,14 @@ def built(chunks: DataFrame, ids: list[str], text: str, announced: str | None =
 
         def made() -> pa.RecordBatch:
             part = pa.Table.from_batches(held).combine_chunks()
-            texts, bares = part["text"].to_pylist(), part["bare"].to_pylist()
-            gram, n = np.unique(np.concatenate([codes(t) for t in bares]), return_counts=True)
+            texts = part["text"].to_pylist()
+            gram, n = np.unique(np.concatenate([codes(t) for t in texts]), return_counts=True)
             bits = 0
             for t in texts:
-                bits |= digit_pairs(t)
+                bits |= digit_pairs(t.replace(",", ""))
             one = lambda v, kind: pa.array([v], kind)
             cols = [one(no, pa.int64()), one(day, pa.int32()), one(gram, pa.list_(pa.int64())), one(n.astype(np.int32), pa.list_(pa.int32())), one(bits & LOW, pa.int64()), one(bits >> HALF, pa.int64())]
-            return pa.RecordBatch.from_arrays([*cols, *[one(part[c].to_pylist(), pa.list_(arrow[c])) for c in ids], one(bares, pa.list_(pa.string())), one(texts, pa.list_(pa.string()))], names)
+            return pa.RecordBatch.from_arrays([*cols, *[one(part[c].to_pylist(), pa.list_(arrow[c])) for c in ids], one(texts, pa.list_(pa.string()))], names)
 
         for batch in batches:
             days, lo = batch.column("day").to_numpy(), 0
@@ -121,8 +123,8 @@ def built(chunks: DataFrame, ids: list[str], text: str, announced: str | None =
         if held:
             yield made()
 
-    schema = ", ".join(["block long, day int, grams array<long>, counts array<int>, digits_lo long, digits_hi long", *[f"`{c}` array<{k.simpleString()}>" for c, k in kinds.items()], "bares array<string>, texts array<string>"])
-    blocks = staged(bare.mapInArrow(blocked, schema), "index-blocks")
+    schema = ", ".join(["block long, day int, grams array<long>, counts array<int>, digits_lo long, digits_hi long", *[f"`{c}` array<{k.simpleString()}>" for c, k in kinds.items()], "texts array<string>"])
+    blocks = staged(rows.mapInArrow(blocked, schema), "index-blocks")
     each = F.concat(F.arrays_zip(F.col("grams").alias("gram"), F.col("counts").alias("n")), F.array(F.struct(F.lit(ALL).cast("long").alias("gram"), F.size("texts").alias("n"))))
     pairs = blocks.select("day", F.inline(each)).groupBy("gram", "day").agg(F.sum("n").alias("n"))
     running = F.sum("n").over(Window.partitionBy("gram").orderBy("day"))
@@ -237,7 +239,7 @@ class Reader:
         extra = np.zeros((len(texts), len(s.root)))
         if owners:
             for row, t in enumerate(texts):
-                for i in find(t):
+                for i in find(t.replace(",", "")):
                     np.add.at(extra[row], owners[i], 1)
         part = Stripe(s.gram, s.weight[:, columns], s.root[columns], s.until[columns], [], [])
         return part.hits(grams), extra[:, columns]
@@ -331,7 +333,8 @@ def _pass(index: Index, shared, k: int, blocks: DataFrame | None = None, counter
                     if not len(columns):
                         continue
                     if grams is None:
-                        grams, texts, names = [codes(t) for t in batch.column("bares")[at].as_py()], batch.column("texts")[at].as_py(), [(*x, int(day[at])) for x in _ids(batch, ids, at)]
+                        texts = batch.column("texts")[at].as_py()
+                        grams, names = [codes(t) for t in texts], [(*x, int(day[at])) for x in _ids(batch, ids, at)]
                     sums, extra = reader.exact(n, grams, texts, columns)
                     own.add(columns, stripes[n].score(sums, extra, columns), sums, extra, names)
         if counters is not None:
@@ -399,16 +402,16 @@ def _owners(index: Index, shared) -> DataFrame:
         for batch in batches:
             day = batch.column("day").to_numpy()
             for at in range(batch.num_rows):
-                bares = batch.column("bares")[at].as_py()
+                texts = batch.column("texts")[at].as_py()
                 held: dict[int, list[tuple[int, int]]] = {}
-                for row, t in enumerate(bares):
-                    for i in find(t.replace(",", "").replace("，", "")):
+                for row, t in enumerate(texts):
+                    for i in find(BLANKS.sub("", t).replace(",", "").replace("，", "")):
                         for n, j in places[i]:
                             if day[at] <= stripes[n].until[j]:
                                 held.setdefault(n, []).append((row, j))
                 if not held:
                     continue
-                grams, texts, names = [codes(t) for t in bares], batch.column("texts")[at].as_py(), _ids(batch, ids, at)
+                grams, names = [codes(t) for t in texts], _ids(batch, ids, at)
                 for n, pairs in held.items():
                     columns = np.unique([j for _, j in pairs])
                     sums, extra = reader.exact(n, grams, texts, columns)
@@ -444,7 +447,8 @@ def _no_worse(index: Index, shared, bars) -> DataFrame:
                     columns = np.flatnonzero((most[at] >= own - CLOSE) & (most[at] >= 0))
                     if not len(columns):
                         continue
-                    grams, texts = [codes(t) for t in batch.column("bares")[at].as_py()], batch.column("texts")[at].as_py()
+                    texts = batch.column("texts")[at].as_py()
+                    grams = [codes(t) for t in texts]
                     sums, extra = reader.exact(n, grams, texts, columns)
                     score = np.round(stripes[n].score(sums, extra, columns), 9)
                     total[lo + columns] += (score > own[columns]).sum(0)
@@ -474,7 +478,7 @@ def fact_ranks(index: Index, questions: DataFrame, keys: list[str], question: st
         facts = [f for s in stripes for f in s.facts]
         _with_bars(index, stripes, bonus, top)
         found = joins.top(_pass(index, context.broadcast((stripes, bonus)), top).withColumn("score", _score()), top, ["_q"], F.col("score").desc(), *[F.col(c).desc() for c in index.ids])
-        text = index.blocks.select(F.explode(F.arrays_zip(*index.ids, "bares")).alias("c")).select(*[F.col(f"c.{c}") for c in index.ids], F.regexp_replace("c.bares", "[,，]", "").alias("_bare"))
+        text = index.blocks.select(F.explode(F.arrays_zip(*index.ids, "texts")).alias("c")).select(*[F.col(f"c.{c}") for c in index.ids], T.compact(F.col("c.texts")).alias("_bare"))
         asked_ = index.blocks.sparkSession.createDataFrame([(i, held.get(i, (0,))[0], facts[i]) for i in range(len(names))], "_q int, owners long, _fact string")
         holding = found.join(F.broadcast(asked_), "_q").join(text, index.ids).where("_fact <> '' and contains(_bare, _fact)").groupBy("_q").agg(F.count("*").alias("in_top"))
         rows = asked_.join(ranks, "_q", "left").join(holding, "_q", "left").na.fill(0, ["in_top"])

@@ -122,12 +122,16 @@ def judged_rate(verdicts_: DataFrame, ident: str) -> DataFrame:
 def range_sums(lines: DataFrame, by: list[str], start: str, end: str, anchor: str = "exact", tolerance: float = TOLERANCE) -> DataFrame:
     """The sum of rows strictly between the first label for start and the first
     equal to end, without rows marked as 'of which', against the end row.
-    anchor: start labels equal (exact) or contain the name."""
+    anchor: start labels equal (exact) or contain the name. Where any inner row
+    has a value, a column whose inner cells are all empty sums to 0, so its
+    stated total is judged; without such a row there is nothing to judge."""
     begins = F.col("label_norm") == start if anchor == "exact" else F.contains(F.col("label_norm"), F.lit(start))
     w = Window.partitionBy(*by)
     marked = lines.withColumns({"_lo": F.min(F.when(begins, F.col("row_idx"))).over(w), "_hi": F.min(F.when(F.col("label_norm") == end, F.col("row_idx"))).over(w)})
     inside = (F.col("row_idx") > F.col("_lo")) & (F.col("row_idx") < F.col("_hi")) & ~F.contains(F.col("label_raw"), F.lit("其中"))
-    sums = marked.groupBy(*by, "col_idx").agg(F.sum(F.when(inside, F.col("value"))).alias("inner_sum"), F.max(F.when(F.col("row_idx") == F.col("_hi"), F.col("value"))).alias("stated"))
+    cells = marked.groupBy(*by, "col_idx").agg(F.sum(F.when(inside, F.col("value"))).alias("_sum"), F.max(F.when(F.col("row_idx") == F.col("_hi"), F.col("value"))).alias("stated"))
+    filled = F.max(F.col("_sum").isNotNull()).over(w)
+    sums = cells.withColumn("inner_sum", F.when(filled, F.coalesce("_sum", F.lit(0)))).select(*by, "col_idx", "inner_sum", "stated")
     return sums.withColumn("verdict", F.when(F.col("inner_sum").isNull() | F.col("stated").isNull(), "skip").when(F.abs(F.col("inner_sum") - F.col("stated")) <= tolerance, "pass").otherwise("fail"))
 
 
@@ -154,9 +158,28 @@ def cross_document(left: DataFrame, right: DataFrame, keys: list[str], order: st
     return both.withColumn("same", F.abs(F.col("value_a") - F.col("value_b")) <= F.greatest(F.lit(absolute), 1e-6 * F.abs("value_a")))
 
 
-def agreement(compared: DataFrame, by: list[str]) -> DataFrame:
+def agreement(compared: DataFrame, by: list[str], pages: DataFrame | None = None) -> DataFrame:
+    """(by, compared, agreed, rate). With pages (by), each has a row: where
+    nothing could be compared the rate is NULL."""
     out = compared.groupBy(*by).agg(F.count("*").alias("compared"), F.count_if("same").alias("agreed"))
-    return out.withColumn("rate", F.col("agreed") / F.col("compared"))
+    if pages is not None:
+        out = pages.select(*by).distinct().join(out, by, "left").na.fill(0, ["compared", "agreed"])
+    return out.withColumn("rate", F.try_divide("agreed", "compared"))
+
+
+def dual_agreement(a: DataFrame, b: DataFrame, by: list[str], absolute: float = 1.0) -> DataFrame:
+    """How far two parse paths of the same pages agree: (by, compared, agreed,
+    rate), a row for each page on which both found rows. Each path counts with
+    the first value of each label; labels that both have are compared. One
+    grouping by label and one by page, whatever the number of labels."""
+    both = a.select(*by, "label_norm", "row_idx", "col_idx", "value", F.lit(0).alias("_side")).unionByName(b.select(*by, "label_norm", "row_idx", "col_idx", "value", F.lit(1).alias("_side")))
+    known = F.col("value").isNotNull() & (F.col("label_norm") != "")
+    first = lambda side: F.min_by(F.when(known & (F.col("_side") == side), F.col("value")), F.when(known & (F.col("_side") == side), F.struct("row_idx", "col_idx", "value")))
+    labels = both.groupBy(*by, "label_norm").agg(first(0).alias("value_a"), first(1).alias("value_b"), F.max(F.col("_side") == 0).alias("_in_a"), F.max(F.col("_side") == 1).alias("_in_b"))
+    common = F.col("value_a").isNotNull() & F.col("value_b").isNotNull()
+    same = F.abs(F.col("value_a") - F.col("value_b")) <= F.greatest(F.lit(absolute), 1e-6 * F.abs("value_a"))
+    out = labels.groupBy(*by).agg(F.count_if(common).alias("compared"), F.count_if(common & same).alias("agreed"), F.max("_in_a").alias("_in_a"), F.max("_in_b").alias("_in_b"))
+    return out.where("_in_a and _in_b").drop("_in_a", "_in_b").withColumn("rate", F.try_divide("agreed", "compared"))
 
 
 def agreement_bucket(rate: Column) -> Column:
@@ -196,9 +219,10 @@ def duplicate_claims(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(first, [*by, "concept"]).where((F.col("row_idx") > F.col("_at")) & (F.col("label_norm") != F.col("_first"))).drop("_first", "_at")
 
 
-def coverage(wanted: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
-    """Hits of all wanted concepts per group, with those that are missing."""
-    groups = found.select(*by).distinct()
+def coverage(wanted: DataFrame, found: DataFrame, by: list[str], groups: DataFrame | None = None) -> DataFrame:
+    """Hits of all wanted concepts per group, with those that are missing.
+    groups (by): all groups there are, so that one without any hit has a row."""
+    groups = (found if groups is None else groups).select(*by).distinct()
     every = groups.crossJoin(small(wanted)).join(found.select(*by, "concept", F.lit(True).alias("_hit")).distinct(), [*by, "concept"], "left")
     return every.groupBy(*by).agg(F.count_if("_hit").alias("hits"), F.count("*").alias("total"), F.array_sort(F.collect_list(F.when(F.col("_hit").isNull(), F.col("concept")))).alias("missing"))
 

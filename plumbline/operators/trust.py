@@ -55,11 +55,13 @@ def scope_gap(facts: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return wide.select(*by, "value_a", "value_b", (F.col("value_a") - F.col("value_b")).alias("gap"), gap_percent(F.col("value_a"), F.col("value_b")).alias("gap_pct"), F.nullif(why, F.lit("")).alias("why"))
 
 
-def bench(tables: DataFrame, coverage: DataFrame, verdicts: DataFrame, member: str, kinds: int = 3) -> DataFrame:
+def bench(members: DataFrame, tables: DataFrame, coverage: DataFrame, verdicts: DataFrame, member: str, kinds: int = 3) -> DataFrame:
     """Per member and, with NULL, in total: tables present and missing, concepts
     hit and wanted, identities passed, failed and skipped, and the pass rate.
-    tables: (member, kind), coverage: (member, hits, total), verdicts: (member, verdict)."""
-    have = tables.groupBy(member).agg(F.count_distinct("kind").alias("present")).withColumn("absent", F.lit(kinds) - F.col("present"))
+    members: (member), all there are, with tables or without; tables: (member,
+    kind), coverage: (member, hits, total), verdicts: (member, verdict)."""
+    found = tables.groupBy(member).agg(F.count_distinct("kind").alias("present"))
+    have = members.select(member).distinct().join(found, member, "left").na.fill(0, ["present"]).withColumn("absent", F.lit(kinds) - F.col("present"))
     hit = coverage.groupBy(member).agg(F.sum("hits").alias("hits"), F.sum("total").alias("wanted"))
     judged = verdicts.groupBy(member).agg(*[F.count_if(F.col("verdict") == v).alias(n) for v, n in (("pass", "passed"), ("fail", "failed"), ("skip", "skipped"))])
     wide = have.join(hit, member, "left").join(judged, member, "left").na.fill(0)

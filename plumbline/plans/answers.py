@@ -141,8 +141,9 @@ REPLIES = "replies AS (SELECT conv_id, turn, conv_id * 7 + turn AS key, text ||
 
 def answer_rates(spark, sf_dir):
     """Rates over replies; what they cite, say and leave open is read from their texts."""
-    a, fact = F.col("answer"), F.col("answer").contains("1,234.5")
-    rows = _replies(spark, sf_dir).select((F.col("key") % 4 != 0).alias("in_corpus"), (F.size(T.citations(a)) > 0).alias("cited"), fact.alias("has_fact"), T.abstains(a).alias("abstained"), fact.alias("hit"))
+    a = F.col("answer")
+    # the cited fragment is the conversation's own turn, without what was added to it
+    rows = _replies(spark, sf_dir).select((F.col("key") % 4 != 0).alias("in_corpus"), (F.size(T.citations(a)) > 0).alias("cited"), a.rlike("^[A-M]").alias("has_fact"), T.abstains(a).alias("abstained"), a.contains("1,234.5").alias("hit"))
     return retrieval.answer_rates(rows)
 
 
@@ -215,9 +216,11 @@ def _reports(spark, sf_dir):
 
 
 def report_rates(spark, sf_dir):
-    """Numbers of each document and how many are traced to its first two lines."""
+    """Numbers of each document, how many are traced to what their sentence
+    cites (T1) or found in the first two lines at all (T3), and how many
+    sentences with numbers cite (T2)."""
     out = retrieval.report_rates(_reports(spark, sf_dir), ["doc_id"], "body", "fragments")
-    return out.select("doc_id", "sentences", "cited_sentences", "years", "numbers")
+    return out.select("doc_id", "sentences", "cited_sentences", "years", "numbers", "traced", "in_corpus", F.round("traced_rate", 9).alias("traced_rate"), F.round("corpus_rate", 9).alias("corpus_rate"))
 
 
 def page_names(spark, sf_dir):
@@ -250,11 +253,10 @@ def number_tokens(spark, sf_dir):
 
 
 def traced_numbers(spark, sf_dir):
-    """Numbers of conversations found among the numbers of documents (exact tokens, a semi-join on keys)."""
-    token = lambda df, k: df.select(*k, F.explode(T.numbers(F.col("text"))).alias("number"))
-    c = token(table(spark, sf_dir, "conversations"), ["conv_id"]).distinct()
-    d = token(table(spark, sf_dir, "documents"), []).distinct().withColumn("found", F.lit(True))
-    return c.join(d, "number", "left").groupBy("conv_id").agg(F.count("*").alias("numbers"), F.count_if("found").alias("traced"))
+    """Each number of each document: how often it is stated, how often in a
+    sentence that cites a fragment which holds it, and whether any fragment does."""
+    n = retrieval.traced_numbers(_reports(spark, sf_dir), "body", "fragments")
+    return n.groupBy("doc_id", "number").agg(F.count("*").alias("stated"), F.count_if("traceable").alias("traced"), F.bool_or("in_corpus").alias("in_corpus"))
 
 
 def compacted(spark, sf_dir):
@@ -271,6 +273,17 @@ def title_periods(spark, sf_dir):
     return t.select("o_orderkey", T.period_of(F.col("title")).alias("period"), T.company_period(F.col("title")).alias("annual"), T.is_report(F.col("title")).alias("is_report"), T.exchange_symbol(F.col("code")).alias("symbol"))
 
 
+# of all ways in which a number is written, the whole ones are the shortest: any other has one of them in it
+HELD = r"list_bool_or(list_transform([replace(number, ',', '')] || CASE WHEN x < 1e6 THEN [floor(x * 10000)::BIGINT::VARCHAR, floor(x * 100000000)::BIGINT::VARCHAR] ELSE [] END, lambda v: contains({f}, v)))"
+TRACED = rf"""
+d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE regexp_matches(text, '[0-9]')),
+l AS (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) - 1 AS i, regexp_replace(lines[1], '[,\s，]', '', 'g') AS f1, regexp_replace(coalesce(lines[2], ''), '[,\s，]', '', 'g') AS f2 FROM d),
+r AS (SELECT *, regexp_extract_all(x || CASE WHEN i % 3 = 0 THEN '[片段1]' ELSE '' END, '[0-9][0-9,]*(?:\.[0-9]+)?') AS all_n FROM l),
+s AS (SELECT *, list_filter(all_n, lambda v: NOT regexp_full_match(replace(v, ',', ''), '(19|20)[0-9]{{2}}')) AS own_n FROM r),
+m AS (SELECT doc_id, i, f1, f2, unnest(own_n) AS number FROM s),
+n AS (SELECT doc_id, number, i % 3 = 0 AND {HELD.format(f="f1")} AS traceable, {HELD.format(f="f1")} OR {HELD.format(f="f2")} AS in_corpus FROM (SELECT *, replace(number, ',', '')::DOUBLE AS x FROM m))"""
+
+
 QUERIES = {f.__name__: f for f in (
     chunked, corpus_stats, gram_weights, retrieved, fact_ranks, as_of_weights, citation_audit, citation_rates, citation_probe, answer_rates, answer_verdicts, arm_summaries, arm_ranges, arm_pools, inventories,
     report_rates, page_names, usage_tokens, enriched_chunks, number_tokens, traced_numbers, compacted, title_periods,
@@ -291,23 +304,21 @@ SELECT as_of, gram, count(*) AS df, ln(1 + any_value(n) / (1 + count(*)))::DECIM
     "citation_rates": f"WITH {ANSWERS}, p AS (SELECT item_id, bool_and(in_range AND supported) AS a, count(*) FILTER (in_range) AS n, count(*) FILTER (in_range AND supported) AS ok FROM audit GROUP BY 1) SELECT sum(ok) / sum(n) AS precision, avg(a::INT) AS all_right_share FROM p",
     "citation_probe": rf"""WITH {ANSWERS}, f AS (SELECT item_id, 'own' AS name, regexp_split_to_array(text, '\s+')[1] AS fact FROM benchmark UNION ALL SELECT item_id - 1, 'other', regexp_split_to_array(text, '\s+')[-1] FROM benchmark)
 SELECT item_id, rank, name, contains(regexp_replace(chunk, '[,\s，]', '', 'g'), regexp_replace(fact, '[,\s，]', '', 'g')) AS holds FROM picked JOIN f USING (item_id)""",
-    "answer_rates": f"""WITH {REPLIES}, r AS (SELECT key % 4 <> 0 AS i, contains(answer, '[片段2]') AS c, contains(answer, '1,234.5') AS f, contains(answer, '未包含') AS a FROM replies)
-SELECT count(*) FILTER (i AND c) / count(*) FILTER (i) AS cited_rate, coalesce(count(*) FILTER (f AND i AND c) / nullif(count(*) FILTER (i AND c), 0), 0) AS fact_rate, coalesce(count(*) FILTER (a AND NOT i) / nullif(count(*) FILTER (NOT i), 0), 0) AS abstain_rate, count(*) FILTER (CASE WHEN i THEN f ELSE a END) AS passed, count(*) AS questions FROM r""",
+    "answer_rates": f"""WITH {REPLIES}, r AS (SELECT key % 4 <> 0 AS i, contains(answer, '[片段2]') AS c, regexp_matches(answer, '^[A-M]') AS f, contains(answer, '1,234.5') AS h, contains(answer, '未包含') AS a FROM replies)
+SELECT count(*) FILTER (i AND c) / count(*) FILTER (i) AS cited_rate, coalesce(count(*) FILTER (f AND i AND c) / nullif(count(*) FILTER (i AND c), 0), 0) AS fact_rate, coalesce(count(*) FILTER (a AND NOT i) / nullif(count(*) FILTER (NOT i), 0), 0) AS abstain_rate, count(*) FILTER (CASE WHEN i THEN h ELSE a END) AS passed, count(*) AS questions FROM r""",
     "answer_verdicts": f"WITH {RUNS} SELECT conv_id, turn, bad_cites, leaks, abstained, hit, empty, ok FROM judged",
     "arm_pools": "WITH i AS (SELECT DATE '2024-01-01' + (item_id % 40)::INT AS announced FROM benchmark), d AS (SELECT unnest([DATE '2024-01-10', DATE '2024-01-25']) AS as_of), a AS (SELECT unnest(['A', 'B', 'C', 'D']) AS arm) SELECT arm, as_of, count(*) AS items, max(announced) AS latest FROM a CROSS JOIN d JOIN i ON arm IN ('A', 'B') OR announced <= as_of GROUP BY 1, 2",
     "inventories": "WITH i AS (SELECT DATE '2024-01-01' + (item_id % 40)::INT AS announced, lpad(item_id::VARCHAR, 6, '0') AS title FROM benchmark), d AS (SELECT unnest([DATE '2024-01-10', DATE '2024-01-25']) AS as_of) SELECT as_of, md5(string_agg('- ' || title || '（公告日 ' || announced || '）', chr(10) ORDER BY announced, title)) AS digest FROM d JOIN i ON announced <= as_of GROUP BY 1",
-    "report_rates": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE regexp_matches(text, '[0-9]')),
-s AS (SELECT doc_id, i, regexp_extract_all(x || CASE WHEN i % 3 = 0 THEN '[片段1]' ELSE '' END, '[0-9][0-9,]*(?:\.[0-9]+)?') AS n FROM l),
-c AS (SELECT doc_id, i, len(n) AS a, len(list_filter(n, lambda v: NOT regexp_full_match(replace(v, ',', ''), '(19|20)[0-9]{2}'))) AS own FROM s)
-SELECT doc_id, count(*) AS sentences, count(*) FILTER (i % 3 = 0) AS cited_sentences, sum(a - own)::BIGINT AS years, sum(own)::BIGINT AS numbers FROM c GROUP BY 1""",
+    "report_rates": f"""WITH {TRACED}, t AS (SELECT doc_id, count(*) AS numbers, count(*) FILTER (traceable) AS traced, count(*) FILTER (in_corpus) AS in_corpus FROM n GROUP BY 1),
+u AS (SELECT doc_id, count(*) AS sentences, count(*) FILTER (i % 3 = 0) AS cited_sentences, sum(len(all_n) - len(own_n))::BIGINT AS years FROM s GROUP BY 1)
+SELECT doc_id, sentences, cited_sentences, years, coalesce(numbers, 0) AS numbers, coalesce(traced, 0) AS traced, coalesce(in_corpus, 0) AS in_corpus, round(traced / numbers, 9) AS traced_rate, round(in_corpus / numbers, 9) AS corpus_rate FROM u LEFT JOIN t USING (doc_id)""",
     "page_names": "SELECT CASE o_orderkey % 5 WHEN 0 THEN '合并资产负债表' WHEN 1 THEN '利润表' WHEN 2 THEN '现金流量表' ELSE '合并现金流量表' END AS name, count(*) AS pages FROM orders WHERE o_orderkey % 5 <> 3 GROUP BY 1",
     "usage_tokens": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey ELSE 0 END AS tokens FROM orders",
     "enriched_chunks": f"WITH {CHUNKS}, m AS (SELECT doc_id, min(source) AS source FROM documents WHERE source IS NOT NULL GROUP BY 1) SELECT source, count(*) AS chunks FROM chunks LEFT JOIN m USING (doc_id) GROUP BY 1",
     "arm_summaries": f"WITH {RUNS} SELECT * FROM s",
     "arm_ranges": f"WITH {RUNS} SELECT arm, " + ", ".join(f"round({f}({c}), 9) AS {c}_{n}" for c in ("correct", "available") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + " FROM s GROUP BY arm",
     "number_tokens": r"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?')) AS x FROM documents) SELECT doc_id, count(*) AS numbers, count(*) FILTER (length(replace(x, ',', '')) >= 4) AS long_numbers FROM n WHERE NOT regexp_full_match(replace(x, ',', ''), '(19|20)[0-9]{2}') GROUP BY 1""",
-    "traced_numbers": r"""WITH c AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?')) AS x FROM conversations), d AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?')) AS x FROM documents)
-SELECT conv_id, count(*) AS numbers, count(d.x) AS traced FROM c LEFT JOIN d USING (x) GROUP BY 1""",
+    "traced_numbers": f"WITH {TRACED} SELECT doc_id, number, count(*) AS stated, count(*) FILTER (traceable) AS traced, bool_or(in_corpus) AS in_corpus FROM n GROUP BY 1, 2",
     "compacted": r"SELECT doc_id, md5(regexp_replace(text, '[,\s，]', '', 'g')) AS digest, md5(regexp_replace(text, '[ \t]+', ' ', 'g')) AS squeezed FROM documents",
     "title_periods": """WITH t AS (SELECT o_orderkey, o_custkey, year(o_orderdate) AS y, ['年度报告', '半年度报告', '第一季度报告', '第三季度报告', '公告'][o_orderkey % 5 + 1] AS k, lpad((o_custkey * 37 % 1000000)::VARCHAR, 6, '0') AS code FROM orders)
 SELECT o_orderkey, CASE WHEN k = '公告' THEN '' ELSE y || CASE o_orderkey % 5 WHEN 0 THEN 'FY' WHEN 1 THEN 'H1' WHEN 2 THEN 'Q1' ELSE 'Q3' END END AS period, y || 'FY' AS annual, k <> '公告' AS is_report, CASE WHEN code[1] IN ('6', '9') THEN 'sh' ELSE 'sz' END || code AS symbol FROM t""",

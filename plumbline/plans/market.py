@@ -211,10 +211,11 @@ def best_source(spark, sf_dir):
 
 
 def not_yet_fetched(spark, sf_dir):
+    """Customers of whom no order is in the cache of those in progress."""
     from plumbline.sources.readers import missing
 
     wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
-    return missing(wanted, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), ["key"])
+    return missing(wanted, table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key")), ["key"])
 
 
 def equidistant_sample(spark, sf_dir):
@@ -258,7 +259,7 @@ ORACLES = {
     "looked_back": "WITH c AS (SELECT *, CASE WHEN length(text) % 3 = 0 THEN turn END AS unit FROM conversations) SELECT conv_id, turn, coalesce(unit, lag(unit) OVER w, lag(unit, 2) OVER w) AS unit_used FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "upserted": "WITH n AS (SELECT s_suppkey + 30 AS key, s_name AS name, s_acctbal + 1 AS bal FROM supplier WHERE s_suppkey % 3 = 0) SELECT coalesce(n.key, s_suppkey) AS key, CASE WHEN n.key IS NULL THEN s_name ELSE n.name END AS name, CASE WHEN n.key IS NULL THEN s_acctbal ELSE n.bal END AS bal FROM supplier FULL JOIN n ON s_suppkey = n.key",
     "best_source": "SELECT o_custkey, o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate::DATE DESC, o_orderkey) = 1",
-    "not_yet_fetched": "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "not_yet_fetched": "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')",
     "equidistant_sample": "WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS rank, count(*) OVER () AS n FROM part) SELECT p_partkey, rank FROM p WHERE rank IN (SELECT i * n // 50 FROM range(50) t(i), (SELECT count(*) AS n FROM part))",
     "first_qualifying": "SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE l_extendedprice > 30000 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) = 1",
 }

@@ -78,7 +78,8 @@ def range_sums_loose(spark, sf_dir):
 
 def range_sql(start: str, end: str) -> str:
     return f"""WITH {LINES}, m AS (SELECT *, min(row_idx) FILTER ({start}) OVER (PARTITION BY table_id) AS lo, min(row_idx) FILTER (label_norm = '{end}') OVER (PARTITION BY table_id) AS hi FROM lines),
-s AS (SELECT table_id, col_idx, sum(value) FILTER (row_idx > lo AND row_idx < hi AND NOT contains(label_raw, '其中'))::BIGINT AS inner_sum, max(value) FILTER (row_idx = hi) AS stated FROM m GROUP BY 1, 2)
+p AS (SELECT table_id, col_idx, sum(value) FILTER (row_idx > lo AND row_idx < hi AND NOT contains(label_raw, '其中'))::BIGINT AS own, max(value) FILTER (row_idx = hi) AS stated FROM m GROUP BY 1, 2),
+s AS (SELECT table_id, col_idx, CASE WHEN bool_or(own IS NOT NULL) OVER (PARTITION BY table_id) THEN coalesce(own, 0) END AS inner_sum, stated FROM p)
 SELECT *, CASE WHEN inner_sum IS NULL OR stated IS NULL THEN 'skip' WHEN abs(inner_sum - stated) <= 0.02 THEN 'pass' ELSE 'fail' END AS verdict FROM s"""
 
 
@@ -95,11 +96,11 @@ def fuzzy_rows(spark, sf_dir):
 
 
 def cross_document(spark, sf_dir):
-    """The first value column of each order against the second: agreement and its bucket."""
+    """The two value columns of each order as two readings of it: agreement and
+    its bucket, which is none where they have no label in common."""
     lines = _lines(spark, sf_dir)
-    keys = ["table_id", "label_norm"]
-    compared = S.cross_document(lines.where("col_idx = 0"), lines.where("col_idx = 1"), keys, "row_idx")
-    return S.agreement(compared, ["table_id"]).withColumn("bucket", S.agreement_bucket(F.col("rate")))
+    out = S.dual_agreement(lines.where("col_idx = 0"), lines.where("col_idx = 1"), ["table_id"])
+    return out.withColumn("bucket", S.agreement_bucket(F.col("rate")))
 
 
 def agreement_histogram(spark, sf_dir):
@@ -107,10 +108,9 @@ def agreement_histogram(spark, sf_dir):
 
 
 CROSS = f"""{LINES},
-r AS (SELECT table_id, label_norm, arg_min_null(value, row_idx) AS b FROM lines WHERE col_idx = 1 GROUP BY 1, 2),
-c AS (SELECT table_id, abs(value - b) <= greatest(1, 1e-6 * abs(value)) AS same FROM lines JOIN r USING (table_id, label_norm) WHERE col_idx = 0 AND value IS NOT NULL AND b IS NOT NULL),
-a AS (SELECT table_id, count(*) AS compared, count(*) FILTER (same) AS agreed, count(*) FILTER (same) / count(*) AS rate FROM c GROUP BY 1),
-h AS (SELECT *, CASE WHEN rate >= 1 THEN '1.00' WHEN rate >= 0.8 THEN '0.80-0.99' WHEN rate >= 0.5 THEN '0.50-0.79' ELSE '<0.50' END AS bucket FROM a)"""
+x AS (SELECT table_id, label_norm, arg_min(value, (row_idx, value)) FILTER (col_idx = 0) AS a, arg_min(value, (row_idx, value)) FILTER (col_idx = 1) AS b, bool_or(col_idx = 0) AS ia, bool_or(col_idx = 1) AS ib FROM lines GROUP BY 1, 2),
+n AS (SELECT table_id, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS compared, count(*) FILTER (abs(a - b) <= greatest(1, 1e-6 * abs(a))) AS agreed FROM x GROUP BY 1 HAVING bool_or(ia) AND bool_or(ib)),
+h AS (SELECT *, agreed / nullif(compared, 0) AS rate, CASE WHEN compared = 0 THEN 'none' WHEN agreed = compared THEN '1.00' WHEN agreed / compared >= 0.8 THEN '0.80-0.99' WHEN agreed / compared >= 0.5 THEN '0.50-0.79' ELSE '<0.50' END AS bucket FROM n)"""
 
 
 def _aliases(spark):
@@ -140,7 +140,9 @@ def duplicate_claims(spark, sf_dir):
 
 def concept_coverage(spark, sf_dir):
     wanted = spark.createDataFrame([("plain",), ("sale",), ("size",), ("unknown",)], "concept string")
-    return S.coverage(wanted, _mapped(spark, sf_dir).where("concept is not null"), ["p_brand"])
+    rows = _mapped(spark, sf_dir)
+    brands = rows.select("p_brand").union(spark.createDataFrame([("a brand without parts",)], "p_brand string"))
+    return S.coverage(wanted, rows.where("concept is not null"), ["p_brand"], brands)
 
 
 def label_divergence(spark, sf_dir):
@@ -170,7 +172,7 @@ def leading_runners(spark, sf_dir):
 def chosen_candidates(spark, sf_dir):
     """Per supplier the candidate line of the first good strategy."""
     l = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_linenumber") % 4).alias("strategy"), F.floor(F.col("l_quantity") / 10).cast("int").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("top"))
-    return S.short_circuit(l, ["l_suppkey"], "strategy", "score", 3)
+    return S.short_circuit(l, ["l_suppkey"], "strategy", "score", 3, S.MIN_SCORE)
 
 
 def rebuilt_lines(spark, sf_dir):
@@ -259,9 +261,9 @@ def merged_concepts(spark, sf_dir):
 def dropped_alias(spark, sf_dir):
     """In how many brands an identity of two concepts can be judged, before and after an alias is lost."""
     terms = spark.createDataFrame([("size = sale", "size", -1, False), ("size = sale", "sale", 1, False)], "ident string, concept string, coef int, optional boolean")
-    parts = _mapped(spark, sf_dir).drop("concept").where("alias <> 'LARGE' and alias <> 'MEDIUM'")
+    parts = _mapped(spark, sf_dir).drop("concept")
     out = []
-    for name, aliases in (("before", _aliases(spark)), ("after", S.drop_alias(_aliases(spark), "SMALL"))):
+    for name, aliases in (("before", _aliases(spark)), ("after", S.drop_alias(_aliases(spark), "PROMO"))):
         facts = joins.by_dictionary(parts, aliases, ["alias"]).where("concept is not null").groupBy("p_brand", "concept").agg(F.count("*").alias("value")).withColumn("col_idx", F.lit(0))
         verdicts = S.verdicts(S.identity_residuals(facts, terms, ["p_brand"]), ["p_brand"])
         out.append(S.judged_rate(verdicts, "size = sale").select(F.lit(name).alias("aliases"), "judged", "tables", "rate"))
@@ -326,10 +328,12 @@ def scope_gaps(spark, sf_dir):
 
 
 def company_bench(spark, sf_dir):
+    """Nations as companies, and one of which there is no table."""
     st = _statements(spark, sf_dir)
+    members = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("member")).union(spark.range(-1, 0))
     wanted = spark.createDataFrame([("BUILDING",), ("MACHINERY",), ("NONE",)], "concept string")
     cover = S.coverage(wanted, st.select("member", "kind", F.col("label_norm").alias("concept")), ["member", "kind"])
-    return trust.bench(st.select("member", "kind").distinct(), cover, _judged(st), "member")
+    return trust.bench(members, st.select("member", "kind").distinct(), cover, _judged(st), "member")
 
 
 def unit_members(spark, sf_dir):
@@ -337,9 +341,9 @@ def unit_members(spark, sf_dir):
 
 
 def missing_tables(spark, sf_dir):
-    """Statements that a nation has no table of, among its customers with a high balance."""
-    have = _statements(spark, sf_dir).where("value > 990000").select("member", "kind").distinct()
-    wanted = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("member")).crossJoin(spark.createDataFrame([("BS",), ("IS",), ("CF",)], "kind string"))
+    """Statements that a nation has no table of, of the three it files and one that nobody does."""
+    have = _statements(spark, sf_dir).select("member", "kind").distinct()
+    wanted = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("member")).crossJoin(spark.createDataFrame([("BS",), ("IS",), ("CF",), ("EQ",)], "kind string"))
     return trust.table_missing(wanted, have, ["member", "kind"])
 
 
@@ -472,7 +476,7 @@ SELECT table_id, col_idx, filled, rows, is_note, NOT is_note AND CASE WHEN any_k
     "concept_map": f"WITH {MAPPED} SELECT concept, count(*) AS rows FROM m GROUP BY 1",
     "concept_first": f"WITH {MAPPED} SELECT p_brand, concept, min(row_idx) AS row_idx, arg_min(label, row_idx) AS label_norm FROM m WHERE concept IS NOT NULL GROUP BY 1, 2",
     "duplicate_claims": f"WITH {MAPPED}, f AS (SELECT p_brand, concept, min(row_idx) AS lo, arg_min(label, row_idx) AS l FROM m WHERE concept IS NOT NULL GROUP BY 1, 2) SELECT p_brand, count(*) AS claims FROM m JOIN f USING (p_brand, concept) WHERE row_idx > lo AND label <> l GROUP BY 1",
-    "concept_coverage": f"WITH {MAPPED}, w AS (SELECT unnest(['plain', 'sale', 'size', 'unknown']) AS concept), g AS (SELECT DISTINCT p_brand FROM m WHERE concept IS NOT NULL), h AS (SELECT DISTINCT p_brand, concept, true AS hit FROM m WHERE concept IS NOT NULL) SELECT p_brand, count(hit) AS hits, count(*) AS total, coalesce(list(concept ORDER BY concept) FILTER (hit IS NULL), []) AS missing FROM g CROSS JOIN w LEFT JOIN h USING (p_brand, concept) GROUP BY 1",
+    "concept_coverage": f"WITH {MAPPED}, w AS (SELECT unnest(['plain', 'sale', 'size', 'unknown']) AS concept), g AS (SELECT DISTINCT p_brand FROM m UNION ALL SELECT 'a brand without parts'), h AS (SELECT DISTINCT p_brand, concept, true AS hit FROM m WHERE concept IS NOT NULL) SELECT p_brand, count(hit) AS hits, count(*) AS total, coalesce(list(concept ORDER BY concept) FILTER (hit IS NULL), []) AS missing FROM g CROSS JOIN w LEFT JOIN h USING (p_brand, concept) GROUP BY 1",
     "label_divergence": f"WITH {MAPPED} SELECT concept, count(DISTINCT label) AS labels, count(DISTINCT p_brand) AS members FROM m WHERE concept IS NOT NULL GROUP BY 1 HAVING count(DISTINCT label) > 1",
     "stitched_segments": """WITH RECURSIVE o AS (SELECT o_custkey AS k, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + (o_orderkey % 11 = 0)::INT)::INT AS page, (o_orderkey % 3)::INT AS width, CASE WHEN o_orderkey % 4 = 0 THEN [o_orderpriority] ELSE []::VARCHAR[] END AS strong, o_orderkey % 40 AS rows, CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus END AS unit FROM orders),
 p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY page, width, strong, rows, unit NULLS FIRST) AS i FROM o),
@@ -481,7 +485,7 @@ r AS (SELECT k, i, 0 AS segment, page AS first_page, page AS last_page, 1 AS pag
   FROM (SELECT p.*, r.segment, r.first_page, r.pages, r.width AS old, r.seen, r.rows AS total, r.unit AS held, p.page <> r.last_page + 1 OR r.pages >= 8 OR (p.width > 0 AND r.width > 0 AND p.width <> r.width) OR list_has_any(p.strong, r.seen) AS fresh FROM r JOIN p ON p.k = r.k AND p.i = r.i + 1))
 SELECT k AS o_custkey, segment, first_page, last_page, pages, rows, unit FROM r QUALIFY row_number() OVER (PARTITION BY k, segment ORDER BY i DESC) = 1""",
     "leading_runners": "WITH x AS (SELECT *, sum((l_returnflag <> 'N')::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS b FROM lineitem) SELECT l_orderkey, count(*) AS rows, min(l_linenumber) AS first FROM x WHERE b > 0 GROUP BY 1",
-    "chosen_candidates": "WITH l AS (SELECT l_suppkey, l_linenumber % 4 AS strategy, floor(l_quantity / 10)::INT AS score, l_orderkey * 10 + l_linenumber AS top FROM lineitem), s AS (SELECT *, min(strategy) FILTER (score >= 3) OVER (PARTITION BY l_suppkey) AS stop FROM l) SELECT l_suppkey, strategy, score, top FROM s WHERE stop IS NULL OR strategy <= stop QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, top, strategy) = 1",
+    "chosen_candidates": "WITH l AS (SELECT l_suppkey, l_linenumber % 4 AS strategy, floor(l_quantity / 10)::INT AS score, l_orderkey * 10 + l_linenumber AS top FROM lineitem WHERE floor(l_quantity / 10) >= 2), s AS (SELECT *, min(strategy) FILTER (score >= 3) OVER (PARTITION BY l_suppkey) AS stop FROM l) SELECT l_suppkey, strategy, score, top FROM s WHERE stop IS NULL OR strategy <= stop QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, top, strategy) = 1",
     "rebuilt_lines": "SELECT conv_id, turn AS line, md5(string_agg(replace(text, ' ', ''), '' ORDER BY turn)) AS digest FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2",
     "trusted_cells": f"WITH {CELLS} SELECT * FROM cells",
     "status_counts": f"WITH {CELLS} SELECT status, count(*) AS cells FROM cells GROUP BY 1",
@@ -494,11 +498,12 @@ SELECT mutation, count(*) FILTER (before <> CASE WHEN tx IS NULL THEN 'skip' WHE
     "reversed_columns": f"WITH {LINES}, r AS (SELECT table_id, label_norm, arg_min_null(value, row_idx) AS b FROM lines WHERE col_idx = 0 GROUP BY 1, 2) SELECT count(*) AS compared, count(*) FILTER (abs(value - b) <= greatest(1, 1e-6 * abs(value))) AS agreed FROM lines JOIN r USING (table_id, label_norm) WHERE col_idx = 1 AND value IS NOT NULL AND b IS NOT NULL",
     "scaled_units": f"WITH {FACTS} SELECT 'total' AS concept, count(*) AS compared, count(*) FILTER (abs(9999 * total) <= greatest(1, 1e-2 * abs(total))) AS agreed, count(*) FILTER (abs(9999 * total) <= greatest(1, 1e-2 * abs(total))) / count(*) AS rate FROM f",
     "merged_concepts": f"WITH {MAPPED}, x AS (SELECT 'before' AS aliases, * FROM m UNION ALL SELECT 'after', p_brand, row_idx, label, CASE concept WHEN 'size' THEN 'plain' ELSE concept END FROM m), f AS (SELECT aliases, p_brand, concept, min(row_idx) AS lo, arg_min(label, row_idx) AS l FROM x WHERE concept IS NOT NULL GROUP BY ALL) SELECT aliases, count(*) AS claims FROM x JOIN f USING (aliases, p_brand, concept) WHERE row_idx > lo AND label <> l GROUP BY 1",
-    "dropped_alias": f"WITH {MAPPED}, p AS (SELECT p_brand, concept, count(*) FILTER (upper(split_part(label, ' ', 1)) <> 'LARGE' AND upper(split_part(label, ' ', 1)) <> 'MEDIUM') AS n FROM m WHERE concept IS NOT NULL GROUP BY 1, 2 HAVING n > 0), b AS (SELECT p_brand, bool_or(concept = 'size') AND bool_or(concept = 'sale') AS j, bool_or(concept <> 'size') AS rest FROM p GROUP BY 1) SELECT 'before' AS aliases, count(*) FILTER (j) AS judged, count(*) AS tables, count(*) FILTER (j) / count(*) AS rate FROM b UNION ALL SELECT 'after', 0, count(*), 0 FROM b WHERE rest",
+    "dropped_alias": f"WITH {MAPPED}, b AS (SELECT p_brand, bool_or(concept = 'size') AND bool_or(concept = 'sale') AS j, bool_or(concept <> 'sale') AS rest FROM m WHERE concept IS NOT NULL GROUP BY 1) SELECT 'before' AS aliases, count(*) FILTER (j) AS judged, count(*) AS tables, count(*) FILTER (j) / count(*) AS rate FROM b UNION ALL SELECT 'after', 0, count(*), 0 FROM b WHERE rest",
     "skip_reasons": f"WITH {FACTS} SELECT 'missing tax' AS reason, count(*) AS tables FROM verdicts WHERE verdict = 'skip'",
     "whole_checks": f"""WITH {LINES}, {FACTS}, q AS (SELECT 'required rows' AS ident, CASE WHEN bool_or(contains(label_norm, 'assets')) AND bool_or(label_norm = 'debt') THEN 'pass' ELSE 'fail' END AS verdict FROM lines GROUP BY table_id),
 m AS (SELECT *, min(row_idx) FILTER (label_norm = 'cash and assets') OVER (PARTITION BY table_id) AS lo, min(row_idx) FILTER (label_norm = 'equity') OVER (PARTITION BY table_id) AS hi FROM lines),
-rs AS (SELECT table_id, col_idx, sum(value) FILTER (row_idx > lo AND row_idx < hi AND NOT contains(label_raw, '其中')) AS i, max(value) FILTER (row_idx = hi) AS t FROM m GROUP BY 1, 2),
+ro AS (SELECT table_id, col_idx, sum(value) FILTER (row_idx > lo AND row_idx < hi AND NOT contains(label_raw, '其中')) AS o, max(value) FILTER (row_idx = hi) AS t FROM m GROUP BY 1, 2),
+rs AS (SELECT table_id, CASE WHEN bool_or(o IS NOT NULL) OVER (PARTITION BY table_id) THEN coalesce(o, 0) END AS i, t FROM ro),
 rv AS (SELECT 'cash and assets to equity' AS ident, CASE WHEN bool_or(abs(i - t) > 0.02) THEN 'fail' WHEN bool_or(abs(i - t) <= 0.02) THEN 'pass' ELSE 'skip' END AS verdict FROM rs GROUP BY table_id),
 a AS (SELECT ident, verdict FROM q UNION ALL SELECT ident, verdict FROM verdicts UNION ALL SELECT ident, verdict FROM rv)
 SELECT ident, count(*) FILTER (verdict = 'pass') AS passed, count(*) FILTER (verdict = 'fail') AS failed, count(*) FILTER (verdict = 'skip') AS skipped, count(*) FILTER (verdict = 'pass') / nullif(count(*) FILTER (verdict <> 'skip'), 0) AS pass_rate FROM a GROUP BY ROLLUP (ident)""",
@@ -511,10 +516,11 @@ SELECT member, kind, basis, round(ratio, 6) AS ratio, CASE WHEN ratio IS NULL OR
 SELECT member, kind, value_a, value_b, value_a - value_b AS gap, round(100 * (value_a - value_b) / nullif(value_b, 0), 6) AS gap_pct,
   nullif(concat_ws('; ', CASE WHEN value_a IS NULL THEN CASE WHEN na = 0 THEN 'BUILDING: no row' ELSE 'BUILDING: no value' END END, CASE WHEN value_b IS NULL THEN CASE WHEN nb = 0 THEN 'MACHINERY: no row' ELSE 'MACHINERY: no value' END END), '') AS why FROM w""",
     "company_bench": f"""WITH {STATEMENTS}, {JUDGED}, c AS (SELECT member, kind, (bool_or(label_norm = 'BUILDING'))::INT + (bool_or(label_norm = 'MACHINERY'))::INT AS hits FROM st GROUP BY 1, 2),
-w AS (SELECT member, count(*) AS present, 3 - count(*) AS absent, sum(hits)::BIGINT AS hits, 3 * count(*) AS wanted, count(*) FILTER (verdict = 'pass') AS passed, count(*) FILTER (verdict = 'fail') AS failed, count(*) FILTER (verdict = 'skip') AS skipped FROM c JOIN v USING (member, kind) GROUP BY 1)
+w AS (SELECT n_nationkey AS member, count(kind) AS present, 3 - count(kind) AS absent, coalesce(sum(hits), 0)::BIGINT AS hits, 3 * count(kind) AS wanted, count(*) FILTER (verdict = 'pass') AS passed, count(*) FILTER (verdict = 'fail') AS failed, count(*) FILTER (verdict = 'skip') AS skipped
+  FROM (SELECT n_nationkey FROM nation UNION ALL SELECT -1) LEFT JOIN (SELECT * FROM c JOIN v USING (member, kind)) t ON t.member = n_nationkey GROUP BY 1)
 SELECT member, sum(present)::BIGINT AS present, sum(absent)::BIGINT AS absent, sum(hits)::BIGINT AS hits, sum(wanted)::BIGINT AS wanted, sum(passed)::BIGINT AS passed, sum(failed)::BIGINT AS failed, sum(skipped)::BIGINT AS skipped, sum(passed) / nullif(sum(passed) + sum(failed), 0) AS pass_rate FROM w GROUP BY ROLLUP (member)""",
     "unit_members": f"WITH {STATEMENTS} SELECT coalesce(unit, '?') AS unit, list(DISTINCT member ORDER BY member) AS members FROM st GROUP BY 1",
-    "missing_tables": f"WITH {STATEMENTS} SELECT n_nationkey AS member, kind, '?' AS status, 'no table ' || kind AS why FROM nation CROSS JOIN (SELECT unnest(['BS', 'IS', 'CF']) AS kind) k ANTI JOIN (SELECT DISTINCT member, kind FROM st WHERE value > 990000) h ON n_nationkey = h.member AND k.kind = h.kind",
+    "missing_tables": f"WITH {STATEMENTS} SELECT n_nationkey AS member, kind, '?' AS status, 'no table ' || kind AS why FROM nation CROSS JOIN (SELECT unnest(['BS', 'IS', 'CF', 'EQ']) AS kind) k ANTI JOIN (SELECT DISTINCT member, kind FROM st) h ON n_nationkey = h.member AND k.kind = h.kind",
     "label_members": f"WITH {MAPPED}, f AS (SELECT concept, p_brand, arg_min(label, row_idx) AS label FROM m WHERE concept IS NOT NULL GROUP BY 1, 2) SELECT concept, p_brand, label FROM f WHERE concept IN (SELECT concept FROM f GROUP BY 1 HAVING count(DISTINCT label) > 1)",
     "first_values": f"WITH {LINES} SELECT table_id, label_norm, arg_min(value, (row_idx, col_idx, value)) AS value FROM lines WHERE value IS NOT NULL GROUP BY 1, 2",
     "adopted_segments": """WITH s AS (SELECT o_custkey, o_orderkey AS segment, o_orderkey % 97 AS fp, o_orderkey % 97 + o_orderkey % 4 AS lp, o_orderkey % 40 AS rows, o_orderkey % 3 = 0 AS st, o_orderkey % 11 = 0 AS cf FROM orders),
