@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from plumbline.operators.joins import small
 
 
+NO_CALENDAR = "the calendar has no day"  # an error of the run itself, as without days every window would be empty
+
+
 def calendar(df: DataFrame, date: str) -> DataFrame:
     """Observed days only, not business days."""
     return df.select(F.col(date).cast("date").alias("day")).where("day is not null").distinct()
@@ -24,7 +27,8 @@ def windows(facts: DataFrame, days: DataFrame, period: str, announced: str) -> D
     Each end looks up the rank of the last day at or before it; the number of
     days between is the difference of ranks. The calendar is a few rows a
     year, so a map of ranks travels with it, and no range join is planned."""
-    ranks = ranked_calendar(days).agg(F.sort_array(F.collect_list("day")).alias("_days"))
+    every = F.sort_array(F.collect_list("day"))
+    ranks = ranked_calendar(days).agg(every.alias("_days")).select(F.when(F.size("_days") > 0, F.col("_days")).otherwise(F.raise_error(F.lit(NO_CALENDAR))).alias("_days"))
 
     def rank(c: str):
         d, lo = F.col("_days"), F.lit(0)
@@ -50,7 +54,8 @@ def covered_days(facts: DataFrame, days: DataFrame, period: str, announced: str)
 def window_statistics(found: DataFrame, covered: DataFrame, days: DataFrame) -> DataFrame:
     """Mean and sum of trading days, size of the union, overlap and share of the calendar."""
     sums = found.agg(F.count("*").alias("windows"), F.avg("trade_days").alias("mean_days"), F.sum("trade_days").alias("sum_days"))
-    out = sums.crossJoin(covered.agg(F.count("*").alias("union_days"))).crossJoin(days.agg(F.count("*").alias("calendar_days")))
+    whole = days.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") > 0, F.col("_n")).otherwise(F.raise_error(F.lit(NO_CALENDAR)).cast("long")).alias("calendar_days"))
+    out = sums.crossJoin(covered.agg(F.count("*").alias("union_days"))).crossJoin(whole)
     return out.withColumns({"overlap_days": F.col("sum_days") - F.col("union_days"), "share": F.col("union_days") / F.col("calendar_days")})
 
 

@@ -101,8 +101,14 @@ def valid_files(files: DataFrame, magic: str = "%PDF", least: int = 1_500_000) -
     return files.where((F.substring("content", 1, len(magic)).cast("string") == magic) & (F.length("content") >= least))
 
 
-def first_source(df: DataFrame, keys: list[str], rank: Column) -> DataFrame:
-    """Of each key the row of the best source: cached first, then by vendor order."""
+def first_source(df: DataFrame, keys: list[str], rank: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """Of each key the row of the best source: cached first, then by vendor
+    order. With wanted (keys), a key that no source has fails the run."""
+    if wanted is not None:
+        found = df.withColumn("_rank", rank)
+        all_ = wanted.select(*keys).distinct().join(found, keys, "left")
+        lost = F.raise_error(F.concat_ws(" ", F.lit("no source has"), *[F.col(k).cast("string") for k in keys])).cast("boolean")
+        return first_source(all_.where(F.when(F.col("_rank").isNull(), lost).otherwise(True)), keys, F.col("_rank")).drop("_rank")
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(rank))).where("_n = 1").drop("_n")
 
 
