@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 BARS_A = "`日期` DATE, `股票代码` STRING, `开盘` DOUBLE, `收盘` DOUBLE, `最高` DOUBLE, `最低` DOUBLE, `成交量` BIGINT, `成交额` DOUBLE, `振幅` DOUBLE, `涨跌幅` DOUBLE, `涨跌额` DOUBLE, `换手率` DOUBLE"
 BARS_B = "date DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, amount DOUBLE, outstanding_share DOUBLE, turnover DOUBLE"
@@ -91,8 +92,9 @@ def cached(spark: SparkSession, path: str, wanted: DataFrame, keys: list[str]) -
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return None, wanted
-    held = spark.read.parquet(path)
-    held = held.withColumns({k: F.col(k).cast(wanted.schema[k].dataType) for k in keys})
+    # the keys' own types, as types guessed from folders' names lose leading zeros
+    schema = StructType([StructField(f.name, wanted.schema[f.name].dataType if f.name in keys else f.dataType) for f in spark.read.parquet(path).schema])
+    held = spark.read.schema(schema).parquet(path)
     return held.join(wanted.select(*keys), keys, "left_semi"), missing(wanted, held.select(*keys), keys)
 
 
