@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import patterns, postings
 from plumbline.operators.joins import small
+from plumbline.sources.staging import staged
 
 ARMS = ("A", "B", "C", "D")  # no constraint, by instruction, by filter, by filter and inventory
 
@@ -29,7 +30,8 @@ def arm_picks(index: postings.Index, questions: DataFrame, keys: list[str], ques
     date. One index and two searches a question serve the four arms."""
     pools = F.array(F.struct(F.lit("AB").alias("pool"), F.lit(None).cast("date").alias("until")), F.struct(F.lit("CD").alias("pool"), F.col("as_of").cast("date").alias("until")))
     asked = questions.where("as_of is not null").select(*keys, "as_of", question, F.explode(pools).alias("_p")).select(*keys, "as_of", question, "_p.*")
-    found = postings.search(index, asked, [*keys, "as_of", "pool"], question, k, as_of="until")
+    # answers, citations and verdicts all read what is found, so the search runs once
+    found = staged(postings.search(index, asked, [*keys, "as_of", "pool"], question, k, as_of="until"), "picks")
     return found.withColumn("arm", F.explode(F.split("pool", ""))).drop("pool")
 
 
