@@ -6,7 +6,11 @@ digits behind a plus, North American ones without), dates, social security
 numbers and card numbers. Numbers and dates are validated: card numbers by
 Luhn, IBANs by their remainder, social security numbers by the ranges in use,
 addresses by octets, phone numbers by their country code's length, dates by the
-calendar. What fails stays as it is, long numbers that are no card numbers too.
+calendar, day first where that gives a day, else month first. A card number is
+found beside other numbers if it is written as cards are (one group, or groups
+of 4-4-4-4, 4-6-5, 4-6-4). What fails stays as it is, long numbers that are no
+card numbers too. Not looked for: secrets that aren't hexadecimal, addresses
+with letters beyond ASCII, dates with names of months, bare local numbers.
 Valid ones are permuted within their format: a Feistel network of eight rounds
 over two parts with their own moduli, so that each value of a format has exactly
 one pseudonym, and equal values stay linked wherever they stand. Separators and
@@ -45,7 +49,12 @@ PHONE = r"(?<![0-9+])\+[1-9](?:[ .()/-]{0,2}[0-9]){6,14}(?![0-9])"
 NATIONAL = r"(?<![0-9A-Za-z(+-])(?:\([2-9][0-9]{2}\)[ -]?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9A-Za-z-])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])(?![/.-][0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+SEP = "[ -]"
+# a card as cards are written: one group, four groups of four and perhaps a shorter one, or four, six and four or five digits
+FOURS = rf"[0-9]{{4}}(?:{SEP}[0-9]{{4}}){{3,7}}(?:{SEP}[0-9]{{1,3}})?"
+WRITTEN = rf"(?:[0-9]{{13,19}}|{FOURS}|[0-9]{{4}}{SEP}[0-9]{{6}}{SEP}[0-9]{{4,5}})(?![0-9])"
+# else any grouping, but for a card that short numbers stand before
+CARD = rf"(?<![0-9])(?:{WRITTEN}|(?!(?:[0-9]{{1,3}}{SEP}){{1,3}}{WRITTEN})[0-9](?:[ -]?[0-9]){{12,18}}(?![0-9]))"
 ANY = "|".join((EMAIL, SECRET, IBAN, IPV6, IPV4, PHONE, NATIONAL, DATE, SSN, CARD))
 # Country codes of two digits; 1 and 7 have one, all others three.
 TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
@@ -113,6 +122,26 @@ def card(digits: Column, key: str) -> Column:
     return let(permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), "card", key), valid)
 
 
+def whole_card(m: Column, key: str) -> Column:
+    """m with its digits permuted as one card's, NULL if they are none's."""
+    return let(only_digits(m), lambda d: F.when((F.length(d) <= 19) & (luhn(d) % 10 == 0), filled(m, card(d, key))))
+
+
+def cards(m: Column, key: str) -> Column:
+    """The card in a match of CARD: all of it, or else the first four groups of
+    four with a valid number that starts as cards do, or else the first four if
+    they are valid. What stands beside stays, as does what is no card."""
+
+    def window(k: int, starts: str) -> Column:
+        lo, n = 5 * k, 19  # four groups and the separators between
+        part = F.substring(m, lo + 1, n)
+        fits = (F.length(part) == n) & part.rlike(starts)
+        return F.when(fits, let(whole_card(part, key), lambda x: F.concat(F.substring(m, 1, lo), x, F.substring(m, F.lit(lo + n + 1), F.length(m)))))
+
+    rest = F.when(m.rlike(f"^{FOURS}$"), F.coalesce(*[window(k, "^[3-6]") for k in range(5)], window(0, "^[0-9]")))
+    return F.coalesce(whole_card(m, key), rest, m)
+
+
 def remainder(iban: Column) -> Column:
     """The remainder by 97 of an IBAN without spaces, letters as 10 to 35."""
     moved = F.concat(F.substring(iban, F.lit(5), F.length(iban) - 4), F.substring(iban, 1, 4))
@@ -182,15 +211,17 @@ def address(octets: Column, key: str) -> Column:
 
 
 def date(m: Column, key: str) -> Column:
-    """Calendar days of 1800 to 2199; anything else stays."""
-    iso, us = m.contains("-"), m.contains("/")
-    d = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.coalesce(F.try_to_date(F.translate(m, "/", "."), "dd.MM.yyyy"), F.try_to_date(F.translate(m, "/", "."), "MM.dd.yyyy")))
+    """Calendar days of 1800 to 2199; anything else stays. The day comes first
+    where it can, else the month, and the pseudonym keeps that order."""
+    iso, dotted = m.contains("-"), F.translate(m, "/", ".")
+    day_first = F.try_to_date(dotted, "dd.MM.yyyy")
+    d = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.coalesce(day_first, F.try_to_date(dotted, "MM.dd.yyyy")))
 
     def move(day: Column) -> Column:
         n = F.date_diff(day, F.to_date(F.lit(FIRST_DAY)))
         out = feistel(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), F.lit("date"), key)
         new = let(out, lambda s: F.date_add(F.to_date(F.lit(FIRST_DAY)), (s["l"] * DAYS[1] + s["r"]).cast("int")))
-        shown = let(new, lambda x: F.when(iso, F.date_format(x, "yyyy-MM-dd")).when(us, F.date_format(x, "dd/MM/yyyy")).otherwise(F.date_format(x, "dd.MM.yyyy")))
+        shown = let(new, lambda x: F.when(iso, F.date_format(x, "yyyy-MM-dd")).when(day_first.isNotNull(), filled(m, F.date_format(x, "ddMMyyyy"))).otherwise(filled(m, F.date_format(x, "MMddyyyy"))))
         return F.when(day.between("1800-01-01", "2199-12-31"), shown).otherwise(m)
 
     return let(d, move)
@@ -214,7 +245,6 @@ def ipv6(m: Column, key: str) -> Column:
 
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match of ANY."""
-    digits = only_digits(m)
     return (
         F.when(m.contains("@"), email(m, key))
         .when(m.rlike(f"^{SECRET}$") & (F.length(m) > 19), digest(F.lower(m), "secret", key, F.length(m)))
@@ -224,8 +254,7 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(m.startswith("+") | m.rlike(f"^{NATIONAL}$"), phone(m, key))
         .when(m.rlike(f"^{DATE}$"), date(m, key))
         .when(m.rlike(f"^{SSN}$"), ssn(m, key))
-        .when(luhn(digits) % 10 == 0, filled(m, card(digits, key)))
-        .otherwise(m)
+        .otherwise(cards(m, key))
     )
 
 
