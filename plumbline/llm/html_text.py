@@ -6,10 +6,10 @@ are left out at once. Every other line has a text-to-tag ratio. The ratios are
 smoothed by a Gaussian, and lines above a share of their standard deviation
 form clusters, which select the regions:
 
-- Article and main elements that hold clustered text are the regions, if they
-  hold half of all clustered text at least; of several, those with a tenth of
-  the largest one's at least.
-- Otherwise the page is the region, but for blocks without any clustered line
+- Article and main elements that hold clustered lines of ``LEAST_LINE``
+  characters or more are the regions, each with the headings and clustered
+  lines that run on from it without a break.
+- Where there is none the page is the region, but for blocks without any clustered line
   whose text is links for the most part.
 
 Parts that a role or a name in class or id marks as something else are left
@@ -18,7 +18,8 @@ nothing, they name the layout of the whole page and don't count. A region's
 lines are given whole, also the short ones between.
 
 Null and empty pages are empty. Time and memory are linear in a page's length,
-however long or deep it is and whatever isn't closed. Repeated rows are treated
+however long or deep it is: a comment or tag that never ends is cut off before
+parsing, and an article ends menus and forms that were left open around it. Repeated rows are treated
 each; ties don't arise. Other columns are kept but for one named like
 ``text_col``, which is replaced; an empty table gives an empty table.
 """
@@ -40,19 +41,23 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 # Fixed values of HTML: elements without content, elements inside a line, and elements that are no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("nav footer aside form script style noscript template iframe svg math button select textarea option head title object canvas audio video dialog menu datalist fieldset".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow msup msub mfrac".split())
+NEVER = frozenset("nav footer aside form script style noscript template iframe svg button select textarea option head title object canvas audio video dialog menu datalist fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 # Names in class or id that mark such parts: a whole name, its last part, or its first part before a kind of box.
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promoted promotion related respond share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split())
 MODIFIERS = frozenset("has with without no is not show shows hide hides hidden enable can".split())  # "has-banner" tells of something else
 BOXES = frozenset("area bar block body bottom box button buttons container content footer form group header heading holder icons inner item items left link links list module outer panel primary right row secondary section slot thread title top unit widget widgets wrap wrapper".split())
 ARTICLE = frozenset(("article", "main"))
+WRAPS = frozenset("nav header menu form".split())  # no article stands in these
+HEADINGS = frozenset("h1 h2 h3 hgroup".split())
 UNNAMED = ARTICLE | {"body", "html"}  # only whole names mark these
 BLOCKS = frozenset("div section ul ol dl table tbody tr td center figure details".split())  # what is left out of a page as a block
 SIGMA, WIDTH, SHARE = 1.0, 2, 0.5  # of the smoothing, its half width, and the threshold in standard deviations
+TAG = re.compile("<[A-Za-z/!?]").search
 KERNEL = [math.exp(-((k / SIGMA) ** 2) / 2) for k in range(-WIDTH, WIDTH + 1)]
-LEAST_ARTICLES, LEAST_ONE, LINKS = 0.5, 0.1, 0.5  # shares of clustered text in all articles, in one of the largest one's, and of links
+LINKS = 0.5  # share of links in a block that is left out
+LEAST_LINE = 60  # characters of a line that makes a region, or carries a cluster on beyond it
 
 
 @lru_cache(4096)
@@ -91,7 +96,7 @@ class Lines(HTMLParser):
         self.elements = [Element("", -1, False)]
         self.open: list[tuple[str, int]] = []  # tag and element; none is -2 where text is left out, -1 inside
         self.count: Counter[str] = Counter()  # open tags
-        self.never = 0  # open elements whose content is never text
+        self.never, self.left_out = 0, 0  # open elements whose content is never text, and the place of the outermost one
         self.lines: list[Line] = []
         self.text: list[str] = []
         self.tags, self.links = 0, 0
@@ -123,11 +128,15 @@ class Lines(HTMLParser):
                 self.end_paragraph()
         if tag in VOID:
             return
+        if tag in ARTICLE and self.never and self.open[self.left_out][0] in WRAPS:  # one that was never closed, or wraps the page
+            self.cut(self.left_out)
         if tag == "body" and self.count["head"]:
             self.cut(next(k for k, x in enumerate(self.open) if x[0] == "head"))
         at = max(self.inside(), -1)
         inline = tag in INLINE
         if tag in NEVER or tag == "header" and not self.count["article"] + self.count["main"] or inline and attrs and self.marks(tag, attrs):
+            if not self.never:
+                self.left_out = len(self.open)
             self.never += 1
             at = -2
         elif not self.never and not inline:
@@ -205,9 +214,21 @@ def summed(elements: list[Element], lines: list[Line], of) -> list[int]:
     return out
 
 
+def closed(html: str) -> str:
+    """html without a comment or tag that never ends: the parser would look for
+    their ends again and again, and a browser shows nothing of them either."""
+    open_comment = html.find("<!--", max(html.rfind("-->"), 0))
+    if open_comment >= 0 and html.find("-->", open_comment) < 0:
+        html = html[:open_comment]
+    rest = html.rfind(">") + 1
+    unfinished = TAG(html, rest)
+    return html[: unfinished.start()] if unfinished else html
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
+    html = closed(html)
     for by_name in (True, False):
         parser = Lines(by_name)
         parser.feed(html)
@@ -227,17 +248,26 @@ def main_text(html: str | None) -> str:
         out = [False] * len(elements)
     lines = [x for x in lines if not out[x.element]]
     content = clustered(lines)
-    loud = summed(elements, lines, lambda k, x: len(x.text) if content[k] else 0)
+    loud = summed(elements, lines, lambda k, x: len(x.text) if content[k] and len(x.text) >= LEAST_LINE else 0)
     region = inherited(elements, [i if e.tag in ARTICLE and not out[i] else 0 for i, e in enumerate(elements)])
     for i in range(1, len(elements)):  # the outermost of nested ones
         region[i] = region[elements[i].parent] or region[i]
-    outer = {r for r in region if r}
-    if outer and sum(loud[r] for r in outer) >= LEAST_ARTICLES * max(1, loud[0]):
-        chosen = {r for r in outer if loud[r] >= max(1, LEAST_ONE * max(loud[x] for x in outer))}
-        return " ".join(x.text for x in lines if region[x.element] in chosen)
     size = summed(elements, lines, lambda k, x: len(x.text))
     links = summed(elements, lines, lambda k, x: x.links)
-    quiet = inherited(elements, [i > 0 and e.tag in BLOCKS and not loud[i] and links[i] > LINKS * size[i] for i, e in enumerate(elements)])
+    outer = {r for r in region if r and loud[r]}
+    if outer:
+        kept = [region[x.element] in outer for x in lines]
+        headed = inherited(elements, [i if e.tag in HEADINGS else 0 for i, e in enumerate(elements)])
+        # a cluster that runs on beyond a region belongs to it, with the headings on its way
+        for step in (1, -1):
+            order = range(len(lines))[::step]
+            for k, after in zip(order, order[1:]):
+                x = lines[after]
+                if kept[k] and not kept[after] and not region[x.element] and 2 * x.links <= len(x.text) and (content[after] and len(x.text) >= LEAST_LINE or headed[x.element]):
+                    kept[after] = True
+        return " ".join(x.text for x, keep in zip(lines, kept) if keep)
+    touched = summed(elements, lines, lambda k, x: int(content[k]))
+    quiet = inherited(elements, [i > 0 and e.tag in BLOCKS and not touched[i] and links[i] > LINKS * size[i] for i, e in enumerate(elements)])
     return " ".join(x.text for x in lines if not quiet[x.element])
 
 

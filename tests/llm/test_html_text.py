@@ -20,6 +20,12 @@ PAGES = {
     "unclosed tags": (f"<body><nav><ul><li>Menu</ul></nav><article><h1>Head<p>{LONG}<p>{LONG}<ul><li>One<li>Two", f"Head {LONG.strip()} {LONG.strip()} One Two"),
     "head left open": (f"<head><title>t</title><body><article>{BODY}</article>", TEXT),
     "reader comments": (f'<body><article>{BODY}<section class="comments"><article class="comment"><p>{LONG}</p></article></section></article></body>', TEXT),
+    "headline outside": (f"<body><h1>Head</h1><p>{LONG}</p><article>{BODY}</article><p>Foot</p></body>", f"Head {LONG.strip()} {TEXT}"),
+    "small second article": (f"<body><article>{BODY * 8}</article><article><h2>Two</h2><p>{LONG}</p></article></body>", f"{' '.join([TEXT] * 8)} Two {LONG.strip()}"),
+    "menu left open": (f"<body><nav><a>Menu</a><article><h1>Head</h1>{BODY}</article>", f"Head {TEXT}"),
+    "form around the page": (f"<body><form><article>{BODY}</article></form></body>", TEXT),
+    "formula": (f"<article><p>Let <math><mi>x</mi></math> be. {LONG}</p></article>", f"Let x be. {LONG.strip()}"),
+    "links beside": (f"<body>{LINKS}<article>{BODY}</article>{LINKS}</body>", TEXT),
     "references": ("<article><p>a &amp; b&#33; &lt;c&gt; &eacute;\n\t d</p></article>", "a & b! <c> é d"),
 }
 
@@ -35,9 +41,25 @@ def test_clusters_select_the_regions(monkeypatch):
     before = [ht.main_text(p) for p in pages]
     monkeypatch.setattr(ht, "clustered", lambda lines: [True] * len(lines))
     everything = [ht.main_text(p) for p in pages]
+    assert everything[1] != before[1]
+
+
+def test_clusters_decide_beside_articles(monkeypatch):
+    pages = [PAGES[n][0] for n in ("headline outside", "small second article")]
+    before = [ht.main_text(p) for p in pages]
     monkeypatch.setattr(ht, "clustered", lambda lines: [k == 0 for k in range(len(lines))])
-    first = [ht.main_text(p) for p in pages]
-    assert everything[1] != before[1] and first[0] != before[0] and "Teaser" in first[0] and TEXT not in first[0]
+    assert all(a != b for a, b in zip(before, [ht.main_text(p) for p in pages]))
+
+
+UNFINISHED = ["<a ", "<a b=", "<a b='", '<a b="', "<!--", "<!-- >", "<!", "<?", "</", "</a ", "<![CDATA[", "<a/", "<script>", "<title>", "&", "&#", "<", "<nav>", "<nav><article>", "<form><article>"]
+
+
+@pytest.mark.parametrize("piece", UNFINISHED)
+def test_unfinished_pieces_take_linear_time(piece):
+    for page in ("x" + piece * 100_000, "x" + piece * 100_000 + ">"):
+        began = time.time()
+        assert ht.main_text(page).startswith("x")
+        assert time.time() - began < 5
 
 
 def test_deep_and_long_pages():
