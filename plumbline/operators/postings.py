@@ -8,8 +8,7 @@ block whose bound is below the k-th best score so far is passed over, and its
 texts aren't looked at. What starts is a bar found beforehand in the blocks with
 the best bounds, so the work falls with k.
 
-Where chunks have a day of announcement, blocks are of one day and in order of
-days, and how many chunks had a bigram by each day is kept as running counts.
+Where chunks have a day of announcement, blocks are of one day, and how many chunks had a bigram by each day is kept as running counts.
 The weights of any date are a lookup in these counts, and blocks of later days
 are passed over. Filtering by a date before counting is the same as looking up
 the counts of that date, so one index answers for all dates.
@@ -86,7 +85,8 @@ def built(chunks: DataFrame, ids: list[str], text: str, announced: str | None =
     day = F.datediff(F.col(announced).cast("date"), F.lit("1970-01-01").cast("date")) if announced else F.lit(0)
     rows = chunks.select(*ids, day.cast("int").alias("day"), F.col(text).alias("text")).where("day is not null and text is not null")
     if announced:
-        rows = rows.repartitionByRange(parts, "day", *ids).sortWithinPartitions("day", *ids)
+        # dealt by day, and a day by salt, so that a day with very many chunks goes to many tasks
+        rows = rows.repartition(parts, "day", F.pmod(F.xxhash64(*ids), F.lit(parts // 8 + 1))).sortWithinPartitions("day", *ids)
     elif rows.rdd.getNumPartitions() <= parts:  # a scan of few pieces, which may be uneven
         rows = rows.repartition(parts)
     arrow = {c: to_arrow_type(k) for c, k in kinds.items()}
