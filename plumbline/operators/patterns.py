@@ -89,14 +89,14 @@ def earliest(texts: DataFrame, text: str, day: str, patterns: DataFrame, pattern
             for batch in batches:
                 find = find or finder(names)
                 for t, d in zip(batch.column("_text").to_pylist(), batch.column("_day").to_pylist()):
-                    for i in find(t):
+                    for i in find(t) if t is not None else ():
                         if i not in first or d < first[i]:
                             first[i] = d
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in first], pa.string()), pa.array(list(first.values()), pa.date32())], [pattern, "first"])
 
         return found
 
-    dated = texts.select(F.col(text).alias("_text"), F.col(day).cast("date").alias("_day")).where("_text is not null and _day is not null")
+    dated = texts.select(F.col(text).alias("_text"), F.col(day).cast("date").alias("_day")).where("_day is not null")
     return _passes(dated, patterns, pattern, run, f"`{pattern}` string, first date").groupBy(pattern).agg(F.min("first").alias("first"))
 
 

@@ -39,6 +39,7 @@ from plumbline.sources.staging import staged
 BLOCK = 32  # chunks
 QUESTIONS, STRIPE = 1024, 128  # questions of one pass over the index, and of one matrix
 SEEDS = 2  # blocks a question whose chunks are scored first, to find a bar
+DENSE = 4096  # bigrams up to which a stripe's matrix is taken whole
 CLOSE = 2e-9  # scores have nine decimals
 EVER = 2932896  # days up to 9999-12-31
 SYMBOLS = "0123456789."
@@ -144,17 +145,15 @@ class Stripe:
     facts: list[str | None]
     bar: np.ndarray | None = None  # a score that each question's k-th best reaches
 
-    def hits(self, own: list[np.ndarray]) -> np.ndarray:
-        """Sums of weights of the bigrams that each set shares with each question."""
-        row, flat = np.repeat(np.arange(len(own)), [len(c) for c in own]), np.concatenate([np.zeros(0, np.int64), *own])
-        if not len(self.gram):
-            return np.zeros((len(own), len(self.root)))
-        at = np.minimum(np.searchsorted(self.gram, flat), len(self.gram) - 1)
-        known = self.gram[at] == flat
-        places, column = np.unique(at[known], return_inverse=True)
-        has = np.zeros((len(own), len(places)))
-        has[row[known], column] = 1
-        return has @ self.weight[places]  # whole numbers below 2**53, so the order of sums doesn't matter
+    def hits(self, rows: int, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Sums of weights by row of what (row, place in gram) says the rows have."""
+        columns, weight = place, self.weight
+        if len(self.gram) > DENSE:
+            some, columns = np.unique(place, return_inverse=True)
+            weight = weight[some]
+        has = np.zeros((rows, len(weight)))
+        has[row, columns] = 1
+        return has @ weight  # whole numbers below 2**53, so the order of sums doesn't matter
 
     def score(self, sums: np.ndarray, extra: np.ndarray, columns=slice(None)) -> np.ndarray:
         return np.round(sums / 1e6 / self.root[columns], 9) + BONUS * extra
@@ -211,38 +210,57 @@ class Reader:
 
     def __init__(self, stripes: list[Stripe], bonus: bool):
         self.stripes, self.bonus = stripes, bonus
+        self.gram = np.unique(np.concatenate([np.zeros(0, np.int64), *[s.gram for s in stripes]]))
+        self.own = []  # of each stripe, the place of each bigram of all in its own
+        for s in stripes:
+            at = np.full(len(self.gram), -1, np.int32)
+            at[np.searchsorted(self.gram, s.gram)] = np.arange(len(s.gram))
+            self.own.append(at)
         self.pairs = []
         for s in stripes:
             numbers, owners = s.forced() if bonus else ([], [])
             bits = [digit_pairs(n) for n in numbers]
             self.pairs.append((finder(numbers), owners, np.array([(b & LOW, b >> HALF) for b in bits], np.int64).reshape(-1, 2)))
 
+    def places(self, own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of each known bigram of the given sets, looked up once for all stripes."""
+        row, flat = np.repeat(np.arange(len(own)), [len(c) for c in own]), np.concatenate([np.zeros(0, np.int64), *own])
+        if not len(self.gram):
+            return row[:0], row[:0]
+        at = np.minimum(np.searchsorted(self.gram, flat), len(self.gram) - 1)
+        known = self.gram[at] == flat
+        return row[known], at[known]
+
+    def hits(self, k: int, rows: int, found: tuple[np.ndarray, np.ndarray], columns=slice(None)) -> np.ndarray:
+        place = self.own[k][found[1]]
+        known = place >= 0
+        return self.stripes[k].hits(rows, found[0][known], place[known])[:, columns]
+
     def bounds(self, batch: pa.RecordBatch) -> list[np.ndarray]:
         """What each question may score at most in each block; below any score if it sees none of it."""
         grams = batch.column("grams")
         own = np.split(grams.flatten().to_numpy(), np.cumsum(grams.value_lengths().to_numpy())[:-1]) if batch.num_rows else []
         days = batch.column("day").to_numpy()
         digits = np.stack([batch.column("digits_lo").to_numpy(), batch.column("digits_hi").to_numpy()], 1)
-        out = []
-        for s, (_, owners, bits) in zip(self.stripes, self.pairs):
+        out, found = [], self.places(own)
+        for n, (s, (_, owners, bits)) in enumerate(zip(self.stripes, self.pairs)):
             extra = np.zeros((batch.num_rows, len(s.root)))
             for b, of in zip(bits, owners):
                 np.add.at(extra, (slice(None), of), ((digits & b) == b).all(1)[:, None])
-            most = s.score(s.hits(own), extra)
+            most = s.score(self.hits(n, batch.num_rows, found), extra)
             most[days[:, None] > s.until[None, :]] = -1
             out.append(most)
         return out
 
-    def exact(self, k: int, grams: list[np.ndarray], texts: list[str], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sums, extra) of a block's chunks for some questions of stripe k."""
+    def exact(self, k: int, grams: tuple[np.ndarray, np.ndarray], texts: list[str], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sums, extra) of a block's chunks for some questions of stripe k; grams: their places."""
         s, (find, owners, _) = self.stripes[k], self.pairs[k]
         extra = np.zeros((len(texts), len(s.root)))
         if owners:
             for row, t in enumerate(texts):
                 for i in find(t.replace(",", "")):
                     np.add.at(extra[row], owners[i], 1)
-        part = Stripe(s.gram, s.weight[:, columns], s.root[columns], s.until[columns], [], [])
-        return part.hits(grams), extra[:, columns]
+        return self.hits(k, len(texts), grams, columns), extra[:, columns]
 
 
 class Best:
@@ -334,7 +352,7 @@ def _pass(index: Index, shared, k: int, blocks: DataFrame | None = None, counter
                         continue
                     if grams is None:
                         texts = batch.column("texts")[at].as_py()
-                        grams, names = [codes(t) for t in texts], [(*x, int(day[at])) for x in _ids(batch, ids, at)]
+                        grams, names = reader.places([codes(t) for t in texts]), [(*x, int(day[at])) for x in _ids(batch, ids, at)]
                     sums, extra = reader.exact(n, grams, texts, columns)
                     own.add(columns, stripes[n].score(sums, extra, columns), sums, extra, names)
         if counters is not None:
@@ -411,7 +429,7 @@ def _owners(index: Index, shared) -> DataFrame:
                                 held.setdefault(n, []).append((row, j))
                 if not held:
                     continue
-                grams, names = [codes(t) for t in texts], _ids(batch, ids, at)
+                grams, names = reader.places([codes(t) for t in texts]), _ids(batch, ids, at)
                 for n, pairs in held.items():
                     columns = np.unique([j for _, j in pairs])
                     sums, extra = reader.exact(n, grams, texts, columns)
@@ -448,7 +466,7 @@ def _no_worse(index: Index, shared, bars) -> DataFrame:
                     if not len(columns):
                         continue
                     texts = batch.column("texts")[at].as_py()
-                    grams = [codes(t) for t in texts]
+                    grams = reader.places([codes(t) for t in texts])
                     sums, extra = reader.exact(n, grams, texts, columns)
                     score = np.round(stripes[n].score(sums, extra, columns), 9)
                     total[lo + columns] += (score > own[columns]).sum(0)
