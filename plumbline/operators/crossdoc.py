@@ -23,10 +23,10 @@ SHOWN = 8  # differences of a pair that are shown, the first in order of rows
 def dated_facts(lines: DataFrame, keys: list[str], doc: str) -> DataFrame:
     """(keys, doc, date, label_norm, row_idx, value) of cells (keys, doc,
     row_idx, label_raw, header_text, value; label_norm is taken where there is
-    one): the header without white space is the date; of columns with equal
-    headers the first counts."""
+    one): the header without white space is the date, and headers without a
+    digit are none; of columns with equal headers the first counts."""
     label = F.col("label_norm") if "label_norm" in lines.columns else T.label(F.col("label_raw"), ascii_colon=True)
-    dated = lines.where("header_text is not null").select(
+    dated = lines.where("header_text rlike '[0-9]'").select(
         *keys, F.col(doc).alias("doc"), F.regexp_replace("header_text", T.BLANK, "").alias("date"), label.alias("label_norm"), "row_idx", "col_idx", "value"
     )
     return dated.groupBy(*keys, "doc", "date", "label_norm", "row_idx").agg(F.min_by(F.struct("value"), "col_idx").alias("_v")).select(*keys, "doc", "date", "label_norm", "row_idx", "_v.value")

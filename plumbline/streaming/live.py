@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 
 def reconciled_stream(a: DataFrame, b: DataFrame, key: str, time: str, value: str, delay: str = "1 hour") -> DataFrame:
-    """Stream-stream outer join of two sources of one series within a watermark:
-    rows that the other source never sends come out as left_only when it passes."""
+    """Stream-stream full outer join of two sources of one series within a
+    watermark: rows that the other source never sends come out as left_only or
+    right_only when it passes."""
     left = a.select(F.col(key).alias("key_a"), F.col(time).alias("time_a"), F.col(value).alias("value_a")).withWatermark("time_a", delay)
     right = b.select(F.col(key).alias("key_b"), F.col(time).alias("time_b"), F.col(value).alias("value_b")).withWatermark("time_b", delay)
     near = F.expr(f"key_a = key_b AND time_b BETWEEN time_a - INTERVAL {delay} AND time_a + INTERVAL {delay}")
-    both = left.join(right, near, "left_outer")
-    return both.withColumn("_merge", F.when(F.col("key_b").isNull(), "left_only").otherwise("both")).withColumn("diff", F.abs(F.col("value_a") - F.col("value_b")))
+    both = left.join(right, near, "full_outer")
+    side = F.when(F.col("key_b").isNull(), "left_only").when(F.col("key_a").isNull(), "right_only").otherwise("both")
+    return both.withColumn("_merge", side).withColumn("diff", F.abs(F.col("value_a") - F.col("value_b")))
 
 
 def visible_counts(facts: DataFrame, announced: str, window: str = "1 day", delay: str = "1 day") -> DataFrame:

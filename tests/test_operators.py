@@ -81,3 +81,14 @@ def test_streams(spark, tmp_path):
         query.awaitTermination()
     assert {(r.key_a, r._merge, r.diff) for r in spark.table("joined").collect()} >= {(1, "both", 0.5)}
     assert sorted(r.n for r in spark.table("seen").collect()) == [1, 2]
+
+
+def test_a_stream_reports_what_only_one_side_has(spark, tmp_path):
+    for name, extra in (("a", 2), ("b", 3)):
+        for n, own in enumerate(([(1, "2024-01-01 00:00:00", 5.0), (extra, "2024-01-01 00:10:00", 7.0)], [(9, "2024-01-05 00:00:00", 0.0)], [(10, "2024-01-06 00:00:00", 0.0)])):
+            spark.createDataFrame(own, "k int, t string, v double").withColumn("t", F.to_timestamp("t")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    read = lambda n: spark.readStream.schema("k int, t timestamp, v double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{n}")
+    query = live.reconciled_stream(read("a"), read("b"), "k", "t", "v").writeStream.format("memory").queryName("sides").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r.key_a, r.key_b, r._merge) for r in spark.table("sides").collect()}
+    assert {(1, 1, "both"), (2, None, "left_only"), (None, 3, "right_only"), (9, 9, "both")} <= got
