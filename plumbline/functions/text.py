@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.arrays import let
+
 # Patterns and word lists of Chinese filings.
 BLANK = r"(?U)[\s　]"
 NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
@@ -109,7 +111,14 @@ def sentences(s: Column) -> Column:
 def is_heading(line: Column, name: str, lead: str = LEAD, banned: str = NO_HEADING, most: int = 3) -> Column:
     """Whether a line is a statement heading: after leading numbering it starts
     with the name and nearly nothing follows."""
-    s = F.regexp_replace(F.regexp_replace(F.coalesce(line, F.lit("")), BLANK, ""), lead, "")
+    return _heads(_unnumbered(line, lead), name, banned, most)
+
+
+def _unnumbered(line: Column, lead: str = LEAD) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.coalesce(line, F.lit("")), BLANK, ""), lead, "")
+
+
+def _heads(s: Column, name: str, banned: str = NO_HEADING, most: int = 3) -> Column:
     rest = F.btrim(F.substring(s, F.lit(len(name) + 1), F.char_length(s)), F.lit(":：、.。（）()[]【】"))
     return s.startswith(name) & (F.char_length(rest) <= most) & ~rest.rlike(banned)
 
@@ -117,8 +126,12 @@ def is_heading(line: Column, name: str, lead: str = LEAD, banned: str = NO_HEADI
 def heading(line: Column) -> Column:
     """Struct of statement and scope of the first heading of HEADINGS that the
     line is, NULL if it is none."""
-    cases = [(is_heading(line, name), F.struct(F.lit(kind).alias("label"), F.lit(scope).alias("scope"))) for name, kind, scope in HEADINGS]
-    return reduce(lambda acc, c: acc.when(*c), cases[1:], F.when(*cases[0]))
+
+    def of(s: Column) -> Column:
+        cases = [(_heads(s, name), F.struct(F.lit(kind).alias("label"), F.lit(scope).alias("scope"))) for name, kind, scope in HEADINGS]
+        return reduce(lambda acc, c: acc.when(*c), cases[1:], F.when(*cases[0]))
+
+    return let(_unnumbered(line), of)
 
 
 def most_specific(s: Column, names: tuple[str, ...]) -> Column:
@@ -129,11 +142,13 @@ def most_specific(s: Column, names: tuple[str, ...]) -> Column:
 
 def to_number(cell: Column) -> Column:
     """A cell's number; blanks, dashes and anything else are NULL, brackets mean minus."""
-    s = F.regexp_replace(F.trim(cell), "[, ]", "")
-    negative = s.startswith("(") & s.endswith(")")
-    bare = F.when(negative, F.substring(s, F.lit(2), F.char_length(s) - 2)).otherwise(s)
-    value = F.when(~s.isin(*EMPTY_CELLS) & bare.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), bare.try_cast("double"))
-    return F.when(negative, -value).otherwise(value)
+
+    def of(s: Column) -> Column:
+        negative = s.startswith("(") & s.endswith(")")
+        number = lambda bare: F.when(bare.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), bare.try_cast("double"))
+        return F.when(s.isin(*EMPTY_CELLS), None).when(negative, -let(F.substring(s, F.lit(2), F.char_length(s) - 2), number)).otherwise(number(s))
+
+    return let(F.translate(cell, ", ", ""), of)
 
 
 def grouped(x: Column) -> Column:
@@ -208,7 +223,7 @@ def is_runner(cells: Column) -> Column:
 
 def hits(text: Column, words: list[str]) -> Column:
     """How many of the words a text contains."""
-    return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)))
+    return let(text, lambda t: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(t, w))))
 
 
 def contains_any(s: Column, keys: list[str]) -> Column:

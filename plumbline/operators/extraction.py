@@ -33,8 +33,13 @@ PAGE = ["doc", "page"]
 
 def body(rows: Column) -> Column:
     """Rows of cells without the leading ones that are page headers."""
-    first = F.array_position(F.transform(rows, lambda r: ~T.is_runner(r)), True)
-    return let(first, lambda k: F.when(k > 0, F.slice(rows, k.cast("int"), F.size(rows))).otherwise(F.slice(rows, 1, 0)))
+
+    def of(all_: Column) -> Column:
+        first = F.array_position(F.transform(all_, lambda r: ~T.is_runner(r)), True)
+        cut = let(first, lambda k: F.when(k > 0, F.slice(all_, k.cast("int"), F.size(all_))).otherwise(F.slice(all_, 1, 0)))
+        return F.when((F.size(all_) > 0) & ~T.is_runner(F.get(all_, F.lit(0))), all_).otherwise(cut)
+
+    return let(rows, of)
 
 
 def tidy(cells: Column) -> Column:
@@ -44,7 +49,8 @@ def tidy(cells: Column) -> Column:
 
 def cleaned(rows: Column) -> Column:
     """Rows of cells as labels and values, without blank rows and the row of items."""
-    full = F.filter(F.transform(rows, tidy), lambda r: F.exists(r, lambda c: c != "") & (T.label(F.get(r, F.lit(0)), prefixes=False) != "项目"))
+    item = lambda c: c.contains("项") & (T.label(c, prefixes=False) == "项目")  # noqa: E731  a label is made for few
+    full = F.filter(F.transform(rows, tidy), lambda r: F.exists(r, lambda c: c != "") & ~F.coalesce(item(F.get(r, F.lit(0))), F.lit(False)))
     return F.transform(full, lambda r: F.struct(F.get(r, F.lit(0)).alias("label"), F.transform(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), T.to_number).alias("vals")))
 
 
@@ -91,25 +97,34 @@ def aligned(header: Column, rows: Column) -> Column:
     return let(_columns(rows), of)
 
 
+def once(value: Column) -> Column:
+    """The fields of a struct as columns. As they are generated, filters on them aren't
+    moved below, where their expressions would be worked out again for each mention."""
+    return F.inline(F.array(value))
+
+
 def headings(lines: DataFrame) -> DataFrame:
     """(doc, page, headings): the headings of each page in order of height. lines: (doc, page, y, text)."""
-    found = lines.withColumn("_h", T.heading(F.col("text"))).where("_h is not null")
-    return found.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", F.col("_h.label").alias("label"), F.col("_h.scope").alias("scope")))).alias("headings"))
+    found = lines.select(*PAGE, "y", once(T.heading(F.col("text")))).where("label is not null")
+    return found.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "label", "scope"))).alias("headings"))
 
 
 def chosen(tables: DataFrame) -> DataFrame:
     """(doc, page, top, cells): each page's best candidate. tables: (doc, page,
     cropped, strategy, table_no, top, cells)."""
-    t = tables.withColumn("cells", body(F.col("cells"))).where(F.size("cells") > 0)
-    flat = F.array_join(F.transform(F.slice("cells", 1, SCORED_ROWS), lambda r: F.array_join(r, " ")), " ")
-    t = t.withColumn("score", S.candidate_score(flat, SIGNATURES, NOISE, F.array_join(F.get("cells", F.lit(0)), " ").rlike("(?:19|20)[0-9]{2}")))
+
+    def scored(cells: Column) -> Column:
+        flat = F.array_join(F.transform(F.slice(cells, 1, SCORED_ROWS), lambda r: F.array_join(r, " ")), " ")
+        return F.struct(cells.alias("cells"), S.candidate_score(flat, SIGNATURES, NOISE, F.array_join(F.get(cells, F.lit(0)), " ").rlike("(?:19|20)[0-9]{2}")).alias("score"))
+
+    t = tables.select(*PAGE, "cropped", "strategy", "top", once(let(body(F.col("cells")), scored))).where(F.size("cells") > 0)
     best = S.short_circuit(t, [*PAGE, "cropped"], "strategy", "score", least=S.MIN_SCORE)
     return joins.pairwise(best, PAGE, F.col("cropped"), F.col("score")).select(*PAGE, "top", "cells")
 
 
 def agreements(tables: DataFrame) -> DataFrame:
     """(doc, page, compared, rate): the longest table of each of two parse paths."""
-    t = tables.where("not cropped and strategy < 2").select(*PAGE, "strategy", "table_no", without_notes(cleaned(body(F.col("cells")))).alias("rows"))
+    t = tables.where("not cropped and strategy < 2").select(*PAGE, "strategy", "table_no", once(F.struct(without_notes(cleaned(body(F.col("cells")))).alias("rows"))))
     longest = joins.largest(t, [*PAGE, "strategy"], F.size("rows"), PATH_ROWS, "table_no")
     lines = longest.select(*PAGE, "strategy", F.posexplode("rows").alias("row_idx", "r")).select(*PAGE, "strategy", "row_idx", T.label(F.col("r.label"), digits=True, prefixes=False).alias("label_norm"), F.posexplode("r.vals").alias("col_idx", "value"))
     return S.dual_agreement(lines.where("strategy = 0"), lines.where("strategy = 1"), PAGE).select(*PAGE, "compared", "rate")

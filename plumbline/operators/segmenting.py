@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.arrays import let
+
 # Words of which a statement's own pages hold one, and the band of a page without header and footer.
 GATE = {"BS": ["货币资金", "资产总计", "总资产", "资产合计"], "IS": ["营业收入", "营业总收入", "净利润"], "CF": ["经营活动产生的现金流量", "现金及现金等价物"]}
 TOP, BOTTOM = 115, 740
@@ -14,10 +16,14 @@ GATE_ROWS, MIN_ROWS, NEAR = 150, 8, 6  # rows that a gate looks at, rows of a se
 def gate(rows: Column, kind: Column, words: dict[str, list[str]] = GATE) -> Column:
     """Whether the first rows of cells (array of arrays) hold a word of their own kind of statement."""
     flat = F.array_join(F.transform(F.slice(rows, 1, GATE_ROWS), lambda r: F.array_join(r, " ")), " ")
-    own = F.lit(False)
-    for name, some in words.items():
-        own = F.when(kind == name, F.exists(F.array(*map(F.lit, some)), lambda w: F.contains(flat, w))).otherwise(own)
-    return own
+
+    def of(text: Column) -> Column:
+        own = F.lit(False)
+        for name, some in words.items():
+            own = F.when(kind == name, F.exists(F.array(*map(F.lit, some)), lambda w: F.contains(text, w))).otherwise(own)
+        return own
+
+    return let(flat, of)
 
 
 def in_band(top: Column, low: float = TOP, high: float = BOTTOM) -> Column:

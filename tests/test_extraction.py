@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import extraction as E
@@ -198,3 +199,14 @@ def test_against_plain(spark, seed):
     assert [g[:4] for g in got] == [w[:4] for w in want]
     assert repr(got) == repr(want)
     assert {(r.doc, r.source, r.table) for r in out.select("doc", "source", "table", "label").collect()} == {(w[0], f"{w[0]}.pdf", T.STATEMENTS[w[1]]) for w in want}
+
+
+def test_cells_are_read_once(spark):
+    """Filters on what is made of cells don't work it out again, nor do loops over words."""
+    cells = F.array(F.array(F.col("id").cast("string"), F.lit("1")))
+    tables = spark.range(9).select(F.col("id").alias("doc"), F.lit(1).alias("page"), (F.col("id") % 2 == 0).alias("cropped"), (F.col("id") % 2).cast("int").alias("strategy"), F.lit(0).alias("table_no"), F.lit(1.0).alias("top"), cells.alias("cells"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(E.chosen(tables)).count(T.RUNNER) == 2  # the first row, and the others where that is one
+    words = ["货币资金", "存货", "净利润"]
+    own = plan(tables.select(T.hits(T.label(F.col("doc").cast("string")), words)))
+    assert "Contains(lambda" in own  # the text is bound outside of the loop over words
