@@ -10,7 +10,7 @@ are split by salt."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
@@ -29,7 +29,7 @@ def dated_facts(lines: DataFrame, keys: list[str], doc: str) -> DataFrame:
     dated = lines.where("header_text rlike '[0-9]'").select(
         *keys, F.col(doc).alias("doc"), F.regexp_replace("header_text", T.BLANK, "").alias("date"), label.alias("label_norm"), "row_idx", "col_idx", "value"
     )
-    return dated.groupBy(*keys, "doc", "date", "label_norm", "row_idx").agg(F.min_by(F.struct("value"), "col_idx").alias("_v")).select(*keys, "doc", "date", "label_norm", "row_idx", "_v.value")
+    return dated.groupBy(*keys, "doc", "date", "label_norm", "row_idx").agg(F.min_by("value", "col_idx").alias("value"))
 
 
 def pairs(facts: DataFrame, keys: list[str], other: DataFrame | None = None, tolerance: float = TOLERANCE) -> DataFrame:
@@ -45,7 +45,7 @@ def pairs(facts: DataFrame, keys: list[str], other: DataFrame | None = None, tol
 
     on = [*met, "label_norm"]
     named = right.where("label_norm <> ''")
-    once = named.groupBy(*on, F.col("doc").alias("doc_b")).agg(F.min_by(F.struct("value"), "row_idx").alias("_b")).where("_b.value is not null").select(*on, "doc_b", F.col("_b.value").alias("b"))
+    once = named.groupBy(*on, F.col("doc").alias("doc_b")).agg(F.min_by("value", "row_idx").alias("b")).where("b is not null")
     hot = once.groupBy(*on).count().where(F.col("count") > HOT).select(*on, F.lit(SALTS).alias("_parts"))
     left = facts.where("value is not null and label_norm <> ''").select(*on, F.col("doc").alias("doc_a"), "row_idx", F.col("value").alias("a"))
     left = left.join(hot, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_a"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
@@ -57,3 +57,17 @@ def pairs(facts: DataFrame, keys: list[str], other: DataFrame | None = None, tol
     shown = F.transform(F.coalesce("_d", F.array()), lambda d: d.dropFields("row_idx"))
     out = every.join(sums, [*met, "doc_a", "doc_b"], "left").na.fill(0, ["compared", "same"])
     return out.withColumns({"rate": F.try_divide("same", "compared"), "differences": shown}).drop("_d")
+
+
+def rates(facts: DataFrame, other: DataFrame, keys: list[str], tolerance: float = TOLERANCE) -> DataFrame:
+    """(keys, doc, compared, same): what each document of facts has in common with
+    one other, over all dates. other: one document a key. Each document that
+    shares a date with it has a row. One window instead of joins, so that facts
+    that are dealt by keys stay where they are."""
+    both = facts.select(*keys, "doc", "date", "label_norm", "row_idx", "value", F.lit(False).alias("_other")).unionByName(other.select(*keys, "doc", "date", "label_norm", "row_idx", "value", F.lit(True).alias("_other")))
+    w = Window.partitionBy(*keys, "date", "label_norm")
+    b = F.min_by(F.when(F.col("_other"), F.col("value")), F.when(F.col("_other"), F.col("row_idx"))).over(w)
+    dated = F.max("_other").over(Window.partitionBy(*keys, "date"))
+    met = both.withColumn("_b", b).withColumn("_dated", dated).where("not _other and _dated")
+    known = (F.col("label_norm") != "") & F.col("value").isNotNull() & F.col("_b").isNotNull()
+    return met.groupBy(*keys, "doc").agg(F.count_if(known).alias("compared"), F.count_if(known & (F.abs(F.col("value") - F.col("_b")) <= tolerance)).alias("same"))

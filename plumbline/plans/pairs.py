@@ -70,14 +70,14 @@ CASES = {
 
 def mutation_grid(spark, sf_dir):
     """Corruptions of every order's statement against all checks, in one plan."""
-    rows = _statement(spark, sf_dir)
+    rows = mutations.dealt(_statement(spark, sf_dir), ["table_id"], 1 + len(CASES))
     head = F.concat(F.lit("day "), F.col("col_idx").cast("string"))
     lines = mutations.copies(rows, CASES).withColumn("header_text", head)
     other = rows.select("table_id", "row_idx", "label_norm", "label_raw", "concept", F.posexplode(F.transform("vals", lambda v: v.cast("double"))).alias("col_idx", "value")).withColumn("header_text", head)
     terms = spark.createDataFrame([("whole = items + charges", "whole", -1, False), ("whole = items + charges", "items", 1, False), ("whole = items + charges", "charges", 1, False)], "ident string, concept string, coef int, optional boolean")
     required = spark.createDataFrame([("whole",)], "name string")
     found = mutations.detected(lines, other, ["table_id"], terms, required, [("items", "sum of items")])
-    return mutations.grid(found, ["table_id"])
+    return mutations.grid(found, ["table_id"], list(CASES))
 
 
 QUERIES = {f.__name__: f for f in (document_pairs, turned_pairs, mutation_grid)}

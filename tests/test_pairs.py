@@ -59,3 +59,27 @@ def test_groups_without_anything_keep_a_row(spark):
     assert {r.m: (r.hits, r.total, r.missing) for r in cover.collect()} == {1: (1, 1, []), 2: (0, 1, ["c"])}
     total = trust.bench(members, spark.createDataFrame([(1, "BS")], "m int, kind string"), cover, spark.createDataFrame([(1, "pass")], "m int, verdict string"), "m")
     assert {r.m: (r.present, r.absent, r.hits, r.wanted, r.passed) for r in total.collect()} == {1: (1, 2, 1, 1, 1), 2: (0, 3, 0, 1, 0), None: (1, 5, 1, 2, 1)}
+
+
+def test_copies_are_not_shuffled(spark):
+    """Rows go by table once; what checks copies and counts them for each table stays there."""
+    rows = spark.range(40).select((F.col("id") % 5).alias("t"), F.col("id").alias("row_idx"), F.lit("whole").alias("label_norm"), F.lit("whole").alias("label_raw"), F.lit("whole").alias("concept"), F.array(F.col("id").cast("double")).alias("vals"))
+    dealt = mutations.dealt(rows, ["t"], 2)
+    lines = mutations.copies(dealt, {"scale": mutations.scale(10)}).withColumn("header_text", F.lit("d1"))
+    other = dealt.select("t", "row_idx", "label_norm", "label_raw", "concept", F.posexplode("vals").alias("col_idx", "value")).withColumn("header_text", F.lit("d1"))
+    terms = spark.createDataFrame([("i", "whole", -1, False)], "ident string, concept string, coef int, optional boolean")
+    found = mutations.detected(lines, other, ["t"], terms, spark.createDataFrame([("whole",)], "name string"), [("items", "sum")])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" in plan and "SortMergeJoin" not in plan  # small sides only
+    own = found._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in own.splitlines() if "Exchange hashpartitioning" in line and "mutation" in line]
+    assert not moved
+
+
+def test_terms_beyond_one_word(spark):
+    """Of more required terms than a number has bits, those that are missing are named."""
+    names = [f"c{k:03}" for k in range(150)]
+    terms = spark.createDataFrame([("i", n, 1, False) for n in names], "ident string, concept string, coef int, optional boolean")
+    lines = spark.createDataFrame([(1, n, 0, 1) for n in names if n not in ("c000", "c061", "c062", "c124", "c149")], "t int, concept string, col_idx int, value long")
+    r = S.identity_residuals(lines, terms, ["t"]).first()
+    assert (r.residual, r.missing, r.absent) == (-145, 5, ["c000", "c061", "c062", "c124", "c149"])
