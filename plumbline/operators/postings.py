@@ -40,6 +40,7 @@ BLOCK = 32  # chunks
 QUESTIONS, STRIPE = 1024, 128  # questions of one pass over the index, and of one matrix
 SEEDS = 2  # blocks a question whose chunks are scored first, to find a bar
 DENSE = 4096  # bigrams up to which a stripe's matrix is taken whole
+AT_ONCE = 256  # blocks whose bounds are found together
 CLOSE = 2e-9  # scores have nine decimals
 EVER = 2932896  # days up to 9999-12-31
 SYMBOLS = "0123456789."
@@ -292,6 +293,12 @@ class Best:
         self.rows = out
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of AT_ONCE rows: matrices of blocks by bigrams and by
+    questions are as tall as a part, and a batch has thousands of blocks."""
+    return (batch.slice(at, AT_ONCE) for batch in batches for at in range(0, batch.num_rows, AT_ONCE))
+
+
 def _ids(batch: pa.RecordBatch, ids: list[str], at: int) -> list[tuple]:
     return list(zip(*[batch.column(c)[at].as_py() for c in ids]))
 
@@ -317,7 +324,7 @@ def seeds(index: Index, shared, per_question: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stripes, bonus = shared.value
         reader, best = Reader(stripes, bonus), {}
-        for batch in batches:
+        for batch in parts(batches):
             block, lo = batch.column("block").to_numpy(), 0
             for most in reader.bounds(batch):
                 for j in range(most.shape[1]):
@@ -340,7 +347,7 @@ def _pass(index: Index, shared, k: int, blocks: DataFrame | None = None, counter
         reader = Reader(stripes, bonus)
         best = [Best(len(s.root), k, np.array(s.bar) if s.bar is not None else np.full(len(s.root), -np.inf)) for s in stripes]
         looked = skipped = 0
-        for batch in batches:
+        for batch in parts(batches):
             bounds = reader.bounds(batch)
             day = batch.column("day").to_numpy()
             for at in _ordered(np.max([m.max(1) for m in bounds], axis=0)) if batch.num_rows else ():
@@ -417,7 +424,7 @@ def _owners(index: Index, shared) -> DataFrame:
                 if f:
                     wanted.setdefault(f, []).append((n, j))
         find, places, best = finder(list(wanted)), list(wanted.values()), {}
-        for batch in batches:
+        for batch in parts(batches):
             day = batch.column("day").to_numpy()
             for at in range(batch.num_rows):
                 texts = batch.column("texts")[at].as_py()
@@ -457,7 +464,7 @@ def _no_worse(index: Index, shared, bars) -> DataFrame:
         stripes, bonus = shared.value
         reader, total = Reader(stripes, bonus), np.zeros(sum(len(s.root) for s in stripes), np.int64)
         least = np.array([np.inf if b is None else round(b[0], 9) for b in bars.value])
-        for batch in batches:
+        for batch in parts(batches):
             lo, bounds = 0, reader.bounds(batch)
             for n, most in enumerate(bounds):
                 own = least[lo : lo + most.shape[1]]
