@@ -32,6 +32,31 @@ def dated_facts(lines: DataFrame, keys: list[str], doc: str) -> DataFrame:
     return dated.groupBy(*keys, "doc", "date", "label_norm", "row_idx").agg(F.min_by("value", "col_idx").alias("value"))
 
 
+def _first(right: DataFrame, on: list[str]) -> DataFrame:
+    """(on, doc_b, b): the value of each label's first row."""
+    return right.where("label_norm <> ''").groupBy(*on, F.col("doc").alias("doc_b")).agg(F.min_by("value", "row_idx").alias("b"))
+
+
+def _met(left: DataFrame, once: DataFrame, on: list[str]) -> DataFrame:
+    """The join on ``on``, by salt where a key is hot. Hot keys are broadcast: there is one in HOT rows at most."""
+    hot = F.broadcast(once.groupBy(*on).count().where(F.col("count") > HOT).select(*on, F.lit(SALTS).alias("_parts")))
+    left = left.join(hot, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_a"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    once = once.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(once, [*on, "_salt"])
+
+
+def total(facts: DataFrame, keys: list[str], other: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row of compared and same over all documents of facts and those of
+    other but their namesakes, without a row for each pair. NULL if no two have
+    a date and a label in common."""
+    on = [*keys, "date", "label_norm"]
+    left = facts.where("label_norm <> ''").select(*on, F.col("doc").alias("doc_a"), F.col("value").alias("a"))
+    met = _met(left, _first(other, on), on).where("doc_a <> doc_b")
+    known = F.col("a").isNotNull() & F.col("b").isNotNull()
+    number = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return met.agg(number(known).alias("compared"), number(known & (F.abs(F.col("a") - F.col("b")) <= tolerance)).alias("same"))
+
+
 def pairs(facts: DataFrame, keys: list[str], other: DataFrame | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(keys, date, doc_a, doc_b, compared, same, rate, differences): each pair
     of documents (in order) with a date in common; with ``other``, each document
@@ -44,13 +69,9 @@ def pairs(facts: DataFrame, keys: list[str], other: DataFrame | None = None, tol
     every = a_docs.join(b_docs, met).where(ordered)
 
     on = [*met, "label_norm"]
-    named = right.where("label_norm <> ''")
-    once = named.groupBy(*on, F.col("doc").alias("doc_b")).agg(F.min_by("value", "row_idx").alias("b")).where("b is not null")
-    hot = once.groupBy(*on).count().where(F.col("count") > HOT).select(*on, F.lit(SALTS).alias("_parts"))
+    once = _first(right, on).where("b is not null")
     left = facts.where("value is not null and label_norm <> ''").select(*on, F.col("doc").alias("doc_a"), "row_idx", F.col("value").alias("a"))
-    left = left.join(hot, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_a"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
-    once = once.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    compared = left.join(once, [*on, "_salt"]).where(ordered).withColumn("_same", F.abs(F.col("a") - F.col("b")) <= tolerance)
+    compared = _met(left, once, on).where(ordered).withColumn("_same", F.abs(F.col("a") - F.col("b")) <= tolerance)
     wrong = F.collect_list(F.when(~F.col("_same"), F.struct("row_idx", F.col("label_norm").alias("label"), "a", "b")))
     # a pair's differences are rows of one table
     sums = compared.groupBy(*met, "doc_a", "doc_b").agg(F.count("*").alias("compared"), F.count_if("_same").alias("same"), F.slice(F.array_sort(wrong), 1, SHOWN).alias("_d"))

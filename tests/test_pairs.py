@@ -98,3 +98,13 @@ def test_ranges_sort_no_labels(spark):
     plan = S.range_sums(lines, ["t"], "label1", "label3")._jdf.queryExecution().optimizedPlan().toString()
     window = plan[plan.rindex("Window ") :].splitlines()[1]
     assert "Project" in window and " AS label_raw" not in window and " AS label_norm" not in window
+
+
+def test_total_is_that_of_pairs(spark):
+    """The sums over all pairs, without a row for each."""
+    by = ["symbol", "stmt"]
+    turned, facts = (crossdoc.dated_facts(cells(spark, t), by, "file") for t in (True, False))
+    want = crossdoc.pairs(turned, by, facts).where("doc_a <> doc_b").agg(F.sum("compared").alias("compared"), F.sum("same").alias("same")).first()
+    got = crossdoc.total(turned, by, facts)
+    assert got.first() == want and want.compared > 5
+    assert "doc_a" not in got._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
