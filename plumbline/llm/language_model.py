@@ -10,8 +10,10 @@ where the filter has both their bigrams, which loses none.
 
 The filter is built in parts by n-gram hash, where the counts are. Parts are
 gathered into shards of about ``SHARD`` bytes, each passes through the driver
-alone and is broadcast. Tasks probe shard after shard for a stretch of texts
-and hold one at a time, if they don't all fit into ``ROOM``.
+alone and is broadcast; what it leaves in the driver's JVM is collected before
+the next. Tasks probe shard after shard for a stretch of texts and hold one at
+a time, if they don't all fit into ``ROOM``. Filters and contexts are broadcast
+apart, as they are looked up apart, and contexts are sent as whole numbers.
 
 Probabilities are smoothed by absolute discounting: what a context's kept
 continuations leave goes to the shorter context, down to the unigrams, of which
@@ -34,7 +36,7 @@ and may have any name; an empty table gives an empty table.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -92,17 +94,13 @@ def bucket(h: np.ndarray, n: int) -> np.ndarray:
 @dataclass
 class Shard:
     """Bloom filters of the buckets lo to hi - 1 over (key, level), one behind
-    another, and the contexts of these buckets."""
+    another."""
 
     lo: int
     hi: int
     start: np.ndarray  # of each bucket, in bits
     size: np.ndarray
     bits: np.ndarray  # packed
-    context: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))  # bucket - lo, then the key's lower bits; sorted
-    total: np.ndarray = field(default_factory=lambda: np.zeros(0))  # decoded counts of its kept continuations
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))  # share of the shorter context
-
     probes: tuple[int, int] = PROBES
 
     @staticmethod
@@ -154,21 +152,56 @@ class Shard:
             j += 1
         return out
 
-    def context_of(self, h: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Places of contexts, -1 where unknown."""
-        return place_of(self.context, ((b - self.lo).astype(U64) << LOW_BITS) | (h & LOW))
-
 
 def named(h: np.ndarray, b) -> np.ndarray:
     """What stands for a key in the filter: its bucket and its lower bits."""
     return spans.mix((h & LOW) * ODD[2] + np.asarray(b).astype(U64), 8)
 
 
+@dataclass
+class Contexts:
+    """The contexts of the buckets from lo on."""
+
+    lo: int
+    unit: float  # of the totals: they are sums of decoded counts, which are its multiples
+    key: np.ndarray  # bucket - lo, then the key's lower bits; sorted
+    total: np.ndarray  # decoded counts of a context's kept continuations, in units
+    more: np.ndarray  # numbers of these continuations
+
+    @classmethod
+    def of(cls, lo: int, least: float, key: np.ndarray, z: np.ndarray, m: np.ndarray) -> Contexts:
+        unit = float(decoded(np.ones(1, np.int64), least)[0])
+        return cls(lo, unit, key, narrow(np.rint(z / unit).astype(U64)), narrow(m.astype(U64)))
+
+    def __getstate__(self) -> tuple:
+        """Keys without the zeros that their buckets begin with."""
+        return self.lo, self.unit, np.bincount((self.key >> LOW_BITS).astype(np.int64)), spans.pack(self.key & LOW, 6), self.total, self.more
+
+    def __setstate__(self, state: tuple) -> None:
+        self.lo, self.unit, counts, keys, self.total, self.more = state
+        self.key = spans.unpack(keys, 6) | (np.repeat(np.arange(len(counts)), counts).astype(U64) << LOW_BITS)
+
+    def find(self, h: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals and the shares of the shorter context; 0 and 1 where unknown."""
+        at = place_of(self.key, ((b - self.lo).astype(U64) << LOW_BITS) | (h & LOW))
+        total, rest = np.zeros(len(h)), np.ones(len(h))
+        found = at >= 0
+        total[found] = self.total[at[found]] * self.unit
+        rest[found] = DISCOUNT * self.more[at[found]] / np.maximum(total[found], 1e-300)
+        return total, rest
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in four bytes each, if that holds them."""
+    return x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x
+
+
 @dataclass
 class Model:
     """What scoring needs; shards come as broadcasts, by order of n-grams."""
 
     shards: list[list]  # of each order
+    known: list[list]  # contexts in the buckets of these shards; words have none
     bounds: list[list[int]]  # first buckets of these shards
     n: int  # buckets
     min_count: int
@@ -178,12 +211,12 @@ class Model:
     keep: bool  # whether workers keep all shards
     probes: tuple[int, int]
 
-    def each(self, k: int, h: np.ndarray):
+    def each(self, k: int, h: np.ndarray, shards: list[list]):
         """(shard, those of h that are its own, their buckets)."""
         b = bucket(h, self.n)
         part = np.searchsorted(self.bounds[k], b, "right") - 1
-        for i, shared in enumerate(self.shards[k]):
-            own = np.flatnonzero(part == i) if len(self.shards[k]) > 1 else np.arange(len(h))
+        for i, shared in enumerate(shards[k]):
+            own = np.flatnonzero(part == i) if len(shards[k]) > 1 else np.arange(len(h))
             if len(own):
                 shard = shared.value
                 if not self.keep:
@@ -193,24 +226,22 @@ class Model:
     def counts(self, k: int, h: np.ndarray) -> np.ndarray:
         """Decoded counts of n-grams of k + 1 tokens."""
         q = np.zeros(len(h), np.int64)
-        for shard, own, b in self.each(k, h):
+        for shard, own, b in self.each(k, h, self.shards):
             q[own] = shard.levels(h[own], b)
         return decoded(q, self.min_count if k else 1)
 
     def maybe(self, k: int, h: np.ndarray) -> np.ndarray:
         """Which n-grams of k + 1 tokens may be kept ones."""
         out = np.zeros(len(h), bool)
-        for shard, own, b in self.each(k, h):
+        for shard, own, b in self.each(k, h, self.shards):
             out[own] = shard.maybe(h[own], b)
         return out
 
     def contexts(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Totals and rests of contexts of k tokens; 0 and 1 where unknown."""
         total, rest = np.zeros(len(h)), np.ones(len(h))
-        for shard, own, b in self.each(k, h):
-            at = shard.context_of(h[own], b)
-            found = own[at >= 0]
-            total[found], rest[found] = shard.total[at[at >= 0]], shard.rest[at[at >= 0]]
+        for some, own, b in self.each(k, h, self.known):
+            total[own], rest[own] = some.find(h[own], b)
         return total, rest
 
     def probabilities(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -353,9 +384,9 @@ def contexts(made: DataFrame, n: int) -> DataFrame:
     return rows.repartition(n, "bucket").groupBy("bucket").applyInArrow(total, "bucket long, ctx binary, z binary, m binary")
 
 
-def shards_of(filters: DataFrame, own_contexts: DataFrame | None, n: int, probes: tuple[int, int]) -> tuple[list, list[int], int]:
-    """Broadcast shards, their first buckets, and their bytes; one at a time
-    passes through the driver."""
+def shards_of(filters: DataFrame, own_contexts: DataFrame | None, n: int, least: int, probes: tuple[int, int]) -> tuple[list, list, list[int], int]:
+    """Broadcast shards and contexts, their first buckets, and their bytes; one
+    at a time passes through the driver."""
     spark = filters.sparkSession
     size = np.zeros(n, np.int64)
     for r in filters.select("bucket", F.octet_length("bits").alias("n")).collect():
@@ -363,7 +394,7 @@ def shards_of(filters: DataFrame, own_contexts: DataFrame | None, n: int, probes
     if own_contexts is not None:
         for r in own_contexts.select("bucket", F.octet_length("ctx").alias("n")).collect():
             size[r["bucket"]] += 4 * r["n"]
-    out, bounds, lo = [], [], 0
+    out, known, bounds, lo = [], [], [], 0
     while lo < n:
         hi = max(lo + 1, min(lo + 65536, int(np.searchsorted(np.cumsum(size[lo:]), SHARD, "right")) + lo))
         within = F.col("bucket").between(lo, hi - 1)
@@ -373,17 +404,19 @@ def shards_of(filters: DataFrame, own_contexts: DataFrame | None, n: int, probes
         for r in rows:
             start[r["bucket"] - lo], bits[r["bucket"] - lo], at = at, r["size"], at + r["size"]
         shard = Shard(lo, hi, start, bits, np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8), probes=probes)
-        del rows
+        out.append(spark.sparkContext.broadcast(shard))
+        del rows, bits, shard
         if own_contexts is not None:
+            scratch.collect_garbage(spark, at_once=True)
             rows = sorted(own_contexts.where(within).collect())
-            shard.context = np.concatenate([np.zeros(0, U64)] + [(U64(r["bucket"] - lo) << LOW_BITS) | np.frombuffer(r["ctx"], "<u8") for r in rows])
+            key = np.concatenate([np.zeros(0, U64)] + [(U64(r["bucket"] - lo) << LOW_BITS) | np.frombuffer(r["ctx"], "<u8") for r in rows])
             z, m = (np.concatenate([np.zeros(0)] + [np.frombuffer(r[c], "<f8") for r in rows]) for c in "zm")
-            shard.total, shard.rest = z, DISCOUNT * m / np.maximum(z, 1e-300)
+            known.append(spark.sparkContext.broadcast(Contexts.of(lo, least, key, z, m)))
+            del rows, key, z, m
         bounds.append(lo)
-        out.append(spark.sparkContext.broadcast(shard))
-        del shard
+        scratch.collect_garbage(spark, at_once=True)  # arrays of megabytes, for which the heap would grow
         lo = hi
-    return out, bounds, int(size.sum())
+    return out, known, bounds, int(size.sum())
 
 
 def collected(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -413,16 +446,16 @@ def place_of(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, counts: DataFrame, n: int, order: int, min_count: int, probes: tuple[int, int] = PROBES) -> Model:
     """The model; docs: (text) of the training documents, counts: those of their tokens."""
     total, distinct, words = (x or 0 for x in counts.agg(F.sum("total"), F.sum("distinct"), F.sum("decoded")).first())
-    shards, bounds, size = shards_of(counts, None, n, probes)
-    model = Model([shards], [bounds], n, min_count, float(words), distinct, ADD * (distinct + 1) / max(total + ADD * (distinct + 1), 1e-300), size <= ROOM, probes)
+    shards, _, bounds, size = shards_of(counts, None, n, 1, probes)
+    model = Model([shards], [[]], [bounds], n, min_count, float(words), distinct, ADD * (distinct + 1) / max(total + ADD * (distinct + 1), 1e-300), size <= ROOM, probes)
     for k in range(1, order):
         made = scratch.staged(grams(docs, k, model), f"grams-{k + 1}")
         own = scratch.staged(contexts(made, n), f"contexts-{k}")
-        shards, bounds, more = shards_of(made.where("bits is not null"), own, n, probes)
+        shards, known, bounds, more = shards_of(made.where("bits is not null"), own, n, min_count, probes)
         scratch.discard(made)
         scratch.discard(own)
         size += more
-        model = replace(model, shards=[*model.shards, shards], bounds=[*model.bounds, bounds], keep=size <= ROOM)
+        model = replace(model, shards=[*model.shards, shards], known=[*model.known, known], bounds=[*model.bounds, bounds], keep=size <= ROOM)
     return model
 
 

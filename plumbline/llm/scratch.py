@@ -50,11 +50,12 @@ PAUSE = 2  # seconds between two collections at least
 _last = 0.0
 
 
-def collect_garbage(spark: SparkSession) -> None:
+def collect_garbage(spark: SparkSession, at_once: bool = False) -> None:
     """Shuffle files of finished steps go only after the driver's garbage is
-    collected; steps that follow closely wait for one collection."""
+    collected; steps that follow closely wait for one collection, unless it is
+    asked for at once."""
     global _last
-    if time.monotonic() - _last >= PAUSE:
+    if at_once or time.monotonic() - _last >= PAUSE:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         _last = time.monotonic()

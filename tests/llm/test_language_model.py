@@ -1,5 +1,6 @@
 """Scores against a plain absolute-discount model with quantised counts."""
 
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -93,6 +94,31 @@ def test_filter_gives_levels_back():
     assert (shard.maybe(h, b) >= (q > 0)).all()
 
 
+def test_contexts_are_sent_as_whole_numbers():
+    """Their bytes stay in the driver's memory, as long as the broadcast lives."""
+    rng = np.random.default_rng(0)
+    b = np.sort(rng.integers(5, 9, 5000))
+    h = rng.integers(0, 1 << 48, 5000).astype(np.uint64)
+    key = ((b - 5).astype(np.uint64) << lm.LOW_BITS) | h
+    order = np.argsort(key)
+    levels = [rng.integers(1, 12, rng.integers(1, 9)) for _ in key]
+    z, m = np.array([lm.decoded(q, 2).sum() for q in levels])[order], np.array([len(q) for q in levels])[order]
+    sent = pickle.dumps(lm.Contexts.of(5, 2, key[order], z, m))
+    assert len(sent) < 15 * len(key) + 2000
+    total, rest = pickle.loads(sent).find(np.r_[h[order], np.uint64(7)], np.r_[b[order], 5])
+    assert np.allclose(total, [*z, 0], rtol=1e-14) and np.allclose(rest, [*lm.DISCOUNT * m / z, 1], rtol=1e-14)
+
+
+def test_the_driver_keeps_no_garbage_of_shards(spark, monkeypatch):
+    rows = corpus(1, 120)
+    collected = []
+    monkeypatch.setattr(lm, "SHARD", 2000)
+    monkeypatch.setattr(scratch, "collect_garbage", lambda spark, at_once=False: collected.append(at_once))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("text")
+    model = lm.train(docs, scratch.staged(lm.counted(docs, 4), "tokens"), 4, 3, 2)
+    assert sum(collected) >= sum(len(of) for of in model.shards) > 3
+
+
 def test_awkward_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (None, "a b"), (None, "a b"), (4, "a " * 20000), (4, "A é 漢字 a b")]
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, bucket string, n_tokens int")
