@@ -40,6 +40,7 @@ BLOCK = 32  # chunks
 QUESTIONS, STRIPE = 1024, 128  # questions of one pass over the index, and of one matrix
 SEEDS = 2  # blocks a question whose chunks are scored first, to find a bar
 DENSE = 4096  # bigrams up to which a stripe's matrix is taken whole
+NAMES = 2048  # distinct characters of questions up to which their bigrams have a table
 AT_ONCE = 256  # blocks whose bounds are found together
 CLOSE = 2e-9  # scores have nine decimals
 EVER = 2932896  # days up to 9999-12-31
@@ -59,11 +60,25 @@ class Index:
     dated: bool = False
 
 
-def codes(text: str) -> np.ndarray:
-    """The set of bigrams of a text without white space, as sorted numbers."""
-    c = np.frombuffer(BLANKS.sub("", text).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    out = np.sort((c[:-1] << 32) | c[1:])
-    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
+WHITE = np.array([BLANKS.match(chr(c)) is not None for c in range(0x3002)])  # the last is none
+PLANE = 21  # bits of a character
+
+
+def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of all characters of some texts but white space."""
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    keep = ~WHITE[np.minimum(c, len(WHITE) - 1)]
+    return np.repeat(np.arange(len(texts)), [len(t) for t in texts])[keep], c[keep]
+
+
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams of texts without white space as sorted numbers, and how many texts have each."""
+    row, c = characters(texts)
+    bits = max(len(texts) - 1, 1).bit_length()
+    each = np.unique(((((c[:-1] << PLANE) | c[1:]) << bits) | row[:-1])[row[:-1] == row[1:]]) >> bits
+    cut = np.flatnonzero(np.append(True, each[1:] != each[:-1])[: len(each)])
+    gram = each[cut]
+    return ((gram >> PLANE) << 32) | (gram & ((1 << PLANE) - 1)), np.diff(np.append(cut, len(each)))
 
 
 def digit_pairs(text: str) -> int:
@@ -102,7 +117,7 @@ def built(chunks: DataFrame, ids: list[str], text: str, announced: str | None =
         def made() -> pa.RecordBatch:
             part = pa.Table.from_batches(held).combine_chunks()
             texts = part["text"].to_pylist()
-            gram, n = np.unique(np.concatenate([codes(t) for t in texts]), return_counts=True)
+            gram, n = gram_counts(texts)
             bits = 0
             for t in texts:
                 bits |= digit_pairs(t.replace(",", ""))
@@ -217,6 +232,13 @@ class Reader:
             at = np.full(len(self.gram), -1, np.int32)
             at[np.searchsorted(self.gram, s.gram)] = np.arange(len(s.gram))
             self.own.append(at)
+        high, low = self.gram >> 32, self.gram & 0xFFFFFFFF
+        named = np.unique(np.append(high, low))
+        self.names, self.name = len(named) + 1, np.zeros(int(named.max(initial=0)) + 2, np.int64)  # 0: in no question
+        self.name[named] = np.arange(1, self.names)
+        self.table = np.full(self.names**2, -1, np.int32) if self.names <= NAMES else None
+        if self.table is not None:
+            self.table[self.name[high] * self.names + self.name[low]] = np.arange(len(self.gram))
         self.pairs = []
         for s in stripes:
             numbers, owners = s.forced() if bonus else ([], [])
@@ -232,6 +254,24 @@ class Reader:
         known = self.gram[at] == flat
         return row[known], at[known]
 
+    def seen(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of the known bigrams of some texts, looked up once for all
+        stripes; a text that has one twice may give it twice."""
+        row, c = characters(texts)
+        if self.table is not None:
+            name = self.name[np.minimum(c, len(self.name) - 1)]
+            at = self.table[name[:-1] * self.names + name[1:]]
+            known = at >= 0
+        else:
+            flat = (c[:-1] << 32) | c[1:]
+            at = np.minimum(np.searchsorted(self.gram, flat), len(self.gram) - 1)
+            known = self.gram[at] == flat
+        known &= row[:-1] == row[1:]
+        row, at = row[:-1][known], at[known].astype(np.int64)
+        if len(self.gram) > DENSE:
+            row, at = np.divmod(np.unique(row * len(self.gram) + at), len(self.gram))
+        return row, at
+
     def hits(self, k: int, rows: int, found: tuple[np.ndarray, np.ndarray], columns=slice(None)) -> np.ndarray:
         place = self.own[k][found[1]]
         known = place >= 0
@@ -359,7 +399,7 @@ def _pass(index: Index, shared, k: int, blocks: DataFrame | None = None, counter
                         continue
                     if grams is None:
                         texts = batch.column("texts")[at].as_py()
-                        grams, names = reader.places([codes(t) for t in texts]), [(*x, int(day[at])) for x in _ids(batch, ids, at)]
+                        grams, names = reader.seen(texts), [(*x, int(day[at])) for x in _ids(batch, ids, at)]
                     sums, extra = reader.exact(n, grams, texts, columns)
                     own.add(columns, stripes[n].score(sums, extra, columns), sums, extra, names)
         if counters is not None:
@@ -436,7 +476,7 @@ def _owners(index: Index, shared) -> DataFrame:
                                 held.setdefault(n, []).append((row, j))
                 if not held:
                     continue
-                grams, names = reader.places([codes(t) for t in texts]), _ids(batch, ids, at)
+                grams, names = reader.seen(texts), _ids(batch, ids, at)
                 for n, pairs in held.items():
                     columns = np.unique([j for _, j in pairs])
                     sums, extra = reader.exact(n, grams, texts, columns)
@@ -473,7 +513,7 @@ def _no_worse(index: Index, shared, bars) -> DataFrame:
                     if not len(columns):
                         continue
                     texts = batch.column("texts")[at].as_py()
-                    grams = reader.places([codes(t) for t in texts])
+                    grams = reader.seen(texts)
                     sums, extra = reader.exact(n, grams, texts, columns)
                     score = np.round(stripes[n].score(sums, extra, columns), 9)
                     total[lo + columns] += (score > own[columns]).sum(0)
@@ -503,9 +543,11 @@ def fact_ranks(index: Index, questions: DataFrame, keys: list[str], question: st
         facts = [f for s in stripes for f in s.facts]
         _with_bars(index, stripes, bonus, top)
         found = joins.top(_pass(index, context.broadcast((stripes, bonus)), top).withColumn("score", _score()), top, ["_q"], F.col("score").desc(), *[F.col(c).desc() for c in index.ids])
-        text = index.blocks.select(F.explode(F.arrays_zip(*index.ids, "texts")).alias("c")).select(*[F.col(f"c.{c}") for c in index.ids], T.compact(F.col("c.texts")).alias("_bare"))
+        text = index.blocks.select(F.explode(F.arrays_zip(*index.ids, "texts")).alias("c")).select(*[F.col(f"c.{c}") for c in index.ids], F.col("c.texts").alias("_text"))
         asked_ = index.blocks.sparkSession.createDataFrame([(i, held.get(i, (0,))[0], facts[i]) for i in range(len(names))], "_q int, owners long, _fact string")
-        holding = found.join(F.broadcast(asked_), "_q").join(text, index.ids).where("_fact <> '' and contains(_bare, _fact)").groupBy("_q").agg(F.count("*").alias("in_top"))
+        # QUESTIONS * top rows at most meet the texts, which stay where they are; only theirs are made compact
+        shown = text.join(F.broadcast(found.join(F.broadcast(asked_), "_q").where("_fact <> ''")), index.ids)
+        holding = shown.where(F.contains(T.compact(F.col("_text")), F.col("_fact"))).groupBy("_q").agg(F.count("*").alias("in_top"))
         rows = asked_.join(ranks, "_q", "left").join(holding, "_q", "left").na.fill(0, ["in_top"])
         out.append(_results(index, rows, names, questions, keys, ["owners", "best_rank", "in_top"]))
     return joins.union(out)
