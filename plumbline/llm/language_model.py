@@ -122,20 +122,29 @@ class Shard:
         return cls(b, b + 1, np.zeros(1, U64), np.array([size], U64), np.packbits(on, bitorder="little"), probes=probes)
 
     def has(self, key: np.ndarray, start: np.ndarray, size: np.ndarray, j: int, probes: int) -> np.ndarray:
+        out = np.zeros(len(key), bool)
         left = np.flatnonzero(size > 0)
         a = spans.mix(key[left], 1000 + j)
         step = ((a >> U64(32)) | U64(1)) * ODD[1]
-        start, size = start[left], size[left]
+        start, size, all_ = start[left], size[left], np.ones(len(left), bool)
         for _ in range(probes):
-            at = start + (((a & U64(0xFFFFFFFF)) * size) >> U64(32))
-            ok = (self.bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
-            if not ok.all():
-                left, a, step, start, size = left[ok], a[ok], step[ok], start[ok], size[ok]
-            if not len(left):
-                break
-            a = a + step
-        out = np.zeros(len(key), bool)
-        out[left] = True
+            at = a & U64(0xFFFFFFFF)
+            at *= size
+            at >>= U64(32)
+            at += start
+            byte = self.bits.take((at >> U64(3)).view(np.int64))
+            at &= U64(7)
+            byte >>= at.astype(np.uint8)
+            byte &= 1
+            all_ &= byte.view(bool)
+            n = np.count_nonzero(all_)
+            if not n:
+                return out
+            if n < 0.8 * len(all_):  # a few that missed cost less than new arrays
+                left, a, step, start, size = left[all_], a[all_], step[all_], start[all_], size[all_]
+                all_ = np.ones(n, bool)
+            a += step
+        out[left[all_]] = True
         return out
 
     def maybe(self, h: np.ndarray, b: np.ndarray) -> np.ndarray:
