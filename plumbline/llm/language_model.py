@@ -57,6 +57,7 @@ LOW, LOW_BITS = U64((1 << 48) - 1), U64(48)  # what tells keys of one bucket apa
 DISCOUNT = 0.75
 ADD = 0.1  # of the unigram base
 HELD = 1 << 19  # distinct keys that a counting task holds before it passes them on
+RUN = 1 << 14  # keys that are probed at a time, so that what belongs to them stays in the processor's cache
 END = spans.mix(np.zeros(1, U64), 99)[0]
 ODD = tuple(U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -122,6 +123,13 @@ class Shard:
         return cls(b, b + 1, np.zeros(1, U64), np.array([size], U64), np.packbits(on, bitorder="little"), probes=probes)
 
     def has(self, key: np.ndarray, start: np.ndarray, size: np.ndarray, j: int, probes: int) -> np.ndarray:
+        out = np.zeros(len(key), bool)
+        for i in range(0, len(key), RUN):
+            own = slice(i, i + RUN)
+            out[own] = self.run_has(key[own], start[own], size[own], j, probes)
+        return out
+
+    def run_has(self, key: np.ndarray, start: np.ndarray, size: np.ndarray, j: int, probes: int) -> np.ndarray:
         out = np.zeros(len(key), bool)
         left = np.flatnonzero(size > 0)
         a = spans.mix(key[left], 1000 + j)
@@ -162,6 +170,21 @@ class Shard:
         return out
 
 
+def distinct(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, their buckets, where each of h is among them), by bucket and
+    lower bits, which is all that filters and contexts know of a hash. In this
+    order one shard's hashes are a slice, and its memory is read from one end to
+    the other."""
+    b, low = bucket(h, n), h & LOW
+    order = np.argsort((b.astype(U64) << LOW_BITS) | low) if n <= 1 << 16 else np.lexsort((low, b))
+    b, low = b[order], low[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (low[1:] != low[:-1]) | (b[1:] != b[:-1])
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return h[order[new]], b[new], back
+
+
 def named(h: np.ndarray, b) -> np.ndarray:
     """What stands for a key in the filter: its bucket and its lower bits."""
     return spans.mix((h & LOW) * ODD[2] + np.asarray(b).astype(U64), 8)
@@ -188,7 +211,8 @@ class Contexts:
 
     def __setstate__(self, state: tuple) -> None:
         self.lo, self.unit, counts, keys, self.total, self.more = state
-        self.key = spans.unpack(keys, 6) | (np.repeat(np.arange(len(counts)), counts).astype(U64) << LOW_BITS)
+        self.key = spans.unpack(keys, 6)
+        self.key |= np.repeat(np.arange(len(counts), dtype=U64) << LOW_BITS, counts)
 
     def find(self, h: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Totals and the shares of the shorter context; 0 and 1 where unknown."""
@@ -220,61 +244,58 @@ class Model:
     keep: bool  # whether workers keep all shards
     probes: tuple[int, int]
 
-    def each(self, k: int, h: np.ndarray, shards: list[list]):
-        """(shard, those of h that are its own, their buckets)."""
-        b = bucket(h, self.n)
-        part = np.searchsorted(self.bounds[k], b, "right") - 1
-        for i, shared in enumerate(shards[k]):
-            own = np.flatnonzero(part == i) if len(shards[k]) > 1 else np.arange(len(h))
-            if len(own):
+    def each(self, k: int, b: np.ndarray, shards: list[list]):
+        """(shard, the slice of b that is its own); b: buckets in ascending order."""
+        cut = np.searchsorted(b, [*self.bounds[k], self.n])
+        for shared, lo, hi in zip(shards[k], cut, cut[1:]):
+            if lo < hi:
                 shard = shared.value
                 if not self.keep:
                     del shared._value  # only this name holds it
-                yield shard, own, b[own]
+                yield shard, slice(lo, hi)
 
-    def counts(self, k: int, h: np.ndarray) -> np.ndarray:
-        """Decoded counts of n-grams of k + 1 tokens."""
+    def counts(self, k: int, h: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Decoded counts of n-grams of k + 1 tokens; h, b: from distinct, as below."""
         q = np.zeros(len(h), np.int64)
-        for shard, own, b in self.each(k, h, self.shards):
-            q[own] = shard.levels(h[own], b)
+        for shard, own in self.each(k, b, self.shards):
+            q[own] = shard.levels(h[own], b[own])
         return decoded(q, self.min_count if k else 1)
 
-    def maybe(self, k: int, h: np.ndarray) -> np.ndarray:
+    def maybe(self, k: int, h: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which n-grams of k + 1 tokens may be kept ones."""
         out = np.zeros(len(h), bool)
-        for shard, own, b in self.each(k, h, self.shards):
-            out[own] = shard.maybe(h[own], b)
+        for shard, own in self.each(k, b, self.shards):
+            out[own] = shard.maybe(h[own], b[own])
         return out
 
-    def contexts(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def contexts(self, k: int, h: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Totals and rests of contexts of k tokens; 0 and 1 where unknown."""
         total, rest = np.zeros(len(h)), np.ones(len(h))
-        for some, own, b in self.each(k, h, self.known):
-            total[own], rest[own] = some.find(h[own], b)
+        for some, own in self.each(k, b, self.known):
+            total[own], rest[own] = some.find(h[own], b[own])
         return total, rest
 
     def probabilities(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Of each token, given those before it in its document."""
-        u, back = np.unique(h, return_inverse=True)
-        p = ((1 - self.unseen) * self.counts(0, u) / max(self.words, 1e-300) + self.unseen / (self.distinct + 1))[back]
+        u, b, back = distinct(h, self.n)
+        p = ((1 - self.unseen) * self.counts(0, u, b) / max(self.words, 1e-300) + self.unseen / (self.distinct + 1))[back]
         place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
         before = np.arange(len(h))  # of each token, where the n-gram that ends there is among those of the order before
         for k in range(1, len(self.shards)):
             # an n-gram of one order is the context of the next token's n-gram
-            total, rest = self.contexts(k, u)
+            total, rest = self.contexts(k, u, b)
             at = np.flatnonzero(place >= k)
             of = back[before[at - 1]]
             at, of = at[total[of] > 0], of[total[of] > 0]
             if not len(at):
                 break
             total, rest = total[of], rest[of]
-            u, back = np.unique(gram_hash([h[at - i] for i in range(k, -1, -1)]), return_inverse=True)
-            seen = np.maximum(self.counts(k, u)[back] - DISCOUNT, 0.0)
+            u, b, back = distinct(gram_hash([h[at - i] for i in range(k, -1, -1)]), self.n)
+            seen = np.maximum(self.counts(k, u, b)[back] - DISCOUNT, 0.0)
             p[at] = np.minimum(seen / total, 1 - rest) + rest * p[at]  # no n-gram has more than all behind its context
             if k + 1 < len(self.shards):
                 before = np.full(len(h), len(at))
                 before[at] = np.arange(len(at))
-                back, u = np.append(back, len(u)), np.append(u, U64(0))
                 place = np.where(np.r_[len(at), before[:-1]] < len(at), place, 0)  # contexts that were not looked for are unknown
         return p
 
@@ -345,8 +366,8 @@ def grams(train: DataFrame, k: int, model: Model) -> DataFrame:
         for _, h, first in tokens(texts, stretch):
             at = np.flatnonzero(np.arange(len(h)) - np.repeat(first[:-1], np.diff(first)) >= k)
             if k > 1 and least > 1:
-                u, back = np.unique(gram_hash([h[:-1], h[1:]]) if k == 2 else gram_hash([h[i : len(h) - k + 1 + i] for i in range(k)]), return_inverse=True)
-                kept = model.maybe(k - 1, u)[back]  # the n-grams of k tokens, by their first
+                u, b, back = distinct(gram_hash([h[:-1], h[1:]]) if k == 2 else gram_hash([h[i : len(h) - k + 1 + i] for i in range(k)]), n)
+                kept = model.maybe(k - 1, u, b)[back]  # the n-grams of k tokens, by their first
                 at = at[kept[at - k] & kept[at - k + 1]]
             g, first_at, c = np.unique(gram_hash([h[at - i] for i in range(k, -1, -1)]), return_index=True, return_counts=True)
             yield g, c, gram_hash([h[at[first_at] - i] for i in range(k, 0, -1)])

@@ -142,9 +142,8 @@ def pack(keys: np.ndarray, width: int) -> bytes:
 
 
 def unpack(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.reshape(-1).view("<u8")
+    padded = data + bytes(8)
+    return np.ndarray(len(data) // width, "<u8", padded, strides=(width,)) & MASK[width]
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:

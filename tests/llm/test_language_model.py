@@ -119,6 +119,33 @@ def test_the_driver_keeps_no_garbage_of_shards(spark, monkeypatch):
     assert sum(collected) >= sum(len(of) for of in model.shards) > 3
 
 
+def test_hashes_are_looked_up_in_the_order_of_shards(spark, monkeypatch):
+    """Out of order each probe and each search would miss the processor's cache."""
+    rows = corpus(1, 120)
+    monkeypatch.setattr(lm, "SHARD", 2000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("text")
+    model = lm.train(docs, scratch.staged(lm.counted(docs, 4), "tokens"), 4, 3, 2)
+    (_, h, first), *_ = lm.tokens(pa.array([t for _, t in rows]))
+    whole, lengths, sought = model.probabilities(h, first), [], []
+    take, search = lm.Shard.run_has, lm.place_of
+    monkeypatch.setattr(lm, "RUN", 50)
+    monkeypatch.setattr(lm.Shard, "run_has", lambda self, key, *rest: lengths.append(len(key)) or take(self, key, *rest))
+    monkeypatch.setattr(lm, "place_of", lambda keys, x: sought.append(x) or search(keys, x))
+    assert np.array_equal(model.probabilities(h, first), whole)
+    assert 0 < max(lengths) <= 50 < len(h)
+    assert len(sought) > 3 and all((x[1:] > x[:-1]).all() for x in sought)
+
+
+def test_distinct_hashes():
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 1 << 62, 300).astype(np.uint64)[rng.integers(0, 300, 2000)]
+    for n in (1, 7, 1 << 16, (1 << 16) + 1, 1 << 20):
+        u, b, back = lm.distinct(h, n)
+        assert np.array_equal(u[back], h) and len(u) == len(np.unique(h)) and np.array_equal(b, lm.bucket(u, n))
+        assert (np.lexsort((u & lm.LOW, b)) == np.arange(len(u))).all()
+    assert [len(x) for x in lm.distinct(h[:0], 5)] == [0, 0, 0]
+
+
 def test_awkward_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (None, "a b"), (None, "a b"), (4, "a " * 20000), (4, "A é 漢字 a b")]
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, bucket string, n_tokens int")
