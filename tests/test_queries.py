@@ -39,6 +39,24 @@ def test_matches_sql(spark, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name, parts", [("whole_checks", None), ("range_sums", 13), ("missing_rows", 13), ("identity_verdicts", 13)])
+def test_partitions_grow_with_the_rows(spark, name, parts, monkeypatch):
+    """What a task sorts and groups by table mustn't grow with the input."""
+    from plumbline.operators import joins
+
+    lines = spark.read.parquet(f"{DIR}/lineitem.parquet").count()
+    monkeypatch.setattr(joins, "DEALT", -(-lines // 13))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = registry.QUERIES[name](spark, DIR)
+        assert parts is None or got.rdd.getNumPartitions() == parts
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(", 13)") >= 1 and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    test_matches_sql(spark, name)
+
+
 def test_segments_against_a_loop(spark):
     from plumbline.operators import statements
     from plumbline.plans.statements import _pages
