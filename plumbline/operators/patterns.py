@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.joins import small, union
+from plumbline.operators.joins import dealt, small, union
 
 CHARACTERS = 1 << 22  # of the patterns of one automaton
 
@@ -103,8 +103,9 @@ def earliest(texts: DataFrame, text: str, day: str, patterns: DataFrame, pattern
 def fuzzy(rows: DataFrame, slots: DataFrame, group: list[str], label: str = "label_norm", order: str = "row_idx") -> DataFrame:
     """For each group and slot (slot, name) the row whose label equals the
     name, else the one with the shortest label containing it, first row first.
-    Names are looked for in the distinct labels only."""
+    Names are looked for in the distinct labels only, which a frequent label
+    mustn't gather in one task: rows stay dealt by group where these are few."""
     met = containing(rows.select(label).distinct(), [label], label, slots, "name")
-    pairs = rows.join(met, label).join(small(slots), "name")
+    pairs = dealt(rows, group).join(small(met), label).join(small(slots), "name")
     w = Window.partitionBy(*group, "slot").orderBy((F.col(label) == F.col("name")).desc(), F.char_length(label), order)
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
