@@ -24,6 +24,7 @@ UNIT = r"单位\s*[:：为是]?\s*(?:人民币)?\s*(亿元|百万元|千万元|
 UNIT_SCALE = {"元": 1.0, "千元": 1e3, "万元": 1e4, "千万元": 1e7, "百万元": 1e6, "亿元": 1e8}
 EMPTY_CELLS = ("", "—", "-", "－", "–", "/", "不适用")
 PREFIXES, PREFIXES_ASCII = ("其中：", "其中", "加：", "减："), ("其中：", "其中:", "其中", "加：", "加:", "减：", "减:")
+LABELLED = r"(?U)[\s　（(、.：:其]"  # what labels lose holds one of these
 RUNNER = r"(年度报告|第[一二三四五六七八九十\d]{1,3}[章节]|股份有限|有限公司|财务报表|目录|审计报告)"
 PERIODS = (("半年度", "H1"), ("年度报告", "FY"), ("第一季度", "Q1"), ("第三季度", "Q3"))
 REPORT_KEEP = "(年度报告|半年度报告|第一季度报告|第三季度报告)$"
@@ -65,14 +66,15 @@ def label(s: Column, digits: bool = False, prefixes: bool = True, ascii_colon: b
     brackets), ordinals, prefixes and trailing colons. digits: also without
     '12、'; prefixes: without one leading 'of which', 'plus' or 'minus';
     ascii_colon: these also before ':'."""
-    out = F.regexp_replace(F.coalesce(s, F.lit("")), BLANK, "")
+    raw = F.coalesce(s, F.lit(""))
+    out = F.regexp_replace(raw, BLANK, "")
     out = F.regexp_replace(out, "[（(][^）)]*[）)]", "")
     out = F.regexp_replace(out, "^[一二三四五六七八九十]+、", "")
     if digits:
         out = F.regexp_replace(out, r"^\d+[、.]", "")
     if prefixes:
         out = F.regexp_replace(out, f"^(?:{'|'.join(PREFIXES_ASCII if ascii_colon else PREFIXES)})", "")
-    return F.regexp_replace(out, "[：:]+$", "")
+    return F.when(raw.rlike(LABELLED), F.regexp_replace(out, "[：:]+$", "")).otherwise(raw)  # most hold none of it
 
 
 def bigrams(s: Column) -> Column:

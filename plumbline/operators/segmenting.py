@@ -13,17 +13,16 @@ TOP, BOTTOM = 115, 740
 GATE_ROWS, MIN_ROWS, NEAR = 150, 8, 6  # rows that a gate looks at, rows of a segment, pages to an extra one
 
 
-def gate(rows: Column, kind: Column, words: dict[str, list[str]] = GATE) -> Column:
-    """Whether the first rows of cells (array of arrays) hold a word of their own kind of statement."""
+def gates(rows: Column, words: dict[str, list[str]] = GATE) -> Column:
+    """The kinds of statement a word of which the first rows of cells (array of arrays) hold."""
     flat = F.array_join(F.transform(F.slice(rows, 1, GATE_ROWS), lambda r: F.array_join(r, " ")), " ")
+    held = lambda text, some: F.exists(F.array(*map(F.lit, some)), lambda w: F.contains(text, w))
+    return let(flat, lambda text: F.array_compact(F.array(*[F.when(held(text, some), F.lit(name)) for name, some in words.items()])))
 
-    def of(text: Column) -> Column:
-        own = F.lit(False)
-        for name, some in words.items():
-            own = F.when(kind == name, F.exists(F.array(*map(F.lit, some)), lambda w: F.contains(text, w))).otherwise(own)
-        return own
 
-    return let(flat, of)
+def gate(rows: Column, kind: Column, words: dict[str, list[str]] = GATE) -> Column:
+    """Whether the first rows of cells (array of arrays) hold a word of their own kind of statement."""
+    return F.coalesce(F.array_contains(gates(rows, words), kind), F.lit(False))
 
 
 def in_band(top: Column, low: float = TOP, high: float = BOTTOM) -> Column:

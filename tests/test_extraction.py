@@ -210,3 +210,26 @@ def test_cells_are_read_once(spark):
     words = ["货币资金", "存货", "净利润"]
     own = plan(tables.select(T.hits(T.label(F.col("doc").cast("string")), words)))
     assert "Contains(lambda" in own  # the text is bound outside of the loop over words
+
+
+def test_cells_are_written_where_they_are_read(spark):
+    """What is dealt by document are line items; cells are made of them after that, once, and aren't sorted."""
+    from plumbline.plans import extraction as Q
+
+    df = Q.extracted_statements(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.index("format_number") < plan.index("RepartitionByExpression")
+    assert plan.count(T.RUNNER) == 2
+    above = plan[: plan.index("format_number")]
+    assert "cells#" not in "".join(line for line in above.splitlines() if "Window [last" in line)
+    own = df._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in own.splitlines() if "Exchange hashpartitioning" in line and "label" in line]
+
+
+def test_labels_without_marks_stay(spark):
+    """The quick way out of labels gives what the long one gives."""
+    cases = ["货币资金", "其中货币", "一、存货", "12.存货", "12、存货", "存 货", "存　货", "存 货", "(一)存货", "存货：", "加:存货", "减：存货", "", None, "1.5", "A:", "一二三", "其他"]
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    for digits in (False, True):
+        got = [r[0] for r in df.select(T.label(F.col("s"), digits=digits, prefixes=False)).collect()]
+        assert got == [nrm(c, digits) for c in cases]
