@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import crossdoc, mutations
+from plumbline.operators import crossdoc, joins, mutations
 from plumbline.plans.market import table
 
 ROW = "l_linenumber * 100000000000000 + l_partkey * 1000000 + l_suppkey"
@@ -47,18 +47,25 @@ def turned_pairs(spark, sf_dir):
     return crossdoc.total(turned, ["entity"], crossdoc.dated_facts(_cells(spark, sf_dir), ["entity"], "doc"))
 
 
+DEALT = 1 << 17  # line items of the tables that one task reads
+
+
 def _statement(spark, sf_dir):
-    """Rows (table_id, row_idx, label_norm, label_raw, concept, vals): a heading,
-    items and their sum, charges and the whole, for this period and the last."""
+    """Rows (table_id, row_idx, label_norm, label_raw, concept, vals), dealt by table: a
+    heading, items and their sum, charges and the whole, for this period and the last."""
     l = table(spark, sf_dir, "lineitem")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    sums = l.select(F.col("l_orderkey").alias("table_id"), F.expr(ROW).alias("n"), cents.alias("a"), (cents + F.col("l_quantity").cast("long")).alias("b"), F.round(cents * F.col("l_tax")).cast("long").alias("t"))
-    own = sums.groupBy("table_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("t").alias("t"))
-    row = lambda k, label, concept, *v: F.struct(F.lit(k).cast("long").alias("row_idx"), F.lit(label).alias("label_norm"), F.lit(concept).cast("string").alias("concept"), F.array(*v).alias("vals"))
-    last = 10**18
-    ends = own.select("table_id", F.inline(F.array(row(-1, "items", None, F.lit(None).cast("long"), F.lit(None).cast("long")), row(last, "sum of items", "items", F.col("a"), F.col("b")), row(last + 1, "charges", "charges", F.col("t"), F.when(F.col("t") % 2 == 0, F.col("t"))), row(last + 2, "whole", "whole", F.col("a") + F.col("t"), F.col("b") + F.col("t")))))
-    items = sums.select("table_id", F.col("n").alias("row_idx"), F.concat(F.lit("item "), F.col("n").cast("string")).alias("label_norm"), F.lit(None).cast("string").alias("concept"), F.array("a", "b").alias("vals"))
-    return items.unionByName(ends).withColumn("label_raw", F.col("label_norm"))
+    sums = joins.dealt(l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax"), ["l_orderkey"], DEALT)
+    sums = sums.select(F.col("l_orderkey").alias("table_id"), F.expr(ROW).alias("n"), cents.alias("a"), (cents + F.col("l_quantity").cast("long")).alias("b"), F.round(cents * F.col("l_tax")).cast("long").alias("t"))
+    w = Window.partitionBy("table_id").orderBy("n")
+    all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = sums.withColumns({"_n": F.row_number().over(w), **{f"_{c}": F.sum(c).over(all_) for c in ("a", "b", "t")}})
+    row = lambda k, label, concept, *v: F.struct(k.cast("long").alias("row_idx"), label.alias("label_norm"), F.lit(concept).cast("string").alias("concept"), F.array(*v).alias("vals"))
+    last, none = 10**18, F.lit(None).cast("long")
+    ends = [(-1, "items", None, none, none), (last, "sum of items", "items", F.col("_a"), F.col("_b")), (last + 1, "charges", "charges", F.col("_t"), F.when(F.col("_t") % 2 == 0, F.col("_t"))), (last + 2, "whole", "whole", F.col("_a") + F.col("_t"), F.col("_b") + F.col("_t"))]
+    item = row(F.col("n"), F.concat(F.lit("item "), F.col("n").cast("string")), None, F.col("a"), F.col("b"))
+    rows = F.when(F.col("_n") == 1, F.array(item, *[row(F.lit(k), F.lit(label), *rest) for k, label, *rest in ends])).otherwise(F.array(item))
+    return own.select("table_id", F.inline(rows)).withColumn("label_raw", F.col("label_norm"))
 
 
 CASES = {
@@ -69,14 +76,8 @@ CASES = {
 
 def mutation_grid(spark, sf_dir):
     """Corruptions of every order's statement against all checks, in one plan."""
-    rows = mutations.dealt(_statement(spark, sf_dir), ["table_id"], 1 + len(CASES))
-    head = F.concat(F.lit("day "), F.col("col_idx").cast("string"))
-    lines = mutations.copies(rows, CASES).withColumn("header_text", head)
-    other = rows.select("table_id", "row_idx", "label_norm", "label_raw", "concept", F.posexplode(F.transform("vals", lambda v: v.cast("double"))).alias("col_idx", "value")).withColumn("header_text", head)
-    terms = spark.createDataFrame([("whole = items + charges", "whole", -1, False), ("whole = items + charges", "items", 1, False), ("whole = items + charges", "charges", 1, False)], "ident string, concept string, coef int, optional boolean")
-    required = spark.createDataFrame([("whole",)], "name string")
-    found = mutations.detected(lines, other, ["table_id"], terms, required, [("items", "sum of items")])
-    return mutations.grid(found, ["table_id"], list(CASES))
+    whole = {"whole = items + charges": [("whole", -1, False), ("items", 1, False), ("charges", 1, False)]}
+    return mutations.side_by_side(_statement(spark, sf_dir), CASES, ["table_id"], ["day 0", "day 1"], whole, ["whole"], [("items", "sum of items")])
 
 
 QUERIES = {f.__name__: f for f in (document_pairs, turned_pairs, mutation_grid)}

@@ -1,5 +1,7 @@
 """Documents against each other, corruptions against all checks, and groups that have nothing."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import crossdoc, mutations, trust
@@ -108,3 +110,38 @@ def test_total_is_that_of_pairs(spark):
     got = crossdoc.total(turned, by, facts)
     assert got.first() == want and want.compared > 5
     assert "doc_a" not in got._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+
+
+def test_copies_side_by_side(spark):
+    """Copies as columns say what copies as rows say: labels twice, rows that lie outside or are missing, NULLs."""
+    rng, names = random.Random(3), ["items", "a", "b", "其中：c", "sum", "tax", "whole", "whole of all", ""]
+    rows = []
+    for t in range(120):
+        order = [n for n in names if rng.random() < 0.85] + rng.choices(names, k=rng.randrange(3))
+        if rng.random() < 0.3:
+            rng.shuffle(order)
+        for i, n in enumerate(order):
+            rows.append((t, i, n if n or rng.random() < 0.8 else None, rng.choice([n, None]) if n in ("sum", "tax", "whole") else None, [None if n == "items" or rng.random() < 0.1 else float(rng.choice([1, 2, 3])) for _ in range(2)]))
+    df = spark.createDataFrame(rows, "t int, row_idx int, label_norm string, concept string, vals array<double>").withColumn("label_raw", F.col("label_norm"))
+    cases = {"drop": mutations.drop_row("whole"), "items out": mutations.drop_row("items"), "bump": mutations.bump("sum", 1), "shift": mutations.shift("a", 1), "scale": mutations.scale(10, "tax"), "all": mutations.scale(10000), "turn": mutations.reverse(), "set": mutations.overwrite("whole", 1.0)}
+    identities = {"i": [("whole", -1, False), ("sum", 1, False), ("tax", 1, True)], "j": [("whole", -1, False), ("sum", 1, False)]}
+    terms = spark.createDataFrame([(i, *t) for i, own in identities.items() for t in own], "ident string, concept string, coef int, optional boolean")
+    ranges = [("items", "sum"), ("a", "whole")]
+    for headers in (["d 0", "d1"], ["d 0", "none"]):
+        head = lambda d: d.withColumn("header_text", F.get(F.array(*map(F.lit, headers)), F.col("col_idx")))  # noqa: B023, E731
+        other = head(df.select("*", F.posexplode("vals").alias("col_idx", "value")).drop("vals"))
+        found = mutations.detected(head(mutations.copies(df, cases)), other, ["t"], terms, spark.createDataFrame([("whole",), ("sum",)], "name string"), ranges)
+        want = sorted(map(tuple, mutations.grid(found, ["t"], list(cases)).collect()))
+        got = sorted(map(tuple, mutations.side_by_side(df, cases, ["t"], headers, identities, ["whole", "sum"], ranges).collect()))
+        assert got == want and len(want) == 8 * 6 and all(0 < sum(w[2] for w in want if w[0] == m) for m in cases)
+    assert mutations.side_by_side(df.limit(0), cases, ["t"], ["d0", "d1"], identities, ["whole"], ranges).count() == 0
+
+
+def test_mutations_have_no_rows(spark):
+    """One scan, one shuffle of rows, and no join, union or row for each copy."""
+    from plumbline.plans import pairs
+
+    df = pairs.mutation_grid(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Union" not in plan
+    assert plan.count("Generate ") == 2  # the rows of a statement, and the grid's own
