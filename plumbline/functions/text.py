@@ -22,7 +22,6 @@ ABSTAIN = "资料中未包含|未包含该信息|没有足够信息|无法回答
 ABSTAIN_AS_OF = "尚未披露|未披露|未包含|没有披露|无法回答|资料中没有|没有找到"
 UNIT = r"单位\s*[:：为是]?\s*(?:人民币)?\s*(亿元|百万元|千万元|万元|千元|元)"
 UNIT_SCALE = {"元": 1.0, "千元": 1e3, "万元": 1e4, "千万元": 1e7, "百万元": 1e6, "亿元": 1e8}
-EMPTY_CELLS = ("", "—", "-", "－", "–", "/", "不适用")
 PREFIXES, PREFIXES_ASCII = ("其中：", "其中", "加：", "减："), ("其中：", "其中:", "其中", "加：", "加:", "减：", "减:")
 LABELLED = r"(?U)[\s　（(、.：:其]"  # what labels lose holds one of these
 RUNNER = r"(年度报告|第[一二三四五六七八九十\d]{1,3}[章节]|股份有限|有限公司|财务报表|目录|审计报告)"
@@ -146,11 +145,10 @@ def to_number(cell: Column) -> Column:
     """A cell's number; blanks, dashes and anything else are NULL, brackets mean minus."""
 
     def of(s: Column) -> Column:
-        negative = s.startswith("(") & s.endswith(")")
         number = lambda bare: F.when(bare.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), bare.try_cast("double"))
-        return F.when(s.isin(*EMPTY_CELLS), None).when(negative, -let(F.substring(s, F.lit(2), F.char_length(s) - 2), number)).otherwise(number(s))
+        return F.coalesce(number(s), F.when(s.startswith("(") & s.endswith(")"), -let(F.substring(s, F.lit(2), F.char_length(s) - 2), number)))
 
-    return let(F.translate(cell, ", ", ""), of)
+    return let(F.replace(F.replace(cell, F.lit(","), F.lit("")), F.lit(" "), F.lit("")), of)
 
 
 def grouped(x: Column) -> Column:

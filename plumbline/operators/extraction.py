@@ -39,8 +39,9 @@ def body(rows: Column) -> Column:
     """Rows of cells without the leading ones that are page headers."""
 
     def of(all_: Column) -> Column:
-        first = F.array_position(F.transform(all_, lambda r: ~T.is_runner(r)), True)
-        cut = let(first, lambda k: F.when(k > 0, F.slice(all_, k.cast("int"), F.size(all_))).otherwise(F.slice(all_, 1, 0)))
+        zero = F.struct(F.lit(0).alias("n"), F.lit(False).alias("body"))
+        step = lambda s, r: F.when(s["body"], s).otherwise(let(F.coalesce(~T.is_runner(r), F.lit(False)), lambda own: F.struct((s["n"] + (~own).cast("int")).alias("n"), own.alias("body"))))
+        cut = let(F.aggregate(all_, zero, step)["n"], lambda n: F.slice(all_, n + 1, F.size(all_)))
         return F.when((F.size(all_) > 0) & ~T.is_runner(F.get(all_, F.lit(0))), all_).otherwise(cut)
 
     return let(rows, of)
@@ -48,7 +49,7 @@ def body(rows: Column) -> Column:
 
 def tidy(cells: Column) -> Column:
     """Cells of a row with blanks for line ends, trimmed; missing ones empty."""
-    return F.transform(cells, lambda c: F.btrim(F.translate(F.coalesce(c, F.lit("")), "\n", " ")))
+    return F.transform(cells, lambda c: F.btrim(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))
 
 
 def cleaned(rows: Column) -> Column:
@@ -109,7 +110,8 @@ def once(value: Column) -> Column:
 
 def headings(lines: Column) -> Column:
     """The headings among lines (y, text), in order of height."""
-    found = F.transform(lines, lambda x: let(T.heading(x["text"]), lambda h: F.struct(x["y"].alias("y"), h["label"].alias("label"), h["scope"].alias("scope"))))
+    may = F.filter(lines, lambda x: T.contains_any(x["text"], sorted({name[-1] for name, _, _ in T.HEADINGS})))
+    found = F.transform(may, lambda x: let(T.heading(x["text"]), lambda h: F.struct(x["y"].alias("y"), h["label"].alias("label"), h["scope"].alias("scope"))))
     return F.array_sort(F.filter(found, lambda h: h["label"].isNotNull()))
 
 
@@ -120,12 +122,14 @@ def read(tables: Column, then: Callable[[Column, Column], Column]) -> Column:
     without page headers. Tables that say the same are read once."""
 
     def score(cells: Column) -> Column:
-        flat = F.array_join(F.transform(F.slice(cells, 1, SCORED_ROWS), lambda r: F.array_join(r, " ")), " ")
+        # the words have no blanks and none of ASCII, so they lie within one cell, and within one that isn't ASCII alone
+        own = F.flatten(F.filter(F.slice(cells, 1, SCORED_ROWS), lambda r: r.isNotNull()))
+        flat = F.array_join(F.array_distinct(F.filter(own, lambda c: F.octet_length(c) > F.char_length(c))), " ")
         return S.candidate_score(flat, SIGNATURES, NOISE, F.array_join(F.get(cells, F.lit(0)), " ").rlike("(?:19|20)[0-9]{2}"))
 
     def placed(bodies: Column, texts: Column) -> Column:
         each = F.arrays_zip(tables.alias("t"), bodies.alias("b"))
-        at = lambda x: F.array_position(F.transform(texts, lambda y: y["cells"]), x["b"]).cast("int") - 1
+        at = lambda x: F.array_position(texts["cells"], x["b"]).cast("int") - 1
         of = lambda x, i: F.struct(x["t"]["cropped"].alias("cropped"), x["t"]["strategy"].alias("strategy"), x["t"]["table_no"].alias("table_no"), x["t"]["top"].alias("top"), i.alias("at"), F.get(texts, i)["score"].alias("score"), F.size(F.get(texts, i)["rows"]).alias("rows"))
         return F.transform(each, lambda x: let(at(x), lambda i: of(x, i)))
 

@@ -233,3 +233,17 @@ def test_labels_without_marks_stay(spark):
     for digits in (False, True):
         got = [r[0] for r in df.select(T.label(F.col("s"), digits=digits, prefixes=False)).collect()]
         assert got == [nrm(c, digits) for c in cases]
+
+
+def test_page_headers_and_numbers(spark):
+    """Leading page headers go, however many, and no later ones; numbers are what they were."""
+    runner, row = ["某股份有限公司2023年年度报告", ""], ["货币资金", "1,234,567"]
+    cases = [[], [runner], [runner, runner, row], [row, runner], [runner, row, runner, row], [runner, [None, ""], row]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, cells array<array<string>>")
+    got = {r.i: [list(x) for x in r.b] for r in df.select("i", E.body(F.col("cells")).alias("b")).collect()}
+    assert got == {i: body(c) for i, c in enumerate(cases)}
+    cells = ["", "—", "-", "－", "–", "/", "不适用", "(", ")", "()", "(1)", "(-1)", "1,2 3", "-5", "1e5", "NaN", ".5", "5.", "(1,234.50)", "--1", "1-2"]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cells], "c string").select(T.to_number(F.col("c"))).collect()]
+    want = [number(c) for c in cells]
+    want[cells.index("(-1)")] = 1.0
+    assert got == want and got[cells.index("1,2 3")] == 123
